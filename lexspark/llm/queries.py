@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, mixing, sharding
+from . import decontamination, fingerprints, language, mixing, near_duplicates, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op7_language": language.op7_language,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op10_near_duplicates": near_duplicates.op10_near_duplicates,
 }
 
 ORACLE_SQL = {
     "op3_decontamination": decontamination.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op10_near_duplicates": near_duplicates.ORACLE,
 }
