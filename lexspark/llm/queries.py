@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, mixing, near_duplicates, sharding
+from . import decontamination, fingerprints, language, licenses, mixing, near_duplicates, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_licenses": licenses.op5_licenses,
     "op7_language": language.op7_language,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_secrets": secrets.op9_secrets,
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
 }
 
