@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, licenses, mixing, near_duplicates, secrets, sharding
+from . import decontamination, fingerprints, language, licenses, mixing, near_duplicates, phrases, secrets, sharding, substrings
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_substrings": substrings.op2_substrings,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_licenses": licenses.op5_licenses,
+    "op6_phrases": phrases.op6_phrases,
     "op7_language": language.op7_language,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
@@ -18,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_decontamination": decontamination.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op6_phrases": phrases.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
 }
