@@ -5,10 +5,9 @@ smallest doc_id; only representatives go on. Minima of 128 universal hash functi
 four, and those who share a band are a bucket. No bucket is expanded into all its pairs:
 
 1. every member is verified against the bucket's smallest member on the full shingle sets;
-2. in buckets that still hold several components, every member is verified against the member of another
-   component whose signature agrees most;
-3. what is left, pairs across components whose signatures agree enough, is verified pair by pair. Members
-   of a large bucket are dealt to blocks, and each pair of blocks is one group.
+2. in buckets that still hold several components, members of different components are verified: pair by
+   pair, if their signatures agree enough, in buckets of at most FEW members; in larger ones on the full sets
+   of blocks of members, each pair of blocks being one group, which gives only links that join components.
 
 So two documents in one bucket are in the same component, or have been verified to differ, or have
 signatures too far apart. At a similarity of 0.75, four in 10**6 pairs share no band, and fewer than one
@@ -36,8 +35,8 @@ from .components import connected_components
 SHINGLE, MINIMA, ROWS, PERCENT = 5, 128, 4, 75
 #: Signatures that agree less than this are not verified: 3.5 deviations below the threshold.
 LEAST_AGREEMENT = 0.75 - 3.5 * (0.75 * 0.25 / MINIMA) ** 0.5
-#: Members of a block of a bucket.
-BLOCK = 1024
+#: Members of a bucket whose pairs may be listed (so many for a member at most); members of a block of a larger one.
+FEW, BLOCK = 64, 1024
 _WORD = tokens.constants(SHINGLE, 11)
 _A, _B = tokens.constants(MINIMA, 12), tokens.constants(MINIMA, 13)
 _BAND = tokens.constants(ROWS, 14)
@@ -141,41 +140,90 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _across(best_only: bool):
-    """Pairs of a block pair of a bucket that lie in different components and agree in their signatures."""
-
-    def of(table: pa.Table) -> pa.Table:
-        ids, comp, side, home = (table.column(c).to_numpy() for c in ("rep", "component", "block", "pivot"))
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
-        low, high = side.min(), side.max()
-        out: list[tuple[int, int]] = []
-        others = np.flatnonzero(side == high)
-        for i in np.flatnonzero(side == low):
-            js = others[(comp[others] != comp[i]) & (ids[others] != home[i])] if ids[i] != home[i] else others[:0]
-            if low == high and not best_only:
-                js = js[js > i]
-            if len(js):
-                agree = (s[js] == s[i]).mean(axis=1)
-                good = agree >= LEAST_AGREEMENT
-                js, agree = js[good], agree[good]
-                out += [(ids[i], ids[j]) for j in (js[[agree.argmax()]] if best_only and len(js) else js)]
-        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pa.table([pa.array(pairs.min(axis=1) if len(pairs) else []).cast(pa.int64()), pa.array(pairs.max(axis=1) if len(pairs) else []).cast(pa.int64())], schema=_PAIRS)
-
-    return of
-
-
-def _unresolved(members: DataFrame, components: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs still to verify in the buckets that hold several components."""
+def _across(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket that lie in different components, agree in their signatures and lack its smallest member."""
+    ids, comp, home = (table.column(c).to_numpy() for c in ("rep", "component", "pivot"))
+    s = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(ids != home):
+        js = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (ids != home))
+        out += [(ids[i], ids[j]) for j in js[(s[js] == s[i]).mean(axis=1) >= LEAST_AGREEMENT]]
+    return _pairs(out)
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    columns = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return pa.table([pa.array(c) for c in columns], schema=_PAIRS)
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all of left with all of right, as blocks of a product of incidence matrices."""
+    flat, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = sum(map(len, left))
+    shared = np.intersect1d(codes[:cut], codes[cut:])
+    place = np.full(len(flat), -1, dtype=np.int64)
+    place[shared] = np.arange(len(shared))
+    sides = []
+    for sets, c in ((left, place[codes[:cut]]), (right, place[codes[cut:]])):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((row[c >= 0], c[c >= 0]))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, len(shared), width):
+        blocks = []
+        for n, (row, c) in zip((len(left), len(right)), sides, strict=True):
+            block = np.zeros((n, width), dtype=np.float32)
+            mine = (c >= at) & (c < at + width)
+            block[row[mine], c[mine] - at] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out.astype(np.int64)
+
+
+def _spanning(table: pa.Table) -> pa.Table:
+    """Links that join the components of a pair of blocks, found on full sets; one less than the components at most."""
+    ids, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+    sets = list(shingle_sets(table.column("text").to_pylist()))
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    sizes = np.array([len(s) for s in sets])
+    both = intersections([sets[i] for i in left], [sets[j] for j in right])
+    linked = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
+    linked &= comp[left][:, None] != comp[right][None, :]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, row in zip(left.tolist(), linked, strict=True):
+        for c, j in zip(*(x.tolist() for x in np.unique(comp[right[row]], return_index=True)), strict=True):
+            a, b = find(int(comp[i])), find(c)
+            if a != b:
+                root[a] = b
+                j = int(right[np.flatnonzero(row)[j]])
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return _pairs(out)
+
+
+def _open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
+    """bucket, pivot, n, rep, component of the members of buckets that hold several components."""
     labelled = members.where("n > 2").join(components, F.col("rep") == F.col("node"), "left")
     labelled = labelled.select("bucket", "pivot", "n", "rep", F.coalesce("component", "rep").alias("component"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    left = labelled.join(split, "bucket").join(reps.select("rep", "signature"), "rep")
+    return common.durable(labelled.join(split, "bucket"))
+
+
+def _links_across(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links between components of large buckets, each pair of blocks of members being one group."""
+    ids = left.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "n")
-    return left.groupBy("bucket", "lo", "hi").applyInArrow(_across(best_only), "a bigint, b bigint").distinct()
+    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "n", "pivot")
+    return left.join(texts, "rep").groupBy("bucket", "lo", "hi").applyInArrow(_spanning, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -194,16 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     also = classed.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(reps.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
     links = links.union(also)
     components = common.durable(connected_components(links))
-    for best_only in (True, False):
-        left = common.durable(_unresolved(members, components, reps, best_only))
-        if left.isEmpty():
-            break
-        more = verify(left.join(checked.select("a", "b"), ["a", "b"], "left_anti"), docs)
-        checked = checked.unionByName(more)
-        new = more.where("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.union(new)
-            components = common.durable(connected_components(links))
+    left = _open_buckets(members, components)
+    few = left.where(F.col("n") <= FEW).join(reps, "rep").groupBy("bucket").applyInArrow(_across, "a bigint, b bigint").distinct()
+    more = verify(few.join(checked.select("a", "b"), ["a", "b"], "left_anti"), docs).where("linked").select("a", "b")
+    more = common.durable(more.union(_links_across(left.where(F.col("n") > FEW), docs)))
+    if not more.isEmpty():
+        components = common.durable(connected_components(links.union(more)))
     found = classed.join(components, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
