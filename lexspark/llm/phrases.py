@@ -121,10 +121,10 @@ _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
 
 def _apply(digest: bool):
     def of(kind: repeats.Kind, table: pa.Table, marks: pa.Table) -> pa.Table:
-        _, _, texts, rows = repeats.texts_of(table)
+        ids, _, texts, rows = repeats.texts_of(table)
         split = [t.split() for t in texts]  # bytes split at the same characters as the word pattern
         bounds = np.cumsum([0, *map(len, split)])
-        gone = repeats.covered(table, marks, bounds, rows, kind.window)
+        gone = repeats.covered(marks, bounds, rows, kind.window)
         out = []
         for words, a, b in zip(split, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mine = gone[a:b]
@@ -133,7 +133,7 @@ def _apply(digest: bool):
             out.append((b - a, removed, hashlib.sha256(kept).digest() if digest else kept))
         kinds = (pa.int64(), pa.int64(), pa.binary())
         columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
-        return pa.table([table.column("doc_id").combine_chunks(), *columns], [x.split()[0] for x in _RESULT.split(", ")])
+        return pa.table([repeats.doc_ids(ids), *columns], [x.split()[0] for x in _RESULT.split(", ")])
 
     return of
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from . import common, tokens
 
 #: Bytes of text whose stretches one match task gets, and bytes of text in a bucket of documents.
 PART_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
-#: Stretches that a scan task packs at once.
-FLUSH = 1_500_000
+#: Stretches, and bytes of documents, that a task packs at once.
+FLUSH, PACKED_BYTES = 1_000_000, 24 << 20
 NO_ID = np.iinfo(np.int64).max
 MARK, ENTRY, REQUEST = 0, 1, 2
 _PLACE_BITS = 31
@@ -144,6 +145,11 @@ def unpack(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, dtype=k) for x, k in zip(out, empty, strict=True)]
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves; the high ones are nearly always 0 and compress to nothing."""
+    return x.astype(np.uint16), (x >> np.uint32(16)).astype(np.uint16)
+
+
 def bucket_of(ids: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     return np.mod(ids ^ keys, n)
 
@@ -185,11 +191,11 @@ def _scan(kind: Kind, n_parts: int, n_buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            ids, keys, starts, n, offset, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, keys, starts, n, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order, _, later = _first_of_class(ids, keys, starts, c1, c2, kind)
             on, done = np.sort(order[~later]), np.sort(order[later])
-            rows = list(messages(ENTRY, (c1[on] >> np.uint64(24)).astype(np.int64) % n_parts, ids[on], keys[on], starts[on], n[on], offset[on], c1[on], c2[on]))
+            rows = list(messages(ENTRY, (c1[on] >> np.uint64(24)).astype(np.int64) % n_parts, ids[on], keys[on], *halves(starts[on]), n[on], c1[on], c2[on]))
             rows += [(p % n_parts, k, np.int64(p).tobytes() + d) for p, k, d in messages(MARK, bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], starts[done], n[done])]
             yield batch_of(rows)
 
@@ -198,9 +204,9 @@ def _scan(kind: Kind, n_parts: int, n_buckets: int):
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
             for at, run in tokens.steps(batch.column("text").to_pylist()):
-                text, start, n, offset, anchor, content = stretches(stream(run, kind), kind)
+                text, start, n, _, anchor, content = stretches(stream(run, kind), kind)
                 c1 = (anchor >> np.uint64(24) << np.uint64(24)) | (content >> np.uint64(40))
-                row = (ids[at + text], keys[at + text], start.astype(np.uint32), n.astype(np.uint8), offset.astype(np.uint8), c1, content.astype(np.uint32))
+                row = (ids[at + text], keys[at + text], start.astype(np.uint32), n.astype(np.uint8), c1, content.astype(np.uint32))
                 if len(text):
                     held.append(row)
                     waiting += len(text)
@@ -222,13 +228,14 @@ def _match(kind: Kind, n_buckets: int):
     def of(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         rows = [(int(np.frombuffer(d, np.int64, 1)[0]), MARK, d[8:]) for k, d in zip(kinds, data, strict=True) if k == MARK]
-        ids, keys, starts, n, offset, c1, c2 = unpack([d for k, d in zip(kinds, data, strict=True) if k == ENTRY], np.uint32, np.uint8, np.uint8, np.uint64, np.uint32)
+        ids, keys, low, high, n, c1, c2 = unpack([d for k, d in zip(kinds, data, strict=True) if k == ENTRY], np.uint16, np.uint16, np.uint8, np.uint64, np.uint32)
+        starts = low | high.astype(np.uint32) << np.uint32(16)
         del data
         anchor = c1 >> np.uint64(24)
         by = np.argsort(anchor, kind="stable")
         same = anchor[by][1:] == anchor[by][:-1]
         often = by[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(by) else by
-        ids, keys, starts, n, offset, c1, c2 = (x[often] for x in (ids, keys, starts, n, offset, c1, c2))
+        ids, keys, starts, n, c1, c2 = (x[often] for x in (ids, keys, starts, n, c1, c2))
         order, number, later = _first_of_class(ids, keys, starts, c1, c2, kind)
         done = order[later]
         rows += messages(MARK, bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], starts[done], n[done])
@@ -248,18 +255,61 @@ def _match(kind: Kind, n_buckets: int):
     return of
 
 
+def _pack_documents(n_buckets: int):
+    """Documents by bucket, compressed together: a third less to shuffle than row by row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = []
+            for bucket, rows in held.items():
+                ids, keys = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+                sizes = np.array([len(r[2]) for r in rows], np.int64)
+                head = np.array([len(rows)], np.int64).tobytes() + ids.tobytes() + keys.tobytes() + sizes.tobytes()
+                out.append((bucket, zstandard.ZstdCompressor(level=3).compress(head + b"".join(r[2] for r in rows))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["part", "packed"])
+
+        waiting = 0
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            keys = batch.column("__key").to_numpy(zero_copy_only=False)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for i, k, b, t in zip(ids.tolist(), keys.tolist(), bucket_of(ids, keys, n_buckets).tolist(), texts, strict=True):
+                held.setdefault(b, []).append((i, k, t or b""))
+                waiting += len(t or b"")
+                if waiting >= PACKED_BYTES:
+                    yield flush()
+                    waiting = 0
+        yield flush()
+
+    return of
+
+
 def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], dict[tuple[int, int], list[int]]]:
-    """ids, keys, texts as bytes, and the rows of each (id, key)."""
-    ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
-    keys = table.column("__key").to_numpy()
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+    """ids, keys, texts as bytes, and the rows of each (id, key) of packed documents."""
+    all_ids, all_keys, texts = [], [], []
+    for packed in table.column("packed").to_pylist():
+        data = zstandard.ZstdDecompressor().decompress(packed)
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        ids, keys, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+        all_ids.append(ids)
+        all_keys.append(keys)
+        ends = 8 + 24 * n + np.cumsum(sizes)
+        texts += [data[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    ids, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (all_ids, all_keys))
     rows: dict[tuple[int, int], list[int]] = {}
     for i, pair in enumerate(zip(ids.tolist(), keys.tolist(), strict=True)):
         rows.setdefault(pair, []).append(i)
     return ids, keys, texts, rows
 
 
-def covered(table: pa.Table, marks: pa.Table, bounds: np.ndarray, rows: dict, window: int) -> np.ndarray:
+def doc_ids(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, mask=ids == NO_ID)
+
+
+def covered(marks: pa.Table, bounds: np.ndarray, rows: dict, window: int) -> np.ndarray:
     """Which symbols of the bucket's texts a marked window covers."""
     ids, keys, starts, n = unpack(marks.column("data").to_pylist(), np.uint32, np.uint8)
     edges = np.zeros(bounds[-1] + 1, dtype=np.int64)
@@ -273,9 +323,6 @@ def covered(table: pa.Table, marks: pa.Table, bounds: np.ndarray, rows: dict, wi
     return np.cumsum(edges[:-1]) > 0
 
 
-Fetch = Callable[[list[bytes], dict, pa.Table], pa.Table]
-
-
 def removals(docs: DataFrame, kind: Kind, fetch: Callable, compare: Callable[[DataFrame, int], DataFrame], fetched: str, apply: Callable, result: str) -> DataFrame:
     """apply's rows for every row of docs.
 
@@ -287,8 +334,7 @@ def removals(docs: DataFrame, kind: Kind, fetch: Callable, compare: Callable[[Da
     keyed = docs.select("doc_id", "text", common.text_key().alias("__key"))
     scanned = keyed.mapInArrow(_scan(kind, n_parts, n_buckets), MESSAGE)
     matched = common.durable(scanned.groupBy("part").applyInArrow(_match(kind, n_buckets), MESSAGE))
-    place = F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))).bitwiseXOR(F.col("__key")), F.lit(n_buckets)).cast("int")
-    bucketed = keyed.withColumn("part", place)
+    bucketed = keyed.mapInArrow(_pack_documents(n_buckets), "part int, packed binary")
     requests = matched.where(F.col("kind") == REQUEST)
 
     def fetch_bucket(table: pa.Table, wanted: pa.Table) -> pa.Table:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, induced, repeats
 
 FETCHED = "part int, head binary, body binary"
+#: Bytes of documents for each shard; about a fifth of that is sorted there.
+SHARD_BYTES = 8 << 20
 
 
 def _fetch(n_shards: int):
@@ -111,9 +113,9 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 def _apply(digest: bool):
     def of(kind: repeats.Kind, table: pa.Table, marks: pa.Table) -> pa.Table:
-        _, _, texts, rows = repeats.texts_of(table)
+        ids, _, texts, rows = repeats.texts_of(table)
         bounds = np.cumsum([0, *map(len, texts)])
-        gone = repeats.covered(table, marks, bounds, rows, kind.window)
+        gone = repeats.covered(marks, bounds, rows, kind.window)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         out = []
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -124,7 +126,7 @@ def _apply(digest: bool):
             out.append((b - a, removed, spans, hashlib.sha256(kept).digest() if digest else kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
-        return pa.table([table.column("doc_id").combine_chunks(), *columns], [x.split()[0] for x in _RESULT.split(", ")])
+        return pa.table([repeats.doc_ids(ids), *columns], [x.split()[0] for x in _RESULT.split(", ")])
 
     return of
 
@@ -132,7 +134,7 @@ def _apply(digest: bool):
 def remove_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the bytes left of each text, or with digest their SHA-256."""
     kind = repeats.BYTES
-    n_shards = max(1, -(-common.total_bytes(docs) // repeats.PART_BYTES))
+    n_shards = max(1, -(-common.total_bytes(docs) // SHARD_BYTES))
 
     def compare(contents: DataFrame, n_buckets: int) -> DataFrame:
         return contents.groupBy("part").applyInArrow(_sort_shard(kind, n_buckets), repeats.MESSAGE)
