@@ -57,7 +57,7 @@ def clashes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """
     shared = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     members = digests.join(shared, "digest", "left_semi")
-    ids = members.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "digest").distinct()
+    ids = common.small(members.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "digest").distinct())
     texts = docs.select("doc_id", "text", common.text_key().alias("__key"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["__id"]) & (texts["__key"] == ids["__k"]))
     forms = texts.select("doc_id", "__key", "digest", canonical_of("text").alias("form"))
