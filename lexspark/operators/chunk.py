@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
+from .spread import spread
 
 CHARS = 4
 CHUNKS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -125,7 +126,7 @@ def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "
     """
     config, segments = {"opinion": (OPINION, segment.opinion_segments), "order": (ORDER, segment.order_segments)}[kind]
     others = [c for c in docs.columns if c != text]
-    kept = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(*others, segments(F.col(text), parity).alias("__segments"))
+    kept = spread(docs).where(F.coalesce(F.col(text), F.lit("")) != "").select(*others, segments(F.col(text), parity).alias("__segments"))
     fields = [f for f in kept.schema.fields if f.name != "__segments"]
     schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), *(T.StructField(f"__{f.name}", f.dataType) for f in CHUNKS.elementType.fields)])
     rows = kept.mapInArrow(_windows_of(config, not parity, others), schema)

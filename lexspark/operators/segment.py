@@ -7,6 +7,8 @@ by default that text is kept and the patterns are bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def _filled(segments: Column) -> Column:
     return F.filter(segments, lambda s: F.length(s["text"]) > 0)
 
 
+def _with(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _rest(pieces: Column) -> Column:
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
 def _split(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, f"({pattern})", MARK + "$1"), MARK)
 
@@ -55,22 +66,27 @@ def opinion_sections(text: Column, parity: bool = False) -> Column:
         marked = F.regexp_replace(marked, rf"(?idU)\A((?s:.*?))({pattern})", "$1" + MARK + code + "$2")
     for code, pattern in (("C", CONCURRING), ("D", DISSENTING), ("X", MIXED)):
         marked = F.regexp_replace(marked, rf"(?idU)({pattern.format(gap=gap)})", MARK + code + "$1")
-    pieces = F.split(marked, MARK)
     labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _segment(F.element_at(labels, F.substring(p, 1, 1)), trim_space(F.substring(p, 2, 2_000_000_000))))
-    lead = F.array(_segment(F.lit("Preamble"), trim_space(pieces[0])))
-    found = found if parity else _filled(F.concat(lead, found))
-    return F.when(F.size(pieces) == 1, F.array(_segment(F.lit("Opinion"), trim_space(pieces[0])))).otherwise(found)
+
+    def of(pieces: Column) -> Column:
+        found = F.transform(_rest(pieces), lambda p: _segment(F.element_at(labels, F.substring(p, 1, 1)), trim_space(F.substring(p, 2, 2_000_000_000))))
+        lead = F.array(_segment(F.lit("Preamble"), trim_space(pieces[0])))
+        return F.when(F.size(pieces) == 1, F.array(_segment(F.lit("Opinion"), trim_space(pieces[0])))).otherwise(found if parity else _filled(F.concat(lead, found)))
+
+    return _with(F.split(marked, MARK), of)
 
 
 def _parts(section: Column, parity: bool) -> Column:
     """A section's parts by inline Roman or letter markers, if there are two or more."""
     pattern = PART if parity else r"(?<=[.?!:;”\"])" + PART
-    pieces = _split(section["text"], f"(?dU){pattern}" if parity else f"(?dU:{pattern})")
     marker = lambda p: F.regexp_extract(p, r"(?U)^\s+([IVX]+|[A-Z])\s", 1)
-    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _segment(F.concat(section["label"], F.lit(" - Part "), marker(p)), trim_space(p)))
-    lead = F.array(_segment(section["label"], trim_space(pieces[0])))
-    return F.when(F.size(pieces) > 2, parts if parity else _filled(F.concat(lead, parts))).otherwise(F.array(section))
+
+    def of(pieces: Column) -> Column:
+        parts = F.transform(_rest(pieces), lambda p: _segment(F.concat(section["label"], F.lit(" - Part "), marker(p)), trim_space(p)))
+        lead = F.array(_segment(section["label"], trim_space(pieces[0])))
+        return F.when(F.size(pieces) > 2, parts if parity else _filled(F.concat(lead, parts))).otherwise(F.array(section))
+
+    return _with(_split(section["text"], f"(?dU:{pattern})"), of)
 
 
 def opinion_segments(text: Column, parity: bool = False) -> Column:
@@ -81,39 +97,47 @@ def opinion_segments(text: Column, parity: bool = False) -> Column:
 def syllabus_text(text: Column) -> Column:
     """The syllabus without its first line, or, where it has one line, without its heading word; null if none."""
     found = F.filter(opinion_sections(text), lambda s: s["label"] == "Syllabus")
-    body = F.when(F.size(found) > 0, F.element_at(found, 1)["text"])
-    rest = F.when(body.contains("\n"), F.regexp_replace(body, r"\A[^\n]*\n?", "")).otherwise(F.regexp_replace(body, r"(?i)\ASyllabus", ""))
-    return F.nullif(trim_space(rest), F.lit(""))
+
+    def of(body: Column) -> Column:
+        rest = F.when(body.contains("\n"), F.regexp_replace(body, r"\A[^\n]*\n?", "")).otherwise(F.regexp_replace(body, r"(?i)\ASyllabus", ""))
+        return F.nullif(trim_space(rest), F.lit(""))
+
+    return _with(F.try_element_at(found, F.lit(1))["text"], of)
 
 
 def order_sections(text: Column) -> Column:
     """Preamble and numbered sections; the whole text as `Executive Order` if there are none."""
     clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
-    pieces = _split(clean, f"(?imdU:{SECTION})")
-    body = lambda p: trim_space(p)
-    title = lambda p: trim_space(F.regexp_extract(body(p), SECTION_TITLE, 1))
+    title = lambda p: F.nullif(trim_space(F.regexp_extract(p, SECTION_TITLE, 1)), F.lit(""))
     number = lambda p: F.concat(F.lit("Sec. "), F.regexp_extract(p, SECTION_NUMBER, 1))
-    label = lambda p: F.when(title(p) != "", F.concat(number(p), F.lit(" - "), title(p))).otherwise(number(p))
-    sections = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _segment(label(p), body(p)))
-    lead = _filled(F.array(_segment(F.lit("Preamble"), body(pieces[0]))))
-    return F.when(F.size(pieces) == 1, F.array(_segment(F.lit("Executive Order"), body(pieces[0])))).otherwise(F.concat(lead, sections))
+
+    def of(pieces: Column) -> Column:
+        sections = F.transform(_rest(pieces), lambda p: _segment(F.concat_ws(" - ", number(p), title(p)), p))
+        lead = _filled(F.array(_segment(F.lit("Preamble"), pieces[0])))
+        return F.when(F.size(pieces) == 1, F.array(_segment(F.lit("Executive Order"), pieces[0]))).otherwise(F.concat(lead, sections))
+
+    return _with(F.transform(_split(clean, f"(?imdU:{SECTION})"), trim_space), of)
 
 
 def _lettered(section: Column, parity: bool) -> Column:
     """A section's lettered subsections, if there are two or more, and their Roman paragraphs."""
-    pieces = _split(section["text"], f"(?mdU:{LETTER.replace('([a-z])', '[a-z]')})")
     label = lambda p: F.concat(section["label"], F.lit("("), F.regexp_extract(p, r"\(([a-z])\)", 1), F.lit(")"))
-    subsections = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _segment(label(p), trim_space(p)))
-    split = F.flatten(F.transform(subsections, lambda s: _paragraphs(s, parity)))
-    lead = _filled(F.array(_segment(section["label"], trim_space(pieces[0]))))
-    return F.when((F.size(pieces) > 2) & (section["label"] != "Preamble"), split if parity else F.concat(lead, split)).otherwise(F.array(section))
+
+    def of(pieces: Column) -> Column:
+        subsections = F.transform(_rest(pieces), lambda p: _segment(label(p), p))
+        split = F.flatten(F.transform(subsections, lambda s: _paragraphs(s, parity)))
+        lead = _filled(F.array(_segment(section["label"], pieces[0])))
+        return F.when((F.size(pieces) > 2) & (section["label"] != "Preamble"), split if parity else F.concat(lead, split)).otherwise(F.array(section))
+
+    return _with(F.transform(_split(section["text"], f"(?mdU:{LETTER.replace('([a-z])', '[a-z]')})"), trim_space), of)
 
 
 def _paragraphs(subsection: Column, parity: bool) -> Column:
-    pieces = _split(subsection["text"], f"(?mdU:{ROMAN})")
-    kept = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))) if parity else pieces
-    parts = F.transform(kept, lambda p: _segment(subsection["label"], trim_space(p)))
-    return F.when(F.size(pieces) > 2, parts if parity else _filled(parts)).otherwise(F.array(subsection))
+    def of(pieces: Column) -> Column:
+        parts = F.transform(_rest(pieces) if parity else pieces, lambda p: _segment(subsection["label"], p))
+        return F.when(F.size(pieces) > 2, parts if parity else _filled(parts)).otherwise(F.array(subsection))
+
+    return _with(F.transform(_split(subsection["text"], f"(?mdU:{ROMAN})"), trim_space), of)
 
 
 def order_segments(text: Column, parity: bool = False) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, dates, scalars, textclean
 from ..operators import chunk, embed, filters, normalize, progress, render, reports, search, segment, store
+from ..operators.spread import spread
 from ..sources import records
 from .corpora import CORPUS_SQL, LOG_SQL, corpus, progress_log
 
@@ -401,7 +402,7 @@ def i1_strip_tags(spark, d):
 
 @query()
 def i1_strip_html(spark, d):
-    return table(spark, d, "pages").select("page_id", textclean.strip_html(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", textclean.strip_html(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 200) || ' <b> & ' ELSE '<html><pre> x' END) AS text FROM documents")
