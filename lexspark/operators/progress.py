@@ -63,7 +63,7 @@ def statistics(progress: DataFrame) -> DataFrame:
 def close_run(runs: DataFrame, progress: DataFrame) -> DataFrame:
     """Runs with the counts of their document type."""
     found = statistics(progress).select("document_type", F.col("total").alias("total_documents"), F.col(COMPLETED).alias("completed_documents"), F.col(FAILED).alias("failed_documents"))
-    return runs.join(F.broadcast(found.limit(1000)), "document_type", "left").na.fill(0, ["total_documents", "completed_documents", "failed_documents"])
+    return runs.join(found, "document_type", "left").na.fill(0, ["total_documents", "completed_documents", "failed_documents"])
 
 
 def throughput(progress: DataFrame, elapsed_seconds: float, total: int | None = None) -> DataFrame:
