@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tokenizers import quarter
 from . import segment
 from .spread import spread
 
 CHARS = 4
+#: Characters that a token has at most on average, in a rest that may be too short to stand alone.
+LONG_TOKEN = 40
 CHUNKS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _LEAD, _TAIL, _BLANK = re.compile(r"\A\s+"), re.compile(r"\s+\Z"), re.compile(r"\n\s*\n+")
 
@@ -49,7 +52,7 @@ def normalized(text: str) -> str:
     return _BLANK.sub("\n\n", text.strip())
 
 
-def windows(text: str, config: ChunkConfig, gap_free: bool = True, count: Callable[[str], int] = lambda t: len(t) // CHARS) -> Iterator[tuple[str, int, int, int]]:
+def windows(text: str, config: ChunkConfig, gap_free: bool = True, count: Callable[[str], int] = quarter) -> Iterator[tuple[str, int, int, int]]:
     """(text, tokens, start, end) of the chunks of one segment; offsets are in the normalized segment.
 
     gap_free: the next window starts one overlap before the end of the last, so no character is lost, and a
@@ -69,8 +72,9 @@ def windows(text: str, config: ChunkConfig, gap_free: bool = True, count: Callab
         if end < len(text):
             cut = max(text.rfind(mark, start, end) for mark in (". ", "? ", "! ")) - start
             end = start + cut + 2 if cut > (end - start) * 0.8 else end
-        rest = text[end : end + config.min_tokens * CHARS * 8].strip() if count is windows.__defaults__[1] else text[end:].strip()
-        if rest and 0 < count(rest) < config.min_tokens and any_yet and not text[end + config.min_tokens * CHARS * 8 :].strip():
+        # A rest of many times the least length is not counted: the next windows would count it again and again.
+        rest = text[end:].strip() if len(text) - end <= config.min_tokens * LONG_TOKEN else ""
+        if rest and 0 < count(rest) < config.min_tokens and any_yet:
             tail = text[start:].strip()
             merged = count(tail) <= config.max_tokens * 1.2
             if merged or not gap_free:
@@ -88,17 +92,17 @@ def windows(text: str, config: ChunkConfig, gap_free: bool = True, count: Callab
             start = end
 
 
-def chunk_column(segments: Column, config: ChunkConfig, gap_free: bool = True) -> Column:
+def chunk_column(segments: Column, config: ChunkConfig, gap_free: bool = True, count: Callable[[str], int] = quarter) -> Column:
     """array<struct<label, text, tokens, start, end>> of an array of segments; an Arrow helper, as each start depends on the last end."""
 
     @F.pandas_udf(CHUNKS)
     def of(column: pd.Series) -> pd.Series:
-        return column.map(lambda segs: [{"label": s["label"], "text": t, "tokens": n, "start": a, "end": b} for s in segs for t, n, a, b in windows(s["text"] or "", config, gap_free)])
+        return column.map(lambda segs: [{"label": s["label"], "text": t, "tokens": n, "start": a, "end": b} for s in segs for t, n, a, b in windows(s["text"] or "", config, gap_free, count)])
 
     return of(segments)
 
 
-def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str]):
+def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str], count: Callable[[str], int]):
     """A row for each chunk: the document's other columns, its index, and the chunk."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str]):
         for batch in batches:
             rows, index, found = [], [], []
             for i, segments in enumerate(batch.column("__segments").to_pylist()):
-                chunks = [(s["label"], t, n, a, b) for s in segments for t, n, a, b in windows(s["text"] or "", config, gap_free)]
+                chunks = [(s["label"], t, n, a, b) for s in segments for t, n, a, b in windows(s["text"] or "", config, gap_free, count)]
                 rows += [i] * len(chunks)
                 index += range(len(chunks))
                 found += chunks
@@ -118,10 +122,10 @@ def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str]):
     return of
 
 
-def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "document_id", parity: bool = False) -> DataFrame:
+def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "document_id", parity: bool = False, count: Callable[[str], int] = quarter) -> DataFrame:
     """docs' other columns with chunk_id, chunk_index, section_label, text, token_count, start_char, end_char.
 
-    kind: "opinion" or "order". Documents without text give no rows. Chunks are numbered where
+    kind: "opinion" or "order"; count: the token counter. Documents without text give no rows. Chunks are numbered where
     they are made, so their index needs no window.
     """
     config, segments = {"opinion": (OPINION, segment.opinion_segments), "order": (ORDER, segment.order_segments)}[kind]
@@ -129,7 +133,7 @@ def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "
     kept = spread(docs).where(F.coalesce(F.col(text), F.lit("")) != "").select(*others, segments(F.col(text), parity).alias("__segments"))
     fields = [f for f in kept.schema.fields if f.name != "__segments"]
     schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), *(T.StructField(f"__{f.name}", f.dataType) for f in CHUNKS.elementType.fields)])
-    rows = kept.mapInArrow(_windows_of(config, not parity, others), schema)
+    rows = kept.mapInArrow(_windows_of(config, not parity, others, count), schema)
     return rows.select(
         *others, F.concat_ws("_chunk_", F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index",
         F.col("__label").alias("section_label"), F.col("__text").alias("text"), F.col("__tokens").alias("token_count"),

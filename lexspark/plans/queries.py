@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -198,6 +199,12 @@ def c10_c11_validity(spark, d):
     return e.select("vec_id", normalize.valid_payload(F.col("vec_id").cast("string"), F.col("text"), F.col("embedding"), 64).alias("valid"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'no content' END AS error_message FROM documents")
+def c12_without_content(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    return docs.select("doc_id", F.when(F.coalesce("text", F.lit("")) == "", "no content").alias("error_message"))
+
+
 # --- joins
 
 
@@ -615,6 +622,18 @@ def k2_embed_chunks(spark, d):
     return embed.embed(chunks, "text", 64).select("point_id", "chunk_id", "embedding", "embed_failed")
 
 
+@query()
+def l1_stream_ingest(spark, d):
+    """The derived orders as a file stream: chunks of the collection that the stream leaves behind."""
+    from ..streaming.ingest import ingest_stream
+
+    run = uuid.uuid4().hex
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{run}"
+    corpus(spark, d).select("document_id", F.col("order_text").alias("text")).write.parquet(f"{folder}/in")
+    ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}").awaitTermination()
+    return spark.table(f"points_{run}").select("point_id", "document_id", "chunk_index", "section_label", "token_count")
+
+
 @query()
 def w1_w3_ingest_and_search(spark, d):
     """Orders to chunks to vectors; questions (benchmark texts) to filtered, ranked, rendered results."""

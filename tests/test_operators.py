@@ -1,11 +1,13 @@
 """Segments, chunks, search, collections, progress, streaming."""
 
+import os
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.functions import tokenizers
 from lexspark.operators import chunk, embed, filters, normalize, progress, render, search, segment, store
 from lexspark.sources import records
 from lexspark.streaming import ingest
@@ -93,6 +95,16 @@ def test_windows():
             assert all(b - a <= config.overlap_tokens * 4 or a == c for (_, _, c, b), (_, _, a, _) in zip(found, found[1:], strict=False))
 
 
+def test_token_counter_file():
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files here")
+    count = tokenizers.FileCounter(path)
+    text = "The quick brown fox. " * 400
+    found = list(chunk.windows(text, chunk.ORDER, count=count))
+    assert len(found) > 1 and [n for t, n, *_ in found][0] == count(text[found[0][2] : found[0][3]])
+
+
 @pytest.mark.parametrize("bad", [(0, 1, 1, 0.1), (5, 4, 3, 0.1), (1, 2, 3, 1.0), (1, 2, 3, -0.1)])
 def test_chunk_config(bad):
     with pytest.raises(ValueError):
