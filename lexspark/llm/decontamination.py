@@ -36,11 +36,10 @@ def _hashes(words: str) -> Column:
 
 
 def _windows(df: DataFrame, m: int, *keep: str) -> DataFrame:
-    """A row for each window of m words of the array `hashes`: keep, at, w0.., key."""
-    shifted = F.arrays_zip(*(F.slice("hashes", k + 1, F.greatest(F.size("hashes") - m + 1, F.lit(0))).alias(f"w{k}") for k in range(m)))
-    rows = df.where(F.size("hashes") >= m).select(*keep, F.posexplode(shifted).alias("at", "w"))
-    parts = [F.col(f"w.w{k}") for k in range(m)]
-    return rows.select(*keep, "at", F.xxhash64(*parts).alias("key"), *(p.alias(f"w{k}") for k, p in enumerate(parts)))
+    """A row for each window of m words of the array `hashes`: keep, at, the struct w of its hashes, and its key."""
+    shifted = F.arrays_zip(*(F.slice("hashes", k + 1, 2_000_000_000).alias(f"w{k}") for k in range(m)))
+    rows = df.withColumn("last", F.size("hashes") - m).where("last >= 0").select(*keep, "last", F.posexplode(shifted).alias("at", "w"))
+    return rows.where("at <= last").select(*keep, "at", "w", F.xxhash64("w").alias("key"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -56,10 +55,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     found = []
     for m in sorted(r["m"] for r in items.select("m").distinct().collect()):  # at most as many as a window has words
         wanted = _windows(items.where(F.col("m") == m), m, "item_id").drop("at").distinct()
-        wanted = common.small(wanted.withColumnsRenamed({"key": "bkey"} | {f"w{k}": f"b{k}" for k in range(m)}))
+        wanted = common.small(common.durable(wanted.withColumnsRenamed({"key": "wanted_key", "w": "wanted"})))
         scanned = _windows(hashed, m, "doc_id", "__key")
-        verified = reduce(lambda a, b: a & b, (F.col(f"w{k}") == F.col(f"b{k}") for k in range(m)))
-        found.append(scanned.join(wanted, (F.col("key") == F.col("bkey")) & verified).select("doc_id", "__key", "at", F.lit(m).alias("m"), "item_id"))
+        found.append(scanned.join(wanted, (F.col("key") == F.col("wanted_key")) & (F.col("w") == F.col("wanted"))).select("doc_id", "__key", "at", F.lit(m).alias("m"), "item_id"))
     if not found:
         return hashed.select("doc_id", "__key", F.lit(0).alias("at"), F.lit(0).alias("m"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
     return reduce(DataFrame.unionByName, found)
