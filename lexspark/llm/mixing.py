@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
-#: Ranges of the shuffled order (hex digits of the hash) and bins of a unit of virtual time.
-PREFIX, BINS = 3, 16_384
+#: Ranges of the shuffled order (hex digits of the hash), bins of a unit of virtual time, and the time from which bins widen.
+PREFIX, BINS, LINEAR = 3, 8_192, 8
 
 
 def words(text: str = "text") -> Column:
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = rows.join(targets, common.same(rows, targets, "source")).select(rows["*"], "source_size", "target")
     copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     finish = F.when(F.col("target") > 0, (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
-    # No prefix that fits reaches beyond time 2, as every source's target is met at 1: later copies share a bin.
-    copies = copies.withColumn("finish", finish).withColumn("bin", F.least(F.floor(F.col("finish") * BINS), F.lit(2 * BINS)))
+    time = F.col("finish")
+    even, widening = F.floor(time * BINS), F.floor(F.log2(F.greatest(time, F.lit(LINEAR)) / LINEAR) * 1024) + LINEAR * BINS
+    copies = copies.withColumn("finish", finish).withColumn("bin", F.when(time < LINEAR, even).otherwise(widening))
     bins = copies.groupBy("bin").agg(F.sum("size").alias("n"))
     bins = bins.select(F.col("bin").alias("b"), F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     budget = share * (base.agg(F.sum("size")).first()[0] or 0)
