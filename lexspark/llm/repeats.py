@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: Bytes of text whose stretches one match task gets, and bytes of text in a bucket of documents.
-PART_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
+PART_BYTES, BUCKET_BYTES = 14 << 20, 8 << 20
 #: Stretches, and bytes of documents, that a task packs at once.
-FLUSH, PACKED_BYTES = 1_000_000, 24 << 20
+FLUSH, PACKED_BYTES = 500_000, 12 << 20
 NO_ID = np.iinfo(np.int64).max
 MARK, ENTRY, REQUEST = 0, 1, 2
 _PLACE_BITS = 31
