@@ -92,6 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """docs without its contaminated rows; the columns of docs."""
     bad = contamination(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"))
+    bad = common.small(common.durable(bad.distinct()))
     keyed = docs.withColumn("__key", common.text_key())
     return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__key"] == bad["__k"]), "left_anti").select(*docs.columns)
 

@@ -130,7 +130,7 @@ def _verified(left: pd.Series, right: pd.Series) -> pd.Series:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids, with linked: whether their full shingle sets are similar."""
     pairs = common.durable(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = common.small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = common.durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -217,7 +217,7 @@ def _open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
 
 def _links_across(left: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between components of large buckets, each pair of blocks of members being one group."""
-    ids = left.select(F.col("rep").alias("doc_id")).distinct()
+    ids = common.small(left.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents that are not the first of their component; the columns of docs."""
-    copies = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = common.durable(near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(common.small(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
