@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-N_SHARDS, SEED, BUCKET_BYTES = 16, 20_240_501, 24 << 20
+N_SHARDS, SEED, BUCKET_BYTES = 16, 20_240_501, 12 << 20
 
 
 def shard_records(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
