@@ -13,6 +13,31 @@ _COURT = """CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Syllabus Held: ' || replace(s
 || CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Justice Alpha delivered the opinion of the Court. ' || replace(substr(text, 301, 900), chr(10), ' ') || ' ' END
 || CASE WHEN doc_id % 3 = 0 THEN 'Justice Beta, concurring. ' || replace(substr(text, 1201, 400), chr(10), ' ') || ' ' ELSE '' END
 || CASE WHEN doc_id % 2 = 0 THEN 'Justice Gamma, dissenting. ' || replace(substr(text, 1601, 400), chr(10), ' ') ELSE '' END"""
+
+
+def _share(k: str, n: str) -> str:
+    """Part k of n about equal ones of the text; together they are the whole of it."""
+    at = lambda i: f"(char_length(text) * ({i}) div ({n}))"
+    return f"substr(text, cast({at(k)} as int) + 1, cast({at(f'{k} + 1')} - {at(k)} as int))"
+
+
+def _whole_order() -> str:
+    """_ORDER with the whole text in its three places."""
+    text = _ORDER.format(S="string")
+    for k, first in enumerate((1, 1501, 3001)):
+        text = text.replace(f"substr(text, {first}, 1500)", _share(str(k), "3"))
+    return text
+
+
+def _whole_court() -> str:
+    """_COURT with the whole text dealt to the parts that a document has; without any part, the bare text."""
+    has = [f"cast({c} as int)" for c in ("doc_id % 5 <> 0", "doc_id % 7 <> 0", "doc_id % 3 = 0", "doc_id % 2 = 0")]
+    text = _COURT
+    for k, old in enumerate(("1, 300", "301, 900", "1201, 400", "1601, 400")):
+        text = text.replace(f"substr(text, {old})", _share(" + ".join(["0", *has[:k]]), " + ".join(has)))
+    return f"CASE WHEN {' + '.join(has)} = 0 THEN text ELSE {text} END"
+
+
 _PRESIDENT = "CASE doc_id % 3 WHEN 0 THEN 'Ada Alpha' WHEN 1 THEN 'Ben Beta' ELSE 'Cy Gamma' END"
 _JUSTICE = "CASE doc_id % 9 WHEN 0 THEN 'Roberts' WHEN 1 THEN 'Thomas' WHEN 2 THEN 'Alito' WHEN 3 THEN 'Kagan' ELSE 'Barrett' END"
 _TYPE = "CASE doc_id % 6 WHEN 0 THEN '020lead' WHEN 1 THEN '030concurrence' WHEN 2 THEN '040dissent' WHEN 3 THEN '010combined' WHEN 4 THEN '060other' END"
@@ -44,12 +69,16 @@ def _columns(spark: bool) -> dict[str, str]:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with an order text, a court text and legal metadata."""
+    """documents with an order text, a court text and legal metadata.
+
+    order_whole and court_whole hold the whole text; order_text and court_text a prefix of it, for the queries whose SQL reads them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(*(F.expr(e).alias(n) for n, e in _columns(True).items()))
+    columns = _columns(True) | {"order_whole": _whole_order(), "court_whole": _whole_court()}
+    return docs.select(*(F.expr(e).alias(n) for n, e in columns.items()))
 
 
-#: The same as a common table expression `c`.
+#: The same as a common table expression `c`, without the whole texts.
 CORPUS_SQL = "c AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _columns(False).items()) + " FROM documents)"
 
 

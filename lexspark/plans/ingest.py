@@ -13,8 +13,8 @@ from .corpora import corpus
 
 #: kind to the column of documents that holds its text, its collection, and the metadata its chunks carry.
 KINDS = {
-    "order": ("order_text", "executive_orders", ("president", "agencies", "topics", "signing_date", "order_number")),
-    "opinion": ("court_text", "supreme_court_opinions", ("justice", "case_name", "opinion_code")),
+    "order": ("order_whole", "executive_orders", ("president", "agencies", "topics", "signing_date", "order_number")),
+    "opinion": ("court_whole", "supreme_court_opinions", ("justice", "case_name", "opinion_code")),
 }
 
 

@@ -475,7 +475,7 @@ _LISTS = """SELECT doc_id, [cast(doc_id % 50 + 1 as varchar) || ' U.S.C. § ' ||
 
 @query(C + _LISTS)
 def i14_h3_citation_lists(spark, d):
-    lists = citations.citation_lists(F.col("order_text"))
+    lists = citations.citation_lists(F.col("order_whole"))
     return corpus(spark, d).select("doc_id", *(lists[c].alias(c) for c in ("federal_statutes_cited", "federal_regulations_cited")))
 
 
@@ -563,12 +563,12 @@ def i25_detect_type(spark, d):
 @query(C + """SELECT doc_id, list_filter([CASE WHEN doc_id % 5 <> 0 THEN 'Syllabus' END, CASE WHEN doc_id % 7 <> 0 THEN 'Majority Opinion' END, CASE WHEN doc_id % 3 = 0 THEN 'Concurring Opinion' END, CASE WHEN doc_id % 2 = 0 THEN 'Dissenting Opinion' END], lambda x: x IS NOT NULL) AS labels
 FROM c WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 UNION ALL SELECT doc_id, ['Opinion'] FROM c WHERE NOT (doc_id % 5 <> 0 OR doc_id % 7 <> 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0)""")
 def j1_j7_opinion_sections(spark, d):
-    return corpus(spark, d).select("doc_id", segment.opinion_sections(F.col("court_text"))["label"].alias("labels"))
+    return corpus(spark, d).select("doc_id", segment.opinion_sections(F.col("court_whole"))["label"].alias("labels"))
 
 
 @query()
 def j2_opinion_parts(spark, d):
-    text = F.expr("'Justice Alpha delivered the opinion of the Court. Lead. I Under the law ' || substr(text, 1, 200) || '. II We hold ' || substr(text, 201, 200)")
+    text = F.expr("'Justice Alpha delivered the opinion of the Court. Lead. I Under the law ' || substr(text, 1, cast(char_length(text) div 2 as int)) || '. II We hold ' || substr(text, cast(char_length(text) div 2 as int) + 1)")
     return corpus(spark, d).select("doc_id", F.explode(segment.opinion_segments(text)).alias("s")).select("doc_id", "s.label", "s.text")
 
 
@@ -579,12 +579,12 @@ def j3_syllabus(spark, d):
 
 @query(C + "SELECT doc_id, ['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 3 - General'] AS labels FROM c")
 def j4_order_sections(spark, d):
-    return corpus(spark, d).select("doc_id", segment.order_sections(F.col("order_text"))["label"].alias("labels"))
+    return corpus(spark, d).select("doc_id", segment.order_sections(F.col("order_whole"))["label"].alias("labels"))
 
 
 @query(C + "SELECT doc_id, label, count(*) AS n FROM (SELECT doc_id, unnest(['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 2 - Policy(a)', 'Sec. 2 - Policy(b)', 'Sec. 3 - General']) AS label FROM c) GROUP BY ALL")
 def j5_order_segments(spark, d):
-    s = corpus(spark, d).select("doc_id", F.explode(segment.order_segments(F.col("order_text"))["label"]).alias("label"))
+    s = corpus(spark, d).select("doc_id", F.explode(segment.order_segments(F.col("order_whole"))["label"]).alias("label"))
     return s.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
@@ -598,12 +598,12 @@ def j8_chunk_windows(spark, d):
 
 @query()
 def j9_chunk_orders(spark, d):
-    return chunk.chunk_documents(corpus(spark, d).select("document_id", "president", F.col("order_text").alias("text")), "order")
+    return chunk.chunk_documents(corpus(spark, d).select("document_id", "president", F.col("order_whole").alias("text")), "order")
 
 
 @query()
 def j9_chunk_opinions(spark, d):
-    return chunk.chunk_documents(corpus(spark, d).select("document_id", "justice", F.col("court_text").alias("text")), "opinion")
+    return chunk.chunk_documents(corpus(spark, d).select("document_id", "justice", F.col("court_whole").alias("text")), "opinion")
 
 
 @query(C + "SELECT label AS section_label, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 2 - Policy(a)', 'Sec. 2 - Policy(b)', 'Sec. 3 - General']) AS label FROM c) GROUP BY ALL")
@@ -613,7 +613,7 @@ def e13_section_breakdown(spark, d):
 
 @query(C + "SELECT doc_id, 4::INTEGER AS total_citations FROM c")
 def e14_k3_extract_fields(spark, d):
-    return embed.extract_fields(corpus(spark, d).select("doc_id", F.col("order_text").alias("text"), "topics"), topics="topics", kind="order").select("doc_id", "total_citations")
+    return embed.extract_fields(corpus(spark, d).select("doc_id", F.col("order_whole").alias("text"), "topics"), topics="topics", kind="order").select("doc_id", "total_citations")
 
 
 @query()
@@ -629,7 +629,7 @@ def l1_stream_ingest(spark, d):
 
     run = uuid.uuid4().hex
     folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{run}"
-    corpus(spark, d).select("document_id", F.col("order_text").alias("text")).write.parquet(f"{folder}/in")
+    corpus(spark, d).select("document_id", F.col("order_whole").alias("text")).write.parquet(f"{folder}/in")
     ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}").awaitTermination()
     return spark.table(f"points_{run}").select("point_id", "document_id", "chunk_index", "section_label", "token_count")
 
