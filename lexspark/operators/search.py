@@ -82,10 +82,9 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, con
 
 
 def expression_scores(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Scores by an expression over every point, for query tables of one block at most; a check of vector_search."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries")
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
+    """Scores by an expression over every point; a check of vector_search. More queries than one block are not broadcast: Spark pairs partitions."""
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    q = F.broadcast(q) if q.count() <= QUERY_BLOCK else q
     return points.join(q).select("query_id", "point_id", cosine(F.col("embedding"), F.col("q")).alias("score")).where("score IS NOT NULL")
 
 

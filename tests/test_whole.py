@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexspark.operators import search
 from lexspark.plans import queries
 
 
@@ -22,3 +23,13 @@ def test_orders_and_opinions_are_whole(spark, tmp_path):
         # A cut between two parts may go through a word.
         missing = {d: sum(w not in texts[d] for w in own) for d, own in words.items()}
         assert max(missing.values()) <= 3, (name, missing)
+
+
+def test_cosine_of_more_queries_than_a_block(spark, monkeypatch):
+    rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0], 0) for i in range(40)]
+    points = spark.createDataFrame(rows, "point_id bigint, embedding array<double>, label int")
+    wanted = points.withColumnRenamed("point_id", "query_id").drop("label")
+    ranked = lambda: [tuple(r) for r in search.top_k(search.expression_scores(wanted, points), 5).orderBy("query_id", "rank").collect()]
+    one_block = ranked()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 6)
+    assert ranked() == one_block and len(one_block) == 200
