@@ -1,8 +1,9 @@
 """License scan: patience alignment of documents with license templates.
 
 Both sides are lower-cased words. In a document, a template's words are first gathered into runs, which end
-where the next template word is further away than the template is long. In a run, each place of the two
-rarest of the template's once-used words gives a region: where the template would lie, and half its length
+where the next template word is further away than the template is long. Of a template that may lack m words,
+the m + 1 words that are rarest in the run are seeds: a notice that reaches the least coverage has one of them.
+Each place of a seed gives a region: where the template would lie, and half its length
 around it; so repeated notices have regions of their own. Each region is aligned: the words that are unique to both sides are anchors, their longest increasing subsequence is
 kept, and the gaps between kept anchors are aligned in the same way; where a gap has no anchors, its
 equal words at both ends are matched. Coverage is the share of the template's words that are matched.
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,10 +100,10 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str, least: float = MIN_COVERAGE):
         self.name, self.words = name, words_of(text)
-        counts = Counter(self.words)
-        self.vocabulary = frozenset(counts)
-        self.offset = {w: i for i, w in enumerate(self.words) if counts[w] == 1}
-        self.least_words = len(self.vocabulary) - (1 - least) * len(self.words)
+        self.vocabulary = frozenset(self.words)
+        #: Words that a notice may lack.
+        self.missing = len(self.words) - ceil(least * len(self.words) - 1e-9)
+        self.least_words = len(self.vocabulary) - self.missing
 
     def regions(self, words: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
         """Spans of words that may hold the template; hits: places of any template's words."""
@@ -113,14 +115,13 @@ class Template:
                 continue
             run = own[start:end]
             start = end
-            if len({words[i] for i in run}) < self.least_words:
-                continue
             places: dict[str, list[int]] = {}
             for i in run:
-                if words[i] in self.offset:
-                    places.setdefault(words[i], []).append(i)
-            rarest = sorted(places, key=lambda w: (len(places[w]), self.offset[w]))[:2]
-            for at in sorted({i - self.offset[w] for w in rarest for i in places[w]}):
+                places.setdefault(words[i], []).append(i)
+            if len(places) < self.least_words:
+                continue
+            seeds = sorted(range(size), key=lambda j: (len(places.get(self.words[j], ())), j))[: self.missing + 1]
+            for at in sorted({i - j for j in seeds for i in places.get(self.words[j], ())}):
                 yield max(0, at - slack), at + size + slack
 
     def best(self, words: list[str], hits: list[int]) -> tuple[float, int, int, int]:
