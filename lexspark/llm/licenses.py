@@ -7,6 +7,9 @@ Each place of a seed gives a region: where the template would lie, and half its
 around it; so repeated notices have regions of their own. Each region is aligned: the words that are unique to both sides are anchors, their longest increasing subsequence is
 kept, and the gaps between kept anchors are aligned in the same way; where a gap has no anchors, its
 equal words at both ends are matched. Coverage is the share of the template's words that are matched.
+A notice of fewer than SHORT words must be matched in full, and the words that tell a license from others (REQUIRED)
+must stand in the document one after another. All findings of a document are returned; one that takes half of its words from findings
+with more matched words is none.
 
 Edge cases: a null or blank text has no words and no license; of equal coverage, the longer template and
 then the first by name wins; of equal regions, the first; rows are scanned one by one; whole texts are read;
@@ -41,7 +44,56 @@ TEMPLATES = {
     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-nc-notice": "Licensed under CC BY-NC",
-}
+    "apache-notice-bare": "Licensed under the Apache License",
+    "mit-notice-bare": "under the MIT License",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-notice": "under the ISC License",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "gpl-notice-bare": "licensed under the GNU General Public License",
+    "lgpl-notice": "licensed under the GNU Lesser General Public License",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-notice": "licensed under the GNU Affero General Public License",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-notice": "Licensed under the Mozilla Public License",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-notice": "Licensed under the Eclipse Public License",
+    "boost-notice": "Distributed under the Boost Software License",
+    "unlicense-grant": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-notice": "under the BSD License",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
+    "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "cc0-notice": "Licensed under CC0",
+    **{f"cc-{kind}-notice": f"Licensed under CC {kind.upper()}" for kind in ("by", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")},
+    **{
+        f"cc-{kind}-name": f"under a Creative Commons {name}"
+        for kind, name in {
+            "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+            "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
+}
+#: By the first part of a template's name: words that tell its license from others, one after another in the document.
+REQUIRED = {
+    "apache": "apache license", "gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license",
+    "mpl": "mozilla public license", "epl": "eclipse public license", "boost": "boost software license",
+}
+#: Also required of notices of these licenses.
+REQUIRED_NOTICE = {"mit": "mit license", "isc": "isc license", "bsd": "bsd license"}
+#: Templates of fewer words must be matched in full.
+SHORT = 20
 MIN_COVERAGE = 0.8
 WORD = re.compile(r"\w+")
 
@@ -102,7 +154,13 @@ class Template:
         self.name, self.words = name, words_of(text)
         self.vocabulary = frozenset(self.words)
         #: Words that a notice may lack.
-        self.missing = len(self.words) - ceil(least * len(self.words) - 1e-9)
+        self.missing = len(self.words) - ceil(least * len(self.words) - 1e-9) if len(self.words) >= SHORT else 0
+        first = name.split("-")[0]
+        phrase = words_of(REQUIRED.get(first) or REQUIRED_NOTICE.get(first if "-notice" in name else ""))
+        if first == "cc":
+            phrase = self.words[self.words.index("under") + 1 :]
+        #: Places in the template of the words that tell it from others.
+        self.required = next((range(k, k + len(phrase)) for k in range(len(self.words)) if phrase and self.words[k : k + len(phrase)] == phrase), range(0))
         self.least_words = len(self.vocabulary) - self.missing
 
     def regions(self, words: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
@@ -124,50 +182,76 @@ class Template:
             for at in sorted({i - j for j in seeds for i in places.get(self.words[j], ())}):
                 yield max(0, at - slack), at + size + slack
 
-    def best(self, words: list[str], hits: list[int]) -> tuple[float, int, int, int]:
-        """Coverage, matched words, first and end place of the best region, if it can reach the least coverage."""
-        top = (0.0, 0, 0, 0)
+    def holds(self, matched: list[tuple[int, int]]) -> bool:
+        """Whether enough words are matched, the required ones in places that follow each other."""
+        if len(matched) < len(self.words) - self.missing or not matched:
+            return False
+        place = {j: i for i, j in matched}
+        at = [place.get(j) for j in self.required]
+        return not at or (at[0] is not None and at == list(range(at[0], at[0] + len(at))))
+
+    def found(self, words: list[str], hits: list[int]) -> Iterator[list[int]]:
+        """Matched places of words, for each region that holds the template."""
+        size, slack = len(self.words), max(2, len(self.words) // 2)
         for a, b in self.regions(words, hits):
-            if len(self.vocabulary.intersection(words[a:b])) < self.least_words:
-                continue  # more words are missing than may be
-            matched = align(words[a:b], self.words)
-            coverage = len(matched) / len(self.words)
-            if coverage > top[0]:
-                top = (coverage, len(matched), a + matched[0][0], a + matched[-1][0] + 1)
-        return top
+            exact = b - size - slack
+            if exact >= 0 and words[exact : exact + size] == self.words:
+                yield list(range(exact, exact + size))
+            elif len(self.vocabulary.intersection(words[a:b])) >= self.least_words:  # else more words are missing than may be
+                matched = align(words[a:b], self.words)
+                if self.holds(matched):
+                    yield [a + i for i, _ in matched]
 
 
-def find_license(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, str | None, float, int, int, int]:
-    """Number of words, license, coverage, matched words, first and end word."""
+def find_licenses(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, list[tuple[str, float, int, int, int]]]:
+    """Number of words, and license, coverage, matched words, first and end word of all findings in the order of their places."""
     words = words_of(text)
-    every = frozenset().union(*(t.vocabulary for t in templates))
+    present = frozenset(words)
+    likely = [t for t in templates if len(t.vocabulary & present) >= t.least_words]
+    every = frozenset().union(*(t.vocabulary for t in likely))
     hits = [i for i, w in enumerate(words) if w in every]
-    found = []
-    for t in templates:
-        coverage, matched, a, b = t.best(words, hits)
-        if matched and coverage >= least:
-            found.append((-coverage, -len(t.words), t.name, matched, a, b))
-    if not found:
-        return len(words), None, 0.0, 0, 0, 0
-    coverage, _, name, matched, a, b = min(found)
-    return len(words), name, -coverage, matched, a, b
+    found = [(-len(at), at[-1] - at[0], at[0], t.name, len(at) / len(t.words), at) for t in likely for at in t.found(words, hits)]
+    taken: set[int] = set()
+    out = []
+    for n, _, first, name, coverage, at in sorted(found):
+        if coverage >= least and 2 * sum(i in taken for i in at) < -n:
+            taken.update(at)
+            out.append((name, coverage, -n, first, at[-1] + 1))
+    return len(words), sorted(out, key=lambda f: (f[3], f[4], f[0]))
+
+
+def find_license(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, str | None, float, int, int, int]:
+    """Number of words, and license, coverage, matched words, first and end word of the best finding."""
+    n, found = find_licenses(text, templates, least)
+    return n, *best_of(found, {t.name: len(t.words) for t in templates})
+
+
+def best_of(found: list[tuple[str, float, int, int, int]], sizes: dict[str, int]) -> tuple[str | None, float, int, int, int]:
+    return min(found, key=lambda f: (-f[1], -sizes[f[0]], f[0], f[3]), default=(None, 0.0, 0, 0, 0))
+
+
+_FINDING = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+_FIELDS = "license string, coverage double, n_matched bigint, first_word bigint, end_word bigint"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, n_words, license, coverage, n_matched, first_word, end_word for each row of docs."""
+    """doc_id, n_words, the best finding's license, coverage, n_matched, first_word, end_word, and all findings, for each row of docs."""
     texts = templates or TEMPLATES
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Template(n, t, least) for n, t in sorted(texts.items())]
+        sizes = {t.name: len(t.words) for t in known}
+        names = [f.name for f in _FINDING]
         for batch in batches:
-            rows = [find_license(t, known, least) for t in batch.column("text").to_pylist()]
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "license", "coverage", "n_matched", "first_word", "end_word"])
+            rows = [find_licenses(t, known, least) for t in batch.column("text").to_pylist()]
+            best = [best_of(found, sizes) for _, found in rows]
+            columns = [pa.array([b[k] for b in best], f.type) for k, f in enumerate(_FINDING)]
+            every = pa.array([[dict(zip(names, f, strict=True)) for f in found] for _, found in rows], pa.list_(_FINDING))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), *columns, every], ["doc_id", "n_words", *names, "findings"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id bigint, n_words bigint, license string, coverage double, n_matched bigint, first_word bigint, end_word bigint")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id bigint, n_words bigint, {_FIELDS}, findings array<struct<{_FIELDS}>>")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best license notice of every document."""
+    """The license notices of every document, the best one in columns of its own."""
     return scan_licenses(common.documents(spark, sf_dir))

@@ -11,3 +11,20 @@ def test_prose_words_do_not_hide_notices():
     prose = "the of and to in this a " * 20
     found = licenses.find_license(f"{prose} hereby {prose} charge {prose} {lacking} {prose} {lacking} {prose}", KNOWN)
     assert found[1] == "mit-grant" and found[2] > 0.95
+
+
+def test_distinguishing_words_are_needed():
+    of = lambda text: licenses.find_license(text, KNOWN)[1]
+    assert of("Licensed under the Mozilla Public License, Version 2.0") == "mpl-notice"
+    assert of("Released under the Foo License") is None
+    assert of("Licensed under the Foo License, Version 2.0") is None
+    assert of("This work is licensed under the GNU Lesser General Public License, version 3") == "lgpl-notice"
+    assert of("Licensed under CC BY-NC-SA 4.0") == "cc-by-nc-sa-notice"
+    assert of(licenses.TEMPLATES["gpl-header"].replace("GNU General", "GNU Affero General")) == "agpl-header"
+
+
+def test_all_findings_of_a_document(spark):
+    text = "Released under the MIT License. Some other words in between. Licensed under CC BY-NC 4.0. And so on. Released under the MIT License."
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [f["license"] for f in row["findings"]] == ["mit-notice", "cc-by-nc-notice", "mit-notice"]
+    assert row["license"] == "cc-by-nc-notice" and row["first_word"] == 10  # of equal ones the first by name
