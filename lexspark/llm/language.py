@@ -5,8 +5,8 @@ points are hashed into a fixed number of buckets. Training sums bucket counts by
 and in one small shuffle; the log-probability matrix (languages x buckets, its size checked) is
 broadcast, and whole texts are scored in numpy, a sparse lookup and a segmented sum for each batch.
 
-The model is fitted on at most about max_train labelled documents, chosen by a hash of the doc_id; every
-document is scored.
+The model is fitted on at most about max_train labelled documents, chosen by a hash of the doc_id, of each
+language as many, or all where it has fewer; every document is scored.
 
 Edge cases: a text that is null or has no letter is "und" with score 0; without any labelled training
 row every text is "und"; ties go to the language that sorts first; rows are scored one by one, so equal
@@ -110,6 +110,16 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return table.slice(0, 1).select(["lang", "block"]).append_column("counts", pa.array([total.tobytes()], pa.binary()))
 
 
+def _quota(sizes: list[int], most: int) -> float:
+    """Documents to take of each language, so that they are most in all; a language with fewer leaves its rest to the others."""
+    left = most
+    for i, n in enumerate(sorted(sizes)):
+        if n > left / (len(sizes) - i):
+            return left / (len(sizes) - i)
+        left -= n
+    return float("inf")
+
+
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on text and lang of the rows of labelled whose lang is not null.
 
@@ -119,9 +129,11 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = min(1.0, max_train / max(1, sum(sizes.values())))
+    quota = _quota(list(sizes.values()), max_train)
+    limits = {lang: int(min(1.0, quota / n) * (1 << 20)) for lang, n in sizes.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")) if limits else F.lit(0)
     place = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id"), common.text_key()), F.lit(1 << 20))
-    counted = labelled.where(place < int(share * (1 << 20))).select("lang", "text").mapInArrow(_count, "lang string, block int, counts binary")
+    counted = labelled.where(place < limit).select("lang", "text").mapInArrow(_count, "lang string, block int, counts binary")
     summed = counted.groupBy("lang", "block").applyInArrow(_sum_blocks, "lang string, block int, counts binary").collect()
     languages = sorted({r["lang"] for r in summed})
     counts = np.zeros((len(languages), BUCKETS))
