@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table may be sent to every executor; beyond it Spark joins by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of values up to which a table may be sent to every executor; beyond either Spark joins by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +18,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share.
+    """The checkpoint folder that all executors share, as spark.checkpoint.dir names it.
 
-    Where spark.checkpoint.dir is not set (single-machine tests) a temporary folder is used.
+    Only on a single machine (local master), and only where that is not set, a temporary folder is used.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,9 +37,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting the rows; a table above the limit is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _width(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(field.dataType, T.ArrayType):
+        if isinstance(field.dataType.elementType, T.StringType):
+            return F.octet_length(F.array_join(c, "")) + 4 * F.size(c)
+        return F.size(c) * 8
+    return F.lit(8)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table's rows and the bytes of its values are within the limits for a broadcast."""
+    width = sum((F.coalesce(_width(f), F.lit(0)) for f in df.schema.fields), F.lit(0))
+    n, total = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return n <= rows and (total or 0) <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a table that fits; else Spark shuffles. Give it one that is cheap to read twice, such as a durable one."""
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def text_key(text: str = "text") -> Column:
@@ -43,6 +65,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no column beside it can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on the named columns, for joins."""
     out = F.lit(True)
@@ -51,6 +78,19 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return out
 
 
-def total_bytes(docs: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of all texts: one aggregated row."""
-    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+def with_sum_before(counts: DataFrame, key: str, value: str, out: str, block: int = 1024) -> DataFrame:
+    """counts with the sum of value over all rows of smaller key (bigint, unique), in two levels.
+
+    Blocks of keys are summed first, so that the one task that orders the blocks gets a row for each of them.
+    """
+    blocked = counts.withColumn("__block", F.floor(F.col(key) / block))
+    every = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__sum")).select("__block", F.coalesce(F.sum("__sum").over(every), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    running = blocked.withColumn("__own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, "__block")
+    return running.withColumn(out, F.col("__own") + F.col("__ahead")).drop("__block", "__own", "__ahead")
+
+
+def total_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -1,20 +1,20 @@
 """Benchmark decontamination in DataFrame operations alone.
 
 Benchmark texts and documents are normalised alike into words. The windows of the benchmark (13 words,
-or a whole shorter item) make a set keyed by the hash of their words' hashes. A scan of every document
-turns its word hashes into windows by zipping the hash array with itself, shifted, and looks each window
-up in that set; hits are verified word hash by word hash. The set is broadcast if its row count is
-under a limit, else joined by shuffling.
+or a whole shorter item) make a set keyed by the hash of their words' hashes. One scan of every document
+turns its word hashes into window hashes of all lengths that the benchmark has, by doubling: a hash of 2k words is that of two
+hashes of k words. They look each window up in that set; what hits is verified word by word. The set is broadcast if its rows
+and bytes are under a limit; else window hashes alone are shuffled, and the words of what hits are read again.
+Equal windows of several items are one window with their ids, so a hit is one row whatever the number of items.
 
 Edge cases: a null or wordless document has no words and is not contaminated; a null or wordless item
-has no window; equal items each count; documents are told apart by doc_id and text, so equal rows get
-equal results and rows that share a doc_id do not mix; extra columns are ignored.
+has no window; an empty benchmark contaminates nothing; equal items each count; documents are told apart by doc_id and text, so
+equal rows get equal results and rows that share a doc_id do not mix; a very long document is scanned whole, as one row of
+words; extra columns, whatever their names, are ignored, or pass through drop_contaminated; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +22,12 @@ from . import common
 
 WINDOW, SHARE = 13, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Everything that is not part of a word, once lower-cased.
+#: Everything that is not part of a word, once lower-cased, and words as they stand with what follows them.
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+PIECE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"
+LEAD = "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"
+#: Words of the longest array that a function may return.
+ALL = 2_000_000_000
 
 
 def word_array(text: str) -> Column:
@@ -31,36 +35,80 @@ def word_array(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), GAPS), "")
 
 
-def _hashes(words: str) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
+def _window_hashes(df: DataFrame, lengths: list[int], words: str = "words") -> DataFrame:
+    """df with the array h{m} of the hashes of all windows of m words, for each length.
 
-def _windows(df: DataFrame, m: int, *keep: str) -> DataFrame:
-    """A row for each window of m words of the array `hashes`: keep, at, the struct w of its hashes, and its key."""
-    shifted = F.arrays_zip(*(F.slice("hashes", k + 1, 2_000_000_000).alias(f"w{k}") for k in range(m)))
-    rows = df.withColumn("last", F.size("hashes") - m).where("last >= 0").select(*keep, "last", F.posexplode(shifted).alias("at", "w"))
-    return rows.where("at <= last").select(*keep, "at", "w", F.xxhash64("w").alias("key"))
+    A step keeps as many cells as its shorter side has, so the last of them may be of windows that do not fit: zip_with
+    gives null there, and h{m} is cut to the windows that do.
+    """
+    df = df.withColumn("h1", F.transform(words, lambda w: F.xxhash64(w)))
+    made = {1}
+
+    def shifted(a: str, by: int) -> Column:
+        return F.slice(F.col(a), by + 1, ALL)
+
+    def join(n: int, a: int, b: int) -> None:
+        nonlocal df
+        if n not in made:
+            both = F.zip_with(f"h{a}", shifted(f"h{b}", a), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
+            df = df.withColumn(f"h{n}", both)
+            made.add(n)
+
+    for m in lengths:
+        done = 0
+        for bit in range(m.bit_length() - 1, -1, -1):
+            size = 1 << bit
+            if m & size:
+                k = 1
+                while k < size:
+                    join(2 * k, k, k)
+                    k *= 2
+                if done:
+                    join(done + size, done, size)
+                done += size
+    return df.drop(*(f"h{n}" for n in made if n not in lengths))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, hashes of every item with words, and m, the length of its windows."""
-    items = benchmark.select("item_id", _hashes(word_array("text")).alias("hashes"))
-    return common.durable(items.withColumn("m", F.least(F.size("hashes"), F.lit(window))).where("m > 0"))
+    """m, wanted (words), key and items (ids) of each distinct window."""
+    items = benchmark.select("item_id", word_array("text").alias("words"))
+    items = items.withColumn("m", F.least(F.size("words"), F.lit(window))).where("m > 0")
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("m") + 1)
+    rows = items.select("item_id", "m", "words", F.explode(starts).alias("i")).select("item_id", "m", F.slice("words", F.col("i"), F.col("m")).alias("wanted"))
+    distinct = common.durable(rows.groupBy("m", "wanted").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    lengths = _lengths(distinct)
+    hashed = _window_hashes(distinct, lengths, "wanted")
+    key = F.coalesce(*(F.when(F.col("m") == m, F.col(f"h{m}")[0]) for m in lengths)) if lengths else F.lit(0).cast("bigint")
+    return common.durable(hashed.select("m", "wanted", key.alias("key"), "items"))
+
+
+def _lengths(windows: DataFrame) -> list[int]:
+    """At most as many as a window has words."""
+    return sorted(r["m"] for r in windows.select("m").distinct().collect())
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, __key, at, m, item_id: each verified occurrence of a benchmark window in a document."""
-    items = benchmark_windows(benchmark, window)
-    hashed = docs.select("doc_id", common.text_key().alias("__key"), _hashes(word_array("text")).alias("hashes"))
-    found = []
-    for m in sorted(r["m"] for r in items.select("m").distinct().collect()):  # at most as many as a window has words
-        wanted = _windows(items.where(F.col("m") == m), m, "item_id").drop("at").distinct()
-        wanted = common.small(common.durable(wanted.withColumnsRenamed({"key": "wanted_key", "w": "wanted"})))
-        scanned = _windows(hashed, m, "doc_id", "__key")
-        found.append(scanned.join(wanted, (F.col("key") == F.col("wanted_key")) & (F.col("w") == F.col("wanted"))).select("doc_id", "__key", "at", F.lit(m).alias("m"), "item_id"))
-    if not found:
-        return hashed.select("doc_id", "__key", F.lit(0).alias("at"), F.lit(0).alias("m"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
-    return reduce(DataFrame.unionByName, found)
+    """id, key, at, m, items: each verified occurrence of a benchmark window in a document (doc_id and text_key)."""
+    wanted = benchmark_windows(benchmark, window)
+    texts = docs.select(F.col("doc_id").alias("id"), common.text_key().alias("key"), word_array("text").alias("words"))
+    lengths = _lengths(wanted)
+    if not lengths:
+        return texts.select("id", "key", F.lit(0).alias("at"), F.lit(0).alias("m"), F.array().cast("array<bigint>").alias("items")).limit(0)
+    by_length = F.array(*(F.struct(F.lit(m).alias("m"), F.slice(f"h{m}", 1, F.greatest(F.size("words") - m + 1, F.lit(0))).alias("h")) for m in lengths))
+    rows = _window_hashes(texts, lengths).select("id", "key", "words", F.explode(by_length).alias("w"))
+    rows = rows.select("id", "key", "words", F.col("w.m").alias("m"), F.posexplode("w.h").alias("at", "h"))
+    keys = common.durable(wanted.select(F.col("key").alias("wanted_key")).distinct())
+    match = F.col("h") == F.col("wanted_key")
+    seen = F.slice("words", F.col("at") + 1, F.col("m")).alias("seen")
+    if common.fits(keys):
+        found = rows.join(F.broadcast(keys), match, "left_semi").select("id", "key", "at", "m", "h", seen)
+    else:  # only hashes are shuffled; the words of hits are read again
+        places = common.durable(rows.drop("words").join(keys, match, "left_semi").groupBy("id", "key").agg(F.collect_set(F.struct("at", "m", "h")).alias("hits")))
+        places = common.small(places.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"), "hits"))
+        again = texts.join(places, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")))
+        found = again.select("id", "key", "words", F.explode("hits").alias("x")).select("id", "key", "words", "x.*").select("id", "key", "at", "m", "h", seen)
+    known = common.small(wanted.select(F.col("key").alias("wanted_key"), "wanted", "items"))
+    return common.durable(found).join(known, match & (F.col("seen") == F.col("wanted"))).select("id", "key", "at", "m", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -72,39 +120,48 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
+def _by_document(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """hit_id, hit_key, spans, items and n_hit of each document that has hits; small enough or shuffled."""
+    hits = find_hits(docs, benchmark, window).groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).agg(
+        F.array_sort(F.collect_set(F.struct("at", "m"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+    )
+    return common.small(common.durable(hits.withColumn("n_hit", _covered(F.col("spans")).cast("long"))))
+
+
+def _joined(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows (with id and key) and, where there are any, their hits."""
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """doc_id, __key, n_words, n_hit, items, spans and contaminated for each row of docs.
+    """id (doc_id), key (text_key), n_words, n_hit, items, spans and contaminated for each row of docs.
 
     A document is contaminated if it has hits and they are at least 1/share of its words.
     """
-    hits = find_hits(docs, benchmark, window).groupBy("doc_id", "__key").agg(
-        F.array_sort(F.collect_set(F.struct("at", "m"))).alias("spans"), F.collect_set("item_id").alias("items")
-    )
-    hits = hits.withColumn("n_hit", _covered(F.col("spans")).cast("long")).withColumnsRenamed({"doc_id": "__id", "__key": "__k"})
-    counted = docs.select("doc_id", common.text_key().alias("__key"), F.size(word_array("text")).cast("long").alias("n_words"))
-    joined = counted.join(hits, counted["doc_id"].eqNullSafe(hits["__id"]) & (counted["__key"] == hits["__k"]), "left")
+    counted = docs.select(F.col("doc_id").alias("id"), common.text_key().alias("key"), F.size(word_array("text")).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(
-        "doc_id", "__key", "n_words", n_hit.alias("n_hit"), "items", "spans", ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated")
-    )
+    found = _joined(counted, _by_document(docs, benchmark, window))
+    return found.select("id", "key", "n_words", n_hit.alias("n_hit"), "items", "spans", ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """docs without its contaminated rows; the columns of docs."""
-    bad = contamination(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"))
-    bad = common.small(common.durable(bad.distinct()))
-    keyed = docs.withColumn("__key", common.text_key())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__key"] == bad["__k"]), "left_anti").select(*docs.columns)
+    bad = common.durable(contamination(docs, benchmark, window, share).where("contaminated").select("id", "key").distinct())
+    bad = common.small(bad.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")))
+    rows = docs.select(common.packed(docs).alias("row"), F.col("doc_id").alias("id"), common.text_key().alias("key"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and clean_text: the normalised words of each document that no benchmark window covers."""
-    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "spans")
-    words = docs.select("doc_id", common.text_key().alias("__key"), word_array("text").alias("words"))
-    joined = words.join(found, words["doc_id"].eqNullSafe(found["__id"]) & (words["__key"] == found["__k"]))
-    covered = F.flatten(F.transform(F.coalesce("spans", F.array().cast("array<struct<at:int,m:int>>")), lambda s: F.sequence(s["at"], s["at"] + s["m"] - 1)))
-    places = F.array_except(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>")), covered)
-    return joined.select("doc_id", F.array_join(F.transform(places, lambda i: F.element_at("words", i + 1)), " ").alias("clean_text"))
+    """doc_id and clean_text, one row for each row of docs: the text as it stands, without the words that a benchmark window
+    covers and without what lies between them and the next word."""
+    rows = docs.select(F.col("doc_id").alias("id"), common.text_key().alias("key"), "text")
+    joined = _joined(rows, _by_document(docs, benchmark, window))
+    joined = joined.withColumn("pieces", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
+    covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["m"] - 1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), covered)
+    clean = F.concat(F.regexp_extract("text", LEAD, 0), F.array_join(F.transform(kept, lambda i: F.get("pieces", i)), ""))
+    return joined.select(F.col("id").alias("doc_id"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean).alias("clean_text"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +170,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.documents(spark, sf_dir), benchmark)
     items = F.coalesce("items", F.array().cast("array<bigint>"))
     ids = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
 _CLASS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

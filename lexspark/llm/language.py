@@ -2,15 +2,20 @@
 
 Texts are lower-cased and every run of non-letters counts as one blank; n-grams of one to three code
 points are hashed into a fixed number of buckets. Training sums bucket counts by language inside tasks
-and in one small shuffle; the log-probability matrix (languages x buckets, its size checked) is
-broadcast, and whole texts are scored in numpy, a sparse lookup and a segmented sum for each batch.
+and in one small shuffle; the log-probability matrix (languages x buckets, its size bounded) is
+broadcast, and whole texts are scored in numpy: the n-grams of a batch of texts look up their rows of the matrix, and
+a segmented sum gives the totals of each text.
 
 The model is fitted on at most about max_train labelled documents, chosen by a hash of the doc_id, of each
-language as many, or all where it has fewer; every document is scored.
+language as many, or all where it has fewer, and on the max_languages labels with the most documents; every document is scored.
+
+keep_identified rejects a document without letters, one whose language is unsure, and one that is like none of the
+languages: its mean log-probability an n-gram is more than UNLIKE below what its language's own texts have.
 
 Edge cases: a text that is null or has no letter is "und" with score 0; without any labelled training
-row every text is "und"; ties go to the language that sorts first; rows are scored one by one, so equal
-rows get equal results; extra columns pass through unchanged.
+row every text is "und" (and the pipeline's stage, which then has nothing to reject by, keeps what has letters); ties go to the
+language that sorts first; rows are scored one by one, so equal rows get equal results; a very long text is scored
+in slices; extra columns, whatever their names, pass through unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS, ORDERS, BLOCK, MAX_TRAIN, MAX_LANGUAGES, UNKNOWN = 1 << 16, (1, 2, 3), 4096, 40_000, 200, "und"
-#: A pipeline drops what is undetermined or less sure than this.
-MIN_SCORE = 0.5
+#: A pipeline drops what is undetermined, less sure than this, or by so many nats an n-gram unlike its language.
+MIN_SCORE, UNLIKE = 0.5, 3.0
 #: Code points that are put through numpy at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -40,28 +45,36 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def _fold(text: str | None) -> np.ndarray:
-    """Code points of the lower-cased text, a blank at both ends and for each run of non-letters; empty without letters."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lower-cased texts, and the number of the text that each belongs to.
+
+    A text with letters has a blank at both ends and one for each run of non-letters; one without letters has nothing.
+    """
+    lowered = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join(f"{t}\n" for t in lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
     letter = _letters()[points]
-    if not letter.any():
-        return points[:0]
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # the first of each run of non-letters
-    kept[0] = letter[0]
-    body = np.where(letter, points, 32)[kept]
-    return np.concatenate(([32], body, [32] if letter[-1] else [])).astype(np.uint32)
-
-
-def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket numbers of the n-grams of each order."""
-    for n in ORDERS:
-        if len(points) >= n:
-            h = np.full(len(points) - n + 1, n, dtype=np.uint32)
-            for k in range(n):
-                h = (h ^ points[k : len(points) - n + 1 + k]) * _ODD[k]
-                h ^= h >> np.uint32(15)
-            yield ((h * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.int64) % BUCKETS
+    points, owner = np.where(letter, points, 32)[kept].astype(np.uint32), owner[kept]
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
+    return np.insert(points, first, 32), np.insert(owner, first, owner[first])
+
+
+def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, ascending, and bucket numbers) of the n-grams of texts, order by order and slice by slice."""
+    points, owner = _folded(texts)
+    for at in range(0, len(points), SLICE):  # the next slice starts inside, so no n-gram is lost
+        p, o = points[at : at + SLICE + ORDERS[-1] - 1], owner[at : at + SLICE + ORDERS[-1] - 1]
+        for n in ORDERS:
+            size = min(SLICE, len(p) - n + 1)
+            if size > 0:
+                h = np.full(size, n, dtype=np.uint32)
+                for k in range(n):
+                    h = (h ^ p[k : size + k]) * _ODD[k]
+                    h ^= h >> np.uint32(15)
+                whole = o[:size] == o[n - 1 : n - 1 + size]
+                yield o[:size][whole], (((h * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.int64) % BUCKETS)[whole]
 
 
 @dataclass
@@ -69,36 +82,53 @@ class Model:
     languages: list[str]
     log_probability: np.ndarray  # languages x buckets
     log_prior: np.ndarray
+    usual: np.ndarray  # mean log-probability an n-gram of each language's own texts
 
-    def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior probability."""
-        total = np.zeros((len(texts), len(self.languages)))
-        known = np.zeros(len(texts), dtype=bool)
-        for i, text in enumerate(texts):
-            points = _fold(text)
-            known[i] = len(points) > 0 and len(self.languages) > 0
-            if known[i]:
-                total[i] = self.log_prior
-                for at in range(0, len(points), SLICE):  # the next slice starts inside, so no n-gram is lost
-                    for n, grams in zip(ORDERS, _grams(points[at : at + SLICE + ORDERS[-1] - 1]), strict=False):
-                        total[i] += self.log_probability[:, grams[: SLICE if len(points) > SLICE else len(grams)]].sum(axis=1, dtype=np.float64)
+    def scores(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the likeliest language, its posterior probability, and how far below usual its n-grams are."""
+        n = len(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            known = [any(c.isalpha() for c in t or "") for t in texts]
+            return [UNKNOWN] * n, [0.0] * n, [0.0 if k else float("inf") for k in known]
+        total, grams = np.zeros((n, len(self.languages))), np.zeros(n, dtype=np.int64)
+        for owner, bucket in _grams(texts):
+            if len(owner):
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                grams[owner[first]] += np.diff(np.concatenate((first, [len(owner)])))
+                for k, row in enumerate(self.log_probability):
+                    total[owner[first], k] += np.add.reduceat(row[bucket], first, dtype=np.float64)
+        known = grams > 0
+        mean = total / np.maximum(grams, 1)[:, None]
+        total += self.log_prior
         best = total.argmax(axis=1)
         posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0).tolist()
+        below = np.where(known, self.usual[best] - mean[np.arange(n), best], np.inf)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0).tolist(), below.tolist()
+
+
+def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about SLICE characters."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        if n and n + len(t or "") > SLICE:
+            yield at, i
+            at, n = i, 0
+        n += len(t or "") + 2
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Dense bucket counts by language of this task's documents, in blocks."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        langs, texts = np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("text").to_pylist()
+        for lang in sorted(set(langs)):
             own = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            points = _fold(text)
-            for at in range(0, len(points), SLICE):
-                for grams in _grams(points[at : at + SLICE + ORDERS[-1] - 1]):
-                    own += np.bincount(grams[: SLICE if len(points) > SLICE else len(grams)], minlength=BUCKETS)
+            mine = [texts[i] for i in np.flatnonzero(langs == lang)]
+            for a, b in _batches(mine):
+                for _, bucket in _grams(mine[a:b]):
+                    own += np.bincount(bucket, minlength=BUCKETS)
     rows = [(lang, b, own[b * BLOCK : (b + 1) * BLOCK].tobytes()) for lang, own in counts.items() for b in range(BUCKETS // BLOCK)]
     yield pa.RecordBatch.from_pylist([dict(zip(("lang", "block", "counts"), r, strict=True)) for r in rows], pa.schema([("lang", "string"), ("block", "int32"), ("counts", "binary")]))
 
@@ -120,18 +150,17 @@ def _quota(sizes: list[int], most: int) -> float:
     return float("inf")
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_languages: int = MAX_LANGUAGES) -> Model:
     """Fit on text and lang of the rows of labelled whose lang is not null.
 
-    The driver gets one row a language and block of buckets: MAX_LANGUAGES x BUCKETS numbers at most.
+    The driver gets one row a language and block of buckets: max_languages x BUCKETS numbers at most.
     """
     labelled = labelled.where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    by_size = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["count"] for r in by_size.collect()}
     quota = _quota(list(sizes.values()), max_train)
     limits = {lang: int(min(1.0, quota / n) * (1 << 20)) for lang, n in sizes.items()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")) if limits else F.lit(0)
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")), F.lit(0)) if limits else F.lit(0)
     place = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id"), common.text_key()), F.lit(1 << 20))
     counted = labelled.where(place < limit).select("lang", "text").mapInArrow(_count, "lang string, block int, counts binary")
     summed = counted.groupBy("lang", "block").applyInArrow(_sum_blocks, "lang string, block int, counts binary").collect()
@@ -140,27 +169,32 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     for r in summed:
         counts[languages.index(r["lang"]), r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.int64)
     smooth = counts + 0.5
+    log_probability = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    usual = (counts * log_probability).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float) / max(1, sum(sizes[x] for x in languages)))
-    return Model(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32), prior)
+    return Model(languages, log_probability.astype(np.float32), prior, usual)
 
 
 def predict(spark: SparkSession, model: Model, text: str = "text") -> Column:
-    """struct<lang_pred string, score double> of a text column."""
+    """struct<lang_pred string, score double, below double> of a text column; below: nats an n-gram below the usual."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, below double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = shared.value.scores([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+        plain = [t if isinstance(t, str) else None for t in texts]
+        parts = [shared.value.scores(plain[a:b]) for a, b in _batches(plain)]
+        languages, scores, below = ([x for p in parts for x in p[k]] for k in range(3))
+        return pd.DataFrame({"lang_pred": languages, "score": scores, "below": below})
 
     return of(F.col(text))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Rows of docs whose language is identified with at least min_score; the columns of docs."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, unlike: float = UNLIKE, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Rows of docs whose language is identified with at least min_score and whose text is like it; the columns of docs."""
     model = fit(docs, max_train)
-    found = docs.withColumn("__language", predict(docs.sparkSession, model))
-    return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)).select(*docs.columns)
+    found = docs.select(common.packed(docs).alias("row"), predict(docs.sparkSession, model).alias("p"))
+    sure = (F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= min_score) if model.languages else F.lit(True)
+    return found.where(sure & (F.col("p.below") <= unlike)).select("row.*")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ up to and including it, divided by the source's target. Documents may be repeate
 are put into bins by finish time, so that the global order is a range sort, and the longest prefix of
 that order that fits into the total budget is taken.
 
-Running sums are two-level (sum of earlier ranges plus running sum within one), so that no task gets a
-whole source however large it is. Only ids, sizes and hashes are shuffled, never texts.
+Running sums are two-level (sum of earlier ranges plus running sum within one), and ranges and bins grow in number with
+the rows, so that no task gets a whole source however large it is. Only ids, sizes and hashes are shuffled, never texts.
 
 Edge cases: null source is a source, ordered last; null or blank text has size 0 and is never needed to
-fill a budget; equal rows are separate documents; an empty table gives no rows.
+fill a budget; a very long text is counted whole; rows that tie in doc_id and size are ordered by a hash of all their columns, and
+those that are equal in all columns are separate documents; a null doc_id is placed by its text; other columns, whatever
+their names, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
-#: Ranges of the shuffled order (hex digits of the hash), bins of a unit of virtual time, and the time from which bins widen.
-PREFIX, BINS, LINEAR = 3, 8_192, 8
+#: Least hex digits of the hash that name a range of the shuffled order, rows of a range, bins of a unit of virtual time (for
+#: so many digits; 16 times as many for each further one), and the time from which bins widen.
+RANGE_DIGITS, RANGE_ROWS, BINS, LINEAR = 3, 50_000, 8_192, 8
 
 
 def words(text: str = "text") -> Column:
@@ -34,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Water filling: in ascending order of cap over weight, a source is capped while the level that the
     rest would get is at least its ratio.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = common.durable(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rn") - 1) % len(weights) + 1)
     per = per.withColumn("rn", rank).withColumn("w", weight).withColumn("cap", F.col("source_size") * epochs)
@@ -47,17 +50,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, __key (text_key), source, size, source_size, target, copies: one row for each row of docs."""
-    base = common.durable(
-        docs.select(
-            "doc_id", "source", words().alias("size"), common.text_key().alias("__key"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
-            F.monotonically_increasing_id().alias("rid"),
-        ).withColumn("range", F.substring("h", 1, PREFIX))
-    )
+def _queued(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: str) -> DataFrame:
+    """A row for each copy: the row's values, epoch, and taken, whether the copy lies within the budget."""
+    by_id = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    base = docs.select("doc_id", "source", words().alias("size"), _row_key(docs).alias("key"), F.md5(F.concat(F.lit(f"{seed}:"), by_id)).alias("h"), F.monotonically_increasing_id().alias("rid"))
+    base = common.durable(base)
+    n, total = base.agg(F.count("*"), F.sum("size")).first()
+    digits = max(RANGE_DIGITS, len(f"{n // RANGE_ROWS:x}"))
+    n_bins = BINS << 4 * (digits - RANGE_DIGITS)
+    base = base.withColumn("range", F.substring("h", 1, digits))
     targets = common.small(common.durable(source_targets(base, weights, share, epochs)))
-    shuffled = ("h", "doc_id", "size", "rid")
+    shuffled = ("h", "doc_id", "size", "key", "rid")
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -68,28 +71,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     finish = F.when(F.col("target") > 0, (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
     time = F.col("finish")
-    even, widening = F.floor(time * BINS), F.floor(F.log2(F.greatest(time, F.lit(LINEAR)) / LINEAR) * 1024) + LINEAR * BINS
+    even, widening = F.floor(time * n_bins), F.floor(F.log2(F.greatest(time, F.lit(LINEAR)) / LINEAR) * 1024) + LINEAR * n_bins
     copies = copies.withColumn("finish", finish).withColumn("bin", F.when(time < LINEAR, even).otherwise(widening))
-    bins = copies.groupBy("bin").agg(F.sum("size").alias("n"))
-    bins = bins.select(F.col("bin").alias("b"), F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    budget = share * (base.agg(F.sum("size")).first()[0] or 0)
+    bins = common.durable(copies.groupBy("bin").agg(F.sum("size").alias("n")))
+    bins = common.small(common.durable(common.with_sum_before(bins, "bin", "n", "before").select(F.col("bin").alias("b"), "before")))
     queue = Window.partitionBy("bin").orderBy("finish", F.col("source").asc_nulls_last(), *shuffled, "epoch").rowsBetween(Window.unboundedPreceding, 0)
-    # One row a bin, and the number of bins is fixed.
-    placed = copies.withColumn("run", F.sum("size").over(queue)).join(F.broadcast(bins), F.col("bin") == F.col("b"))
-    return placed.groupBy("rid").agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "__key", "source", "size", "source_size", "target")),
-        F.count_if(F.col("run") + F.col("before") <= F.lit(float(budget))).alias("copies"),
+    placed = copies.withColumn("run", F.sum("size").over(queue)).join(bins, F.col("bin") == F.col("b"))
+    return placed.withColumn("taken", F.col("run") + F.col("before") <= F.lit(float(share * (total or 0))))
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows with equal ones are the same for the mix."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, k in docs.dtypes if "map<" not in k and k != "variant"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row for each row of docs."""
+    return _queued(docs, weights, share, epochs, seed).groupBy("rid").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.count_if("taken").alias("copies")
     ).drop("rid")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it was taken, with docs' own columns."""
-    keyed = docs.withColumn("__key", common.text_key())
-    taken = mix(docs, **how).groupBy("doc_id", "__key").agg(F.sum("copies").cast("int").alias("__copies"))
-    taken = taken.where("__copies > 0").withColumnsRenamed({"doc_id": "__id", "__key": "__k"})
-    one = keyed.dropDuplicates(["doc_id", "__key"])
-    joined = one.join(taken, one["doc_id"].eqNullSafe(taken["__id"]) & (one["__key"] == taken["__k"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document as often as it was taken, with docs' own columns.
+
+    What is taken of a source in an epoch is a prefix of its shuffled order, so the last place taken (a row for
+    each source and epoch) decides for every row where it stands, and no text is shuffled. Rows that are equal in all
+    columns are told apart by their place in docs, which must be the same when it is read twice (files are).
+    """
+    place = lambda d, k: F.struct(F.col("h"), F.col(d).alias("doc_id"), F.col("size"), F.col(k).alias("key"), F.col("rid"))
+    queued = _queued(docs, weights, share, epochs, seed)
+    last = common.durable(queued.where("taken").groupBy("source", "epoch").agg(F.max(place("doc_id", "key")).alias("last")))
+    last = common.small(last.groupBy(F.col("source").alias("of")).agg(F.collect_list("last").alias("lasts")))
+    by_id = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    own = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), by_id)).alias("h"), F.col("doc_id"), words().alias("size"), _row_key(docs).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(common.packed(docs).alias("row"), F.col("source").alias("from"), own.alias("place"))
+    rows = rows.join(last, F.col("from").eqNullSafe(F.col("of")))
+    copies = F.size(F.filter("lasts", lambda x: F.col("place") <= x))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +118,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH base AS (
-  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM per),
