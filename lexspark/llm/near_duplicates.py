@@ -1,21 +1,24 @@
 """Near duplicates by MinHash: universal hash minima, banding, verification, connected components.
 
-Texts are sets of shingles of five lower-cased words. Equal sets are one class, represented by its
-smallest doc_id; only representatives go on. Minima of 128 universal hash functions make 32 bands of
-four, and those who share a band are a bucket. No bucket is expanded into all its pairs:
+Texts are sets of shingles of five lower-cased words. Equal sets are one class; only classes go on. Minima of 128
+universal hash functions make 32 bands of four, and classes that share a band are a bucket. One rule holds for
+buckets of every size, and none is expanded into all its pairs:
 
-1. every member is verified against the bucket's smallest member on the full shingle sets;
-2. in buckets that still hold several components, members of different components are verified: pair by
-   pair, if their signatures agree enough, in buckets of at most FEW members; in larger ones on the full sets
-   of blocks of members, each pair of blocks being one group, which gives only links that join components.
+1. every member is verified against the bucket's pivot (its first member) on the full shingle sets. Pairs of a pivot are dealt to
+   groups of bounded size, each of which gets the pivot's set once;
+2. in buckets that then hold several components, the members outside the largest of them are compared with all members, block
+   by block. Blocks of signatures (a byte of each minimum) come first; members of pairs that lie in different components and
+   agree in LEAST_AGREEMENT of their signatures at least go on to blocks of full sets, which verify them
+   and give only links that join components.
 
-So two documents in one bucket are in the same component, or have been verified to differ, or have
-signatures too far apart. At a similarity of 0.75, four in 10**6 pairs share no band, and fewer than one
-in 10**4 of pairs that no chain of links connects disagree in their signatures that much.
+So two documents in one bucket end in the same component, or have been verified to differ, or have signatures that are too far
+apart. At a similarity of 0.75, four in 10**6 pairs share no band, and one in 10**9 agree in less than half of the signature.
 
 Edge cases: texts without words are linked with nothing, not even each other; fewer than five words are
-one shingle; rows that share a doc_id are one document; a row whose doc_id is null gets the component of
-its equals, null if there is none, and is not kept; an empty table gives no rows.
+one shingle; a very long text is one set, handled whole; rows that share a doc_id are one document, linked by each of its texts;
+a row whose doc_id is null gets the component of its equals, null if there is none, and is not kept; equal rows get equal
+results, and of documents that tie the smallest doc_id stays; extra columns, whatever their names, are ignored, or pass
+through keep_one_of_each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,20 +26,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, tokens
 from .components import connected_components
 
 SHINGLE, MINIMA, ROWS, PERCENT = 5, 128, 4, 75
-#: Signatures that agree less than this are not verified: 3.5 deviations below the threshold.
-LEAST_AGREEMENT = 0.75 - 3.5 * (0.75 * 0.25 / MINIMA) ** 0.5
-#: Members of a bucket whose pairs may be listed (so many for a member at most); members of a block of a larger one.
-FEW, BLOCK = 64, 1024
+LEAST_AGREEMENT = 0.5
+#: Members of a block, bytes of a group of blocks, and rows of equal sets from which a set is joined apart from the others.
+BLOCK, GROUP_BYTES, HEAVY = 512, 12 << 20, 1_000
 _WORD = tokens.constants(SHINGLE, 11)
 _A, _B = tokens.constants(MINIMA, 12), tokens.constants(MINIMA, 13)
 _BAND = tokens.constants(ROWS, 14)
@@ -59,45 +59,49 @@ def shingle_sets(texts: list) -> Iterator[np.ndarray]:
                 yield tokens.mix((h[a:b] * _WORD[: b - a]).sum(keepdims=True) + np.uint64(b - a)) if b > a else h[:0]
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+_SIGNED_DDL = "doc_id bigint, key bigint, n bigint, set_id binary, signature binary"
+
+
+def _minima(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and 128-bit ids of sets that are not empty."""
+    flat = np.concatenate(group)
+    at = np.cumsum([0, *(len(s) for s in group[:-1])])
+    minima = np.empty((MINIMA, len(group)), dtype=np.uint32)
+    buffer = np.empty_like(flat)
+    for k in range(MINIMA):
+        np.multiply(flat, _A[k], out=buffer)
+        np.add(buffer, _B[k], out=buffer)
+        minima[k] = np.minimum.reduceat(buffer, at) >> np.uint64(32)
+    ids = np.stack([np.add.reduceat(tokens.mix(flat), at), np.add.reduceat(tokens.mix(flat + np.uint64(0x5851F42D4C957F2D)), at)], axis=1)
+    return np.ascontiguousarray(minima.T), ids
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         sizes, set_ids, signatures = [], [], []
         group: list[np.ndarray] = []
 
         def flush() -> None:
             full = [s for s in group if len(s)]
-            if full:
-                flat = np.concatenate(full)
-                at = np.cumsum([0, *(len(s) for s in full[:-1])])
-                minima = np.empty((MINIMA, len(full)), dtype=np.uint32)
-                buffer = np.empty_like(flat)
-                for k in range(MINIMA):
-                    np.multiply(flat, _A[k], out=buffer)
-                    np.add(buffer, _B[k], out=buffer)
-                    minima[k] = np.minimum.reduceat(buffer, at) >> np.uint64(32)
-                first = np.add.reduceat(tokens.mix(flat), at)
-                second = np.add.reduceat(tokens.mix(flat + np.uint64(0x5851F42D4C957F2D)), at)
-                rows = iter(zip(minima.T.copy(), first, second, strict=True))
+            rows = iter(zip(*_minima(full), strict=True) if full else ())
             for s in group:
                 sizes.append(len(s))
-                m, a, b = next(rows) if len(s) else (None, 0, 0)
-                set_ids.append(np.array([a, b], dtype=np.uint64).tobytes() if len(s) else None)
-                signatures.append(m.tobytes() if len(s) else None)
+                minima, ids = next(rows) if len(s) else (None, None)
+                set_ids.append(ids.tobytes() if len(s) else None)
+                signatures.append(minima.tobytes() if len(s) else None)
             group.clear()
 
         n = 0
-        for s in shingle_sets(texts):
+        for s in shingle_sets(batch.column("text").to_pylist()):
             group.append(s)
             n += len(s)
             if n > 1 << 16:
                 flush()
                 n = 0
         flush()
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(signatures, pa.binary())], schema=_SIGNED)
+        columns = [pa.array(sizes, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(signatures, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], schema=_SIGNED)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,54 +110,37 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, n_bands, ROWS)
             key = tokens.mix((s.astype(np.uint64) * _BAND).sum(axis=2) + np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            reps = np.repeat(batch.column("rep").to_numpy(), n_bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(reps)], ["bucket", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("cid").to_numpy(), n_bands))], ["bucket", "cid"])
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-@F.pandas_udf(T.BooleanType())
-def _verified(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Full-set check of pairs of texts; a text that comes many times in a batch is cut into shingles once."""
-    codes, texts = pd.factorize(pd.concat([left, right], ignore_index=True))
-    sets = list(shingle_sets(list(texts)))
-    n = len(left)
-    return pd.Series([similar(sets[i], sets[j]) for i, j in zip(codes[:n], codes[n:], strict=True)])
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids, with linked: whether their full shingle sets are similar."""
-    pairs = common.durable(pairs)
-    ids = common.small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = common.durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return common.durable(joined.select("a", "b", _verified("text_a", "text_b").alias("linked")))
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each minimum; different minima agree in it once in 256 times, so no pair looks less alike than it is."""
+    for batch in batches:
+        short = [np.frombuffer(s, dtype=np.uint32).astype(np.uint8).tobytes() for s in batch.column("signature").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(short, pa.binary())], ["cid", "short"])
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(found, pa.binary())], ["cid", "shingles"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket that lie in different components, agree in their signatures and lack its smallest member."""
-    ids, comp, home = (table.column(c).to_numpy() for c in ("rep", "component", "pivot"))
-    s = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(ids != home):
-        js = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (ids != home))
-        out += [(ids[i], ids[j]) for j in js[(s[js] == s[i]).mean(axis=1) >= LEAST_AGREEMENT]]
-    return _pairs(out)
+def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid and shingles of the classes named, read from one text of each."""
+    first = common.durable(classes.join(cids, "cid", "left_semi").select("cid", F.col("rep").alias("first_id"), F.col("key").alias("first_key")))
+    rows = docs.select("doc_id", common.text_key().alias("row_key"), "text")
+    rows = rows.join(common.small(first), (F.col("doc_id") == F.col("first_id")) & (F.col("row_key") == F.col("first_key")))
+    one = rows.groupBy("cid").agg(F.first("text").alias("text"))
+    return common.durable(one.mapInArrow(_sets, "cid bigint, shingles binary"))
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
-    columns = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
-    return pa.table([pa.array(c) for c in columns], schema=_PAIRS)
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -179,84 +166,188 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out.astype(np.int64)
 
 
-def _spanning(table: pa.Table) -> pa.Table:
-    """Links that join the components of a pair of blocks, found on full sets; one less than the components at most."""
-    ids, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
-    sets = list(shingle_sets(table.column("text").to_pylist()))
-    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    sizes = np.array([len(s) for s in sets])
-    both = intersections([sets[i] for i in left], [sets[j] for j in right])
-    linked = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
-    linked &= comp[left][:, None] != comp[right][None, :]
-    root = {c: c for c in comp.tolist()}
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
 
-    out = []
-    for i, row in zip(left.tolist(), linked, strict=True):
-        for c, j in zip(*(x.tolist() for x in np.unique(comp[right[row]], return_index=True)), strict=True):
-            a, b = find(int(comp[i])), find(c)
-            if a != b:
-                root[a] = b
-                j = int(right[np.flatnonzero(row)[j]])
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return _pairs(out)
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    columns = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return pa.table([pa.array(c) for c in columns], schema=_PAIRS)
 
 
-def _open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
-    """bucket, pivot, n, rep, component of the members of buckets that hold several components."""
-    labelled = members.where("n > 2").join(components, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("bucket", "pivot", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    return common.durable(labelled.join(split, "bucket"))
+def _verify(table: pa.Table) -> pa.Table:
+    """Linked pairs of the pivots of this group; a pivot's own row has no b."""
+    a, b, sets = (table.column(c).to_pylist() for c in ("a", "b", "shingles"))
+    pivot = {x: np.frombuffer(s, dtype=np.uint64) for x, y, s in zip(a, b, sets, strict=True) if y is None}
+    return _pairs([(x, y) for x, y, s in zip(a, b, sets, strict=True) if y is not None and similar(pivot[x], np.frombuffer(s, dtype=np.uint64))])
 
 
-def _links_across(left: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links between components of large buckets, each pair of blocks of members being one group."""
-    ids = common.small(left.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "n", "pivot")
-    return left.join(texts, "rep").groupBy("bucket", "lo", "hi").applyInArrow(_spanning, "a bigint, b bigint").distinct()
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose full shingle sets are similar; n: at least as many as a has pairs."""
+    dealt = pairs.withColumn("fan", F.ceil(F.col("n") / BLOCK)).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan"))).drop("n")
+    dealt = common.durable(dealt)
+    sets = sets_of(dealt.select(F.col("a").alias("cid")).union(dealt.select("b")).distinct(), classes, docs)
+    mean = sets.agg(F.avg(F.octet_length("shingles"))).first()[0] or 0
+    n_parts = max(1, int(-(-dealt.count() * (mean + 64) // GROUP_BYTES)))
+    part = F.pmod(F.xxhash64("a", "fan", "salt"), F.lit(n_parts)).alias("part")
+    heads = dealt.select("a", part).distinct().join(sets, F.col("a") == F.col("cid")).select("part", "a", F.lit(None).cast("bigint").alias("b"), "shingles")
+    tails = dealt.select("a", "b", part).join(sets, F.col("b") == F.col("cid")).select("part", "a", "b", "shingles")
+    return common.durable(heads.unionByName(tails).groupBy("part").applyInArrow(_verify, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept: one row for each row of docs."""
-    signed = common.durable(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_id binary, signature binary"))
-    classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classed = signed.join(classes, "set_id", "left")
-    reps = common.durable(classed.where("doc_id = rep").groupBy("rep").agg(F.first("signature").alias("signature")))
-    buckets = reps.mapInArrow(_bands, "bucket bigint, rep bigint")
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = common.durable(buckets.join(shared, "bucket"))
+def _groups(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the outside and of the inside block of each (bucket, i, j) of a table."""
+    bucket, i, j, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "outside"))
+    order = np.lexsort((outside, j, i, bucket))
+    new = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    for rows in np.split(order, new):
+        yield rows[outside[rows]], rows[~outside[rows]]
+
+
+_BLOCKS = "bucket bigint, i int, j int, outside boolean, cid bigint, component bigint"
+
 
-    checked = verify(members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), docs)
-    links = checked.where("linked").select("a", "b")
-    # Rows of one doc_id with different texts are one document.
-    also = classed.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(reps.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
-    links = links.union(also)
+def _agreeing(table: pa.Table) -> pa.Table:
+    """Members of pairs in different components whose signatures agree enough."""
+    component = table.column("component").to_numpy()
+    short = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+    on = np.zeros(table.num_rows, dtype=bool)
+    for left, right in _groups(table):
+        theirs = short[right]
+        for row in left:
+            alike = right[((theirs == short[row]).sum(axis=1) >= LEAST_AGREEMENT * MINIMA) & (component[right] != component[row])]
+            on[alike] = True
+            on[row] |= len(alike) > 0
+    return table.select([x.split()[0] for x in _BLOCKS.split(", ")]).filter(pa.array(on))
+
+
+def _spanning(table: pa.Table) -> pa.Table:
+    """Links that join components in each pair of blocks, found on full sets; one less than the components at most."""
+    cid, comp = table.column("cid").to_numpy(), table.column("component").to_numpy()
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    out = []
+    for left, right in _groups(table):
+        both = intersections([sets[i] for i in left], [sets[j] for j in right])
+        linked = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
+        linked &= comp[left][:, None] != comp[right][None, :]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i, row in zip(left.tolist(), linked, strict=True):
+            for c, j in zip(*(x.tolist() for x in np.unique(comp[right[row]], return_index=True)), strict=True):
+                x, y = find(int(comp[i])), find(c)
+                if x != y:
+                    root[x] = y
+                    out.append((int(cid[i]), int(cid[right[np.flatnonzero(row)[j]]])))
+    return _pairs(out)
+
+
+def _blocks(members: DataFrame, components: DataFrame) -> DataFrame:
+    """_BLOCKS of the buckets that hold several components: each block of members outside the largest one with each block of all."""
+    labelled = members.where("n > 2").join(components, F.col("cid") == F.col("node"), "left")
+    labelled = common.durable(labelled.select("bucket", "cid", F.coalesce("component", "cid").alias("component")))
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    open_ = open_.select("bucket", F.col("largest.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("out"))
+    rows = labelled.join(common.small(common.durable(open_)), "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    left = rows.where("component != largest").select("bucket", mine("out").alias("i"), every("all").alias("j"), F.lit(True).alias("outside"), "cid", "component")
+    right = rows.select("bucket", every("out").alias("i"), mine("all").alias("j"), F.lit(False).alias("outside"), "cid", "component")
+    return left.unionByName(right)
+
+
+def _in_parts(blocks: DataFrame, bytes_: int) -> DataFrame:
+    """blocks with part: pairs of blocks dealt to groups of bounded size."""
+    return blocks.withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, -(-bytes_ // GROUP_BYTES)))))
+
+
+def links_across(members: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between components that share a bucket."""
+    blocks = common.durable(_blocks(members, components))
+    shorts = classes.mapInArrow(_short, "cid bigint, short binary")
+    signed = _in_parts(blocks.join(shorts, "cid"), blocks.count() * (MINIMA + 80))
+    agreeing = common.durable(signed.groupBy("part").applyInArrow(_agreeing, _BLOCKS))
+    if agreeing.isEmpty():
+        return agreeing.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    sets = sets_of(agreeing.select("cid").distinct(), classes, docs)
+    joined = agreeing.join(sets, "cid")
+    total = agreeing.join(classes.select("cid", "n_shingles"), "cid").agg(F.sum(F.col("n_shingles") * 8 + 80)).first()[0]
+    return common.durable(_in_parts(joined, total).groupBy("part").applyInArrow(_spanning, "a bigint, b bigint").distinct())
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """cid, set_id, rep (smallest doc_id) and key of its text, n_shingles, signature and rows of each different set."""
+    found = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "key")).alias("first"), F.first("n").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("rows")
+    )
+    return common.durable(found.select(F.monotonically_increasing_id().alias("cid"), "set_id", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "n_shingles", "signature", "rows"))
+
+
+def _of_one_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of texts that share a doc_id."""
+    several = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("doc_id")
+    texts = signed.join(common.small(common.durable(several)), "doc_id", "left_semi").select("doc_id", "set_id").distinct()
+    named = common.durable(texts.join(classes.select("set_id", "cid"), "set_id").select("doc_id", "cid"))
+    first = named.groupBy("doc_id").agg(F.min("cid").alias("a"))
+    return named.join(first, "doc_id").select("a", F.col("cid").alias("b")).where("a != b")
+
+
+def _labels(classes: DataFrame, components: DataFrame) -> DataFrame:
+    """set_id, component_id and rows of each class; a component is named by its smallest doc_id."""
+    of = classes.select("cid", "set_id", "rep", "rows").join(components, F.col("cid") == F.col("node"), "left")
+    of = common.durable(of.select("set_id", "rep", "rows", "component"))
+    joined = of.where("component IS NOT NULL")
+    least = common.durable(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")))
+    large = joined.join(common.small(least.where(F.col("k") > HEAVY)), "component")
+    other = joined.join(common.small(least.where(F.col("k") > HEAVY).select("component")), "component", "left_anti").join(least, "component")
+    alone = of.where("component IS NULL").select("set_id", F.col("rep").alias("component_id"), "rows")
+    return common.durable(alone.unionByName(large.unionByName(other).select("set_id", "component_id", "rows")))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, key (text_key), n_shingles, component_id: one row for each row of docs."""
+    docs = docs.select("doc_id", "text")
+    signed = common.durable(docs.select("doc_id", common.text_key().alias("key"), "text").mapInArrow(_sign, _SIGNED_DDL))
+    classes = _classes(signed)
+    buckets = classes.select("cid", "signature").mapInArrow(_bands, "bucket bigint, cid bigint")
+    shared = buckets.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = common.durable(buckets.join(shared, "bucket"))
+    pairs = members.where("cid != pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.max("n").alias("n"))
+    links = common.durable(verify(pairs, classes, docs).unionByName(_of_one_document(signed, classes)))
     components = common.durable(connected_components(links))
-    left = _open_buckets(members, components)
-    few = left.where(F.col("n") <= FEW).join(reps, "rep").groupBy("bucket").applyInArrow(_across, "a bigint, b bigint").distinct()
-    more = verify(few.join(checked.select("a", "b"), ["a", "b"], "left_anti"), docs).where("linked").select("a", "b")
-    more = common.durable(more.union(_links_across(left.where(F.col("n") > FEW), docs)))
+    more = links_across(members, components, classes, docs)
     if not more.isEmpty():
-        components = common.durable(connected_components(links.union(more)))
-    found = classed.join(components, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        components = common.durable(connected_components(links.unionByName(more)))
+    labels = _labels(classes, components)
+    rows = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "set_id")
+    heavy = common.small(labels.where(F.col("rows") > HEAVY).select("set_id", "component_id"))
+    often = rows.join(heavy, "set_id")
+    other = rows.where("set_id IS NOT NULL").join(heavy.select("set_id"), "set_id", "left_anti").join(labels.select("set_id", "component_id"), "set_id", "left")
+    none = rows.where("set_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    return often.unionByName(other).unionByName(none).drop("set_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept: one row for each row of docs."""
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the first of their component; the columns of docs."""
-    copies = common.durable(near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(common.small(copies), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that are not the first of their component; the columns of docs.
+
+    A row without doc_id goes if its component has a name, as it then is a copy of a document with one.
+    """
+    which = lambda key: F.when(F.col("id").isNull(), F.col(key)).otherwise(F.lit(0))
+    found = _labelled(docs).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").withColumnRenamed("doc_id", "id")
+    gone = common.small(common.durable(found.select(F.col("id").alias("gone_id"), which("key").alias("gone_key")).distinct()))
+    rows = docs.select(common.packed(docs).alias("row"), F.col("doc_id").alias("id"), common.text_key().alias("key"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (which("key") == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,12 +43,40 @@ def test_prefixes_are_lengthened(spark):
 
 def test_near_duplicates(spark, corpus_dir, corpus_rows, monkeypatch):
     want = brute.components([r[:2] for r in corpus_rows])
-    for few in (64, 2):  # the second sends every open bucket to the block path
-        monkeypatch.setattr(near_duplicates, "FEW", few)
+    for block, group, heavy in ((512, 12 << 20, 1000), (2, 500, 1)):  # the second splits every bucket into many blocks and groups
+        for name, value in (("BLOCK", block), ("GROUP_BYTES", group), ("HEAVY", heavy)):
+            monkeypatch.setattr(near_duplicates, name, value)
         got = by_id(near_duplicates.op10_near_duplicates(spark, corpus_dir))
         assert got == {d: (n, c, d == c) for d, (n, c) in want.items()}
 
 
+def test_all_texts_of_a_document_link(spark):
+    words = lambda tag, cut=0: " ".join(f"{tag}{i}" for i in range(60 - cut))
+    docs = [(5, words("a")), (5, words("b")), (6, words("a", 2)), (7, words("b", 2)), (8, words("c")), (9, words("c")), (9, words("d")), (12, words("d", 1)), (None, words("a")), (None, words("e")), (13, "")]
+    rows = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"] is not None) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (9, 8), (12, 8), (13, 13)]
+    assert sorted(str(r["component_id"]) for r in rows if r["doc_id"] is None) == ["5", "None"]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_that_no_pivot_has(spark, monkeypatch, block):
+    """Chains of texts that drift apart: neighbours are linked, ends are not; all of them share buckets."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for chain in range(6):
+        words = base[:]
+        for step in range(8):
+            docs.append((chain * 100 + step, " ".join(words)))
+            for _ in range(8):
+                words[rng.randrange(len(words))] = f"x{chain}y{step}z{rng.random()}"
+    rng.shuffle(docs)
+    want = brute.components(docs)
+    got = by_id(near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert got == {d: (n, c, d == c) for d, (n, c) in want.items()}
+
+
 def test_blocks_of_large_buckets(spark):
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 300, 60).astype(np.uint64)) for _ in range(7)] for _ in range(2))
