@@ -1,41 +1,53 @@
-"""Derived legal corpora: the given tables hold none, so the same expression makes one in Spark and in SQL."""
+"""Derived legal corpora: the given tables hold none, so the same expressions make one in Spark and in SQL.
+
+Every derived text holds the whole of a document's text, dealt in about equal parts to the places that the document has;
+how many sections, letters, paragraphs, opinions and citations there are varies by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ORDER = """'By the authority vested in me as President.' || chr(10) || 'Section 1. Purpose. ' || substr(text, 1, 1500) || chr(10)
-|| 'Sec. 2. Policy. See ' || cast(doc_id % 50 + 1 as {S}) || ' U.S.C. § ' || cast(doc_id % 900 + 100 as {S}) || '.' || chr(10) || '(a) ' || substr(text, 1501, 1500) || chr(10)
-|| '(b) Under ' || cast(doc_id % 40 + 1 as {S}) || ' C.F.R. § ' || cast(doc_id % 300 + 1 as {S}) || '.' || cast(doc_id % 90 + 1 as {S}) || ', ' || substr(text, 3001, 1500) || chr(10)
-|| 'Sec. 3. General. Article II and the Fifth Amendment apply.'"""
-_COURT = """CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Syllabus Held: ' || replace(substr(text, 1, 300), chr(10), ' ') || ' ' END
-|| CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Justice Alpha delivered the opinion of the Court. ' || replace(substr(text, 301, 900), chr(10), ' ') || ' ' END
-|| CASE WHEN doc_id % 3 = 0 THEN 'Justice Beta, concurring. ' || replace(substr(text, 1201, 400), chr(10), ' ') || ' ' ELSE '' END
-|| CASE WHEN doc_id % 2 = 0 THEN 'Justice Gamma, dissenting. ' || replace(substr(text, 1601, 400), chr(10), ' ') ELSE '' END"""
+#: First step: numbers that decide on a document's structure. {S} is the string type, {DIV} whole division.
+_NUMBERS = {
+    "k": "doc_id % 4 + 1",
+    "l": "CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END",
+    "s": "CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END",
+    "m": "CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END",
+    "c": "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END",
+    "d": "CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END",
+    "x": "CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END",
+    "usc": "cast(doc_id % 50 + 1 as {S}) || ' U.S.C. § ' || cast(doc_id % 900 + 100 as {S})",
+    "usc2": "cast(doc_id % 50 + 1 as {S}) || ' USC ' || cast(doc_id % 7 + 1000 as {S}) || '(a)'",
+    "cfr": "cast(doc_id % 40 + 1 as {S}) || ' C.F.R. § ' || cast(doc_id % 300 + 1 as {S}) || '.' || cast(doc_id % 90 + 1 as {S})",
+}
+#: Second step: parts of an order (sections by k, letters by l) and of a set of opinions.
+_COUNTS = {"n_order": "CASE k WHEN 1 THEN 1 WHEN 2 THEN 1 + l WHEN 3 THEN 2 + l ELSE 3 + l END", "n_court": "s + m + c + d + x"}
 
 
-def _share(k: str, n: str) -> str:
-    """Part k of n about equal ones of the text; together they are the whole of it."""
-    at = lambda i: f"(char_length(text) * ({i}) div ({n}))"
-    return f"substr(text, cast({at(k)} as int) + 1, cast({at(f'{k} + 1')} - {at(k)} as int))"
+def _part(i: str, n: str) -> str:
+    """Part i of n of the text; all parts together are the whole of it."""
+    at = lambda i: f"(char_length(text) * ({i}) {{DIV}} ({n}))"
+    return f"substr(text, cast({at(i)} as int) + 1, cast({at(f'({i}) + 1')} - {at(i)} as int))"
 
 
-def _whole_order() -> str:
-    """_ORDER with the whole text in its three places."""
-    text = _ORDER.format(S="string")
-    for k, first in enumerate((1, 1501, 3001)):
-        text = text.replace(f"substr(text, {first}, 1500)", _share(str(k), "3"))
-    return text
+def _order() -> str:
+    p = lambda i: _part(i, "n_order")
+    letters = f"""'(a) ' || {p("1")} || chr(10) || '(b) Under ' || cfr || ', ' || {p("2")} || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '(i) first thing' || chr(10) || '(ii) second thing' || chr(10) ELSE '' END
+|| CASE WHEN l = 3 THEN '(c) ' || {p("3")} || chr(10) ELSE '' END"""
+    return f"""CASE WHEN doc_id % 13 = 0 THEN text ELSE CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'By the authority vested in me as President.' || chr(10) END || 'Section 1. Purpose. ' || {p("0")} || chr(10)
+|| CASE WHEN k >= 2 THEN 'Sec. 2. Policy. See ' || usc || ' and ' || usc2 || '.' || chr(10) || CASE WHEN l = 1 THEN {p("1")} || chr(10) ELSE {letters} END ELSE '' END
+|| CASE WHEN k >= 3 THEN 'Sec. 3. General. Article II, § 3, cl. 1 and the Fifth Amendment apply, with ' || usc || ' and U.S. Const. amendment XIV, § 1. ' || {p("1 + l")} || chr(10) ELSE '' END
+|| CASE WHEN k >= 4 THEN 'Sec. 4a. ' || {p("2 + l")} ELSE '' END END"""
 
 
-def _whole_court() -> str:
-    """_COURT with the whole text dealt to the parts that a document has; without any part, the bare text."""
-    has = [f"cast({c} as int)" for c in ("doc_id % 5 <> 0", "doc_id % 7 <> 0", "doc_id % 3 = 0", "doc_id % 2 = 0")]
-    text = _COURT
-    for k, old in enumerate(("1, 300", "301, 900", "1201, 400", "1601, 400")):
-        text = text.replace(f"substr(text, {old})", _share(" + ".join(["0", *has[:k]]), " + ".join(has)))
-    return f"CASE WHEN {' + '.join(has)} = 0 THEN text ELSE {text} END"
+def _court() -> str:
+    p = lambda i: f"replace({_part(i, 'n_court')}, chr(10), ' ')"
+    majority = f"'Justice Alpha delivered the opinion of the Court. ' || {p('s')} || CASE WHEN m = 2 THEN '. I Under the law ' || {p('s + 1')} || '. II We hold so.' ELSE '' END || ' '"
+    return f"""CASE WHEN n_court = 0 THEN text ELSE CASE WHEN s = 1 THEN 'Syllabus Held: ' || {p("0")} || ' ' ELSE '' END || CASE WHEN m > 0 THEN {majority} ELSE '' END
+|| CASE WHEN c = 1 THEN 'Justice Beta, with whom Justice Delta joins, concurring. ' || {p("s + m")} || ' ' ELSE '' END || CASE WHEN x = 1 THEN 'Justice Epsilon, concurring in part and dissenting in part. ' || {p("s + m + c")} || ' ' ELSE '' END
+|| CASE WHEN d = 1 THEN 'Justice Gamma, dissenting. ' || {p("s + m + c + x")} ELSE '' END END"""
 
 
 _PRESIDENT = "CASE doc_id % 3 WHEN 0 THEN 'Ada Alpha' WHEN 1 THEN 'Ben Beta' ELSE 'Cy Gamma' END"
@@ -54,32 +66,41 @@ def _array(name: str, spark: bool) -> str:
     return "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {lit(v) if v else empty}" for i, v in enumerate(values)) + " END"
 
 
-def _columns(spark: bool) -> dict[str, str]:
-    s = "string" if spark else "varchar"
+def _steps(spark: bool) -> list[dict[str, str]]:
+    """The columns that each step adds, or for the last one has."""
+    s, div = ("string", "div") if spark else ("varchar", "//")
     day = "date_add(DATE'2021-01-20', cast(doc_id % 1400 as int))" if spark else "DATE '2021-01-20' + cast(doc_id % 1400 as integer)"
     case = "doc_id div 3" if spark else "doc_id // 3"
-    return {
-        "doc_id": "doc_id", "document_id": f"cast(doc_id as {s})", "text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars",
-        "order_text": _ORDER.format(S=s), "court_text": _COURT, "president": _PRESIDENT, "justice": _JUSTICE, "opinion_code": _TYPE,
+    last = {
+        "doc_id": "doc_id", "document_id": "cast(doc_id as {S})", "text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars",
+        "order_text": _order(), "court_text": _court(), "president": _PRESIDENT, "justice": _JUSTICE, "opinion_code": _TYPE,
         "agencies": _array("agencies", spark), "topics": _array("topics", spark), "signing_date": f"cast({day} as {s})", "case_id": f"cast({case} as bigint)",
-        "order_number": f"CASE WHEN doc_id % 11 = 0 THEN '' ELSE cast(14000 + doc_id as {s}) END",
+        "order_number": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE cast(14000 + doc_id as {S}) END",
         "case_name": f"CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'Case ' || cast({case} as {s}) END",
-        "url": f"'https://example.org/opinions/' || cast(doc_id as {s}) || '/'",
+        "url": "'https://example.org/opinions/' || cast(doc_id as {S}) || '/'",
     }
+    return [{n: e.replace("{S}", s).replace("{DIV}", div) for n, e in step.items()} for step in (_NUMBERS, _COUNTS, last)]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with an order text, a court text and legal metadata.
-
-    order_whole and court_whole hold the whole text; order_text and court_text a prefix of it, for the queries whose SQL reads them.
-    """
+    """documents with an order text, a court text and legal metadata."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = _columns(True) | {"order_whole": _whole_order(), "court_whole": _whole_court()}
-    return docs.select(*(F.expr(e).alias(n) for n, e in columns.items()))
+    numbers, counts, last = _steps(True)
+    for step in (numbers, counts):
+        docs = docs.select("*", *(F.expr(e).alias(n) for n, e in step.items()))
+    return docs.select(*(F.expr(e).alias(n) for n, e in last.items()))
+
+
+def _sql() -> str:
+    source = "documents"
+    numbers, counts, last = _steps(False)
+    for step in (numbers, counts):
+        source = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {source})"
+    return f"c AS (SELECT {', '.join(f'{e} AS {n}' for n, e in last.items())} FROM {source})"
 
 
-#: The same as a common table expression `c`, without the whole texts.
-CORPUS_SQL = "c AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _columns(False).items()) + " FROM documents)"
+#: The same as a common table expression `c`.
+CORPUS_SQL = _sql()
 
 
 def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:

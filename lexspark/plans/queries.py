@@ -12,6 +12,7 @@ from ..functions import citations, dates, scalars, textclean
 from ..operators import chunk, embed, filters, normalize, progress, render, reports, search, segment, store
 from ..operators.spread import spread
 from ..sources import records
+from . import oracles
 from .corpora import CORPUS_SQL, LOG_SQL, corpus, progress_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +66,13 @@ def a5_read_documents(spark, d):
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = corpus(spark, d).select("document_id", "n_chars")
-    old = c.where("cast(document_id AS bigint) % 2 = 0").withColumn("ingest_seq", F.lit(0))
-    new = c.where("cast(document_id AS bigint) % 3 = 0").withColumn("ingest_seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("n_chars", F.col("n_chars") + F.col("ingest_seq"))
+    old = c.withColumn("ingest_seq", F.lit(0))
+    labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.col("quality").cast("bigint").alias("n_chars"))
+    new = labels.withColumn("ingest_seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("n_chars", F.col("n_chars") + F.col("ingest_seq"))
     return old, new
 
 
-@query(C + "SELECT document_id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_chars, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS ingest_seq FROM c WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query(C + "SELECT coalesce(c.document_id, cast(l.doc_id AS VARCHAR)) AS document_id, coalesce(l.quality + 2, c.n_chars) AS n_chars, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 2 END AS ingest_seq FROM c FULL JOIN labels l ON l.doc_id = c.doc_id")
 def a6_upsert(spark, d):
     old, new = _versions(spark, d)
     return store.upsert(old, new, key="document_id")
@@ -237,11 +239,11 @@ def d5_fetch(spark, d):
     return store.fetch(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").where("lang = 'fr'").select("doc_id", "n_chars"), "doc_id")
 
 
-@query(C + "SELECT document_id, CASE WHEN lang = 'en' THEN substr(text, 1, 50) ELSE 'chunk' END AS text, CASE WHEN lang = 'en' THEN president ELSE 'p' END AS president, CASE WHEN doc_id % 2 = 0 THEN 1 WHEN lang = 'en' THEN 2 END AS signing_date FROM c")
+@query(C + "SELECT document_id, CASE WHEN lang = 'en' THEN text ELSE 'chunk' END AS text, CASE WHEN lang = 'en' THEN president ELSE 'p' END AS president, CASE WHEN doc_id % 2 = 0 THEN 1 WHEN lang = 'en' THEN 2 END AS signing_date FROM c")
 def d6_d7_full_documents(spark, d):
     c = corpus(spark, d)
     chunks = c.select("document_id", F.lit("chunk").alias("text"), F.lit("p").alias("president"), F.when(F.col("doc_id") % 2 == 0, 1).alias("signing_date"))
-    docs = c.where("lang = 'en'").select("document_id", F.substring("text", 1, 50).alias("text"), "president", F.lit(2).alias("signing_date"))
+    docs = c.where("lang = 'en'").select("document_id", "text", "president", F.lit(2).alias("signing_date"))
     return store.full_documents(chunks, docs, ("signing_date",), ("president",))
 
 
@@ -312,11 +314,12 @@ def e11_close_run(spark, d):
     return progress.close_run(runs, state)
 
 
-@query(L + """SELECT *, p + f AS total_processed, p * 1.0::DOUBLE / (p + f) * 100 AS success_rate, (p + f) / 120.0::DOUBLE * 60 AS throughput_per_minute, 100000 - (p + f) AS remaining_documents,
-(p + f) * 1.0::DOUBLE / 100000 * 100 AS completion_percentage FROM (SELECT count(*) FILTER (status = 'completed') AS p, count(*) FILTER (status = 'failed') AS f FROM state)""")
+@query(L + """SELECT p AS documents_processed, f AS documents_failed, round(mean, 6) AS avg_processing_time_ms, round((100000 - (p + f)) / ((p + f) / 120.0::DOUBLE), 6) AS eta_seconds,
+CASE WHEN e < 60 THEN format('{:.1f}s', e) WHEN e < 3600 THEN format('{}m {}s', cast(floor(e) as bigint) // 60, cast(floor(e) as bigint) % 60) ELSE format('{}h {}m', cast(floor(e) as bigint) // 3600, cast(floor(e) as bigint) % 3600 // 60) END AS eta_formatted, p + f AS total_processed, p * 1.0::DOUBLE / (p + f) * 100 AS success_rate, (p + f) / 120.0::DOUBLE * 60 AS throughput_per_minute, 100000 - (p + f) AS remaining_documents,
+(p + f) * 1.0::DOUBLE / 100000 * 100 AS completion_percentage FROM (SELECT *, (100000 - (p + f)) / ((p + f) / 120.0::DOUBLE) AS e FROM (SELECT count(*) FILTER (status = 'completed') AS p, count(*) FILTER (status = 'failed') AS f, avg(processing_time_ms) FILTER (status = 'completed') AS mean FROM state))""")
 def e12_throughput(spark, d):
     out = progress.throughput(progress.current(progress_log(spark, d)), 120.0, 100_000)
-    return out.select(F.col("documents_processed").alias("p"), F.col("documents_failed").alias("f"), "total_processed", "success_rate", "throughput_per_minute", "remaining_documents", "completion_percentage")
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_processing_time_ms", "eta_seconds")})
 
 
 # --- sorts, windows, search
@@ -407,14 +410,17 @@ def i1_strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", textclean.strip_html(F.col("html"), entities=False).alias("text"))
 
 
-@query()
+_DECODED = "regexp_replace(regexp_replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34), 'g'), '&amp;?', '&', 'g')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED}, '<[^>]+>', '', 'g'), '{oracles.BLANK}+', ' ', 'g')) AS text FROM pages")
 def i1_strip_html(spark, d):
     return spread(table(spark, d, "pages")).select("page_id", textclean.strip_html(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 200) || ' <b> & ' ELSE '<html><pre> x' END) AS text FROM documents")
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {oracles.trim("text || ' <b> &'")} WHEN 1 THEN '<html><pre> ' || text ELSE text END AS text FROM documents")
 def i2_raw_text(spark, d):
-    raw = F.expr("CASE WHEN doc_id % 2 = 0 THEN '<html><pre> ' || substr(text, 1, 200) || ' &lt;b&gt; <a href=\"u\">gone</a>&amp; </pre></html>' ELSE '<html><pre> x' END")
+    raw = F.expr("CASE doc_id % 3 WHEN 0 THEN '<html><pre> ' || text || ' &lt;b&gt; <a href=\"u\">gone</a>&amp; </pre></html>' WHEN 1 THEN '<html><pre> ' || text ELSE text END")
     return table(spark, d, "documents").select("doc_id", textclean.clean_raw_text(raw).alias("text"))
 
 
@@ -441,42 +447,46 @@ def i9_date_of_timestamp(spark, d):
     return table(spark, d, "events").select("event_id", dates.date_of_timestamp(text).cast("string").alias("day"))
 
 
-_CODE = r"regexp_extract_all(order_text, '(?i)(\d{1,2})\s*%s\s*%s(\d+(?:\.\d+)?(?:\([a-z0-9]+\))*)', %d)"
+def _listed(x: str, fields: tuple[str, ...]) -> str:
+    """SQL for a row for each entry of a list of structs, with its place from 0."""
+    return C + f"SELECT doc_id, pos - 1 AS pos, {', '.join(f'r.{f} AS {f}' for f in fields)} FROM (SELECT doc_id, unnest(x) AS r, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {x} AS x FROM c))"
+
 
+def _entries(spark: SparkSession, d: str, found) -> DataFrame:
+    return corpus(spark, d).select("doc_id", F.posexplode(found(F.col("order_text"))).alias("pos", "r")).select("doc_id", F.col("pos").cast("long").alias("pos"), "r.*")
 
-@query(C + f"SELECT doc_id, {_CODE % (r'C\.?\s*F\.?\s*R\.?', r'(?:Part\s*|§\s*)?', 1)} AS titles, {_CODE % (r'C\.?\s*F\.?\s*R\.?', r'(?:Part\s*|§\s*)?', 2)} AS sections FROM c")
+
+@query(_listed(oracles.cfr("order_text"), ("title", "section", "full_citation")))
 def i10_cfr(spark, d):
-    return corpus(spark, d).select("doc_id", citations.cfr_citations(F.col("order_text")).alias("x")).select("doc_id", F.col("x.title").alias("titles"), F.col("x.section").alias("sections"))
+    return _entries(spark, d, citations.cfr_citations)
 
 
-@query(C + f"SELECT doc_id, {_CODE % (r'U\.?\s*S\.?\s*C\.?', r'(?:§§?\s*)?', 1)} AS titles, {_CODE % (r'U\.?\s*S\.?\s*C\.?', r'(?:§§?\s*)?', 2)} AS sections FROM c")
+@query(_listed(oracles.usc("order_text"), ("title", "section", "full_citation")))
 def i11_usc(spark, d):
-    return corpus(spark, d).select("doc_id", citations.usc_citations(F.col("order_text")).alias("x")).select("doc_id", F.col("x.title").alias("titles"), F.col("x.section").alias("sections"))
+    return _entries(spark, d, citations.usc_citations)
 
 
-@query(C + r"SELECT doc_id, list_concat(regexp_extract_all(order_text, '(?:U\.?S\.?\s*Const\.?\s*)?[Aa]rt(?:icle)?\.?\s+([IVX]+)(?:,?\s*§\s*(\d+))?(?:,?\s*cl\.?\s*(\d+))?', 1), ['V']) AS numbers FROM c")
+@query(_listed(oracles.constitution("order_text"), ("type", "number", "section", "clause", "full_citation")))
 def i12_constitution(spark, d):
-    return corpus(spark, d).select("doc_id", citations.constitution_citations(F.col("order_text"))["number"].alias("numbers"))
+    return _entries(spark, d, citations.constitution_citations)
 
 
 @query(C + """SELECT doc_id, cast(doc_id % 40 + 1 as varchar) || ' C.F.R. § ' || cast(doc_id % 300 + 1 as varchar) || CASE WHEN doc_id % 2 = 0 THEN ' (' || substr(signing_date, 1, 4) || ')' ELSE '' END AS cfr,
-CASE WHEN doc_id % 3 = 0 THEN 'U.S. Const. art. II, § ' || cast(doc_id % 9 as varchar) WHEN doc_id % 3 = 1 THEN 'U.S. Const. amend. V' END AS constitution FROM c""")
+cast(doc_id % 50 + 1 as varchar) || ' U.S.C. § ' || cast(doc_id % 900 as varchar) AS usc,
+CASE WHEN doc_id % 3 = 0 THEN 'U.S. Const. art. II, § ' || cast(doc_id % 9 as varchar) || CASE WHEN doc_id % 2 = 0 THEN ', cl. 3' ELSE '' END WHEN doc_id % 3 = 1 THEN 'U.S. Const. amend. V' END AS constitution FROM c""")
 def i13_format(spark, d):
     s = lambda e: F.expr(f"cast({e} as string)")
     return corpus(spark, d).select(
         "doc_id", citations.format_cfr(s("doc_id % 40 + 1"), s("doc_id % 300 + 1"), F.expr("CASE WHEN doc_id % 2 = 0 THEN substr(signing_date, 1, 4) END")).alias("cfr"),
-        citations.format_constitution(F.expr("CASE WHEN doc_id % 3 = 0 THEN 'II' END"), F.expr("CASE WHEN doc_id % 3 = 1 THEN 'V' END"), F.expr("CASE WHEN doc_id % 3 = 0 THEN cast(doc_id % 9 as string) END"), F.lit(None).cast("string")).alias("constitution"),
+        citations.format_constitution(F.expr("CASE WHEN doc_id % 3 = 0 THEN 'II' END"), F.expr("CASE WHEN doc_id % 3 = 1 THEN 'V' END"), F.expr("CASE WHEN doc_id % 3 = 0 THEN cast(doc_id % 9 as string) END"), F.expr("CASE WHEN doc_id % 6 = 0 THEN '3' END")).alias("constitution"),
+        citations.format_usc(s("doc_id % 50 + 1"), s("doc_id % 900")).alias("usc"),
     )
 
 
-_LISTS = """SELECT doc_id, [cast(doc_id % 50 + 1 as varchar) || ' U.S.C. § ' || cast(doc_id % 900 + 100 as varchar)] AS federal_statutes_cited,
-[cast(doc_id % 40 + 1 as varchar) || ' C.F.R. § ' || cast(doc_id % 300 + 1 as varchar) || '.' || cast(doc_id % 90 + 1 as varchar)] AS federal_regulations_cited FROM c"""
-
-
-@query(C + _LISTS)
+@query(f"WITH {CORPUS_SQL}, {oracles.CITATION_LISTS} SELECT doc_id, constitution_cited, federal_statutes_cited, federal_regulations_cited FROM cite")
 def i14_h3_citation_lists(spark, d):
-    lists = citations.citation_lists(F.col("order_whole"))
-    return corpus(spark, d).select("doc_id", *(lists[c].alias(c) for c in ("federal_statutes_cited", "federal_regulations_cited")))
+    lists = citations.citation_lists(F.col("order_text"))
+    return corpus(spark, d).select("doc_id", *(c.alias(n) for n, c in lists.items()))
 
 
 @query(C + "SELECT doc_id, CASE WHEN len(topics) < 5 THEN list_slice(list_concat(topics, ['federal policy', 'executive action', 'government regulation']), 1, 5) ELSE list_slice(topics, 1, 8) END AS topics FROM c")
@@ -491,7 +501,7 @@ def i16_extraction(spark, d):
     return r.select("doc_id", "r.document_summary", "r.failed", F.size("r.topics_or_policy_areas").alias("n_topics"))
 
 
-@query()
+@query(C + f"SELECT document_id || '_chunk_0' AS chunk_id, document_id || '_chunk_0' AS original_id, {oracles.point_id("document_id || '_chunk_0'")} AS point_id FROM c")
 def i18_point_ids(spark, d):
     return store.with_point_ids(corpus(spark, d).select(F.concat("document_id", F.lit("_chunk_0")).alias("chunk_id")))
 
@@ -560,78 +570,104 @@ def i25_detect_type(spark, d):
 # --- segments and chunks
 
 
-@query(C + """SELECT doc_id, list_filter([CASE WHEN doc_id % 5 <> 0 THEN 'Syllabus' END, CASE WHEN doc_id % 7 <> 0 THEN 'Majority Opinion' END, CASE WHEN doc_id % 3 = 0 THEN 'Concurring Opinion' END, CASE WHEN doc_id % 2 = 0 THEN 'Dissenting Opinion' END], lambda x: x IS NOT NULL) AS labels
-FROM c WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 UNION ALL SELECT doc_id, ['Opinion'] FROM c WHERE NOT (doc_id % 5 <> 0 OR doc_id % 7 <> 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0)""")
+def _segments(found: DataFrame) -> DataFrame:
+    """Rows of doc_id and an array of segments as place, label and a digest of the text."""
+    return found.select("doc_id", F.posexplode("x").alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), "s.label", F.md5("s.text").alias("text_md5"))
+
+
+_PLACED = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, label, md5(text) AS text_md5 FROM sec"
+_NUMBERED = "SELECT doc_id, no - 1 AS pos, label, md5(text) AS text_md5 FROM seg"
+
+
+@query(f"WITH {CORPUS_SQL}, {oracles.opinion_sections()} {_PLACED}")
 def j1_j7_opinion_sections(spark, d):
-    return corpus(spark, d).select("doc_id", segment.opinion_sections(F.col("court_whole"))["label"].alias("labels"))
+    return _segments(corpus(spark, d).select("doc_id", segment.opinion_sections(F.col("court_text")).alias("x")))
 
 
-@query()
+@query(f"WITH {CORPUS_SQL}, {oracles.opinion_segments()} {_NUMBERED}")
 def j2_opinion_parts(spark, d):
-    text = F.expr("'Justice Alpha delivered the opinion of the Court. Lead. I Under the law ' || substr(text, 1, cast(char_length(text) div 2 as int)) || '. II We hold ' || substr(text, cast(char_length(text) div 2 as int) + 1)")
-    return corpus(spark, d).select("doc_id", F.explode(segment.opinion_segments(text)).alias("s")).select("doc_id", "s.label", "s.text")
+    return _segments(corpus(spark, d).select("doc_id", segment.opinion_segments(F.col("court_text")).alias("x")))
+
 
+_SYLLABUS = "SELECT doc_id, min_by(text, pos) AS text FROM sec WHERE label = 'Syllabus' GROUP BY doc_id"
 
-@query(C + "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN nullif(trim('Held: ' || replace(substr(text, 1, 300), chr(10), ' ')), '') END AS syllabus FROM c")
+
+@query(f"WITH {CORPUS_SQL}, {oracles.opinion_sections()} SELECT c.doc_id, nullif({oracles.trim(r"regexp_replace(f.text, '(?i)^Syllabus', '')")}, '') AS syllabus FROM c LEFT JOIN ({_SYLLABUS}) f ON f.doc_id = c.doc_id")
 def j3_syllabus(spark, d):
     return corpus(spark, d).select("doc_id", segment.syllabus_text(F.col("court_text")).alias("syllabus"))
 
 
-@query(C + "SELECT doc_id, ['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 3 - General'] AS labels FROM c")
+@query(f"WITH {CORPUS_SQL}, {oracles.order_sections()} {_PLACED}")
 def j4_order_sections(spark, d):
-    return corpus(spark, d).select("doc_id", segment.order_sections(F.col("order_whole"))["label"].alias("labels"))
+    return _segments(corpus(spark, d).select("doc_id", segment.order_sections(F.col("order_text")).alias("x")))
 
 
-@query(C + "SELECT doc_id, label, count(*) AS n FROM (SELECT doc_id, unnest(['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 2 - Policy(a)', 'Sec. 2 - Policy(b)', 'Sec. 3 - General']) AS label FROM c) GROUP BY ALL")
+@query(f"WITH {CORPUS_SQL}, {oracles.order_segments()} {_NUMBERED}")
 def j5_order_segments(spark, d):
-    s = corpus(spark, d).select("doc_id", F.explode(segment.order_segments(F.col("order_whole"))["label"]).alias("label"))
-    return s.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    return _segments(corpus(spark, d).select("doc_id", segment.order_segments(F.col("order_text")).alias("x")))
 
 
-@query()
+_CHUNK_COLUMNS = "c.document_id, c.document_id || '_chunk_' || k.chunk_index AS chunk_id, k.chunk_index, k.label AS section_label, md5(k.text) AS text_md5, k.tokens AS token_count, k.first AS start_char, k.last AS end_char"
+
+
+@query(oracles.WHOLE_CHUNKS + "SELECT doc_id, chunk_index, tokens, md5(text) AS text_md5, first AS start_char, last AS end_char FROM chunk")
 def j8_chunk_windows(spark, d):
-    """Every document as one segment, in source-parity mode; tests hold it against a plain version of the rules."""
+    """Every document as one segment, in source-parity mode."""
     segments = F.array(F.struct(F.lit("Opinion").alias("label"), F.col("text").alias("text")))
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunk.chunk_column(segments, chunk.OPINION, gap_free=False)).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", F.col("c.tokens").alias("tokens"), F.md5("c.text").alias("text_md5"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.tokens").cast("long").alias("tokens"), F.md5("c.text").alias("text_md5"), F.col("c.start").cast("long").alias("start_char"), F.col("c.end").cast("long").alias("end_char"))
 
 
-@query()
+def _digested(chunks: DataFrame) -> DataFrame:
+    long = ("chunk_index", "token_count", "start_char", "end_char")
+    return chunks.select(*(F.md5("text").alias("text_md5") if c == "text" else F.col(c).cast("long").alias(c) if c in long else F.col(c) for c in chunks.columns))
+
+
+def order_chunks(spark, d):
+    return chunk.chunk_documents(corpus(spark, d).select("document_id", "president", F.col("order_text").alias("text")), "order")
+
+
+@query(oracles.ORDER_CHUNKS + f"SELECT {_CHUNK_COLUMNS}, c.president FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
 def j9_chunk_orders(spark, d):
-    return chunk.chunk_documents(corpus(spark, d).select("document_id", "president", F.col("order_whole").alias("text")), "order")
+    return _digested(order_chunks(spark, d))
 
 
-@query()
+@query(oracles.OPINION_CHUNKS + f"SELECT {_CHUNK_COLUMNS}, c.justice FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
 def j9_chunk_opinions(spark, d):
-    return chunk.chunk_documents(corpus(spark, d).select("document_id", "justice", F.col("court_whole").alias("text")), "opinion")
+    return _digested(chunk.chunk_documents(corpus(spark, d).select("document_id", "justice", F.col("court_text").alias("text")), "opinion"))
 
 
-@query(C + "SELECT label AS section_label, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(['Preamble', 'Sec. 1 - Purpose', 'Sec. 2 - Policy', 'Sec. 2 - Policy(a)', 'Sec. 2 - Policy(b)', 'Sec. 3 - General']) AS label FROM c) GROUP BY ALL")
+@query(oracles.ORDER_CHUNKS + "SELECT label AS section_label, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, round(avg(tokens), 6) AS avg_tokens FROM chunk GROUP BY label")
 def e13_section_breakdown(spark, d):
-    return reports.section_breakdown(j9_chunk_orders(spark, d)).select("section_label", "n_documents")
+    return reports.section_breakdown(order_chunks(spark, d)).withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
-@query(C + "SELECT doc_id, 4::INTEGER AS total_citations FROM c")
+_TOPICS = "CASE WHEN len(topics) < 5 THEN list_slice(list_concat(topics, ['federal policy', 'executive action', 'government regulation']), 1, 5) ELSE list_slice(topics, 1, 8) END"
+
+
+@query(f"""WITH {CORPUS_SQL}, {oracles.CITATION_LISTS} SELECT doc_id, constitution_cited, federal_statutes_cited, federal_regulations_cited, {_TOPICS} AS topics_or_policy_areas,
+len(constitution_cited) + len(federal_statutes_cited) + len(federal_regulations_cited) AS total_citations, false AS llm_extraction_failed, false AS requires_reprocessing FROM cite""")
 def e14_k3_extract_fields(spark, d):
-    return embed.extract_fields(corpus(spark, d).select("doc_id", F.col("order_whole").alias("text"), "topics"), topics="topics", kind="order").select("doc_id", "total_citations")
+    found = embed.extract_fields(corpus(spark, d).select("doc_id", F.col("order_text").alias("text"), "topics"), topics="topics", kind="order")
+    return found.drop("text", "topics").withColumn("total_citations", F.col("total_citations").cast("long"))
 
 
 @query()
 def k2_embed_chunks(spark, d):
-    chunks = store.with_point_ids(j9_chunk_orders(spark, d))
+    chunks = store.with_point_ids(order_chunks(spark, d))
     return embed.embed(chunks, "text", 64).select("point_id", "chunk_id", "embedding", "embed_failed")
 
 
-@query()
+@query(oracles.ORDER_CHUNKS + f"SELECT {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.document_id, k.chunk_index, k.label AS section_label, k.tokens AS token_count FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
 def l1_stream_ingest(spark, d):
     """The derived orders as a file stream: chunks of the collection that the stream leaves behind."""
     from ..streaming.ingest import ingest_stream
 
     run = uuid.uuid4().hex
     folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{run}"
-    corpus(spark, d).select("document_id", F.col("order_whole").alias("text")).write.parquet(f"{folder}/in")
+    corpus(spark, d).select("document_id", F.col("order_text").alias("text")).write.parquet(f"{folder}/in")
     ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}").awaitTermination()
-    return spark.table(f"points_{run}").select("point_id", "document_id", "chunk_index", "section_label", "token_count")
+    return spark.table(f"points_{run}").select("point_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_label", F.col("token_count").cast("long").alias("token_count"))
 
 
 @query()
