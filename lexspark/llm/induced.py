@@ -6,8 +6,11 @@ queues on (symbol, order of arrival): each is a FIFO, taken in symbol order, fil
 blocks, and written to disk when the blocks in memory exceed a limit. An entry is a suffix tuple (place,
 common prefix with its predecessor in the queue); the value for a new entry is one more than the least value
 scanned since the last entry of that queue. The leftmost S suffixes, with which it all starts, are sorted by
-inducing their substrings, naming equal ones and sorting the string of names, recursively while that
-string is longer than a limit, else in memory.
+inducing their substrings, naming equal ones (compared symbol by symbol) and sorting the string of names, recursively while
+that string is longer than a limit, else in memory.
+
+The text, types, seeds, names and orders are files mapped into memory and read and written in blocks, so what a task holds is
+bounded by the limits, not by its shard. Files lie in a folder of the task and go with it; a lost task starts anew.
 
 Common prefixes are followed up to a cap; suffixes that agree in that many symbols may come in any order.
 """
@@ -16,22 +19,49 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 
-from . import tokens
-
 #: Tuples in memory before queues go to disk, tuples in a block, names that are sorted in memory.
-HELD, BLOCK, BASE = 8_000_000, 1 << 20, 4_000_000
+HELD, BLOCK, BASE = 400_000, 1 << 18, 1_000_000
+
+
+@dataclass
+class Disk:
+    """Mapped arrays in a folder, the limits that a sort keeps to, and what it did."""
+
+    folder: str
+    held: int = HELD
+    base: int = BASE
+    spilled: int = 0
+    depth: int = 0
+    made: list[Path] = field(default_factory=list)
+
+    def array(self, n: int, kind: type) -> np.ndarray:
+        path = Path(self.folder) / str(len(self.made))
+        self.made.append(path)
+        return np.memmap(path, dtype=kind, mode="w+", shape=max(n, 1))[:n]
+
+    def gathered(self, blocks: Iterator[np.ndarray], kind: type) -> np.ndarray:
+        """All blocks, one after another."""
+        path = Path(self.folder) / str(len(self.made))
+        self.made.append(path)
+        n = 0
+        with path.open("wb") as file:
+            for block in blocks:
+                file.write(block.astype(kind).tobytes())
+                n += len(block)
+        return np.memmap(path, dtype=kind, mode="r", shape=n) if n else np.zeros(0, dtype=kind)
 
 
 class Queues:
     """Disk-backed FIFO queues of suffix tuples, one for each symbol."""
 
-    def __init__(self, folder: str, held: int):
-        self.file = tempfile.TemporaryFile(dir=folder)
-        self.limit, self.held = held, 0
+    def __init__(self, disk: Disk):
+        self.file = tempfile.TemporaryFile(dir=disk.folder)
+        self.disk, self.limit, self.held = disk, disk.held, 0
         self.blocks: dict[int, list] = {}
         self.sizes: dict[int, int] = {}
 
@@ -39,18 +69,25 @@ class Queues:
         self.blocks.setdefault(symbol, []).append((places, common))
         self.sizes[symbol] = self.sizes.get(symbol, 0) + len(places)
         self.held += len(places)
-        while self.held > self.limit:
-            self._spill(max(self.sizes, key=self.sizes.__getitem__))
-
-    def _spill(self, symbol: int) -> None:
-        for i, block in enumerate(self.blocks[symbol]):
-            if len(block) == 2:
-                at = self.file.seek(0, 2)
-                self.file.write(block[0].tobytes())
-                self.file.write(block[1].tobytes())
-                self.blocks[symbol][i] = (at, len(block[0]), block[0].dtype)
-        self.held -= self.sizes[symbol]
-        self.sizes[symbol] = 0
+        if self.held > self.limit:
+            self._spill()
+
+    def _spill(self) -> None:
+        """All blocks in memory go to disk, one after another."""
+        at = self.file.seek(0, 2)
+        for symbol, n in self.sizes.items():
+            if n:
+                blocks = self.blocks[symbol]
+                for i in range(len(blocks) - 1, -1, -1):
+                    if len(blocks[i]) != 2:
+                        break  # those before it went earlier
+                    places, common = blocks[i]
+                    self.file.write(places.tobytes() + common.tobytes())
+                    blocks[i] = (at, len(places), places.dtype)
+                    at += len(places) * (places.itemsize + 1)
+                self.sizes[symbol] = 0
+        self.disk.spilled += self.held
+        self.held = 0
 
     def _read(self, block: tuple) -> tuple[np.ndarray, np.ndarray]:
         if len(block) == 2:
@@ -83,13 +120,13 @@ class Queues:
         return (run[0] if len(run) == 1 else tuple(np.concatenate(x) for x in zip(*run, strict=True)))
 
 
-def small_suffixes(text: np.ndarray) -> np.ndarray:
+def small_suffixes(text: np.ndarray, disk: Disk) -> np.ndarray:
     """Whether each suffix is smaller than its right neighbour; the last symbol is the unique least one."""
-    out = np.zeros(len(text), dtype=bool)
+    out = disk.array(len(text), bool)
     out[-1] = later = True
     for end in range(len(text) - 1, 0, -BLOCK):
         begin = max(0, end - BLOCK)
-        step = np.sign(text[begin + 1 : end + 1].astype(np.int64) - text[begin:end])
+        step = np.sign(text[begin + 1 : end + 1].astype(np.int64) - text[begin:end].astype(np.int64))
         where = np.where(step != 0, np.arange(len(step)), len(step))
         where = np.minimum.accumulate(where[::-1])[::-1]
         out[begin:end] = np.append(step, 1 if later else -1)[where] > 0
@@ -158,35 +195,52 @@ def _induce(text, small, queues: Queues, places, common, want_small: bool, least
         queues.push(int(symbol[a]), left[a:b], values[a:b])
 
 
-def _sweep(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray, cap: int, folder: str, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_symbol(text: np.ndarray, places: np.ndarray, disk: Disk) -> tuple[np.ndarray, np.ndarray]:
+    """places grouped by their symbol, in order within each group, and the bounds of the groups."""
+    top = 1 + max(int(text[i : i + BLOCK].max()) for i in range(0, len(text), BLOCK))
+    counts = np.zeros(top + 1, dtype=np.int64)
+    for i in range(0, len(places), BLOCK):
+        counts[1:] += np.bincount(text[places[i : i + BLOCK]], minlength=top)
+    bounds = np.cumsum(counts)
+    out, free = disk.array(len(places), np.int64), bounds[:-1].copy()
+    for i in range(0, len(places), BLOCK):
+        block = places[i : i + BLOCK]
+        symbol = text[block].astype(np.int64)
+        order = np.argsort(symbol, kind="stable")
+        symbol = symbol[order]
+        first = np.flatnonzero(np.concatenate(([True], symbol[1:] != symbol[:-1])))
+        sizes = np.diff(np.concatenate((first, [len(symbol)])))
+        out[free[symbol] + np.arange(len(symbol)) - np.repeat(first, sizes)] = block[order]
+        free[symbol[first]] += sizes
+    return out, bounds
+
+
+def _sweep(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, bounds: np.ndarray, seed_common: np.ndarray | None, cap: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in descending order with their common prefix with the one before; cap 0: without those.
 
-    seeds: leftmost S suffixes, grouped by symbol, in the order that they shall have in their groups.
+    seeds: leftmost S suffixes, grouped by symbol (bounds), in the order that they shall have in their groups.
     """
-    top = int(text.max()) + 1
-    firsts = text[seeds]
-    cuts = np.flatnonzero(np.concatenate(([True], firsts[1:] != firsts[:-1], [True])))
-    groups = {int(firsts[a]): (a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
-    present = np.unique(text).tolist()
-    queues, large = Queues(folder, held), Queues(folder, held)
-    ends: dict[int, tuple[int, int]] = {}
+    top = len(bounds) - 1
+    counts = np.zeros(top, dtype=np.int64)
+    for i in range(0, len(text), BLOCK):
+        counts += np.bincount(text[i : i + BLOCK], minlength=top)
+    present = np.flatnonzero(counts).tolist()
+    queues, large = Queues(disk), Queues(disk)
     least = _Least(top, cap) if cap else None
     for c in present:
         last = -1
         while c in queues.blocks:
             for places, common in queues.pop(c):
-                if last < 0:
-                    ends[c] = (int(places[0]), 0)
                 last = int(places[-1])
                 large.push(c, places, common)
                 _induce(text, small, queues, places, common, False, least)
-        if c in groups:
-            a, b = groups[c]
-            for i in range(a, b, BLOCK):
-                places, common = seeds[i : min(b, i + BLOCK)], seed_common[i : min(b, i + BLOCK)].copy()
-                if i == a:
-                    common[0] = _prefix(text, last, int(places[0]), cap) if last >= 0 and cap else 0
-                _induce(text, small, queues, places, common, False, least)
+        a, b = int(bounds[c]), int(bounds[c + 1])
+        for i in range(a, b, BLOCK):
+            places = np.array(seeds[i : min(b, i + BLOCK)])
+            common = np.zeros(len(places), dtype=np.uint8) if seed_common is None else np.array(seed_common[i : min(b, i + BLOCK)])
+            if i == a:
+                common[0] = _prefix(text, last, int(places[0]), cap) if last >= 0 and cap else 0
+            _induce(text, small, queues, places, common, False, least)
     least = _Least(top, cap) if cap else None
     for c in reversed(present):
         last = -1
@@ -223,51 +277,91 @@ def _doubling(names: np.ndarray, cap: int) -> np.ndarray:
             return order
 
 
-def _order_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, cap: int, folder: str, held: int, base: int) -> np.ndarray:
+def _differ(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether text[a:a_end + 1] and text[b:b_end + 1] differ, pair by pair."""
+    out = (a_end - a) != (b_end - b)
+    going = np.flatnonzero(~out)
+    k = 0
+    while len(going):
+        unlike = text[a[going] + k] != text[b[going] + k]
+        out[going[unlike]] = True
+        going = going[~unlike]
+        k += 1
+        going = going[a[going] + k <= a_end[going]]
+    return out
+
+
+def _backward(blocks: Iterator[np.ndarray], n: int, disk: Disk) -> np.ndarray:
+    """The n values of blocks in reverse."""
+    out = disk.array(n, np.int64)
+    for block in blocks:
+        out[n - len(block) : n] = block[::-1]
+        n -= len(block)
+    return out
+
+
+def _order_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, cap: int, disk: Disk) -> np.ndarray:
     """The leftmost S suffixes (given by place) in suffix order."""
-    grouped = seeds[np.argsort(text[seeds], kind="stable")]
-    is_seed = np.zeros(len(text), dtype=bool)
-    is_seed[seeds] = True
-    none = np.zeros(len(seeds), dtype=np.uint8)
-    found = [places[is_seed[places]] for places, _ in _sweep(text, small, grouped, none, 0, folder, held)]
-    induced = np.concatenate(found)[::-1]
-    forward, back = tokens.powers(len(text) + 1)
-    sums = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * forward[: len(text)], out=sums[1:])
-    ends = np.concatenate((seeds[1:], [len(text) - 1])) + 1
-    content = np.zeros(len(text), dtype=np.uint64)
-    content[seeds] = tokens.mix((sums[ends] - sums[seeds]) * back[seeds] + (ends - seeds).astype(np.uint64))
-    new = np.concatenate(([False], content[induced][1:] != content[induced][:-1]))
-    name = np.zeros(len(text), dtype=np.int64)
-    name[induced] = np.cumsum(new)
-    names = name[seeds]
-    if names.max() == len(seeds) - 1:
+    grouped, bounds = _by_symbol(text, seeds, disk)
+    is_seed = disk.array(len(text), bool)
+    for i in range(0, len(seeds), BLOCK):
+        is_seed[seeds[i : i + BLOCK]] = True
+    found = (places[is_seed[places]] for places, _ in _sweep(text, small, grouped, bounds, None, 0, disk))
+    induced = _backward(found, len(seeds), disk)
+    names, name = disk.array(len(seeds), np.int32), 0
+    before = None
+    for i in range(0, len(seeds), BLOCK):
+        place = np.array(induced[i : i + BLOCK])
+        number = np.searchsorted(seeds, place)
+        end = np.where(number + 1 < len(seeds), seeds[np.minimum(number + 1, len(seeds) - 1)], place)
+        if before is None:
+            before = place[:1], end[:1]
+        a, a_end = np.concatenate((before[0], place[:-1])), np.concatenate((before[1], end[:-1]))
+        new = _differ(text, a, a_end, place, end)
+        names[number] = name + np.cumsum(new)
+        name += int(new.sum())
+        before = place[-1:], end[-1:]
+    if name == len(seeds) - 1:
         return induced
-    if len(names) <= base:
-        return seeds[_doubling(names, cap)]
+    if len(names) <= disk.base:
+        return seeds[_doubling(np.array(names), cap)]
     # The last seed is the last symbol: its name is the unique least, as the string of names needs.
-    parts = [places for places, _ in descending(names, 0, folder, held, base, depth=cap)]
-    return seeds[np.concatenate(parts)[::-1]]
+    return _backward((seeds[places] for places, _ in descending(names, 0, disk, depth=cap)), len(seeds), disk)
+
+
+def _seeds(small: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(0, len(small) - 1, BLOCK):
+        step = small[i : i + BLOCK + 1]
+        yield np.flatnonzero(step[1:] & ~step[:-1]) + i + 1
 
 
-def descending(text: np.ndarray, cap: int, folder: str, held: int = HELD, base: int = BASE, depth: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _common(text: np.ndarray, ordered: np.ndarray, cap: int, disk: Disk) -> np.ndarray:
+    """Common prefixes, up to cap, of each place with the one before."""
+    out = disk.array(len(ordered), np.uint8)
+    for i in range(1, len(ordered), BLOCK):
+        b, a = ordered[i : i + BLOCK], ordered[i - 1 : i - 1 + len(ordered[i : i + BLOCK])]
+        going = np.arange(len(b))
+        for k in range(cap):
+            x, y = b[going] + k, a[going] + k
+            fine = (x < len(text)) & (y < len(text))
+            going, x, y = going[fine], x[fine], y[fine]
+            going = going[text[x] == text[y]]
+            out[i + going] = k + 1
+            if not len(going):
+                break
+    return out
+
+
+def descending(text: np.ndarray, cap: int, disk: Disk, depth: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, common prefix with the suffix before, up to cap) of all suffixes, largest first, in blocks.
 
     The last symbol must be 0 and occur nowhere else.
     """
-    small = small_suffixes(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    disk.depth += 1
+    small = small_suffixes(text, disk)
+    seeds = disk.gathered(_seeds(small), np.int64)
     if not len(seeds):
         seeds = np.array([len(text) - 1])
-    ordered = _order_seeds(text, small, seeds, depth or max(cap, 1), folder, held, base) if len(seeds) > 1 else seeds
-    common = np.zeros(len(ordered), dtype=np.uint8)
-    if cap:
-        going = np.arange(1, len(ordered))
-        for k in range(cap):
-            a, b = ordered[going] + k, ordered[going - 1] + k
-            fine = (a < len(text)) & (b < len(text))
-            going = going[fine][text[a[fine]] == text[b[fine]]]
-            common[going] = k + 1
-            if not len(going):
-                break
-    yield from _sweep(text, small, ordered, common, cap, folder, held)
+    ordered = _order_seeds(text, small, seeds, depth or max(cap, 1), disk) if len(seeds) > 1 else seeds
+    _, bounds = _by_symbol(text, ordered, disk)  # suffixes in order are grouped by symbol already
+    yield from _sweep(text, small, ordered, bounds, _common(text, ordered, cap, disk) if cap else None, cap, disk)

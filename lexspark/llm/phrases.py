@@ -1,121 +1,124 @@
 """Substring dedup on words, by prefix-partitioned suffix trees.
 
 Stretches of windows (see repeats) bring together the places that can share a passage of 20 words. The
-distinct ones become suffixes of 20 words, written as the hashes of their first 5, next 5 and so on:
-the edges of a suffix tree whose nodes lie at depths 5, 10, 15 and 20. Suffixes are split by
-their prefix: of one edge, or where more than GROUP suffixes share that, of two, and so on. Prefixes are
-dealt to memory-sized groups, each of which holds whole subtrees; nodes at depth 20 with several leaves
-are repeats, of which the first leaf stays. Before suffixes are shuffled, each bucket of documents keeps the
-first of its equal ones and marks the others.
-
-Edge cases: null or blank text has no words; fewer than 20 words are untouched; rows that share a doc_id are
-ordered by a hash of their text, and equal rows get equal results; null doc_id counts as the largest; an
-empty table gives no rows; extra columns are ignored.
+windows of the different ones are the suffixes of a shard, cut at 20 words. Words are numbered in lexical order, and suffixes
+are split by prefixes of variable length: of one word, or where more than GROUP suffixes share that, of two, and so on, so
+that each group fits in memory. Each group's subtree is built from its sorted suffixes and their common
+prefixes: an internal node of depth d is a run of leaves with d words in common that more words do not keep together.
+Nodes at the depth of a whole window are the repeats, of which the first leaf stays.
+
+Edge cases: null or blank text has no words; fewer than 20 words are untouched; a very long text is read whole, in steps; rows
+that share a doc_id are ordered by a hash of their text, and equal rows get equal results; of places that tie in that the
+first stays; null doc_id counts as the largest; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, repeats, tokens
+from . import common, repeats
 
-EDGE = 5
-#: Suffixes that a prefix may have before it is lengthened, and suffixes of a group.
-GROUP = 200_000
-EDGES = [f"e{i}" for i in range(repeats.WORDS.window // EDGE)]
-#: kind MARK carries packed marks in data; kind REQUEST is a suffix.
-FETCHED = "kind int, part int, data binary, doc_id bigint, key bigint, start bigint, " + ", ".join(f"{e} bigint" for e in EDGES)
-_FETCHED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), *((e, pa.int64()) for e in EDGES)])
+#: Suffixes of a group, which share a prefix as long as it takes.
+GROUP = 100_000
 
 
-def edge_hashes(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The hash of each edge of the suffixes that start at the given words."""
-    multipliers = tokens.constants(EDGE, 31)
-    n = max(0, len(words) - EDGE + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(EDGE):
-        h += words[k : k + n] * multipliers[k]
-    h = tokens.mix(h).view(np.int64)
-    return [h[starts + i * EDGE] for i in range(len(EDGES))]
+def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all bodies as numbers in lexical order, and how many words each body has."""
+    lists = pc.split_pattern(pa.array(bodies, pa.binary()), pattern=b" ") if bodies else pa.array([], pa.list_(pa.binary()))
+    words = lists.flatten().dictionary_encode()
+    rank = np.empty(len(words.dictionary), dtype=np.int32)
+    rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank), dtype=np.int32)
+    return rank[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int32), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
-def leaves(edges: list[np.ndarray], *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves of the tree in order, and for each whether its deepest node has an earlier leaf.
+def by_prefix(words: np.ndarray, starts: np.ndarray, depth: int, group: int) -> Iterator[np.ndarray]:
+    """The suffixes (indices into starts), split by their prefixes; none but those of depth equal words exceeds group.
 
-    place: doc_id, key, start; the order among leaves of a node.
+    Groups come in lexical order of their prefixes; neighbours that are small together are one group.
     """
-    order = np.lexsort((*place[::-1], *edges[::-1]))
-    branch = np.zeros(max(0, len(order) - 1), dtype=bool)
-    for e in edges:  # a node at a depth ends where an edge above it or its own differs
-        branch |= e[order][1:] != e[order][:-1]
-    head = np.concatenate(([True], branch)) if len(order) else branch
-    first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
-    later = np.zeros(len(order), dtype=bool)
-    for p in place:
-        later |= p[order] != p[first]
-    return order, later
-
-
-def _fetch(n_buckets: int):
-    def of(kind: repeats.Kind, table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not wanted.num_rows:
-            return _FETCHED.empty_table()
-        _, _, texts, rows = repeats.texts_of(table)
-        ids, keys, starts, n, _ = repeats.unpack(wanted.column("data").to_pylist(), np.uint32, np.uint8, np.uint64)
-        pairs = list(zip(ids.tolist(), keys.tolist(), strict=True))
-        needed = sorted({rows[p][0] for p in pairs})
-        number = {row: i for i, row in enumerate(needed)}
-        words = tokens.Words([texts[row] for row in needed], lower=False)
-        begin = words.first[np.array([number[rows[p][0]] for p in pairs])] + starts
-        n = n.astype(np.int64)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ids, keys, at, start = np.repeat(ids, n), np.repeat(keys, n), np.repeat(begin, n) + step, np.repeat(starts, n) + step
-        edges = edge_hashes(words.hashes, at)
-        order, later = leaves(edges, ids, keys, start)
-        done, on = order[later], order[~later]
-        marks = list(repeats.messages(repeats.MARK, repeats.bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], start[done].astype(np.uint32), np.ones(len(done), np.uint8)))
-        none = len(marks)
-        columns = [
-            pa.array([repeats.MARK] * none + [repeats.REQUEST] * len(on), pa.int32()), pa.array([m[0] for m in marks] + [None] * len(on), pa.int32()),
-            pa.array([m[2] for m in marks] + [None] * len(on), pa.binary()),
-            *(pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(x[on].astype(np.int64))]) for x in (ids, keys, start, *edges)),
-        ]
-        return pa.table(columns, schema=_FETCHED)
-
-    return of
+    todo = [(np.arange(len(starts)), 0)]
+    small: list[np.ndarray] = []
+    while todo:
+        mine, level = todo.pop()
+        if len(mine) > group and level < depth:
+            symbol = words[starts[mine] + level]
+            order = np.argsort(symbol, kind="stable")
+            cuts = np.flatnonzero(np.diff(symbol[order])) + 1
+            todo += [(part, level + 1) for part in reversed(np.split(mine[order], cuts))]
+        else:
+            if small and sum(map(len, small)) + len(mine) > group:
+                yield np.concatenate(small)
+                small = []
+            small.append(mine)
+    if small:
+        yield np.concatenate(small)
+
+
+def subtree(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves (indices into starts) in lexical order, and the common prefix of each with the one before."""
+    columns = [words[starts + k] for k in range(depth)]
+    order = np.lexsort(columns[::-1])
+    common_words = np.zeros(len(order), dtype=np.int64)
+    going = np.ones(len(order), dtype=bool)
+    going[:1] = False
+    for column in columns:
+        sorted_ = column[order]
+        going[1:] &= sorted_[1:] == sorted_[:-1]
+        common_words += going
+    return order, common_words
+
+
+def internal_nodes(common_words: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, first leaf, end leaf) of the internal nodes of each depth from least, the deepest first.
+
+    common_words[i]: words that leaf i shares with the one before. A node of depth d spans the leaves that
+    share d words with their neighbours, if two of them share no more.
+    """
+    for d in sorted({int(x) for x in np.unique(common_words) if x >= max(least, 1)}, reverse=True):
+        inside = np.concatenate((common_words[1:] >= d, [False]))
+        first = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        end = np.flatnonzero(~inside & np.concatenate(([False], inside[:-1]))) + 1
+        exact = np.concatenate(([0], np.cumsum(common_words == d)))
+        own = exact[end] - exact[first + 1] > 0
+        yield d, first[own], end[own]
+
+
+def repeated(words: np.ndarray, starts: np.ndarray, place: tuple[np.ndarray, ...], depth: int, group: int) -> np.ndarray:
+    """Which suffixes share depth words with an earlier one; place: doc_id, key, start of each."""
+    out = np.zeros(len(starts), dtype=bool)
+    for mine in by_prefix(words, starts, depth, group):
+        order, common_words = subtree(words, starts[mine], depth)
+        for _, first, end in internal_nodes(common_words, depth):
+            sizes = end - first
+            leaf = mine[order[np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]]
+            node = np.repeat(np.arange(len(first)), sizes)
+            by_place = np.lexsort((*(p[leaf] for p in place[::-1]), node))
+            head = np.flatnonzero(np.diff(node[by_place], prepend=-1))
+            out[leaf] = True
+            out[leaf[by_place[head]]] = False
+    return out
 
 
-def _subtrees(n_buckets: int):
-    def of(table: pa.Table) -> pa.Table:
-        ids, keys, start, *edges = (table.column(c).to_numpy() for c in ("doc_id", "key", "start", *EDGES))
-        order, later = leaves(edges, ids, keys, start)
-        done = order[later]
-        rows = repeats.messages(repeats.MARK, repeats.bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], start[done].astype(np.uint32), np.ones(len(done), np.uint8))
-        return pa.Table.from_batches([repeats.batch_of(list(rows))])
+def _find(kind: repeats.Kind, group: int) -> repeats.Find:
+    def of(s: repeats.Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, sizes = numbered(s.bodies)
+        s.bodies.clear()
+        step = np.arange(s.n.sum()) - np.repeat(np.cumsum(s.n) - s.n, s.n)
+        starts = np.repeat(np.cumsum(sizes) - sizes, s.n) + step
+        place = np.repeat(s.ids, s.n), np.repeat(s.keys, s.n), np.repeat(s.starts.astype(np.int64), s.n) + step
+        return repeats.runs_of(repeated(words, starts, place, kind.window, group), s.n)
 
     return of
 
 
-def by_prefix(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
-    """suffixes with the hash of the prefix that they are split by: as many edges as it takes.
-
-    Prefixes of more than group suffixes are at most the number of suffixes over group.
-    """
-    out = suffixes.withColumn("prefix", F.xxhash64(EDGES[0]))
-    for depth in range(2, len(EDGES) + 1):
-        heavy = out.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(True).alias("heavy"))
-        out = out.join(common.small(heavy), "prefix", "left")
-        longer = F.xxhash64(*EDGES[:depth])
-        out = out.withColumn("prefix", F.when(F.col("heavy"), longer).otherwise(F.col("prefix"))).drop("heavy")
-    return out
-
-
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
 
 
@@ -138,19 +141,9 @@ def _apply(digest: bool):
     return of
 
 
-def remove_phrases(docs: DataFrame, digest: bool = False) -> DataFrame:
+def remove_phrases(docs: DataFrame, digest: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words left of each text, joined by blanks, or with digest their SHA-256."""
-    n_buckets = max(1, -(-common.total_bytes(docs) // repeats.BUCKET_BYTES))
-
-    def compare(contents: DataFrame, n_buckets: int) -> DataFrame:
-        contents = common.durable(contents)  # read for its marks, for counting prefixes and for the trees
-        suffixes = contents.where(F.col("kind") == repeats.REQUEST)
-        n_groups = max(1, -(-suffixes.count() // GROUP))
-        dealt = by_prefix(suffixes).withColumn("part", F.pmod("prefix", F.lit(n_groups)).cast("int"))
-        trees = dealt.select("part", "doc_id", "key", "start", *EDGES).groupBy("part").applyInArrow(_subtrees(n_buckets), repeats.MESSAGE)
-        return trees.unionByName(contents.where(F.col("kind") == repeats.MARK).select("part", "kind", "data"))
-
-    return repeats.removals(docs, repeats.WORDS, _fetch(n_buckets), compare, FETCHED, _apply(digest), _RESULT)
+    return repeats.removals(docs, repeats.WORDS, _find(repeats.WORDS, group), _apply(digest), _RESULT)
 
 
 def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

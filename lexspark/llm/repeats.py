@@ -4,15 +4,18 @@ Each window of L symbols has an anchor: its least k-gram by hash, the leftmost o
 equal anchors at equal offsets. Consecutive windows with the same anchor occurrence are one stretch, so a
 stretch stands for many windows and only stretches are shuffled:
 
-1. scan: stretches of every text, packed by the hash of their anchor. Equal stretches of a task are
-   combined first: copies of the first are marked as repeats at once, whatever their number;
-2. match: equal stretches are marked in all places but the first. Where an anchor has several different
-   stretches, the first place of each goes on;
-3. fetch: the symbols of those stretches are read from their documents, and compare (suffix sorting
-   or suffix trees, given by the caller) finds windows that they share;
-4. apply: all marks of a document are brought to it.
-
-Marks and requests are packed arrays for buckets of documents; both document reads use one exchange.
+1. scan: stretches of every text, packed by the hash of their anchor. Copies of a stretch that a task has seen, compared byte by
+   byte, are marked as repeats at once, whatever their number;
+2. match: a stretch whose anchor occurs nowhere else has no window that occurs again, and goes no further. This
+   is all that hashes decide;
+3. fetch: the bytes of all other stretches are read from their documents and dealt to shards by their anchors;
+4. compare: in a shard equal stretches are found by their bytes. Where an anchor has several different ones, the caller (suffix
+   sorting or suffix trees) finds the windows that they share;
+5. apply: all marks of a document are brought to it.
+
+An anchor with more than HOT stretches is split by content: its stretches are dealt window by window, by the hash of each
+window's bytes, and of equal windows of a bucket of documents only the first is dealt. Marks and requests are packed arrays
+for buckets of documents; both document reads use one exchange.
 """
 
 from __future__ import annotations
@@ -22,19 +25,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Bytes of text whose stretches one match task gets, and bytes of text in a bucket of documents.
-PART_BYTES, BUCKET_BYTES = 14 << 20, 8 << 20
+#: Bytes of text whose stretches one match task gets, in a bucket of documents, and whose stretches a shard gets.
+PART_BYTES, BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20, 12 << 20
+#: Stretches from which an anchor is split by content.
+HOT = 50_000
 #: Stretches, and bytes of documents, that a task packs at once.
-FLUSH, PACKED_BYTES = 500_000, 12 << 20
+FLUSH, PACKED_BYTES = 300_000, 12 << 20
 NO_ID = np.iinfo(np.int64).max
-MARK, ENTRY, REQUEST = 0, 1, 2
-_PLACE_BITS = 31
+MARK, ENTRY, REQUEST, SPLIT, BODY = range(5)
+_PLACE_BITS, _ANCHOR_BITS = 31, 48
 MESSAGE = "part int, kind int, data binary"
 _MESSAGE = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -54,13 +60,15 @@ BYTES, WORDS = Kind(50, 20, words=False, within=False), Kind(20, 6, words=True,
 
 @dataclass
 class Stream:
-    """Texts put one after another: symbol bounds of each, anchor hashes, prefix sums of a rolling hash."""
+    """Texts put one after another: symbol bounds of each, anchor hashes, prefix sums of a rolling hash, bytes of each symbol."""
 
     bounds: np.ndarray
     anchors: np.ndarray
     sums: np.ndarray
     back: np.ndarray
-    symbols: np.ndarray
+    data: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
 def stream(texts: list[bytes], kind: Kind) -> Stream:
@@ -68,6 +76,7 @@ def stream(texts: list[bytes], kind: Kind) -> Stream:
     if kind.words:
         words = tokens.Words(texts, lower=False)
         symbols, values, bounds = words.hashes, words.hashes, words.first
+        data, low, high = words.joined()
         n = max(0, len(symbols) - kind.anchor + 1)
         h = np.zeros(n, dtype=np.uint64)
         for k in range(kind.anchor):
@@ -75,6 +84,8 @@ def stream(texts: list[bytes], kind: Kind) -> Stream:
     else:
         symbols = np.frombuffer(b"".join(texts), dtype=np.uint8)
         values, bounds = tokens.VALUES[symbols], np.cumsum([0, *map(len, texts)])
+        data, low = symbols, np.arange(len(symbols))
+        high = low + 1
         n = max(0, len(symbols) - kind.anchor + 1)
         eight = np.ndarray((max(0, len(symbols) - 7),), "<u8", symbols, 0, (1,)) if len(symbols) >= 8 else np.zeros(0, dtype=np.uint64)
         h = np.zeros(n, dtype=np.uint64)
@@ -83,7 +94,7 @@ def stream(texts: list[bytes], kind: Kind) -> Stream:
     forward, back = tokens.powers(len(symbols) + 1)
     sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
     np.cumsum(values * forward[: len(symbols)], out=sums[1:])
-    return Stream(bounds, tokens.mix(h), sums, back, symbols)
+    return Stream(bounds, tokens.mix(h), sums, back, data, low, high)
 
 
 def window_starts(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +105,11 @@ def window_starts(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def stretches(s: Stream, kind: Kind) -> tuple[np.ndarray, ...]:
-    """text, start in the text, windows, anchor's offset, anchor hash and content hash of each stretch."""
+    """text, start in the text, windows, anchor hash, content hash, and bounds of the bytes of each stretch."""
     owner, starts = window_starts(s.bounds, kind.window)
     if not len(starts):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     low = np.uint64((1 << _PLACE_BITS) - 1)
     least = (s.anchors & ~low) | np.arange(len(s.anchors), dtype=np.uint64)
     size, w = 1, kind.window - kind.anchor + 1
@@ -111,11 +122,25 @@ def stretches(s: Stream, kind: Kind) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:], [len(at)])) - 1
     begin, end, place = starts[first], starts[last] + kind.window, at[first]
-    n, offset = last - first + 1, place - begin
-    content = (s.sums[end] - s.sums[begin]) * s.back[begin]
-    content = tokens.mix(content + (n * 64 + offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    content = tokens.mix((s.sums[end] - s.sums[begin]) * s.back[begin] + (end - begin).astype(np.uint64))
     text = owner[first]
-    return text, begin - s.bounds[text], n, offset, s.anchors[place], content
+    return text, begin - s.bounds[text], last - first + 1, s.anchors[place] >> np.uint64(64 - _ANCHOR_BITS), content, s.low[begin], s.high[end - 1]
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether data[a:a_end] equals data[b:b_end], pair by pair; none is empty."""
+    out = (a_end - a) == (b_end - b)
+    pairs = np.flatnonzero(out)
+    sizes = (a_end - a)[pairs]
+    cuts = [0, *np.flatnonzero(np.diff(np.cumsum(sizes) // step)) + 1, len(pairs)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            own, n = pairs[i:j], sizes[i:j]
+            first = np.cumsum(n) - n
+            offset = np.arange(n.sum()) - np.repeat(first, n)
+            unlike = data[np.repeat(a[own], n) + offset] != data[np.repeat(b[own], n) + offset]
+            out[own] = np.add.reduceat(unlike, first, dtype=np.int64) == 0
+    return out
 
 
 def pack(ids: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -166,20 +191,33 @@ def messages(kind: int, to: np.ndarray, ids: np.ndarray, keys: np.ndarray, *colu
         yield int(to[a]), kind, pack(ids[a:b], keys[a:b], *(c[a:b] for c in columns))
 
 
-def _first_of_class(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, c1: np.ndarray, c2: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """Order by (class, place); for each row then, the number of its class and whether the class has an earlier place.
+def first_of_class(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, class_: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (class, place); in that order, each row's first of its class, and whether that is earlier.
 
     Earlier: a smaller id, and for kinds that look within documents any smaller (id, key, start).
     """
-    order = np.lexsort((starts, keys, ids, c2, c1))
-    a, b = c1[order], c2[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=bool)
-    number = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][number] if len(a) else order
+    order = np.lexsort((starts, keys, ids, class_))
+    of = class_[order]
+    new = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=bool)
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(of) else order
     later = ids[order] != ids[head]
     if kind.within:
         later |= (keys[order] != keys[head]) | (starts[order] != starts[head])
-    return order, number, later
+    return order, head, later
+
+
+def split_anchor(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return anchor.astype(np.uint32), (anchor >> np.uint64(32)).astype(np.uint16)
+
+
+def whole_anchor(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def marks(to: int, n_buckets: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Marks of n windows from each start, on their way to buckets by one of `to` parts."""
+    rows = messages(MARK, bucket_of(ids, keys, n_buckets), ids, keys, starts.astype(np.uint32), n.astype(np.uint8))
+    return [(p % to, MARK, np.int64(p).tobytes() + d) for p, _, d in rows]
 
 
 def _scan(kind: Kind, n_parts: int, n_buckets: int):
@@ -187,32 +225,39 @@ def _scan(kind: Kind, n_parts: int, n_buckets: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        data: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            ids, keys, starts, n, c1, c2 = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, keys, starts, n, anchor, content, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, _, later = _first_of_class(ids, keys, starts, c1, c2, kind)
-            on, done = np.sort(order[~later]), np.sort(order[later])
-            rows = list(messages(ENTRY, (c1[on] >> np.uint64(24)).astype(np.int64) % n_parts, ids[on], keys[on], *halves(starts[on]), n[on], c1[on], c2[on]))
-            rows += [(p % n_parts, k, np.int64(p).tobytes() + d) for p, k, d in messages(MARK, bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], starts[done], n[done])]
-            yield batch_of(rows)
-
-        waiting = 0
+            order, head, later = first_of_class(ids, keys, starts, content, kind)
+            again, first = order[later], head[later]
+            equal = same_bytes(np.concatenate(data), low[again], high[again], low[first], high[first])
+            data.clear()
+            done = np.sort(again[equal])
+            on = np.ones(len(ids), dtype=bool)
+            on[done] = False
+            on = np.flatnonzero(on)
+            rows = list(messages(ENTRY, (anchor[on] % np.uint64(n_parts)).astype(np.int64), ids[on], keys[on], *halves(starts[on]), n[on], *split_anchor(anchor[on])))
+            yield batch_of(rows + marks(n_parts, n_buckets, ids[done], keys[done], starts[done], n[done]))
+
+        waiting, size = 0, 0
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
             for at, run in tokens.steps(batch.column("text").to_pylist()):
-                text, start, n, _, anchor, content = stretches(stream(run, kind), kind)
-                c1 = (anchor >> np.uint64(24) << np.uint64(24)) | (content >> np.uint64(40))
-                row = (ids[at + text], keys[at + text], start.astype(np.uint32), n.astype(np.uint8), c1, content.astype(np.uint32))
+                s = stream(run, kind)
+                text, start, n, anchor, content, low, high = stretches(s, kind)
                 if len(text):
-                    held.append(row)
+                    held.append((ids[at + text], keys[at + text], start.astype(np.uint32), n.astype(np.uint8), anchor, content, low + size, high + size))
+                    data.append(s.data)
                     waiting += len(text)
+                    size += len(s.data)
                 if waiting >= FLUSH:
                     yield from flush()
-                    waiting = 0
+                    waiting, size = 0, 0
         yield from flush()
 
     return of
@@ -222,39 +267,151 @@ def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=_MESSAGE)
 
 
-def _match(kind: Kind, n_buckets: int):
-    """Marks of equal stretches, and requests for the first place of each where an anchor has several."""
+def _match(kind: Kind, n_buckets: int, hot: int):
+    """Requests for the bytes of all stretches whose anchor occurs again."""
+
+    def of(table: pa.Table) -> pa.Table:
+        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        rows = [(int(np.frombuffer(d, np.int64, 1)[0]), MARK, d[8:]) for k, d in zip(kinds, data, strict=True) if k == MARK]
+        ids, keys, low, high, n, anchor, upper = unpack([d for k, d in zip(kinds, data, strict=True) if k == ENTRY], np.uint16, np.uint16, np.uint8, np.uint32, np.uint16)
+        starts, anchor = low | high.astype(np.uint32) << np.uint32(16), whole_anchor(anchor, upper)
+        del data
+        order = np.argsort(anchor, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))) if len(order) else order
+        sizes = np.diff(np.concatenate((new, [len(order)])))
+        again = sizes > 1
+        if not kind.within and len(new):
+            again &= np.maximum.reduceat(ids[order], new) > np.minimum.reduceat(ids[order], new)
+        for which, chosen in ((REQUEST, again & (sizes <= hot)), (SPLIT, again & (sizes > hot))):
+            on = np.sort(order[np.repeat(chosen, sizes)])
+            rows += messages(which, bucket_of(ids[on], keys[on], n_buckets), ids[on], keys[on], starts[on], n[on], *split_anchor(anchor[on]))
+        return pa.Table.from_batches([batch_of(rows)])
+
+    return of
+
+
+def _bodies(kind: Kind, texts: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """First symbol of each text; the bytes of all of them, and where each symbol starts and ends in those."""
+    if kind.words:
+        words = tokens.Words(texts, lower=False)
+        data, low, high = words.joined()
+        return words.first, data.tobytes(), low, high
+    low = np.arange(sum(map(len, texts)))
+    return np.cumsum([0, *map(len, texts)]), b"".join(texts), low, low + 1
+
+
+def _fetch(kind: Kind, n_shards: int, n_buckets: int):
+    """Bytes of requested stretches for the shards of their anchors; of split ones, of each window by its own hash."""
+
+    def of(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.Table.from_batches([batch_of([])])
+        _, _, texts, rows = texts_of(table)
+        asked = wanted.column("kind").to_pylist(), wanted.column("data").to_pylist()
+        read = lambda which: unpack([d for k, d in zip(*asked, strict=True) if k == which], np.uint32, np.uint8, np.uint32, np.uint16)
+        ids, keys, starts, n, low, high = (np.concatenate(x) for x in zip(read(REQUEST), read(SPLIT), strict=True))
+        split = np.arange(len(ids)) >= len(read(REQUEST)[0])
+        pairs = list(zip(ids.tolist(), keys.tolist(), strict=True))
+        needed = sorted({rows[p][0] for p in pairs})
+        number = {row: i for i, row in enumerate(needed)}
+        first, body, low_of, high_of = _bodies(kind, [texts[row] for row in needed])
+        begin = first[np.array([number[rows[p][0]] for p in pairs])] + starts
+        anchor, n = whole_anchor(low, high), n.astype(np.int64)
+        out: list[tuple[int, int, bytes]] = []
+        if split.any():  # windows instead of stretches; a bucket's first of equal ones goes on
+            on = np.flatnonzero(split)
+            step = np.arange(n[on].sum()) - np.repeat(np.cumsum(n[on]) - n[on], n[on])
+            w_ids, w_keys, w_starts, w_begin = np.repeat(ids[on], n[on]), np.repeat(keys[on], n[on]), np.repeat(starts[on], n[on]) + step, np.repeat(begin[on], n[on]) + step
+            seen: dict[bytes, int] = {}
+            class_ = np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip(low_of[w_begin].tolist(), high_of[w_begin + kind.window - 1].tolist(), strict=True)], dtype=np.int64)
+            order, _, later = first_of_class(w_ids, w_keys, w_starts, class_, kind)
+            done, go = order[later], order[~later]
+            out += marks(n_shards, n_buckets, w_ids[done], w_keys[done], w_starts[done], np.ones(len(done)))
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) >> (64 - _ANCHOR_BITS) for w in seen], dtype=np.uint64)
+            ids, keys, starts, begin, anchor = (np.concatenate((x[~split], y[go])) for x, y in ((ids, w_ids), (keys, w_keys), (starts, w_starts), (begin, w_begin), (anchor, hashes[class_])))
+            n = np.concatenate((n[~split], np.ones(len(go), dtype=np.int64)))
+        shard = (anchor % np.uint64(n_shards)).astype(np.int64)
+        order = np.lexsort((starts, keys, ids, shard))
+        cuts = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1], [True])))
+        packer = zstandard.ZstdCompressor(level=3)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            on = order[a:b]
+            begins, ends = low_of[begin[on]], high_of[begin[on] + n[on] + kind.window - 2]
+            head = pack(ids[on], keys[on], starts[on].astype(np.uint32), n[on].astype(np.uint8), *split_anchor(anchor[on]), (ends - begins).astype(np.uint32))
+            data = b"".join(body[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True))
+            out.append((int(shard[on[0]]), BODY, packer.compress(np.int64(len(head)).tobytes() + head + data)))
+        return pa.Table.from_batches([batch_of(out)])
+
+    return of
+
+
+@dataclass
+class Stretches:
+    """Different stretches of anchors that have several: ids and places of the first of each, windows, and bytes."""
+
+    ids: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
+    n: np.ndarray
+    bodies: list[bytes]
+
+
+#: Finds, among stretches, (index, first window, windows) of runs of windows that also start earlier in another.
+Find = Callable[[Stretches], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _compare(kind: Kind, n_buckets: int, find: Find):
+    """Marks of a shard: of equal stretches, found by their bytes, and of windows that different ones share."""
 
     def of(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         rows = [(int(np.frombuffer(d, np.int64, 1)[0]), MARK, d[8:]) for k, d in zip(kinds, data, strict=True) if k == MARK]
-        ids, keys, low, high, n, c1, c2 = unpack([d for k, d in zip(kinds, data, strict=True) if k == ENTRY], np.uint16, np.uint16, np.uint8, np.uint64, np.uint32)
-        starts = low | high.astype(np.uint32) << np.uint32(16)
+        heads, class_, seen = [], [], {}
+        for k, packed in zip(kinds, data, strict=True):
+            if k == BODY:
+                plain = zstandard.ZstdDecompressor().decompress(packed)
+                size = int(np.frombuffer(plain, np.int64, 1)[0])
+                heads.append(plain[8 : 8 + size])
+                ends = 8 + size + np.cumsum(unpack([heads[-1]], np.uint32, np.uint8, np.uint32, np.uint16, np.uint32)[-1], dtype=np.int64)
+                class_.append(np.array([seen.setdefault(plain[a:b], len(seen)) for a, b in zip([8 + size, *ends[:-1].tolist()], ends.tolist(), strict=True)], dtype=np.int64))
         del data
-        anchor = c1 >> np.uint64(24)
-        by = np.argsort(anchor, kind="stable")
-        same = anchor[by][1:] == anchor[by][:-1]
-        often = by[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(by) else by
-        ids, keys, starts, n, c1, c2 = (x[often] for x in (ids, keys, starts, n, c1, c2))
-        order, number, later = _first_of_class(ids, keys, starts, c1, c2, kind)
+        ids, keys, starts, n, low, high, _ = unpack(heads, np.uint32, np.uint8, np.uint32, np.uint16, np.uint32)
+        class_, anchor = np.concatenate(class_) if class_ else np.zeros(0, dtype=np.int64), whole_anchor(low, high)
+        order, head, later = first_of_class(ids, keys, starts, class_, kind)
         done = order[later]
-        rows += messages(MARK, bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], starts[done], n[done])
-        # An anchor goes on if its stretches have several contents, and not all in one document that may keep them.
-        left, number = order[~later], number[~later]
-        anchor = c1[left] >> np.uint64(24)
-        new = np.concatenate(([True], anchor[1:] != anchor[:-1])) if len(left) else np.zeros(0, dtype=bool)
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        several = np.maximum.reduceat(number, first) > np.minimum.reduceat(number, first) if len(left) else new
-        if not kind.within and len(left):
-            several &= np.maximum.reduceat(ids[left], first) > np.minimum.reduceat(ids[left], first)
-        on = left[several[group]] if len(left) else left
-        rows += messages(REQUEST, bucket_of(ids[on], keys[on], n_buckets), ids[on], keys[on], starts[on], n[on], (c1[on] >> np.uint64(24)))
+        rows += [(p, MARK, d) for p, _, d in messages(MARK, bucket_of(ids[done], keys[done], n_buckets), ids[done], keys[done], starts[done], n[done])]
+        # Anchors with several different stretches; the first of each stands for all of it.
+        first = order[order == head]
+        by = first[np.argsort(anchor[first], kind="stable")]
+        new = np.flatnonzero(np.concatenate(([True], anchor[by][1:] != anchor[by][:-1]))) if len(by) else by
+        sizes = np.diff(np.concatenate((new, [len(by)])))
+        on = by[np.repeat(sizes > 1, sizes)]
+        if len(on):
+            texts = list(seen)
+            which, at, windows = find(Stretches(ids[on], keys[on], starts[on], n[on].astype(np.int64), [texts[c] for c in class_[on].tolist()]))
+            del texts, seen
+            # Marks of a class hold for every row of it that is not marked as a whole.
+            left, its = order[~later], head[~later]
+            by_head = np.argsort(its, kind="stable")
+            a, b = np.searchsorted(its[by_head], on[which], side="left"), np.searchsorted(its[by_head], on[which], side="right")
+            row = left[by_head[np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]]
+            at, windows = np.repeat(at, b - a), np.repeat(windows, b - a)
+            rows += [(p, MARK, d) for p, _, d in messages(MARK, bucket_of(ids[row], keys[row], n_buckets), ids[row], keys[row], (starts[row] + at).astype(np.uint32), windows.astype(np.uint8))]
         return pa.Table.from_batches([batch_of(rows)])
 
     return of
 
 
+def runs_of(found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first window, windows) of runs of found windows; found is flat, n[0] + n[1] + ... windows."""
+    first = np.zeros(len(found), dtype=bool)
+    first[np.cumsum(n) - n] = True
+    begin = np.flatnonzero(found & (first | ~np.concatenate(([False], found[:-1]))))
+    end = np.flatnonzero(found & np.concatenate((first[1:] | ~found[1:], [True]))) + 1
+    stretch = np.searchsorted(np.cumsum(n), begin, side="right")
+    return stretch, begin - (np.cumsum(n) - n)[stretch], end - begin
+
+
 def _pack_documents(n_buckets: int):
     """Documents by bucket, compressed together: a third less to shuffle than row by row."""
 
@@ -323,26 +480,20 @@ def covered(marks: pa.Table, bounds: np.ndarray, rows: dict, window: int) -> np.
     return np.cumsum(edges[:-1]) > 0
 
 
-def removals(docs: DataFrame, kind: Kind, fetch: Callable, compare: Callable[[DataFrame, int], DataFrame], fetched: str, apply: Callable, result: str) -> DataFrame:
-    """apply's rows for every row of docs.
-
-    fetch(kind, table, requests) reads the symbols of requested stretches (schema fetched) and compare(frame,
-    n_buckets) makes mark messages of them; apply(kind, table, marks) makes the rows of a bucket.
-    """
+def removals(docs: DataFrame, kind: Kind, find: Find, apply: Callable, result: str) -> DataFrame:
+    """apply's rows for every row of docs: apply(kind, table, marks) makes the rows of a bucket of documents."""
     total = common.total_bytes(docs)
-    n_parts, n_buckets = max(1, -(-total // PART_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    n_parts, n_buckets, n_shards = (max(1, -(-total // size)) for size in (PART_BYTES, BUCKET_BYTES, SHARD_BYTES))
     keyed = docs.select("doc_id", "text", common.text_key().alias("__key"))
     scanned = keyed.mapInArrow(_scan(kind, n_parts, n_buckets), MESSAGE)
-    matched = common.durable(scanned.groupBy("part").applyInArrow(_match(kind, n_buckets), MESSAGE))
+    matched = common.durable(scanned.groupBy("part").applyInArrow(_match(kind, n_buckets, HOT), MESSAGE))
     bucketed = keyed.mapInArrow(_pack_documents(n_buckets), "part int, packed binary")
-    requests = matched.where(F.col("kind") == REQUEST)
-
-    def fetch_bucket(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        return fetch(kind, table, wanted)
+    requests = matched.where(F.col("kind") != MARK)
+    contents = bucketed.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(_fetch(kind, n_shards, n_buckets), MESSAGE)
+    compared = contents.groupBy("part").applyInArrow(_compare(kind, n_buckets, find), MESSAGE)
+    every = matched.where(F.col("kind") == MARK).unionByName(compared)
 
-    def apply_bucket(table: pa.Table, marks: pa.Table) -> pa.Table:
-        return apply(kind, table, marks)
+    def apply_bucket(table: pa.Table, found: pa.Table) -> pa.Table:
+        return apply(kind, table, found)
 
-    contents = bucketed.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(fetch_bucket, fetched)
-    marks = matched.where(F.col("kind") == MARK).unionByName(compare(contents, n_buckets))
-    return bucketed.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(apply_bucket, result)
+    return bucketed.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(apply_bucket, result)

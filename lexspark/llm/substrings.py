@@ -1,13 +1,13 @@
 """Substring dedup on bytes, by suffix sorting.
 
 Stretches of windows (see repeats) bring together the places that can share a 50-byte string. The
-distinct ones of each anchor are put one after another into shards, whose suffixes are sorted by external
-induced sorting; suffixes that have 50 bytes in common are neighbours there, and the least doc_id among
+different ones of each anchor are put one after another into shards, whose suffixes are sorted by external
+induced sorting on disk; suffixes that have 50 bytes in common are neighbours there, and the least doc_id among
 them keeps its bytes.
 
-Edge cases: null text is empty; a text shorter than 50 bytes is untouched; rows that share a doc_id do not
-remove each other's bytes, and equal rows get equal results; null doc_id counts as the largest; an empty
-table gives no rows; extra columns are ignored.
+Edge cases: null text is empty; a text shorter than 50 bytes is untouched; a very long text is read whole, in steps; rows
+that share a doc_id do not remove each other's bytes, and equal rows get equal results; of documents that tie the smallest doc_id keeps
+its bytes; null doc_id counts as the largest; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,88 +22,64 @@ from pyspark.sql import functions as F
 
 from . import common, induced, repeats
 
-FETCHED = "part int, head binary, body binary"
-#: Bytes of documents for each shard; about a fifth of that is sorted there.
-SHARD_BYTES = 8 << 20
-
-
-def _fetch(n_shards: int):
-    def of(kind: repeats.Kind, table: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes, bytes]] = []
-        if wanted.num_rows:
-            _, _, texts, rows = repeats.texts_of(table)
-            ids, keys, starts, n, anchor = repeats.unpack(wanted.column("data").to_pylist(), np.uint32, np.uint8, np.uint64)
-            shard = (anchor % np.uint64(n_shards)).astype(np.int64)
-            order = np.lexsort((keys, ids, shard))
-            ids, keys, starts, n, shard = ids[order], keys[order], starts[order], n[order], shard[order]
-            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                places = zip(ids[a:b].tolist(), keys[a:b].tolist(), starts[a:b].tolist(), n[a:b].tolist(), strict=True)
-                body = b"".join(texts[rows[i, k][0]][s : s + m - 1 + kind.window] for i, k, s, m in places)
-                out.append((int(shard[a]), repeats.pack(ids[a:b], keys[a:b], starts[a:b], n[a:b]), body))
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["part", "head", "body"])
+#: Stretches that are put into a shard's text at once.
+STEP = 1 << 14
 
-    return of
+
+def _shard_text(bodies: list[bytes], sizes: np.ndarray, disk: induced.Disk) -> tuple[np.ndarray, np.ndarray]:
+    """The text of a shard: bytes + 2, 1 after each body, 0 at the end; and where each body begins."""
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    text = disk.array(int(sizes.sum()) + len(bodies) + 1, np.uint16)
+    for i in range(0, len(bodies), STEP):
+        data = np.frombuffer(b"".join(bodies[i : i + STEP]), dtype=np.uint8).astype(np.uint16) + np.uint16(2)
+        n = sizes[i : i + STEP]
+        at = np.arange(len(data)) + np.repeat(np.arange(len(n)), n) + begins[i]
+        text[begins[i] + np.cumsum(n + 1) - 1] = 1
+        text[at] = data
+    text[-1] = 0
+    return text, begins
 
 
-def shared_windows(owner: np.ndarray, n: np.ndarray, body: np.ndarray, window: int, folder: str | None = None, held: int = induced.HELD, base: int = induced.BASE) -> np.ndarray:
+def shared_windows(owner: np.ndarray, n: np.ndarray, bodies: list[bytes], window: int, disk: induced.Disk) -> np.ndarray:
     """Which windows of stretches also start in a stretch with a smaller owner.
 
-    Stretch i has n[i] windows and n[i] + window - 1 bytes of body; the result is flat, n[0] + n[1] + ...
+    Stretch i has n[i] windows and n[i] + window - 1 bytes; the result is flat, n[0] + n[1] + ...
     """
-    sizes = n + window - 1
-    begins = np.cumsum(sizes) - sizes
-    text = np.ones(len(body) + len(n) + 1, dtype=np.uint16)  # 0 ends the text, 1 a stretch
-    at = np.arange(len(body)) + np.repeat(np.arange(len(n)), sizes)
-    text[at] = body.astype(np.uint16) + 2
-    text[-1] = 0
+    text, begins = _shard_text(bodies, n + window - 1, disk)
     flat = np.cumsum(n) - n
-    number = np.full(len(text), -1, dtype=np.int64)  # of the window that starts at a place
-    windows = np.repeat(begins + np.arange(len(n)) - flat, n) + np.arange(n.sum())
-    number[windows] = np.arange(n.sum())
-    stretch = np.repeat(np.arange(len(n)), n)
-    out = np.zeros(n.sum(), dtype=bool)
-
-    def close(numbers: np.ndarray, group: np.ndarray) -> None:
-        ids = owner[stretch[numbers]]
+    out = disk.array(int(n.sum()), bool)
+
+    def close(stretch: np.ndarray, numbers: np.ndarray, group: np.ndarray) -> None:
+        ids = owner[stretch]
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         least = np.minimum.reduceat(ids, first)
         out[numbers] = ids > np.repeat(least, np.diff(np.concatenate((first, [len(ids)]))))
 
-    with tempfile.TemporaryDirectory(dir=folder) as own:
-        kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        last = 0
-        for places, shared in induced.descending(text, window, own, held, base):
-            group = np.cumsum(shared < window) + last
-            last = int(group[-1])
-            mine = number[places] >= 0
-            numbers, group = np.concatenate((kept[0], number[places[mine]])), np.concatenate((kept[1], group[mine]))
-            open_ = group == last  # may go on in the next block
-            if not open_.all():
-                close(numbers[~open_], group[~open_])
-            kept = numbers[open_], group[open_]
-        if len(kept[0]):
-            close(*kept)
+    kept = (np.zeros(0, dtype=np.int64),) * 3
+    last = 0
+    for places, shared in induced.descending(text, window, disk):
+        group = np.cumsum(shared < window) + last
+        last = int(group[-1])
+        stretch = np.searchsorted(begins, places, side="right") - 1
+        offset = places - begins[stretch]
+        mine = offset < n[stretch]  # a window starts here
+        mine[places == len(text) - 1] = False
+        found = stretch[mine], (flat[stretch] + offset)[mine], group[mine]
+        found = tuple(np.concatenate(x) for x in zip(kept, found, strict=True))
+        open_ = found[2] == last  # may go on in the next block
+        if not open_.all():
+            close(*(x[~open_] for x in found))
+        kept = tuple(x[open_] for x in found)
+    if len(kept[0]):
+        close(*kept)
     return out
 
 
-def _sort_shard(kind: repeats.Kind, n_buckets: int):
-    def of(table: pa.Table) -> pa.Table:
-        ids, keys, starts, n = repeats.unpack(table.column("head").to_pylist(), np.uint32, np.uint8)
-        body = np.frombuffer(b"".join(table.column("body").to_pylist()), dtype=np.uint8)
-        n = n.astype(np.int64)
-        found = shared_windows(ids, n, body, kind.window)
-        # Runs of marked windows within a stretch.
-        first = np.zeros(len(found), dtype=bool)
-        first[np.cumsum(n) - n] = True
-        begin = np.flatnonzero(found & (first | ~np.concatenate(([False], found[:-1]))))
-        end = np.flatnonzero(found & np.concatenate((first[1:] | ~found[1:], [True]))) + 1
-        stretch = np.searchsorted(np.cumsum(n), begin, side="right")
-        at = (starts[stretch] + begin - (np.cumsum(n) - n)[stretch]).astype(np.uint32)
-        to = repeats.bucket_of(ids[stretch], keys[stretch], n_buckets)
-        rows = list(repeats.messages(repeats.MARK, to, ids[stretch], keys[stretch], at, (end - begin).astype(np.uint8)))
-        return pa.Table.from_batches([repeats.batch_of(rows)])
+def _find(kind: repeats.Kind, held: int, base: int) -> repeats.Find:
+    def of(s: repeats.Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with tempfile.TemporaryDirectory() as folder:  # the task's own; a lost task starts anew
+            found = shared_windows(s.ids, s.n, s.bodies, kind.window, induced.Disk(folder, held, base))
+            return repeats.runs_of(np.array(found), s.n)
 
     return of
 
@@ -131,15 +107,12 @@ def _apply(digest: bool):
     return of
 
 
-def remove_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept: the bytes left of each text, or with digest their SHA-256."""
-    kind = repeats.BYTES
-    n_shards = max(1, -(-common.total_bytes(docs) // SHARD_BYTES))
-
-    def compare(contents: DataFrame, n_buckets: int) -> DataFrame:
-        return contents.groupBy("part").applyInArrow(_sort_shard(kind, n_buckets), repeats.MESSAGE)
+def remove_substrings(docs: DataFrame, digest: bool = False, held: int = induced.HELD, base: int = induced.BASE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept: the bytes left of each text, or with digest their SHA-256.
 
-    return repeats.removals(docs, kind, _fetch(n_shards), compare, FETCHED, _apply(digest), _RESULT)
+    held, base: suffix tuples and names that a sort keeps in memory.
+    """
+    return repeats.removals(docs, repeats.BYTES, _find(repeats.BYTES, held, base), _apply(digest), _RESULT)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,16 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
 
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words as bytes with one blank between them, and the start and end of each word there."""
+        space = SPACE[self.data]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        place = np.cumsum(keep) - keep
+        starts = place[self.starts]
+        return np.where(space, np.uint8(32), self.data)[keep], starts, starts + (self.ends - self.starts)
+
+
 def steps(texts: list, size: int = STEP) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) for runs of texts of about size bytes; null is empty."""
     at, run, n = 0, [], 0

@@ -16,29 +16,99 @@ def by_id(df):
     return {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_substrings(spark, corpus_dir, corpus_rows, monkeypatch, small):
+def _small(monkeypatch):
+    for name, value in (("PART_BYTES", 20_000), ("BUCKET_BYTES", 9_000), ("SHARD_BYTES", 12_000), ("FLUSH", 500)):
+        monkeypatch.setattr(repeats, name, value)
+
+
+@pytest.mark.parametrize(("small", "hot"), [(False, 50_000), (True, 50_000), (True, 3)])
+def test_substrings(spark, corpus_dir, corpus_rows, monkeypatch, small, hot):
+    """In one piece; in many; and with nearly all anchors split by content."""
     if small:
-        for name, value in (("PART_BYTES", 20_000), ("BUCKET_BYTES", 9_000)):
-            monkeypatch.setattr(repeats, name, value)
-        monkeypatch.setattr(substrings, "SHARD_BYTES", 9_000)
+        _small(monkeypatch)
+    monkeypatch.setattr(repeats, "HOT", hot)
     assert by_id(substrings.op2_substrings(spark, corpus_dir)) == brute.substrings([r[:2] for r in corpus_rows])
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_phrases(spark, corpus_dir, corpus_rows, monkeypatch, small):
+def test_substrings_on_disk(spark, corpus, corpus_rows):
+    """The whole corpus as one shard, far larger than the limits: queues go to disk and seeds are sorted by recursion."""
+    found = substrings.remove_substrings(corpus, digest=True, held=200, base=50)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"].hex()) for r in found.collect()}
+    assert got == brute.substrings([r[:2] for r in corpus_rows])
+
+
+def test_a_shard_larger_than_its_limits(tmp_path):
+    rng = random.Random(7)
+    bodies = [bytes(rng.choice(b"abc") for _ in range(rng.randint(50, 80))) for _ in range(300)]
+    bodies += [bodies[i][:52] + b"zz" for i in range(0, 300, 3)]
+    owner, n = np.array([rng.randint(0, 90) for _ in bodies]), np.array([len(b) - 49 for b in bodies])
+    least = {}
+    for o, b in zip(owner.tolist(), bodies, strict=True):
+        for i in range(len(b) - 49):
+            least[b[i : i + 50]] = min(o, least.get(b[i : i + 50], o))
+    want = [o > least[b[i : i + 50]] for o, b in zip(owner.tolist(), bodies, strict=True) for i in range(len(b) - 49)]
+    (tmp_path / "large").mkdir()
+    disk = induced.Disk(str(tmp_path), held=1_000, base=500)
+    assert substrings.shared_windows(owner, n, bodies, 50, disk).tolist() == want
+    assert disk.spilled > 10_000 and disk.depth > 1
+    roomy = induced.Disk(str(tmp_path / "large"))
+    assert substrings.shared_windows(owner, n, bodies, 50, roomy).tolist() == want
+    assert roomy.spilled == 0 and roomy.depth == 1
+
+
+@pytest.mark.parametrize(("small", "hot"), [(False, 50_000), (True, 50_000), (True, 3)])
+def test_phrases(spark, corpus_dir, corpus_rows, monkeypatch, small, hot):
     if small:
-        for name, value in (("PART_BYTES", 20_000), ("BUCKET_BYTES", 9_000)):
-            monkeypatch.setattr(repeats, name, value)
-        monkeypatch.setattr(phrases, "GROUP", 20)
+        _small(monkeypatch)
+        monkeypatch.setattr(phrases.remove_phrases, "__defaults__", (False, 20))
+    monkeypatch.setattr(repeats, "HOT", hot)
     assert by_id(phrases.op6_phrases(spark, corpus_dir)) == brute.phrases([r[:2] for r in corpus_rows])
 
 
-def test_prefixes_are_lengthened(spark):
-    rows = [(i, 7, i % 2, i % 4, i % 8) for i in range(64)]
-    split = phrases.by_prefix(spark.createDataFrame(rows, "i int, e0 bigint, e1 bigint, e2 bigint, e3 bigint"), group=10)
-    assert {tuple(sorted(r["i"] % 8 for r in g))[0] for g in [[r] for r in split.collect()]} == set(range(8))
-    assert max(split.groupBy("prefix").count().toPandas()["count"]) == 8
+def test_equal_bytes():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 300).astype(np.uint8)
+    a, b = rng.integers(0, 280, 200), rng.integers(0, 280, 200)
+    a_end, b_end = a + rng.integers(1, 6, 200), b + rng.integers(1, 6, 200)
+    want = [data[i:j].tolist() == data[k:m].tolist() for i, j, k, m in zip(a, a_end, b, b_end, strict=True)]
+    assert repeats.same_bytes(data, a, a_end, b, b_end, step=7).tolist() == want and any(want)
+
+
+@pytest.mark.parametrize("group", [5, 40, 10_000])
+def test_nodes_of_suffix_trees(group):
+    """Internal nodes of all groups are the word sequences that occur with two different next words, or twice at full depth."""
+    rng = random.Random(group)
+    bodies = [" ".join(rng.choice(["b", "a", "ab", "\x01c"]) for _ in range(rng.randint(6, 12))).encode() for _ in range(60)]
+    depth = 6
+    words, sizes = phrases.numbered(bodies)
+    flat = [w for b in bodies for w in b.split(b" ")]
+    assert [sorted(set(flat))[k] for k in words.tolist()] == flat
+    starts = np.concatenate([np.arange(s - depth + 1) + o for s, o in zip(sizes, np.cumsum(sizes) - sizes, strict=True)])
+    suffixes = [tuple(words[s : s + depth].tolist()) for s in starts]
+    want = {}
+    for d in range(1, depth + 1):
+        for s in suffixes:
+            want.setdefault(s[:d], []).append(s[d : d + 1])
+    want = {k: len(v) for k, v in want.items() if len(v) > 1 and (len(k) == depth or len(set(v)) > 1)}
+    got, groups = {}, list(phrases.by_prefix(words, starts, depth, group))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(len(starts)))
+    assert all(len(g) <= group or len({suffixes[i] for i in g}) == 1 for g in groups)
+    for g in groups:
+        order, shared = phrases.subtree(words, starts[g], depth)
+        ordered = [suffixes[g[i]] for i in order]
+        assert ordered == sorted(ordered)
+        for d, first, end in phrases.internal_nodes(shared):
+            for a, b in zip(first.tolist(), end.tolist(), strict=True):
+                got[ordered[a][:d]] = got.get(ordered[a][:d], 0) + b - a
+    deep = lambda nodes: {k: v for k, v in nodes.items() if len(k) == depth}
+    assert deep(got) == deep(want)
+    if len(groups) == 1:
+        assert got == want
+    place = (np.array([rng.randint(0, 5) for _ in suffixes]), np.zeros(len(suffixes), dtype=np.int64), np.arange(len(suffixes)))
+    first = {}
+    for s, p in zip(suffixes, zip(*(x.tolist() for x in place), strict=True), strict=True):
+        first[s] = min(p, first.get(s, p))
+    assert phrases.repeated(words, starts, place, depth, group).tolist() == [p > first[s] for s, p in zip(suffixes, zip(*(x.tolist() for x in place), strict=True), strict=True)]
 
 
 def test_near_duplicates(spark, corpus_dir, corpus_rows, monkeypatch):
@@ -102,15 +172,17 @@ def test_components(spark, seed):
     assert got == {x: find(x) for x in root}
 
 
-def test_induced_sorting(tmp_path):
+def test_induced_sorting(tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     for t in range(150):
+        monkeypatch.setattr(induced, "BLOCK", int(rng.choice([3, 7, 1 << 18])))
         symbols = int(rng.integers(1, 5))
         text = rng.integers(1, symbols + 1, rng.integers(1, 120))
         text = np.tile(text[:5], 12) if t % 3 == 0 else text
         text = np.append(text, 0).astype(np.uint16)
         cap = int(rng.integers(1, 20))
-        out = list(induced.descending(text, cap, str(tmp_path), held=int(rng.choice([5, 50, 10**6])), base=int(rng.choice([2, 10**6]))))
+        (tmp_path / str(t)).mkdir()
+        out = list(induced.descending(text, cap, induced.Disk(str(tmp_path / str(t)), int(rng.choice([5, 50, 10**6])), int(rng.choice([2, 10**6])))))
         places, common = (np.concatenate(x) for x in zip(*out, strict=True))
         keys = [tuple(text[i : i + cap].tolist()) for i in places]
         assert sorted(places.tolist()) == list(range(len(text)))
