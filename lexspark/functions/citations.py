@@ -12,20 +12,13 @@ USC = r"(?i)(\d{1,2})\s*U\.?\s*S\.?\s*C\.?\s*(?:§§?\s*)?" + _SECTION
 ARTICLE = r"(?:U\.?S\.?\s*Const\.?\s*)?[Aa]rt(?:icle)?\.?\s+([IVX]+)(?:,?\s*§\s*(\d+))?(?:,?\s*cl\.?\s*(\d+))?"
 AMENDMENT = r"(?:U\.?S\.?\s*Const\.?\s*)?[Aa]mend(?:ment)?\s+([IVX]+)(?:,?\s*§\s*(\d+))?"
 STRICT_AMENDMENT = AMENDMENT.replace(r"(?:ment)?", r"(?:ment)?\.?")
-ORDINALS = (
-    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth "
-    "eighteenth nineteenth twentieth twenty-first twenty-second twenty-third twenty-fourth twenty-fifth twenty-sixth twenty-seventh"
-).split()
-
-
-def roman(n: int) -> str:
-    out = ""
-    for value, sign in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-        out, n = out + sign * (n // value), n % value
-    return out
-
-
-ORDINAL = rf"(?i)\b({'|'.join(ORDINALS)})\s+amendment\b"
+AMENDMENTS = {
+    "first": "I", "second": "II", "third": "III", "fourth": "IV", "fifth": "V", "sixth": "VI", "seventh": "VII", "eighth": "VIII", "ninth": "IX",
+    "tenth": "X", "eleventh": "XI", "twelfth": "XII", "thirteenth": "XIII", "fourteenth": "XIV", "fifteenth": "XV", "sixteenth": "XVI",
+    "seventeenth": "XVII", "eighteenth": "XVIII", "nineteenth": "XIX", "twentieth": "XX", "twenty-first": "XXI", "twenty-second": "XXII",
+    "twenty-third": "XXIII", "twenty-fourth": "XXIV", "twenty-fifth": "XXV", "twenty-sixth": "XXVI", "twenty-seventh": "XXVII",
+}
+ORDINAL = rf"(?i)\b({'|'.join(AMENDMENTS)})\s+amendment\b"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -64,7 +57,7 @@ def constitution_citations(text: Column, strict: bool = False) -> Column:
     make = lambda kind, number, section, clause, m: F.struct(
         F.lit(kind).alias("type"), number.alias("number"), section.alias("section"), clause.alias("clause"), F.trim(m).alias("full_citation")
     )
-    numbers = F.create_map(*[F.lit(x) for i, w in enumerate(ORDINALS, 1) for x in (w, roman(i))])
+    numbers = F.create_map(*[F.lit(x) for pair in AMENDMENTS.items() for x in pair])
     return F.concat(
         F.transform(_all(text, article), lambda m: make("article", _part(m, article, 1), _part(m, article, 2), _part(m, article, 3), m)),
         F.transform(_all(text, amendment), lambda m: make("amendment", _part(m, amendment, 1), _part(m, amendment, 2), none, m)),

@@ -43,14 +43,27 @@ def bounded_topics(topics: Column, fill: bool = False) -> Column:
     return F.when(F.size(topics) < 5, F.slice(F.concat(topics, F.array_except(generic, topics)), 1, 5)).otherwise(cut)
 
 
-def parse_extraction(json: Column) -> Column:
-    """struct of EXTRACTION plus failed: defaults for missing fields, a fallback record for unparsable text."""
+# What a document gets whose fields could not be extracted.
+FALLBACK = {
+    "document_summary": "Unable to generate summary.", "holding_plain": "Unable to extract holding.", "outcome_simple": "Unable to extract outcome.",
+    "issue_plain": "Unable to extract issue.", "reasoning": "Unable to extract reasoning.",
+}
+FALLBACK_TOPICS = {"opinion": ("supreme court", "legal opinion", "court decision"), "order": ("executive order", "federal policy", "presidential action")}
+
+
+def parse_extraction(json: Column, kind: str | None = None) -> Column:
+    """struct of EXTRACTION plus failed: defaults for missing fields, a fallback record for null or unparsable text.
+
+    kind ("opinion", "order"): the fallback record of an extraction of that kind; without it, a plain one.
+    """
+    failing = FALLBACK if kind else {"document_summary": FALLBACK["document_summary"]}
+    failing_topics = FALLBACK_TOPICS[kind] if kind else GENERIC_TOPICS[:2]
     parsed = F.from_json(json, EXTRACTION, {"mode": "PERMISSIVE"})
     valid = F.coalesce(F.get_json_object(json, "$").startswith("{"), F.lit(False))
     fields = []
-    for name, kind in (x.rsplit(" ", 1) for x in EXTRACTION.split(", ")):
-        empty = F.lit("") if kind == "string" else F.array().cast("array<string>")
-        fallback = F.lit("Unable to generate summary.") if name == "document_summary" else F.array(*map(F.lit, GENERIC_TOPICS[:2])) if name == "topics_or_policy_areas" else empty
+    for name, type_ in (x.rsplit(" ", 1) for x in EXTRACTION.split(", ")):
+        empty = F.lit("") if type_ == "string" else F.array().cast("array<string>")
+        fallback = F.array(*map(F.lit, failing_topics)) if name == "topics_or_policy_areas" else F.lit(failing[name]) if name in failing else empty
         fields.append(F.when(valid, F.coalesce(parsed[name], empty)).otherwise(fallback).alias(name))
     return F.struct(*fields, (~valid).alias("failed"))
 

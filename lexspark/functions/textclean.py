@@ -22,7 +22,7 @@ def decode_entities(texts: pd.Series) -> pd.Series:
 
 def trim_space(c: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(F.regexp_replace(c, rf"{SPACE}+$", ""), rf"^{SPACE}+", "")
+    return F.regexp_replace(F.regexp_replace(c, rf"(?<!{SPACE}){SPACE}++$", ""), rf"^{SPACE}+", "")
 
 
 def strip_html(c: Column, entities: bool = True) -> Column:

@@ -102,40 +102,50 @@ def chunk_column(segments: Column, config: ChunkConfig, gap_free: bool = True, c
     return of(segments)
 
 
-def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str], count: Callable[[str], int]):
-    """A row for each chunk: the document's other columns, its index, and the chunk."""
+def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str], count: Callable[[str], int], errors: bool):
+    """A row for each chunk: the document's other columns, its index, and the chunk. errors: a failing document gives one row that says why."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in CHUNKS.elementType.fields]
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
         for batch in batches:
-            rows, index, found = [], [], []
+            rows, index, found, reasons = [], [], [], []
             for i, segments in enumerate(batch.column("__segments").to_pylist()):
-                chunks = [(s["label"], t, n, a, b) for s in segments for t, n, a, b in windows(s["text"] or "", config, gap_free, count)]
+                try:
+                    chunks = [(s["label"], t, n, a, b) for s in segments for t, n, a, b in windows(s["text"] or "", config, gap_free, count)]
+                    reason = [None] * len(chunks)
+                except Exception as e:
+                    if not errors:
+                        raise
+                    chunks, reason = [(None,) * 5], [f"{type(e).__name__}: {e}"]
                 rows += [i] * len(chunks)
                 index += range(len(chunks))
                 found += chunks
+                reasons += reason
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in others]
             made = [pa.array([c[k] for c in found], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), *made], [*others, "chunk_index", *(f"__{n}" for n in names)])
+            why = [pa.array(reasons, pa.string())] if errors else []
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), *made, *why], [*others, "chunk_index", *(f"__{n}" for n in names), *(["error_message"] if errors else [])])
 
     return of
 
 
-def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "document_id", parity: bool = False, count: Callable[[str], int] = quarter) -> DataFrame:
+def chunk_documents(docs: DataFrame, kind: str, text: str = "text", key: str = "document_id", parity: bool = False, count: Callable[[str], int] = quarter, errors: bool = False) -> DataFrame:
     """docs' other columns with chunk_id, chunk_index, section_label, text, token_count, start_char, end_char.
 
     kind: "opinion" or "order"; count: the token counter. Documents without text give no rows. Chunks are numbered where
-    they are made, so their index needs no window.
+    they are made, so their index needs no window. errors: a document that cannot be chunked does not fail the job but gives one
+    row, null but for its own columns and error_message.
     """
     config, segments = {"opinion": (OPINION, segment.opinion_segments), "order": (ORDER, segment.order_segments)}[kind]
     others = [c for c in docs.columns if c != text]
     kept = spread(docs).where(F.coalesce(F.col(text), F.lit("")) != "").select(*others, segments(F.col(text), parity).alias("__segments"))
     fields = [f for f in kept.schema.fields if f.name != "__segments"]
-    schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), *(T.StructField(f"__{f.name}", f.dataType) for f in CHUNKS.elementType.fields)])
-    rows = kept.mapInArrow(_windows_of(config, not parity, others, count), schema)
+    why = [T.StructField("error_message", T.StringType())] if errors else []
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), *(T.StructField(f"__{f.name}", f.dataType) for f in CHUNKS.elementType.fields), *why])
+    rows = kept.mapInArrow(_windows_of(config, not parity, others, count, errors), schema)
     return rows.select(
         *others, F.concat_ws("_chunk_", F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index",
         F.col("__label").alias("section_label"), F.col("__text").alias("text"), F.col("__tokens").alias("token_count"),
-        F.col("__start").alias("start_char"), F.col("__end").alias("end_char"),
+        F.col("__start").alias("start_char"), F.col("__end").alias("end_char"), *(["error_message"] if errors else []),
     )

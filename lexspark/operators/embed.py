@@ -19,12 +19,22 @@ BATCH = 20
 def hashed_features(dim: int, seed: int = 0) -> Embedder:
     """Signed feature hashing of words, scaled to length one; needs no model."""
 
+    known: dict[str, tuple[int, int]] = {}
+
+    def place(word: str) -> tuple[int, int]:
+        h = zlib.crc32(f"{seed}:{word}".encode())
+        known[word] = h % dim, 1 if h >> 31 else -1
+        return known[word]
+
     def of(texts: list[str]) -> list[list[float]]:
+        if len(known) > 200_000:
+            known.clear()
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(f"{seed}:{word}".encode())
-                out[i, h % dim] += 1 if h >> 31 else -1
+            found = [known.get(word) or place(word) for word in text.lower().split()]
+            if found:
+                at, sign = zip(*found, strict=True)
+                out[i] = np.bincount(at, weights=sign, minlength=dim)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     return of
@@ -58,17 +68,51 @@ def embed(df: DataFrame, text: str, dim: int, fn: Embedder | None = None, batch:
     return df.withColumn("__e", of(F.col(text))).withColumn("embedding", F.col("__e.embedding")).withColumn("embed_failed", F.col("__e.failed")).drop("__e")
 
 
-def extract_fields(docs: DataFrame, text: str = "text", topics: str | None = None, kind: str = "opinion") -> DataFrame:
+#: Takes texts, gives for each a record of extracted fields as JSON, or raises.
+Extractor = Callable[[list[str]], list[str]]
+
+
+def _records(fn: Extractor, batch: int = BATCH):
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        out: list[str | None] = []
+        for i in range(0, len(texts), batch):
+            part = [t or "" for t in texts.iloc[i : i + batch]]
+            try:
+                got = list(fn(part))
+                if len(got) != len(part):
+                    raise ValueError("one record for each text is needed")
+            except Exception:
+                got = []
+                for one in part:
+                    try:
+                        got.append(fn([one])[0])
+                    except Exception:
+                        got.append(None)
+            out += got
+        return pd.Series(out, dtype=object)
+
+    return of
+
+
+def extract_fields(docs: DataFrame, text: str = "text", topics: str | None = None, kind: str = "opinion", fn: Extractor | None = None) -> DataFrame:
     """docs with citation lists, bounded topics, a count of citations and flags for reprocessing.
 
-    The default extractor is deterministic; documents without text are flagged, with empty lists.
+    Without fn, fields are found by fixed rules, and documents without text are flagged, with empty lists. fn gives a record (JSON)
+    for each text; what it lacks gets defaults, and a document for which it fails gets the fallback record and both flags.
     """
     missing = F.coalesce(F.col(text), F.lit("")) == ""
+    count = lambda of: sum((F.size(of[c]) for c in ("federal_statutes_cited", "federal_regulations_cited")), F.size(of["constitution_cited"]))
+    if fn is not None:
+        read = docs.withColumn("__record", scalars.parse_extraction(_records(fn)(F.col(text)), kind))
+        fields = {f.name: F.col(f"__record.{f.name}") for f in read.schema["__record"].dataType.fields if f.name != "failed"}
+        fields["topics_or_policy_areas"] = F.when(F.col("__record.failed"), fields["topics_or_policy_areas"]).otherwise(scalars.bounded_topics(fields["topics_or_policy_areas"], fill=kind == "order"))
+        flag = F.col("__record.failed") | missing
+        return read.withColumns(fields | {"total_citations": count(fields), "llm_extraction_failed": flag, "requires_reprocessing": flag}).drop("__record")
     lists = citations.citation_lists(F.col(text))
     found = F.col(topics) if topics else F.array().cast("array<string>")
     lists["topics_or_policy_areas"] = scalars.bounded_topics(found, fill=kind == "order")
-    lists["total_citations"] = sum((F.size(lists[c]) for c in ("federal_statutes_cited", "federal_regulations_cited")), F.size(lists["constitution_cited"]))
-    return docs.withColumns(lists | {"llm_extraction_failed": missing, "requires_reprocessing": missing})
+    return docs.withColumns(lists | {"total_citations": count(lists), "llm_extraction_failed": missing, "requires_reprocessing": missing})
 
 
 def to_reprocess(docs: DataFrame) -> DataFrame:

@@ -111,3 +111,8 @@ def join_raw_text(orders: DataFrame, texts: DataFrame) -> DataFrame:
     joined = orders.join(texts.dropDuplicates(["raw_text_url"]), "raw_text_url", "left")
     reason = F.when(F.coalesce("raw_text_url", F.lit("")) == "", "no text url").when(F.coalesce("raw_text", F.lit("")) == "", "no text")
     return joined.withColumn("error_message", reason)
+
+
+def with_content_check(docs: DataFrame, text: str) -> DataFrame:
+    """docs with error_message: `no content` where the text is null or empty."""
+    return docs.withColumn("error_message", F.when(F.coalesce(F.col(text), F.lit("")) == "", "no content"))

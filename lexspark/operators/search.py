@@ -6,15 +6,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import cosine
 
 DEFAULT_K, MAX_K = 10, 50
-#: Queries of one block; a block's matrix is what every executor gets, so its size is bounded.
-QUERY_BLOCK = 4096
+#: Queries of one block, and points of one block; what a task or a closure holds is bounded by them.
+QUERY_BLOCK, POINT_BLOCK = 1024, 8192
+#: Bytes of packed query blocks up to which they may be sent to every executor.
+BROADCAST_BYTES = 48 << 20
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", ties: tuple[str, ...] = ("point_id",)) -> DataFrame:
@@ -25,73 +28,130 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", ties: tuple[str, .
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_scores(matrix: np.ndarray, ids: np.ndarray, k: int, threshold: float | None):
-    """The k best points of each query in this partition: a block product and a running merge, never all pairs at once."""
+def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vector is not null, of the usual length and not zero, in order of their ids."""
+    own = ids.to_numpy(zero_copy_only=False)
+    sizes = np.nan_to_num(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+    if not len(sizes) or not sizes.max():
+        return own[:0], np.zeros((0, 0))
+    dim = int(np.bincount(sizes[sizes > 0]).argmax())
+    fine = np.flatnonzero(sizes == dim)
+    matrix = vectors.take(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    norms = np.linalg.norm(matrix, axis=1)
+    fine, matrix, norms = fine[norms > 0], matrix[norms > 0], norms[norms > 0]
+    order = np.argsort(own[fine], kind="stable")
+    return own[fine][order], (matrix / norms[:, None])[order]
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"query_id": ids[:0], "point_id": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})
+
+def _best(queries: np.ndarray, points: np.ndarray, k: int, threshold: float | None, rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the k best points of each query, ties by the order of points; a few queries at a time."""
+    out = []
+    for at in range(0, len(queries), rows):
+        scores = np.round(queries[at : at + rows] @ points.T, 12)
+        least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -2.0)
+        least = np.maximum(least, -2.0 if threshold is None else threshold)
+        q, p = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((p, -scores[q, p], q))
+        q, p = q[order], p[order]
+        first = np.searchsorted(q, q)
+        on = np.arange(len(q)) - first < k
+        out.append((q[on] + at, p[on], scores[q[on], p[on]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return _unit(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns))
+
+
+def _results(query_ids: np.ndarray, point_ids: np.ndarray, found: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    q, p, score = found
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[q], schema.field(0).type), pa.array(point_ids[p], schema.field(1).type), pa.array(score)], schema=schema)
+
+
+def _schemas(queries: DataFrame, points: DataFrame) -> tuple[T.StructType, pa.Schema]:
+    q, p = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    spark = T.StructType([T.StructField("query_id", q), T.StructField("point_id", p), T.StructField("score", T.DoubleType())])
+    return spark, pa.schema([("query_id", kinds[q.simpleString()]), ("point_id", kinds[p.simpleString()]), ("score", pa.float64())])
+
+
+def _in_blocks(queries: DataFrame, points: DataFrame, n: int, k: int, threshold: float | None) -> DataFrame:
+    """Every block of queries against every block of points, on the executors; each pair gives k rows a query."""
+    spark, arrow = _schemas(queries, points)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))).alias("block")
+
+    def pack_group(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array([_packed(table.select(["query_id", "embedding"]))], pa.binary())], ["asked"])
+
+    def pack_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, POINT_BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(pa.Table.from_batches([batch.slice(at, POINT_BLOCK)]))], pa.binary())], ["stored"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch[[v is not None and len(v) == matrix.shape[1] for v in batch["embedding"]]]
-            if not len(batch):
-                continue
-            points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(points, axis=1)
-            points, own = points[norms > 0] / norms[norms > 0, None], batch["point_id"].to_numpy()[norms > 0]
-            order = np.argsort(own, kind="stable")
-            points, own = points[order], own[order]
-            scores = np.round(matrix @ points.T, 12)
-            keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(ids)), keep.shape[1])
-            new = pd.DataFrame({"query_id": ids[rows], "point_id": own[keep.ravel()], "score": scores[rows, keep.ravel()]})
-            if threshold is not None:
-                new = new[new["score"] >= threshold]
-            best = pd.concat([best, new]).sort_values(["query_id", "score", "point_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield best
-
-    return of
+            for asked, stored in zip(batch.column("asked").to_pylist(), batch.column("stored").to_pylist(), strict=True):
+                (query_ids, q), (point_ids, p) = _unpacked(asked), _unpacked(stored)
+                if len(q) and len(p) and q.shape[1] == p.shape[1]:
+                    yield _results(query_ids, point_ids, _best(q, p, k, threshold), arrow)
+
+    asked = queries.select("query_id", "embedding", block).groupBy("block").applyInArrow(pack_group, "asked binary")
+    stored = points.mapInArrow(pack_points, "stored binary")
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    asked = F.broadcast(asked) if n * width * 8 <= BROADCAST_BYTES else asked
+    return stored.crossJoin(asked).mapInArrow(score, spark)
 
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, condition: Column | None = None, threshold: float | None = None) -> DataFrame:
     """(query_id, point_id, score, rank). queries: query_id, embedding; points: point_id, embedding and filter columns.
 
-    Queries go out in blocks of bounded size; each task keeps k rows a query, and only those are shuffled.
-    Zero vectors score nothing.
+    One block of queries goes out with the tasks, each of which keeps k rows a query; more queries are paired
+    with the points block by block on the executors. Only the rows kept are shuffled. Ids may be numbers or
+    strings. Null, zero and odd-length vectors score nothing.
     """
+    if not 1 <= k <= MAX_K:
+        raise ValueError(f"k must be from 1 to {MAX_K}")
     found = points.where(condition) if condition is not None else points
-    found = found.select("point_id", "embedding")
-    rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL").orderBy("query_id").toLocalIterator()
-    parts, block = [], []
-
-    def add() -> None:
-        matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        if (norms > 0).any():
-            scorer = _block_scores(matrix[norms > 0] / norms[norms > 0, None], np.array([r["query_id"] for r in block])[norms > 0], k, threshold)
-            parts.append(found.mapInPandas(scorer, "query_id bigint, point_id bigint, score double"))
-        block.clear()
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            add()
-    if block:
-        add()
-    if not parts:
-        return found.select(F.lit(0).cast("bigint").alias("query_id"), "point_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    return top_k(reduce(DataFrame.unionByName, parts), k)
+    found, asked = found.select("point_id", "embedding"), queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    block = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if block.num_rows > QUERY_BLOCK:
+        return top_k(_in_blocks(asked, found, asked.count(), k, threshold), k)
+    spark, arrow = _schemas(queries, points)
+    block = block.combine_chunks()
+    query_ids, matrix = _unit(*(c.chunk(0) for c in block.columns)) if block.num_rows else (np.zeros(0), np.zeros((0, 0)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point_ids, p = _unit(batch.column("point_id"), batch.column("embedding"))
+            if len(p) and len(matrix) and p.shape[1] == matrix.shape[1]:
+                yield _results(query_ids, point_ids, _best(matrix, p, k, threshold), arrow)
+
+    return top_k(found.mapInArrow(score, spark), k)
 
 
 def expression_scores(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Scores by an expression over every point; a check of vector_search. More queries than one block are not broadcast: Spark pairs partitions."""
+    """Scores by an expression over every pair; for tests of vector_search on small tables."""
     q = queries.select("query_id", F.col("embedding").alias("q"))
     q = F.broadcast(q) if q.count() <= QUERY_BLOCK else q
     return points.join(q).select("query_id", "point_id", cosine(F.col("embedding"), F.col("q")).alias("score")).where("score IS NOT NULL")
 
 
+def tagged(results: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several collections with their collection's name as type; columns that some lack are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("type", F.lit(name)) for name, df in results.items()])
+
+
 def merge_collections(results: dict[str, DataFrame], k: int = DEFAULT_K) -> DataFrame:
     """The k best of several collections' results with a type tag; ties in the order of the collections, then by rank."""
-    tagged = [df.withColumn("type", F.lit(name)).withColumn("__order", F.lit(i)) for i, (name, df) in enumerate(results.items())]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).withColumnRenamed("rank", "__rank")
+    both = tagged({name: df.withColumn("__order", F.lit(i)) for i, (name, df) in enumerate(results.items())}).withColumnRenamed("rank", "__rank")
     return top_k(both, k, ties=("__order", "__rank")).drop("__order", "__rank")
 
 

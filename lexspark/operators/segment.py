@@ -25,9 +25,9 @@ MIXED = JUSTICE + r"concurring\s+in\s+part\s+and\s+dissenting\s+in\s+part"
 LABELS = {"S": "Syllabus", "M": "Majority Opinion", "C": "Concurring Opinion", "D": "Dissenting Opinion", "X": "Concurring in Part, Dissenting in Part"}
 PART = r"\s+([IVX]+|[A-Z])\s+(?=[A-Z]|\w)"
 SECTION = r"^\s*(Sec(?:tion)?\.?\s*\d+[A-Za-z\-]*\.)"
-SECTION_NUMBER = r"(?U)^\s*[Ss][Ee][Cc](?:[Tt][Ii][Oo][Nn])?\.?\s*(\d+[A-Za-z\-]*)"
+SECTION_NUMBER = r"(?iU)^\s*Sec(?:tion)?\.?\s*(\d+[A-Za-z\-]*)"
 SECTION_TITLE = r"(?U)^Sec(?:tion)?\.?\s*\d+[A-Za-z\-]*\.\s*([^.]+)\."
-LETTER = r"^\s*\(([a-z])\)\s*"
+LETTER = r"^\s*\([a-z]\)\s*"
 ROMAN = r"^\s*\((?:i|ii|iii|iv|v|vi|vii|viii|ix|x)+\)\s*"
 
 _SEGMENT = "array<struct<label:string,text:string>>"
@@ -129,7 +129,7 @@ def _lettered(section: Column, parity: bool) -> Column:
         lead = _filled(F.array(_segment(section["label"], pieces[0])))
         return F.when((F.size(pieces) > 2) & (section["label"] != "Preamble"), split if parity else F.concat(lead, split)).otherwise(F.array(section))
 
-    return _with(F.transform(_split(section["text"], f"(?mdU:{LETTER.replace('([a-z])', '[a-z]')})"), trim_space), of)
+    return _with(F.transform(_split(section["text"], f"(?mdU:{LETTER})"), trim_space), of)
 
 
 def _paragraphs(subsection: Column, parity: bool) -> Column:

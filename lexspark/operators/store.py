@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ def with_point_ids(chunks: DataFrame, id_: str = "chunk_id") -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str = "point_id", seq: str = "ingest_seq") -> DataFrame:
-    """The last version of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(seq))
+    """The last version of each key; of versions with one number, the greatest by a hash of all columns."""
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, k in rows.dtypes if "map<" not in k))
+    w = Window.partitionBy(key).orderBy(F.desc(seq), F.desc(tie))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -58,15 +61,28 @@ def full_documents(chunks: DataFrame, docs: DataFrame, dates: tuple[str, ...] =
 
 
 def join_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with their vectors; the two must have as many rows, or the job fails."""
-    n, m = chunks.count(), vectors.count()
-    if n != m:
-        raise ValueError(f"{n} chunks but {m} vectors")
-    return chunks.join(vectors, "chunk_id")
+    """Chunks with their vectors; the job fails at the first chunk without a vector, or vector without a chunk.
+
+    One pass: an outer join whose unmatched rows raise, so neither side is counted or computed beforehand.
+    """
+    left, right = chunks.withColumn("__chunk", F.lit(True)), vectors.withColumn("__vector", F.lit(True))
+    joined = left.join(right, "chunk_id", "full")
+    whole = F.col("__chunk") & F.col("__vector")
+    message = F.concat(F.lit("no pair for chunk "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")))
+    return joined.where(F.when(whole, True).otherwise(F.raise_error(message).cast("boolean"))).drop("__chunk", "__vector")
+
+
+#: Partitions of a collection; an upsert rewrites those that its documents fall into.
+PARTS = 32
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 class Collections:
-    """Named collections as managed tables, one for each, and the progress table beside them."""
+    """Named collections as managed tables, one for each, and the progress table beside them.
+
+    A table is partitioned by a hash of document_id (or of its key). A change is first written to a table of its own, which exists
+    only once it is complete, and then put in place; if that is cut off, the next use of the collection puts it in place again.
+    """
 
     def __init__(self, spark: SparkSession, database: str = "default"):
         self.spark, self.database = spark, database
@@ -74,30 +90,73 @@ class Collections:
     def _table(self, name: str) -> str:
         return f"{self.database}.{name}"
 
-    def write(self, name: str, chunks: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """A new snapshot: written beside the old one first, as the rows may come from it."""
-        writer = lambda df: df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")
-        writer(chunks).saveAsTable(self._table(f"{name}__next"))
-        writer(self.spark.table(self._table(f"{name}__next"))).saveAsTable(self._table(name))
-        self.spark.sql(f"DROP TABLE {self._table(f'{name}__next')}")
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        key = next((c for c in ("document_id", "point_id") if c in rows.columns), rows.columns[0])
+        return rows.drop("part").withColumn("part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int"))
+
+    def _staged(self, name: str) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and t.name.startswith(f"{name}__next_"))
+
+    def _put(self, name: str, staged: str) -> None:
+        """Put a complete staged table in place; doing so again changes nothing."""
+        rows = self.spark.table(self._table(staged))
+        if staged.startswith(f"{name}__next_all") or not self.spark.catalog.tableExists(self._table(name)):
+            rows.write.mode("overwrite").partitionBy("part").saveAsTable(self._table(name))
+        else:
+            columns = self.spark.table(self._table(name)).columns
+            mode = self.spark.conf.get(_OVERWRITE)
+            self.spark.conf.set(_OVERWRITE, "dynamic")
+            try:
+                rows.select(*columns).write.mode("overwrite").insertInto(self._table(name))
+            finally:
+                self.spark.conf.set(_OVERWRITE, mode)
+        self.spark.sql(f"DROP TABLE {self._table(staged)}")
+
+    def recover(self, name: str) -> None:
+        for staged in self._staged(name):
+            self._put(name, staged)
+
+    def _change(self, name: str, rows: DataFrame, scope: str) -> None:
+        staged = f"{name}__next_{scope}_{uuid.uuid4().hex}"
+        rows.write.saveAsTable(self._table(staged))
+        self._put(name, staged)
+
+    def write(self, name: str, chunks: DataFrame) -> None:
+        """A new snapshot; the rows may come from the old one."""
+        self.recover(name)
+        self._change(name, self._placed(chunks), "all")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.table(self._table(name))
+        self.recover(name)
+        return self.spark.table(self._table(name)).drop("part")
 
     def exists(self, name: str) -> bool:
+        self.recover(name)
         return self.spark.catalog.tableExists(self._table(name))
 
-    def upsert(self, name: str, batch: DataFrame, **how) -> None:
-        self.write(name, upsert(self.read(name), batch, **how) if self.exists(name) else latest(batch))
+    def upsert(self, name: str, batch: DataFrame, key: str = "point_id", seq: str = "ingest_seq", replace_document: str | None = None) -> None:
+        """Rows by key; only partitions that the batch falls into are read and written."""
+        new = self._placed(latest(batch, key, seq))
+        if not self.exists(name):
+            return self._change(name, new, "all")
+        new = new.persist()
+        try:
+            parts = [r["part"] for r in new.select("part").distinct().collect()]
+            if parts:
+                touched = self.spark.table(self._table(name)).where(F.col("part").isin(parts))
+                self._change(name, upsert(touched, new, key, seq, replace_document), "parts")
+        finally:
+            new.unpersist()
 
     def delete_points(self, name: str, ids: DataFrame) -> None:
         self.write(name, delete(self.read(name), ids))
 
     def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and "__next_" not in t.name)
 
     def drop(self, name: str, document_type: str | None = None, progress: str | None = None) -> None:
         """With document_type, its rows leave the progress table too, so that a new run starts clean."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        for table in (name, *self._staged(name)):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(table)}")
         if document_type and progress and self.exists(progress):
             self.write(progress, self.read(progress).where(F.col("document_type") != document_type))

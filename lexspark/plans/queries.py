@@ -204,7 +204,7 @@ def c10_c11_validity(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'no content' END AS error_message FROM documents")
 def c12_without_content(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
-    return docs.select("doc_id", F.when(F.coalesce("text", F.lit("")) == "", "no content").alias("error_message"))
+    return normalize.with_content_check(docs, "text").select("doc_id", "error_message")
 
 
 # --- joins
@@ -351,11 +351,12 @@ def g1_filtered_search(spark, d):
     return _rounded(search.vector_search(queries, points, condition=F.col("label") % 2 == 0, threshold=0.2))
 
 
-@query(_search_sql("true", 5))
+@query("SELECT a.vec_id, b.vec_id AS next_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def i17_cosine(spark, d):
-    queries, points = _vectors(spark, d)
-    scored = search.expression_scores(queries, points).withColumn("score", F.round("score", 12))
-    return _rounded(search.top_k(scored, 5))
+    """Each vector with the next one."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("next"))
+    return e.join(after, F.col("next_id") == F.col("vec_id") + 1).select("vec_id", "next_id", F.round(scalars.cosine(F.col("embedding"), F.col("next")), 6).alias("score"))
 
 
 _HALVES = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS point_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS score, e.label % 2 AS half FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, half ORDER BY score DESC, point_id) AS rn FROM s) "
@@ -392,7 +393,7 @@ def g6_sample(spark, d):
 
 @query("SELECT doc_id, 'labels' AS type FROM labels UNION ALL SELECT doc_id, 'documents' AS type FROM documents")
 def h1_union(spark, d):
-    return table(spark, d, "labels").select("doc_id", F.lit("labels").alias("type")).unionByName(table(spark, d, "documents").select("doc_id", F.lit("documents").alias("type")))
+    return search.tagged({name: table(spark, d, name).select("doc_id") for name in ("labels", "documents")})
 
 
 @query("SELECT cast(doc_id AS VARCHAR) AS document_id, 'x' AS document_type, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'completed' ELSE 'pending' END AS status FROM documents")
@@ -525,17 +526,52 @@ def i20_order_result(spark, d):
     return corpus(spark, d).select("doc_id", render.order_result(F.lit(2), F.lit("T"), F.col("order_number"), F.col("president"), dates.epoch_of(F.col("signing_date")), F.col("text"), F.lit(0.25)).alias("line"))
 
 
+@query(C + f"""SELECT doc_id, '### 1. ' || coalesce(case_name, 'Unknown Case') || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '*' || doc_id || ' U.S. 1*' || chr(10) ELSE '' END || '**Concurrence Opinion** by Justice ' || justice || CASE WHEN doc_id % 3 = 0 THEN ' (Section II)' ELSE '' END || chr(10)
+|| chr(10) || '**Excerpt:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '**Legal Context:**' || CASE WHEN len(topics) > 0 THEN chr(10) || '- **Legal Topics:** ' || array_to_string(topics, ', ') ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '- **Vote:** 5-4' ELSE '' END
+|| chr(10) || '- **Key Holding:** ' || substr(document_id || text, 1, 200) || '...' || chr(10) || chr(10) || '*Relevance Score: 0.500*' AS line FROM c""")
+def i20_opinion_detail(spark, d):
+    c = corpus(spark, d)
+    detail = {"legal_topics": F.col("topics"), "vote_breakdown": F.expr("CASE WHEN doc_id % 5 = 0 THEN '5-4' END"), "holding": F.concat("document_id", "text")}
+    cited, section = F.expr("CASE WHEN doc_id % 2 = 0 THEN document_id || ' U.S. 1' END"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'II' ELSE '' END")
+    return c.select("doc_id", render.opinion_result(F.lit(1), F.col("case_name"), F.lit("concurrence"), F.col("justice"), F.col("text"), F.lit(0.5), cited, section, detail).alias("line"))
+
+
+@query(C + f"""SELECT doc_id, '### 2. T' || chr(10) || '**President ' || president || '**' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '**Sec. 1**' ELSE '**Document Part: Section**' END || chr(10) || chr(10) || '**Excerpt:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '**Policy Context:**'
+|| chr(10) || '- **Summary:** ' || substr(document_id || text, 1, 200) || '...' || CASE WHEN len(topics) > 0 THEN chr(10) || '- **Policy Topics:** ' || array_to_string(topics, ', ') ELSE '' END || CASE WHEN len(agencies) > 0 THEN chr(10) || '- **Agencies:** ' || array_to_string(agencies, ', ') ELSE '' END
+|| CASE WHEN len(topics) > 0 THEN chr(10) || '- **Legal Authorities:** ' || array_to_string(list_slice(topics, 1, 3), ', ') ELSE '' END || chr(10) || chr(10) || '*Relevance Score: 0.250*' AS line FROM c""")
+def i20_order_detail(spark, d):
+    detail = {"summary": F.concat("document_id", "text"), "policy_topics": F.col("topics"), "impacted_agencies": F.col("agencies"), "legal_authorities": F.col("topics")}
+    title, part = F.expr("CASE WHEN doc_id % 2 = 0 THEN 'Sec. 1' END"), F.lit("section")
+    return corpus(spark, d).select("doc_id", render.order_result(F.lit(2), F.lit("T"), F.lit(""), F.col("president"), F.lit(None).cast("bigint"), F.col("text"), F.lit(0.25), title, part, detail).alias("line"))
+
+
+@query(C + f"""SELECT doc_id, '### 3. Document Chunk' || chr(10) || CASE WHEN case_name IS NOT NULL THEN '**Title:** ' || case_name ELSE '**Document_Id:** ' || document_id END || chr(10) || chr(10) || '**Content:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '*Relevance Score: 1.000*' AS line FROM c""")
+def i20_generic_result(spark, d):
+    return corpus(spark, d).select("doc_id", render.generic_result(F.lit(3), F.col("text"), F.lit(1.0), title=F.col("case_name"), document_id=F.col("document_id")).alias("line"))
+
+
 def _results(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     queries, points = _vectors(spark, d)
     found = search.vector_search(queries, points, k)
     return found.withColumns({"document_id": (F.col("point_id") % 20).cast("string"), "chunk_id": F.col("point_id").cast("string"), "collection": F.lit("executive_orders"), "title": F.concat(F.lit("Order "), F.col("point_id").cast("string"))})
 
 
-@query()
+_TOP3 = _HALVES.replace("PARTITION BY query_id, half", "PARTITION BY query_id") + ", top AS (SELECT query_id, point_id, score, rn AS rank FROM r WHERE rn <= 3) "
+#: The hint of each query whose best result is good: its documents, by their best chunk.
+_HINTS = """, good AS (SELECT *, point_id % 20 AS document FROM top WHERE query_id IN (SELECT query_id FROM top WHERE rank = 1 AND score >= 0.4)),
+one AS (SELECT query_id, rank, '**Order ' || point_id || ':**' || chr(10) || '```' || chr(10) || 'get_document_by_id(' || chr(10) || '    document_id="' || point_id || '",' || chr(10) || '    collection="executive_orders",' || chr(10) || '    full_document=true' || chr(10) || ')' || chr(10) || '```' AS call
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY rank) AS n FROM good) WHERE n = 1),
+hint AS (SELECT query_id, '## Full Document Access' || chr(10) || chr(10) || 'For detailed analysis of ' || CASE count(*) WHEN 1 THEN 'this case' ELSE 'these ' || count(*) || ' documents' END || ', you can load the complete document text:' || chr(10) || chr(10) || string_agg(call, chr(10) ORDER BY rank) AS hint FROM one GROUP BY query_id) """
+
+
+@query(_TOP3 + _HINTS + """SELECT t.query_id, '## Search Results for: "q' || t.query_id || '"' || chr(10) || chr(10) || 'Found ' || count(*) || ' relevant document chunks.' || chr(10) || chr(10)
+|| string_agg('### ' || rank || '. Order ' || point_id || chr(10), chr(10) ORDER BY rank) || coalesce(chr(10) || max(h.hint), '') AS page FROM top t LEFT JOIN hint h ON h.query_id = t.query_id GROUP BY t.query_id""")
 def i21_result_pages(spark, d):
     queries, _ = _vectors(spark, d)
-    lines = _results(spark, d).withColumn("line", F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), "title"))
-    return render.result_page(lines, queries.select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query")))
+    found = _results(spark, d)
+    lines = found.withColumn("line", F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), "title"))
+    asked = queries.select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"))
+    return render.result_page(lines, asked, hints=render.document_hints(found))
 
 
 @query(_HALVES.replace("PARTITION BY query_id, half", "PARTITION BY query_id") + ", g AS (SELECT * FROM r WHERE rn <= 3 AND query_id IN (SELECT query_id FROM r WHERE rn = 1 AND score >= 0.4)) SELECT query_id, min(rn) AS first_rank, point_id % 20 AS document FROM g GROUP BY query_id, point_id % 20")
@@ -544,16 +580,26 @@ def f5_f6_hint_documents(spark, d):
     return one.select("query_id", F.col("rank").cast("long").alias("first_rank"), F.col("document_id").cast("long").alias("document"))
 
 
-@query()
+@query(_TOP3 + _HINTS + "SELECT query_id, hint FROM hint")
 def i22_hints(spark, d):
     return render.document_hints(_results(spark, d))
 
 
-@query(C + "SELECT doc_id, president, strftime(cast(signing_date AS DATE), '%B %d, %Y') AS signed, nullif(array_to_string(topics, ', '), '') AS topics FROM c")
+_SHOWN = {
+    "executive_orders": (("President", "president"), ("Signing Date", "strftime(cast(signing_date AS DATE), '%B %d, %Y')"), ("Chunk Type", "lang"), ("Section Title", "order_number"), ("Policy Topics", "array_to_string(topics, ', ')"), ("Impacted Agencies", "array_to_string(agencies, ', ')"), ("Legal Authorities", "array_to_string(agencies, ', ')"), ("Economic Sectors", "source")),
+    "supreme_court_opinions": (("Opinion Type", "opinion_code"), ("Justice", "justice"), ("Section", "lang"), ("Publication Date", "strftime(cast(signing_date AS DATE), '%B %d, %Y')"), ("Legal Topics", "array_to_string(topics, ', ')"), ("Constitutional Provisions", "array_to_string(agencies, ', ')"), ("Statutes Interpreted", "array_to_string(topics, ', ')"), ("Vote Breakdown", "order_number")),
+}
+_METADATA = C + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS collection, '{name}' AS name, {value} AS value FROM c WHERE coalesce({value}, '') <> ''" for kind, fields in _SHOWN.items() for name, value in fields)
+
+
+@query(_METADATA)
 def i23_relevant_metadata(spark, d):
-    c = corpus(spark, d).withColumns({"signing_date": dates.epoch_of(F.col("signing_date")), "policy_topics": F.col("topics")})
-    m = render.relevant_metadata("executive_orders", {"president": "string", "signing_date": "bigint", "policy_topics": "array<string>"})
-    return c.select("doc_id", m.alias("m")).select("doc_id", F.try_element_at("m", F.lit("President")).alias("president"), F.try_element_at("m", F.lit("Signing Date")).alias("signed"), F.try_element_at("m", F.lit("Policy Topics")).alias("topics"))
+    day = dates.epoch_of(F.col("signing_date"))
+    c = corpus(spark, d)
+    order = c.select("doc_id", "president", day.alias("signing_date"), F.col("lang").alias("chunk_type"), F.col("order_number").alias("section_title"), F.col("topics").alias("policy_topics"), F.col("agencies").alias("impacted_agencies"), F.col("agencies").alias("legal_authorities"), F.col("source").alias("economic_sectors"))
+    court = c.select("doc_id", F.col("opinion_code").alias("opinion_type"), "justice", F.col("lang").alias("section"), day.alias("publication_date"), F.col("topics").alias("legal_topics"), F.col("agencies").alias("constitutional_provisions"), F.col("topics").alias("statutes_interpreted"), F.col("order_number").alias("vote_breakdown"))
+    rows = [df.select("doc_id", F.lit(kind).alias("collection"), F.explode(render.relevant_metadata(kind, dict(df.dtypes))).alias("name", "value")) for kind, df in (("executive_orders", order), ("supreme_court_opinions", court))]
+    return rows[0].unionByName(rows[1])
 
 
 @query(C + """SELECT doc_id, '# T' || chr(10) || chr(10) || '**Document ID:** ' || document_id || chr(10) || '**Type:** Order' || chr(10) || '**Source:** ' || source || chr(10) || '**Date:** ' || signing_date || chr(10) || '**URL:** ' || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Document Content' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- **president:** ' || president AS page FROM c""")
@@ -676,3 +722,20 @@ def w1_w3_ingest_and_search(spark, d):
     from .ingest import ingest_and_search
 
     return ingest_and_search(spark, d)
+
+
+@query()
+def w1_court_search(spark, d):
+    """Opinions with their cases to chunks to vectors; questions to filtered, ranked, rendered results."""
+    from .ingest import ingest_and_search
+
+    return ingest_and_search(spark, d, "opinion")
+
+
+@query(oracles.ORDER_CHUNKS + f"SELECT {_CHUNK_COLUMNS}, 'executive_orders' AS collection, {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.president, c.agencies, false AS embed_failed FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
+def b8_a10_dry_run(spark, d):
+    """The payloads that an ingestion of all orders would store."""
+    from . import ingest
+
+    found = ingest.dry_run(ingest.KINDS["order"].prepare(ingest.raw_orders(corpus(spark, d))), "order")
+    return _digested(found.select("document_id", "chunk_id", "chunk_index", "section_label", "text", "token_count", "start_char", "end_char", "collection", "point_id", "president", "agencies", "embed_failed"))

@@ -2,48 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tokenizers import quarter
 from ..operators import progress, store
 from ..operators.chunk import chunk_documents
 from ..operators.embed import Embedder, embed
 
 DOCUMENTS = "document_id string, text string"
+#: Numbers of a batch in the log: its states come one after another.
+STATES = 4
 
 
-def process(docs: DataFrame, kind: str, dim: int, fn: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+def process(docs: DataFrame, kind: str, dim: int, fn: Embedder | None = None, count: Callable[[str], int] = quarter) -> tuple[DataFrame, DataFrame]:
     """(chunks with ids and vectors, failed documents with the reason). A bad document does not stop the others."""
     ok = F.coalesce(F.col("text"), F.lit("")) != ""
-    failed = docs.where(~ok).select("document_id", F.lit("no content").alias("error_message"))
-    chunks = store.with_point_ids(chunk_documents(docs.where(ok), kind))
-    return embed(chunks, "text", dim, fn), failed
+    empty = docs.where(~ok).select("document_id", F.lit("no content").alias("error_message"))
+    chunks = chunk_documents(docs.where(ok), kind, count=count, errors=True)
+    failed = chunks.where("error_message IS NOT NULL").select("document_id", "error_message")
+    good = store.with_point_ids(chunks.where("error_message IS NULL").drop("error_message"))
+    return embed(good, "text", dim, fn), empty.unionByName(failed)
 
 
-def ingest_stream(spark: SparkSession, source: str, checkpoint: str, collection: str, log: str, kind: str = "order", dim: int = 64, fn: Embedder | None = None) -> StreamingQuery:
-    """Take what is new in source (Parquet of DOCUMENTS) and stop; a later call takes up from there.
+def ingest_batch(
+    spark: SparkSession, docs: DataFrame, number: int, collection: str, log: str, kind: str = "order", dim: int = 64, fn: Embedder | None = None, count: Callable[[str], int] = quarter
+) -> None:
+    """Documents that are not completed go from pending over processing to completed or failed; their chunks are upserted.
 
-    Of each batch, completed documents are left out, chunks are written before the documents are logged,
-    and ids are deterministic, so a batch that runs again gives the same collection. The log is only
-    appended to; its sequence number is the batch.
+    The log is only appended to; of a document the last number counts. Chunks are written before the documents are logged as
+    completed, and ids are deterministic, so a batch that is cut off and runs again gives the same collection.
     """
     tables = store.Collections(spark)
+    docs = docs.groupBy("document_id").agg(F.max("text").alias("text")).withColumn("document_type", F.lit(kind))
+    if tables.exists(log):
+        docs = progress.without_completed(docs, progress.current(tables.read(log)))
+    docs = docs.persist()
+    state = lambda of, status, step: of.select(
+        "document_id", "document_type", status.alias("status"), (F.col("error_message") if "error_message" in of.columns else F.lit(None).cast("string")).alias("error_message"),
+        F.lit(number * STATES + step).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("requires_reprocessing"),
+    )
+    append = lambda rows: rows.write.mode("append").saveAsTable(log)
+    try:
+        append(state(docs, F.lit(progress.PENDING), 0))
+        append(state(docs, F.lit(progress.PROCESSING), 1))
+        chunks, failed = process(docs.drop("document_type"), kind, dim, fn, count)
+        chunks, failed = chunks.withColumn("ingest_seq", F.lit(number).cast("long")).persist(), failed.persist()
+        tables.upsert(collection, chunks, replace_document="document_id")
+        ended = docs.join(failed, "document_id", "left")
+        flagged = chunks.groupBy("document_id").agg(F.max("embed_failed").alias("flag"))
+        ended = state(ended, F.when(F.col("error_message").isNull(), progress.COMPLETED).otherwise(progress.FAILED), 2).drop("requires_reprocessing").join(flagged, "document_id", "left")
+        append(ended.select("document_id", "document_type", "status", "error_message", "seq", F.coalesce("flag", F.lit(False)).alias("requires_reprocessing")))
+        chunks.unpersist()
+        failed.unpersist()
+    finally:
+        docs.unpersist()
+
+
+def ingest_stream(
+    spark: SparkSession, source: str, checkpoint: str, collection: str, log: str, kind: str = "order", dim: int = 64, fn: Embedder | None = None, count: Callable[[str], int] = quarter
+) -> StreamingQuery:
+    """Take what is new in source (Parquet of DOCUMENTS) and stop; a later call takes up from there."""
 
     def run(batch: DataFrame, number: int) -> None:
-        docs = batch.dropDuplicates(["document_id"]).withColumn("document_type", F.lit(kind))
-        if tables.exists(log):
-            docs = progress.without_completed(docs, progress.current(tables.read(log)))
-        docs = docs.persist()
-        try:
-            chunks, failed = process(docs.drop("document_type"), kind, dim, fn)
-            tables.upsert(collection, chunks.withColumn("ingest_seq", F.lit(number).cast("long")), replace_document="document_id") if tables.exists(collection) else tables.write(collection, chunks.withColumn("ingest_seq", F.lit(number).cast("long")))
-            states = docs.join(failed, "document_id", "left").select(
-                "document_id", "document_type", F.when(F.col("error_message").isNull(), progress.COMPLETED).otherwise(progress.FAILED).alias("status"), "error_message", F.lit(number).cast("long").alias("seq")
-            )
-            states.write.mode("append").saveAsTable(log)
-        finally:
-            docs.unpersist()
+        ingest_batch(spark, batch, number, collection, log, kind, dim, fn, count)
 
     stream = spark.readStream.schema(DOCUMENTS).parquet(source)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def waiting(spark: SparkSession, log: str, kind: str) -> DataFrame:
+    """Documents to take again: pending, failed, cut off while in work, or completed with a flag."""
+    states = progress.reset_interrupted(progress.current(store.Collections(spark).read(log))).where(F.col("document_type") == kind)
+    return states.where(F.col("status").isin(progress.PENDING, progress.FAILED) | F.coalesce("requires_reprocessing", F.lit(False))).select("document_id", "document_type", "status")
+
+
+def retry(spark: SparkSession, source: str, collection: str, log: str, kind: str = "order", dim: int = 64, fn: Embedder | None = None, count: Callable[[str], int] = quarter) -> int:
+    """Ingest once more what is waiting, from the folder of the stream, which has passed those files; the number of documents."""
+    again = waiting(spark, log, kind)
+    n = again.count()
+    if n:
+        tables = store.Collections(spark)
+        number = tables.read(log).agg(F.max("seq")).first()[0] // STATES + 1
+        flagged = again.where(F.col("status") == progress.COMPLETED)  # no longer completed, or the batch would leave them out
+        if not flagged.isEmpty():
+            reopened = flagged.select("document_id", "document_type", F.lit(progress.PENDING).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(number * STATES - 1).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("requires_reprocessing"))
+            reopened.write.mode("append").saveAsTable(log)
+        docs = spark.read.schema(DOCUMENTS).parquet(source).join(again.select("document_id"), "document_id", "left_semi")
+        ingest_batch(spark, docs, number, collection, log, kind, dim, fn, count)
+    return n

@@ -74,7 +74,7 @@ def test_constitution_citations(spark):
     assert [(r["type"], r["number"], r["section"], r["clause"]) for r in found] == [("article", "I", "9", "7"), ("amendment", "XIV", None, None), ("amendment", "V", None, None)]
     strict = one(spark, citations.constitution_citations(F.col("c"), strict=True), c="Part III, U.S. Const. amend. X")
     assert [(r["type"], r["number"]) for r in strict] == [("amendment", "X")]
-    assert [citations.roman(n) for n in (4, 9, 14, 19, 27)] == ["IV", "IX", "XIV", "XIX", "XXVII"]
+    assert [citations.AMENDMENTS[w] for w in ("fourth", "nineteenth", "twenty-seventh")] == ["IV", "XIX", "XXVII"] and len(citations.AMENDMENTS) == 27
 
 
 def test_formats(spark):
@@ -100,6 +100,8 @@ def test_topics_and_extraction(spark):
     assert one(spark, scalars.bounded_topics(t("a", "federal policy"), fill=True)) == ["a", "federal policy", "executive action", "government regulation"]
     failed = one(spark, scalars.parse_extraction(F.lit("{broken")))
     assert failed["failed"] and failed["topics_or_policy_areas"] == ["federal policy", "executive action"]
+    order = one(spark, scalars.parse_extraction(F.lit("{broken"), "order"))
+    assert order["topics_or_policy_areas"] == ["executive order", "federal policy", "presidential action"] and order["reasoning"] == "Unable to extract reasoning."
     fine = one(spark, scalars.parse_extraction(F.lit('{"holding_plain": "h"}')))
     assert not fine["failed"] and fine["holding_plain"] == "h" and fine["cases_cited"] == []
 

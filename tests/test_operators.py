@@ -160,10 +160,12 @@ def test_embedding_failures(spark):
     assert [(r["embedding"], r["embed_failed"]) for r in rows] == [([3.0, 1.0], False), ([0.0, 0.0], True), ([1.0, 1.0], False)]
 
 
-def test_join_embeddings_needs_equal_counts(spark):
+def test_join_embeddings_needs_pairs(spark):
     a = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
-    with pytest.raises(ValueError):
-        store.join_embeddings(a, a.limit(1).withColumn("embedding", F.lit(1)))
+    assert store.join_embeddings(a, a.withColumn("embedding", F.lit(1))).count() == 2
+    for left, right in ((a, a.limit(1)), (a.limit(1), a)):
+        with pytest.raises(Exception, match="no pair for chunk"):
+            store.join_embeddings(left, right.withColumn("embedding", F.lit(1))).collect()
 
 
 def test_cluster_ids(spark):
@@ -214,10 +216,119 @@ def test_stream_resumes_and_replays(spark, tmp_path):
     run = lambda cp: ingest.ingest_stream(spark, source, cp, "s_points", "s_log", dim=8).awaitTermination()
     run(checkpoint)
     first = sorted(r["point_id"] for r in spark.table("s_points").collect())
-    states = {r["document_id"]: (r["status"], r["error_message"]) for r in spark.table("s_log").collect()}
+    states = {r["document_id"]: (r["status"], r["error_message"]) for r in progress.current(spark.table("s_log")).collect()}
     assert states == {"d1": ("completed", None), "d2": ("failed", "no content"), "d3": ("completed", None)}
     write([("d1", ORDER_TEXT), ("d4", "new")])
     run(checkpoint)
     assert len(spark.table("s_points").collect()) == len(first) + 1
+    log = [(r["document_id"], r["status"]) for r in spark.table("s_log").where("document_id = 'd1'").orderBy("seq").collect()]
+    assert log == [("d1", "pending"), ("d1", "processing"), ("d1", "completed")]
     run(str(tmp_path / "other"))  # everything again: completed documents are left out
     assert sorted(r["point_id"] for r in spark.table("s_points").where("document_id != 'd4'").collect()) == first
+
+
+def test_a_failing_document_is_retried(spark, tmp_path):
+    source, broken = str(tmp_path / "in"), str(tmp_path / "broken")
+    spark.createDataFrame([("d1", ORDER_TEXT), ("d2", "boom " + ORDER_TEXT)], ingest.DOCUMENTS).coalesce(1).write.parquet(source)
+    open(broken, "w").close()
+
+    def count(text):
+        if text.startswith("boom") and os.path.exists(broken):
+            raise RuntimeError("bad document")
+        return len(text) // 4
+
+    ingest.ingest_stream(spark, source, str(tmp_path / "cp"), "r_points", "r_log", dim=8, count=count).awaitTermination()
+    states = lambda: {r["document_id"]: (r["status"], r["error_message"]) for r in progress.current(spark.table("r_log")).collect()}
+    assert states() == {"d1": ("completed", None), "d2": ("failed", "RuntimeError: bad document")}
+    assert {r["document_id"] for r in spark.table("r_points").collect()} == {"d1"}
+    os.remove(broken)
+    assert ingest.retry(spark, source, "r_points", "r_log", dim=8, count=count) == 1
+    assert states()["d2"] == ("completed", None) and {r["document_id"] for r in spark.table("r_points").collect()} == {"d1", "d2"}
+    assert ingest.retry(spark, source, "r_points", "r_log", dim=8, count=count) == 0
+
+
+def test_flagged_documents_are_taken_again(spark, tmp_path):
+    source, broken = str(tmp_path / "in"), str(tmp_path / "broken")
+    spark.createDataFrame([("d1", ORDER_TEXT)], ingest.DOCUMENTS).write.parquet(source)
+    open(broken, "w").close()
+
+    def fn(texts):
+        if os.path.exists(broken):
+            raise RuntimeError
+        return [[1.0, 0.0]] * len(texts)
+
+    ingest.ingest_stream(spark, source, str(tmp_path / "cp"), "f_points", "f_log", dim=2, fn=fn).awaitTermination()
+    assert [r["embed_failed"] for r in spark.table("f_points").select("embed_failed").distinct().collect()] == [True]
+    os.remove(broken)
+    assert ingest.retry(spark, source, "f_points", "f_log", dim=2, fn=fn) == 1
+    assert [r["embed_failed"] for r in spark.table("f_points").select("embed_failed").distinct().collect()] == [False]
+
+
+def test_upsert_touches_its_partitions_and_recovers(spark, monkeypatch):
+    tables = store.Collections(spark)
+    rows = lambda ids, seq: spark.createDataFrame([(f"p{i}", f"d{i}", seq) for i in ids], "point_id string, document_id string, ingest_seq int")
+    tables.upsert("parts_points", rows(range(200), 1))
+    files = lambda: {r["f"] for r in spark.table("default.parts_points").select(F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    tables.upsert("parts_points", rows([3], 2), replace_document="document_id")
+    spark.catalog.refreshTable("default.parts_points")
+    assert len(before & files()) >= store.PARTS - 4
+    assert tables.read("parts_points").where("ingest_seq = 2").count() == 1 and tables.read("parts_points").count() == 200
+
+    def cut_off(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Collections, "_put", cut_off)
+        with pytest.raises(RuntimeError):
+            tables.upsert("parts_points", rows([4, 900], 3))
+    assert sorted(r["point_id"] for r in store.Collections(spark).read("parts_points").where("ingest_seq = 3").collect()) == ["p4", "p900"]
+    assert tables.read("parts_points").count() == 201 and tables.names().count("parts_points") == 1
+
+
+def test_extraction_hook(spark):
+    def fn(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError
+        return ['{"document_summary": "S", "federal_statutes_cited": ["1 U.S.C. § 1"], "topics_or_policy_areas": ["x"]}' for _ in texts]
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "id int, text string")
+    rows = {r["id"]: r for r in embed.extract_fields(docs, kind="order", fn=fn).collect()}
+    assert rows[1]["document_summary"] == "S" and rows[1]["total_citations"] == 1 and not rows[1]["llm_extraction_failed"]
+    assert rows[1]["topics_or_policy_areas"] == ["x", "federal policy", "executive action", "government regulation"]
+    assert rows[2]["document_summary"] == "Unable to generate summary." and rows[2]["requires_reprocessing"]
+    assert rows[2]["topics_or_policy_areas"] == ["executive order", "federal policy", "presidential action"]
+    assert [r["id"] for r in embed.to_reprocess(embed.extract_fields(docs, kind="order", fn=fn)).orderBy("id").collect()] == [2, 3]
+
+
+def test_search_in_blocks_with_string_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i:03d}", rng.integers(0, 3, 6).astype(float).tolist(), i % 2) for i in range(150)] + [("none", None, 0)]
+    points = spark.createDataFrame(rows, "point_id string, embedding array<double>, label int").repartition(3)
+    queries = points.where("point_id < 'p040'").withColumnRenamed("point_id", "query_id")
+    of = lambda: sorted(map(tuple, search.vector_search(queries, points, 7, F.col("label") == 0, 0.3).collect()))
+    whole = of()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(search, "POINT_BLOCK", 13)
+    assert of() == whole and len(whole) > 200
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert of() == whole
+
+
+def test_detailed_results(spark):
+    lit = F.lit
+    lists = F.array(lit("a"), lit("b"), lit("c"), lit("d"))
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    shown = one(render.opinion_result(lit(1), lit("A v. B"), lit("dissent"), lit("Kagan"), lit("T"), lit(0.5), lit("1 U.S. 2"), lit("II"), {"legal_topics": lists, "vote_breakdown": lit("5-4"), "holding": lit("h" * 300)}))
+    assert shown == "### 1. A v. B\n*1 U.S. 2*\n**Dissent Opinion** by Justice Kagan (Section II)\n\n**Excerpt:**\nT\n\n**Legal Context:**\n- **Legal Topics:** a, b, c, d\n- **Vote:** 5-4\n- **Key Holding:** " + "h" * 200 + "...\n\n*Relevance Score: 0.500*"
+    shown = one(render.order_result(lit(2), lit("T"), lit(None).cast("string"), lit("P"), lit(None).cast("long"), lit("x"), lit(0.25), None, lit("preamble"), {"legal_authorities": lists, "summary": lit("s")}))
+    assert shown == "### 2. T\n**President P**\n\n**Document Part: Preamble**\n\n**Excerpt:**\nx\n\n**Policy Context:**\n- **Summary:** s...\n- **Legal Authorities:** a, b, c\n\n*Relevance Score: 0.250*"
+    assert one(render.generic_result(lit(3), lit("x"), lit(1.0), id=lit(7), title=lit(None).cast("string"))) == "### 3. Document Chunk\n**Id:** 7\n\n**Content:**\nx\n\n*Relevance Score: 1.000*"
+
+
+def test_pages_of_collections_and_hints(spark):
+    results = spark.createDataFrame([(1, 1, "L1"), (1, 2, "L2")], "query_id bigint, rank int, line string")
+    queries = spark.createDataFrame([(1, "q"), (2, "z")], "query_id bigint, query string")
+    hints = spark.createDataFrame([(1, "HINT")], "query_id bigint, hint string")
+    pages = {r["query_id"]: r["page"] for r in render.result_page(results, queries, "executive_orders", hints).collect()}
+    assert pages == {1: '## Executive Order Search Results\n\nQuery: "q"\nFound 2 relevant order chunks.\n\nL1\n\nL2\n\nHINT', 2: "No Executive Orders found for query: 'z'"}
