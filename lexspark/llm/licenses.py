@@ -11,9 +11,9 @@ A notice of fewer than SHORT words must be matched in full, and the words that t
 must stand in the document one after another. All findings of a document are returned; one that takes half of its words from findings
 with more matched words is none.
 
-Edge cases: a null or blank text has no words and no license; of equal coverage, the longer template and
-then the first by name wins; of equal regions, the first; rows are scanned one by one; whole texts are read;
-extra columns are ignored.
+Edge cases: a null or blank text has no words and no license; an empty table gives no rows; equal rows get equal results; a very long
+text is scanned whole; of equal coverage, the longer template and
+then the first by name wins; of equal regions, the first; rows are scanned one by one; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -76,6 +76,15 @@ TEMPLATES = {
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
     "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "cc0-notice": "Licensed under CC0",
+    "mit-notice-name": "MIT License",
+    **{
+        f"{name.lower()}-spdx": f"SPDX-License-Identifier: {name}"
+        for name in (
+            "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Apache-1.1", "MPL-1.1", "MPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+            "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "BSL-1.0", "Unlicense",
+            "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+        )
+    },
     **{f"cc-{kind}-notice": f"Licensed under CC {kind.upper()}" for kind in ("by", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")},
     **{
         f"cc-{kind}-name": f"under a Creative Commons {name}"
@@ -157,7 +166,9 @@ class Template:
         self.missing = len(self.words) - ceil(least * len(self.words) - 1e-9) if len(self.words) >= SHORT else 0
         first = name.split("-")[0]
         phrase = words_of(REQUIRED.get(first) or REQUIRED_NOTICE.get(first if "-notice" in name else ""))
-        if first == "cc":
+        if name.endswith("-spdx"):
+            phrase = self.words
+        elif first == "cc":
             phrase = self.words[self.words.index("under") + 1 :]
         #: Places in the template of the words that tell it from others.
         self.required = next((range(k, k + len(phrase)) for k in range(len(self.words)) if phrase and self.words[k : k + len(phrase)] == phrase), range(0))
@@ -203,8 +214,8 @@ class Template:
                     yield [a + i for i, _ in matched]
 
 
-def find_licenses(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, list[tuple[str, float, int, int, int]]]:
-    """Number of words, and license, coverage, matched words, first and end word of all findings in the order of their places."""
+def find_licenses(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, list[tuple]]:
+    """Number of words, and license, coverage, matched words, first and end word and version of all findings in the order of their places."""
     words = words_of(text)
     present = frozenset(words)
     likely = [t for t in templates if len(t.vocabulary & present) >= t.least_words]
@@ -216,26 +227,40 @@ def find_licenses(text: str | None, templates: list[Template], least: float = MI
     for n, _, first, name, coverage, at in sorted(found):
         if coverage >= least and 2 * sum(i in taken for i in at) < -n:
             taken.update(at)
-            out.append((name, coverage, -n, first, at[-1] + 1))
+            out.append((name, coverage, -n, first, at[-1] + 1, version_of(words, first, at[-1] + 1)))
     return len(words), sorted(out, key=lambda f: (f[3], f[4], f[0]))
 
 
-def find_license(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, str | None, float, int, int, int]:
-    """Number of words, and license, coverage, matched words, first and end word of the best finding."""
+def find_license(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple:
+    """Number of words, and license, coverage, matched words, first and end word and version of the best finding."""
     n, found = find_licenses(text, templates, least)
     return n, *best_of(found, {t.name: len(t.words) for t in templates})
 
 
-def best_of(found: list[tuple[str, float, int, int, int]], sizes: dict[str, int]) -> tuple[str | None, float, int, int, int]:
-    return min(found, key=lambda f: (-f[1], -sizes[f[0]], f[0], f[3]), default=(None, 0.0, 0, 0, 0))
+def best_of(found: list[tuple], sizes: dict[str, int]) -> tuple:
+    return min(found, key=lambda f: (-f[1], -sizes[f[0]], f[0], f[3]), default=(None, 0.0, 0, 0, 0, None))
+
+
+def version_of(words: list[str], first: int, end: int) -> str | None:
+    """The version that a notice names: numbers after `version` or `v` inside it or just behind it, or right after its end."""
+    for i in range(first, min(end + 3, len(words))):
+        at = i + 1 if words[i] in ("version", "v") else end if i == end else -1
+        if at >= 0:
+            digits = []
+            while at < len(words) and len(digits) < 2 and words[at].isdecimal() and len(words[at]) < 3:
+                digits.append(words[at])
+                at += 1
+            if digits:
+                return ".".join(digits)
+    return None
 
 
-_FINDING = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-_FIELDS = "license string, coverage double, n_matched bigint, first_word bigint, end_word bigint"
+_FINDING = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("version", pa.string())])
+_FIELDS = "license string, coverage double, n_matched bigint, first_word bigint, end_word bigint, version string"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, n_words, the best finding's license, coverage, n_matched, first_word, end_word, and all findings, for each row of docs."""
+    """doc_id, n_words, the best finding's license, coverage, n_matched, first_word, end_word, version, and all findings, for each row of docs."""
     texts = templates or TEMPLATES
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,3 +28,14 @@ def test_all_findings_of_a_document(spark):
     row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert [f["license"] for f in row["findings"]] == ["mit-notice", "cc-by-nc-notice", "mit-notice"]
     assert row["license"] == "cc-by-nc-notice" and row["first_word"] == 10  # of equal ones the first by name
+
+
+def test_versions_and_identifiers():
+    of = lambda text: [(f[0], f[5]) for f in licenses.find_licenses(text, KNOWN)[1]]
+    assert of("Licensed under the Mozilla Public License, version 2.0") == [("mpl-notice", "2.0")]
+    assert of("This work is licensed under the GNU Lesser General Public License, version 3") == [("lgpl-notice", "3")]
+    assert of("Licensed under CC BY-SA 4.0") == [("cc-by-sa-notice", "4.0")]
+    assert of("// SPDX-License-Identifier: GPL-3.0-or-later\n") == [("gpl-3.0-or-later-spdx", None)]
+    assert of("/* SPDX-License-Identifier: BSD-3-Clause */") == [("bsd-3-clause-spdx", None)]
+    assert of("MIT License\n\nCopyright (c) 2001 A B") == [("mit-notice-name", None)]
+    assert of("SPDX-License-Identifier: Foo-1.0") == []
