@@ -31,7 +31,8 @@ def opinion_metadata(opinions: DataFrame) -> DataFrame:
 
 
 def agency_names(agencies: Column) -> Column:
-    return F.transform(F.coalesce(agencies, F.array().cast("array<struct<name:string>>")), lambda a: F.coalesce(a["name"], F.lit("")))
+    """Names of an array of structs with a name and more; null gives an empty array."""
+    return F.coalesce(F.transform(agencies, lambda a: F.coalesce(a["name"], F.lit(""))), F.array().cast("array<string>"))
 
 
 def president_name(record: Column | None, text: Column | None) -> Column:

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import cosine
-
 DEFAULT_K, MAX_K = 10, 50
 #: Queries of one block, and points of one block; what a task or a closure holds is bounded by them.
 QUERY_BLOCK, POINT_BLOCK = 1024, 8192
@@ -137,13 +135,6 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, con
     return top_k(found.mapInArrow(score, spark), k)
 
 
-def expression_scores(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Scores by an expression over every pair; for tests of vector_search on small tables."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    q = F.broadcast(q) if q.count() <= QUERY_BLOCK else q
-    return points.join(q).select("query_id", "point_id", cosine(F.col("embedding"), F.col("q")).alias("score")).where("score IS NOT NULL")
-
-
 def tagged(results: dict[str, DataFrame]) -> DataFrame:
     """All rows of several collections with their collection's name as type; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("type", F.lit(name)) for name, df in results.items()])

@@ -59,6 +59,38 @@ def a3_orders(spark, d):
     return records.orders_in_range(corpus(spark, d).select(F.col("document_id").alias("document_number"), "signing_date"), "2021-02-01", "2022-01-31", 100)
 
 
+def _written(spark: SparkSession, rows: DataFrame, name: str, partition: str | None = None) -> str:
+    """rows as JSON in a folder of their own in the shared warehouse folder."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    writer = rows.write.partitionBy(partition) if partition else rows.write
+    writer.json(path)
+    return path
+
+
+_PLAIN = rf"trim(regexp_replace(text, '{oracles.BLANK}+', ' ', 'g'))"
+
+
+@query(C + f"""SELECT doc_id AS id, {_PLAIN} AS content, opinion_code AS type, justice AS author_str, doc_id % 7 = 0 AS per_curiam, '' AS joined_by_str, signing_date AS date, url AS download_url, cast(doc_id % 90 AS INTEGER) AS page_count FROM c""")
+def a1_b2_opinion_records(spark, d):
+    """Opinion records as JSON lines, read back with a declared schema, flat, clean and with plain dates."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    raw = corpus(spark, d).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit('<pre class="inline">'), escaped, F.lit("</pre>")).alias("html_with_citations"), F.col("opinion_code").alias("type"), F.col("justice").alias("author_str"),
+        F.when(F.col("doc_id") % 7 == 0, True).alias("per_curiam"), F.concat("signing_date", F.lit("T23:10:00-08:00")).alias("date_created"), F.col("url").alias("download_url"), (F.col("doc_id") % 90).cast("int").alias("page_count"), F.lit("x").alias("sha1"),
+    )
+    found = normalize.opinion_metadata(records.read_opinions(spark, _written(spark, raw, "opinions")))
+    return found.withColumn("date", F.col("date").cast("string"))
+
+
+@query(C + "SELECT document_id AS document_number, president, agencies AS names, signing_date FROM c WHERE signing_date BETWEEN '2021-03-01' AND '2023-06-30'")
+def a3_order_pages(spark, d):
+    """Order records in paged envelopes, one file a page, read back for a range of dates."""
+    order = F.struct(F.col("document_id").alias("document_number"), F.struct(F.col("president").alias("name")).alias("president"), F.transform("agencies", lambda a: F.struct(a.alias("name"))).alias("agencies"), "signing_date")
+    pages = corpus(spark, d).groupBy(F.expr("doc_id div 500").alias("page")).agg(F.count("*").alias("count"), F.collect_list(order).alias("results"))
+    found = records.read_orders(spark, _written(spark, pages, "orders", "page"), "2021-03-01", "2023-06-30")
+    return found.select("document_number", normalize.president_name(F.col("president"), None).alias("president"), normalize.agency_names(F.col("agencies")).alias("names"), "signing_date")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def a5_read_documents(spark, d):
     return records.read_documents(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
@@ -716,6 +748,21 @@ def l1_stream_ingest(spark, d):
     return spark.table(f"points_{run}").select("point_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_label", F.col("token_count").cast("long").alias("token_count"))
 
 
+@query("SELECT cast(doc_id AS VARCHAR) AS document_id, 'order' AS document_type, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'no content' END AS error_message, 3 AS n_states FROM documents")
+def l2_l3_stream_states(spark, d):
+    """A stream in which every ninth document has no text: the last state of each document, and how many it went through."""
+    from ..streaming.ingest import ingest_stream
+
+    run = uuid.uuid4().hex
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/states-{run}"
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    docs.write.parquet(f"{folder}/in")
+    ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}", dim=8).awaitTermination()
+    log = spark.table(f"log_{run}")
+    n = log.groupBy("document_id").agg(F.count("*").alias("n_states"))
+    return progress.current(log).join(n, "document_id").select("document_id", "document_type", "status", "error_message", "n_states")
+
+
 @query()
 def w1_w3_ingest_and_search(spark, d):
     """Orders to chunks to vectors; questions (benchmark texts) to filtered, ranked, rendered results."""

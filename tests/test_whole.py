@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import chunk, search
+from lexspark.operators import chunk
 from lexspark.plans import queries
 from lexspark.plans.corpora import corpus
 
