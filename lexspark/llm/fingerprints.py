@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, tokens
 
 #: Bytes of text in a range of neighbouring documents, and bits (as a power of 2) of the bitmap of shared digests.
 RANGE_BYTES, BITS = 24 << 20, 25
@@ -80,7 +80,7 @@ def clashes(docs: DataFrame, digests: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [canonical(t) for t in batch.column("text").to_pylist()]
+            forms = [canonical(t) for texts in tokens.slices(batch.column("text")) for t in texts]
             found = np.array([digest_of_form(f) for f in forms], dtype=object)
             bit = np.array([int(d[:8], 16) >> (32 - bits) for d in found], dtype=np.int64)
             on = np.flatnonzero(shared.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)

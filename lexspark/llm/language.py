@@ -34,7 +34,7 @@ from . import common
 
 BUCKETS, ORDERS, BLOCK, MAX_TRAIN, MAX_LANGUAGES, UNKNOWN = 1 << 16, (1, 2, 3), 4096, 40_000, 200, "und"
 #: A pipeline drops what is undetermined, less sure than this, or by so many nats an n-gram unlike its language.
-MIN_SCORE, UNLIKE = 0.5, 3.0
+MIN_SCORE, UNLIKE = 0.5, 4.0
 #: Code points that are put through numpy at once.
 SLICE = 1 << 18
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)

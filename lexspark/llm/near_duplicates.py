@@ -36,7 +36,7 @@ from .components import connected_components
 SHINGLE, MINIMA, ROWS, PERCENT = 5, 128, 4, 75
 LEAST_AGREEMENT = 0.5
 #: Members of a block, bytes of a group of blocks, and rows of equal sets from which a set is joined apart from the others.
-BLOCK, GROUP_BYTES, HEAVY = 512, 12 << 20, 1_000
+BLOCK, GROUP_BYTES, HEAVY = 512, 8 << 20, 1_000
 _WORD = tokens.constants(SHINGLE, 11)
 _A, _B = tokens.constants(MINIMA, 12), tokens.constants(MINIMA, 13)
 _BAND = tokens.constants(ROWS, 14)
@@ -93,12 +93,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group.clear()
 
         n = 0
-        for s in shingle_sets(batch.column("text").to_pylist()):
-            group.append(s)
-            n += len(s)
-            if n > 1 << 16:
-                flush()
-                n = 0
+        for texts in tokens.slices(batch.column("text")):
+            for s in shingle_sets(texts):
+                group.append(s)
+                n += len(s)
+                if n > 1 << 16:
+                    flush()
+                    n = 0
         flush()
         columns = [pa.array(sizes, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(signatures, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], schema=_SIGNED)
@@ -122,7 +123,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
+        found = [s.tobytes() for texts in tokens.slices(batch.column("text")) for s in shingle_sets(texts)]
         yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(found, pa.binary())], ["cid", "shingles"])
 
 

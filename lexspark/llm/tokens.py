@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text put through numpy at once; a longer text goes alone.
 STEP = 1 << 20
@@ -83,6 +84,12 @@ class Words:
         return np.where(space, np.uint8(32), self.data)[keep], starts, starts + (self.ends - self.starts)
 
 
+def slices(column: pa.Array, rows: int = 512) -> Iterator[list]:
+    """The values of a column as Python objects, some rows at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def steps(texts: list, size: int = STEP) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) for runs of texts of about size bytes; null is empty."""
     at, run, n = 0, [], 0
