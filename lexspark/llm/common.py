@@ -31,10 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark deletes the shuffle files of an execution that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Materialise in the shared checkpoint folder and cut the lineage there; the shuffle files that led there go."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def _width(field: T.StructField) -> Column:

@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from pathlib import Path
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -30,30 +29,35 @@ HELD, BLOCK, BASE = 400_000, 1 << 18, 1_000_000
 
 @dataclass
 class Disk:
-    """Mapped arrays in a folder, the limits that a sort keeps to, and what it did."""
+    """Mapped arrays in a folder, the limits that a sort keeps to, and what it did.
+
+    An array's file has no name once it is mapped, so its space is free as soon as the array is no longer used.
+    """
 
     folder: str
     held: int = HELD
     base: int = BASE
     spilled: int = 0
     depth: int = 0
-    made: list[Path] = field(default_factory=list)
 
     def array(self, n: int, kind: type) -> np.ndarray:
-        path = Path(self.folder) / str(len(self.made))
-        self.made.append(path)
-        return np.memmap(path, dtype=kind, mode="w+", shape=max(n, 1))[:n]
+        with tempfile.NamedTemporaryFile(dir=self.folder) as file:
+            return np.memmap(file.name, dtype=kind, mode="w+", shape=max(n, 1))[:n]
 
     def gathered(self, blocks: Iterator[np.ndarray], kind: type) -> np.ndarray:
         """All blocks, one after another."""
-        path = Path(self.folder) / str(len(self.made))
-        self.made.append(path)
-        n = 0
-        with path.open("wb") as file:
+        with tempfile.NamedTemporaryFile(dir=self.folder) as file:
+            n = 0
             for block in blocks:
                 file.write(block.astype(kind).tobytes())
                 n += len(block)
-        return np.memmap(path, dtype=kind, mode="r", shape=n) if n else np.zeros(0, dtype=kind)
+            file.flush()
+            return np.memmap(file.name, dtype=kind, mode="r", shape=n) if n else np.zeros(0, dtype=kind)
+
+
+def _place(n: int) -> type:
+    """The type of places in a text of n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 class Queues:
@@ -202,7 +206,7 @@ def _by_symbol(text: np.ndarray, places: np.ndarray, disk: Disk) -> tuple[np.nda
     for i in range(0, len(places), BLOCK):
         counts[1:] += np.bincount(text[places[i : i + BLOCK]], minlength=top)
     bounds = np.cumsum(counts)
-    out, free = disk.array(len(places), np.int64), bounds[:-1].copy()
+    out, free = disk.array(len(places), _place(len(text))), bounds[:-1].copy()
     for i in range(0, len(places), BLOCK):
         block = places[i : i + BLOCK]
         symbol = text[block].astype(np.int64)
@@ -258,7 +262,7 @@ def _sweep(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, bounds: np.nd
             yield places, turned
             _induce(text, small, queues, places, turned, True, least)
         if c == 0:  # the last suffix induces in the first scan only; here it ends the order
-            yield np.array([len(text) - 1]), np.zeros(1, dtype=np.uint8)
+            yield np.array([len(text) - 1], dtype=_place(len(text))), np.zeros(1, dtype=np.uint8)
 
 
 def _doubling(names: np.ndarray, cap: int) -> np.ndarray:
@@ -291,9 +295,9 @@ def _differ(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b
     return out
 
 
-def _backward(blocks: Iterator[np.ndarray], n: int, disk: Disk) -> np.ndarray:
+def _backward(blocks: Iterator[np.ndarray], n: int, kind: type, disk: Disk) -> np.ndarray:
     """The n values of blocks in reverse."""
-    out = disk.array(n, np.int64)
+    out = disk.array(n, kind)
     for block in blocks:
         out[n - len(block) : n] = block[::-1]
         n -= len(block)
@@ -307,7 +311,7 @@ def _order_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, cap: in
     for i in range(0, len(seeds), BLOCK):
         is_seed[seeds[i : i + BLOCK]] = True
     found = (places[is_seed[places]] for places, _ in _sweep(text, small, grouped, bounds, None, 0, disk))
-    induced = _backward(found, len(seeds), disk)
+    induced = _backward(found, len(seeds), seeds.dtype, disk)
     names, name = disk.array(len(seeds), np.int32), 0
     before = None
     for i in range(0, len(seeds), BLOCK):
@@ -326,7 +330,7 @@ def _order_seeds(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, cap: in
     if len(names) <= disk.base:
         return seeds[_doubling(np.array(names), cap)]
     # The last seed is the last symbol: its name is the unique least, as the string of names needs.
-    return _backward((seeds[places] for places, _ in descending(names, 0, disk, depth=cap)), len(seeds), disk)
+    return _backward((seeds[places] for places, _ in descending(names, 0, disk, depth=cap)), len(seeds), seeds.dtype, disk)
 
 
 def _seeds(small: np.ndarray) -> Iterator[np.ndarray]:
@@ -359,9 +363,10 @@ def descending(text: np.ndarray, cap: int, disk: Disk, depth: int | None = None)
     """
     disk.depth += 1
     small = small_suffixes(text, disk)
-    seeds = disk.gathered(_seeds(small), np.int64)
+    seeds = disk.gathered(_seeds(small), _place(len(text)))
     if not len(seeds):
-        seeds = np.array([len(text) - 1])
+        seeds = np.array([len(text) - 1], dtype=_place(len(text)))
     ordered = _order_seeds(text, small, seeds, depth or max(cap, 1), disk) if len(seeds) > 1 else seeds
+    del seeds
     _, bounds = _by_symbol(text, ordered, disk)  # suffixes in order are grouped by symbol already
     yield from _sweep(text, small, ordered, bounds, _common(text, ordered, cap, disk) if cap else None, cap, disk)
