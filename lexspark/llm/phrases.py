@@ -39,27 +39,32 @@ def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rank[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int32), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
-def by_prefix(words: np.ndarray, starts: np.ndarray, depth: int, group: int) -> Iterator[np.ndarray]:
+def by_prefix(words: np.ndarray, starts: np.ndarray, depth: int, group: int, mine: np.ndarray | None = None, level: int = 0) -> Iterator[np.ndarray]:
     """The suffixes (indices into starts), split by their prefixes; none but those of depth equal words exceeds group.
 
     Groups come in lexical order of their prefixes; neighbours that are small together are one group.
     """
-    todo = [(np.arange(len(starts)), 0)]
-    small: list[np.ndarray] = []
-    while todo:
-        mine, level = todo.pop()
-        if len(mine) > group and level < depth:
-            symbol = words[starts[mine] + level]
-            order = np.argsort(symbol, kind="stable")
-            cuts = np.flatnonzero(np.diff(symbol[order])) + 1
-            todo += [(part, level + 1) for part in reversed(np.split(mine[order], cuts))]
-        else:
-            if small and sum(map(len, small)) + len(mine) > group:
-                yield np.concatenate(small)
-                small = []
-            small.append(mine)
-    if small:
-        yield np.concatenate(small)
+    mine = np.arange(len(starts)) if mine is None else mine
+    if len(mine) <= group or level == depth:
+        if len(mine):
+            yield mine
+        return
+    symbol = words[starts[mine] + level]
+    order = np.argsort(symbol, kind="stable")
+    mine, symbol = mine[order], symbol[order]
+    ends = np.flatnonzero(np.diff(symbol, append=-1)) + 1
+    begin = last = 0
+    for end in ends.tolist():
+        if end - begin > group:  # with this prefix there would be too many
+            if last > begin:
+                yield mine[begin:last]
+            begin = last
+            if end - begin > group:
+                yield from by_prefix(words, starts, depth, group, mine[begin:end], level + 1)
+                begin = end
+        last = end
+    if last > begin:
+        yield mine[begin:last]
 
 
 def subtree(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
