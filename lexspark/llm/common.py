@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Spark deletes the shuffle files of an execution that has ended.
+#: Spark deletes the shuffle files of an execution that has ended, if this is set when its plan is made.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,7 +42,7 @@ def durable(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.checkpoint()
+        return df.select("*").checkpoint()
     finally:
         spark.conf.set(_CLEANUP, before)
 
