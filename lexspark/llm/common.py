@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,13 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write as Parquet to the shared checkpoint folder and read from there; smaller than a checkpoint, for tables that are read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _width(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, licenses, mixing, near_duplicates, phrases, secrets, sharding, substrings
+from . import decontamination, fingerprints, language, licenses, lines, mixing, near_duplicates, phrases, secrets, sharding, substrings
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
+    "op11_lines": lines.op11_lines,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE,
     "op6_phrases": phrases.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
+    "op11_lines": lines.ORACLE,
 }
