@@ -58,12 +58,12 @@ SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 class Words:
-    """Words [^ \\t-\\r]+ of some texts: hashes, byte starts and ends, and first[i]:first[i+1] for text i."""
+    """Words [^ \\t-\\r]+ (or of the bytes that are not in gap) of some texts: hashes, byte starts and ends, and first[i]:first[i+1] for text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, gap: np.ndarray = SPACE):
         self.data = np.frombuffer(b" ".join([*texts, b""]) if texts else b"", dtype=np.uint8)
         n = len(self.data)
-        space = SPACE[self.data]
+        space = gap[self.data]
         edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
         self.starts, self.ends = edges[::2], edges[1::2]
         forward, back = powers(n + 1)
