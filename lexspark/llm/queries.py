@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, licenses, lines, mixing, near_duplicates, phrases, ranking, secrets, sharding, substrings
+from . import decontamination, fingerprints, language, licenses, lines, mixing, near_duplicates, phrases, ranking, secrets, sharding, substrings, tries
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     "op11_lines": lines.op11_lines,
+    "op12_prefix_trie": tries.op12_prefix_trie,
     "op13_ranking": ranking.op13_ranking,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op6_phrases": phrases.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
     "op11_lines": lines.ORACLE,
+    "op12_prefix_trie": tries.ORACLE,
     "op13_ranking": ranking.ORACLE,
 }
