@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -313,7 +314,7 @@ def _searched(found: DataFrame, items: list[tuple[int | None, np.ndarray]], corp
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 ids, n, terms, counts = (batch.column(c).slice(at, BLOCK) for c in _VECTORS.names)
-                first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                first = np.concatenate(([0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 lengths = np.repeat(n.to_numpy(zero_copy_only=False), np.diff(first))
                 values = about.values(counts.flatten().to_numpy(), lengths) if len(lengths) else np.zeros(0, np.int64)
                 rows = Rows(first, terms.flatten().to_numpy().astype(np.int64), values)
