@@ -28,7 +28,7 @@ def _lines(*lines: Column) -> Column:
 
 
 def excerpt(text: Column, n: int = EXCERPT) -> Column:
-    text = F.coalesce(text, F.lit("No text available"))
+    text = F.when(_has(text), text).otherwise("No text available")
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
@@ -57,6 +57,12 @@ def _said(label: str, value: Column | None, cut: int | None = None) -> Column:
     return F.when(_has(value), F.concat(F.lit(f"- **{label}:** "), shown))
 
 
+def _titled(words: Column) -> Column:
+    """Every run of letters with a capital first and small letters after it; what is no letter ends a run."""
+    runs = F.regexp_extract_all(words, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.char_length(r))))), "")
+
+
 def _numbered(rank: Column, name: Column) -> Column:
     return F.concat(F.lit("### "), rank.cast("string"), F.lit(". "), name)
 
@@ -67,7 +73,7 @@ def opinion_result(
     """One result. detail: legal_topics, constitutional_provisions, statutes_interpreted (lists), vote_breakdown, holding (texts)."""
     none = F.lit(None).cast("string")
     citation, section = (none if c is None else c for c in (citation, section))
-    kind = F.concat(F.lit("**"), F.initcap(opinion_type), F.lit(" Opinion**"), F.when(_has(justice), F.concat(F.lit(" by Justice "), justice)).otherwise(""), F.when(_has(section), F.concat(F.lit(" (Section "), section, F.lit(")"))).otherwise(""))
+    kind = F.concat(F.lit("**"), _titled(opinion_type), F.lit(" Opinion**"), F.when(_has(justice), F.concat(F.lit(" by Justice "), justice)).otherwise(""), F.when(_has(section), F.concat(F.lit(" (Section "), section, F.lit(")"))).otherwise(""))
     lines = [_numbered(rank, F.coalesce(case_name, F.lit("Unknown Case"))), F.when(_has(citation), F.concat(F.lit("*"), citation, F.lit("*"))), F.when(_has(opinion_type), kind), F.lit("\n**Excerpt:**"), excerpt(text)]
     if detail is not None:
         of = detail.get
@@ -84,7 +90,7 @@ def order_result(
     section_title, chunk_type = (none if c is None else c for c in (section_title, chunk_type))
     date = display_date(signed)
     info = F.concat_ws(" | ", F.when(_has(president), F.concat(F.lit("President "), president)), F.when(_has(date), F.concat(F.lit("Signed "), date)))
-    part = F.when(_has(section_title), F.concat(F.lit("\n**"), section_title, F.lit("**"))).when(_has(chunk_type), F.concat(F.lit("\n**Document Part: "), F.initcap(chunk_type), F.lit("**")))
+    part = F.when(_has(section_title), F.concat(F.lit("\n**"), section_title, F.lit("**"))).when(_has(chunk_type), F.concat(F.lit("\n**Document Part: "), _titled(chunk_type), F.lit("**")))
     lines = [
         _numbered(rank, F.coalesce(title, F.lit("Unknown Executive Order"))), F.when(_has(number), F.concat(F.lit("**EO Number:** "), number)),
         F.when(_has(info), F.concat(F.lit("**"), info, F.lit("**"))), part, F.lit("\n**Excerpt:**"), excerpt(text),
@@ -130,6 +136,11 @@ def result_page(results: DataFrame, queries: DataFrame, kind: str = "all", hints
     return joined.select("query_id", F.when(F.col("n") > 0, F.concat(head, body, tail)).otherwise(none).alias("page"))
 
 
+# What stands before and after the calls of a hint.
+_HINT_HEAD = "\n---\n\n## 📄 Full Document Access\n\n"
+_HINT_END = "\n\nLoading the full document enables comprehensive follow-up questions without additional searches."
+
+
 def document_hints(results: DataFrame) -> DataFrame:
     """(query_id, hint): how to load whole documents, for queries with few and good results.
 
@@ -145,7 +156,8 @@ def document_hints(results: DataFrame) -> DataFrame:
     which = F.when(F.col("n") == 1, "this case").otherwise(F.concat(F.lit("these "), F.col("n").cast("string"), F.lit(" documents")))
     what = F.when(F.element_at("rows", 1)["collection"] == "supreme_court_opinions", "opinion").otherwise("document")
     intro = F.concat(F.lit("For detailed analysis of "), which, F.lit(", you can load the complete "), what, F.lit(" text:"))
-    return hints.select("query_id", F.concat(F.lit("## Full Document Access\n\n"), intro, F.lit("\n\n"), F.array_join(F.transform("rows", lambda r: r["call"]), "\n")).alias("hint"))
+    calls = F.array_join(F.transform("rows", lambda r: r["call"]), "\n")
+    return hints.select("query_id", F.concat(F.lit(_HINT_HEAD), intro, F.lit("\n\n"), calls, F.lit(_HINT_END)).alias("hint"))
 
 
 def relevant_metadata(collection: str, columns: dict[str, str]) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +27,15 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", ties: tuple[str, .
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of the rows whose vector is not null, of the usual length and not zero, in order of their ids."""
+def _lengths(vectors: pa.Array) -> np.ndarray:
+    """The length of each vector; null has none."""
+    return np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+
+
+def _unit(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vector has this dimension and is not zero, in order of their ids."""
     own = ids.to_numpy(zero_copy_only=False)
-    sizes = np.nan_to_num(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
-    if not len(sizes) or not sizes.max():
-        return own[:0], np.zeros((0, 0))
-    dim = int(np.bincount(sizes[sizes > 0]).argmax())
-    fine = np.flatnonzero(sizes == dim)
+    fine = np.flatnonzero(_lengths(vectors) == dim)
     matrix = vectors.take(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     norms = np.linalg.norm(matrix, axis=1)
     fine, matrix, norms = fine[norms > 0], matrix[norms > 0], norms[norms > 0]
@@ -41,6 +43,11 @@ def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return own[fine][order], (matrix / norms[:, None])[order]
 
 
+def _by_dimension(ids: pa.Array, vectors: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, unit vectors) for each dimension that the vectors have."""
+    return [(dim, *_unit(ids, vectors, dim)) for dim in np.unique(_lengths(vectors)).tolist() if dim]
+
+
 def _best(queries: np.ndarray, points: np.ndarray, k: int, threshold: float | None, rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, score) of the k best points of each query, ties by the order of points; a few queries at a time."""
     out = []
@@ -64,9 +71,10 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> list[pa.Array]:
+    """Ids and vectors."""
     table = pa.ipc.open_stream(data).read_all().combine_chunks()
-    return _unit(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns))
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
 
 
 def _results(query_ids: np.ndarray, point_ids: np.ndarray, found: tuple, schema: pa.Schema) -> pa.RecordBatch:
@@ -97,9 +105,11 @@ def _in_blocks(queries: DataFrame, points: DataFrame, n: int, k: int, threshold:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, stored in zip(batch.column("asked").to_pylist(), batch.column("stored").to_pylist(), strict=True):
-                (query_ids, q), (point_ids, p) = _unpacked(asked), _unpacked(stored)
-                if len(q) and len(p) and q.shape[1] == p.shape[1]:
-                    yield _results(query_ids, point_ids, _best(q, p, k, threshold), arrow)
+                points_of = _unpacked(stored)
+                for dim, query_ids, q in _by_dimension(*_unpacked(asked)):
+                    point_ids, p = _unit(*points_of, dim)
+                    if len(q) and len(p):
+                        yield _results(query_ids, point_ids, _best(q, p, k, threshold), arrow)
 
     asked = queries.select("query_id", "embedding", block).groupBy("block").applyInArrow(pack_group, "asked binary")
     stored = points.mapInArrow(pack_points, "stored binary")
@@ -113,7 +123,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, con
 
     One block of queries goes out with the tasks, each of which keeps k rows a query; more queries are paired
     with the points block by block on the executors. Only the rows kept are shuffled. Ids may be numbers or
-    strings. Null, zero and odd-length vectors score nothing.
+    strings. A query meets the points of its own dimension; null and zero vectors score nothing.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be from 1 to {MAX_K}")
@@ -124,13 +134,14 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, con
         return top_k(_in_blocks(asked, found, asked.count(), k, threshold), k)
     spark, arrow = _schemas(queries, points)
     block = block.combine_chunks()
-    query_ids, matrix = _unit(*(c.chunk(0) for c in block.columns)) if block.num_rows else (np.zeros(0), np.zeros((0, 0)))
+    by_dimension = _by_dimension(*(c.chunk(0) for c in block.columns)) if block.num_rows else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            point_ids, p = _unit(batch.column("point_id"), batch.column("embedding"))
-            if len(p) and len(matrix) and p.shape[1] == matrix.shape[1]:
-                yield _results(query_ids, point_ids, _best(matrix, p, k, threshold), arrow)
+            for dim, query_ids, matrix in by_dimension:
+                point_ids, p = _unit(batch.column("point_id"), batch.column("embedding"), dim)
+                if len(p) and len(matrix):
+                    yield _results(query_ids, point_ids, _best(matrix, p, k, threshold), arrow)
 
     return top_k(found.mapInArrow(score, spark), k)
 

@@ -132,11 +132,36 @@ def usc(x: str) -> str:
     return code_citations(x, rf"U\.?{BLANK}*S\.?{BLANK}*C\.?", rf"(?:§§?{BLANK}*)?")
 
 
-_WORDS = (
-    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth "
-    "twenty-first twenty-second twenty-third twenty-fourth twenty-fifth twenty-sixth twenty-seventh"
-)
-_ROMAN = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI XXII XXIII XXIV XXV XXVI XXVII"
+# Amendments by their words, and their numerals.
+_AMENDMENTS = {
+    "first": "I",
+    "second": "II",
+    "third": "III",
+    "fourth": "IV",
+    "fifth": "V",
+    "sixth": "VI",
+    "seventh": "VII",
+    "eighth": "VIII",
+    "ninth": "IX",
+    "tenth": "X",
+    "eleventh": "XI",
+    "twelfth": "XII",
+    "thirteenth": "XIII",
+    "fourteenth": "XIV",
+    "fifteenth": "XV",
+    "sixteenth": "XVI",
+    "seventeenth": "XVII",
+    "eighteenth": "XVIII",
+    "nineteenth": "XIX",
+    "twentieth": "XX",
+    "twenty-first": "XXI",
+    "twenty-second": "XXII",
+    "twenty-third": "XXIII",
+    "twenty-fourth": "XXIV",
+    "twenty-fifth": "XXV",
+    "twenty-sixth": "XXVI",
+    "twenty-seventh": "XXVII",
+}
 
 
 def constitution(x: str) -> str:
@@ -144,10 +169,11 @@ def constitution(x: str) -> str:
     b = BLANK
     article = rf"(?:U\.?S\.?{b}*Const\.?{b}*)?[Aa]rt(?:icle)?\.?{b}+([IVX]+)(?:,?{b}*§{b}*(\d+))?(?:,?{b}*cl\.?{b}*(\d+))?"
     amendment = rf"(?:U\.?S\.?{b}*Const\.?{b}*)?[Aa]mend(?:ment)?{b}+([IVX]+)(?:,?{b}*§{b}*(\d+))?"
-    ordinal = rf"(?i)\b({_WORDS.replace(' ', '|')}){b}+amendment\b"
+    ordinal = rf"(?i)\b({'|'.join(_AMENDMENTS)}){b}+amendment\b"
     group = lambda p, k: f"nullif(regexp_extract(m, '{p}', {k}), '')"
     make = lambda kind, number, section, clause: f"{{'type': '{kind}', 'number': {number}, 'section': {section}, 'clause': {clause}, 'full_citation': trim(m)}}"
-    numeral = f"string_split('{_ROMAN}', ' ')[list_position(string_split('{_WORDS}', ' '), lower(regexp_extract(m, '{ordinal}', 1)))]"
+    numerals = ", ".join(f"'{word}': '{numeral}'" for word, numeral in _AMENDMENTS.items())
+    numeral = f"map_extract_value(MAP {{{numerals}}}, lower(regexp_extract(m, '{ordinal}', 1)))"
     none = "cast(NULL AS VARCHAR)"
     return f"""list_concat(list_concat(list_transform(regexp_extract_all({x}, '{article}'), lambda m: {make("article", group(article, 1), group(article, 2), group(article, 3))}),
 list_transform(regexp_extract_all({x}, '{amendment}'), lambda m: {make("amendment", group(amendment, 1), group(amendment, 2), none)})), list_transform(regexp_extract_all({x}, '{ordinal}'), lambda m: {make("amendment", numeral, none, none)}))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, dates, scalars, textclean
@@ -545,12 +545,20 @@ def i19_durations(spark, d):
     return table(spark, d, "events").select("event_id", dates.duration_text(F.expr("cast(event_id % 500 * 13 AS DOUBLE) + 0.5")).alias("shown"))
 
 
-_EXCERPT = "CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END"
+_EXCERPT = "CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' WHEN text = '' THEN 'No text available' ELSE text END"
+#: Opinion types as they are stored, and as they are shown.
+_TYPES = (("dissent", "Dissent"), ("concurrence_dissent", "Concurrence_Dissent"), ("lead-opinion in PART", "Lead-Opinion In Part"))
+_SHOWN_TYPE = f"(CASE doc_id % 3 WHEN 0 THEN '{_TYPES[0][1]}' WHEN 1 THEN '{_TYPES[1][1]}' ELSE '{_TYPES[2][1]}' END)"
 
 
-@query(C + f"""SELECT doc_id, '### 1. ' || coalesce(case_name, 'Unknown Case') || chr(10) || '**Dissent Opinion** by Justice ' || justice || chr(10) || chr(10) || '**Excerpt:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '*Relevance Score: 0.500*' AS line FROM c""")
+def _stored_type() -> Column:
+    kind = F.col("doc_id") % 3
+    return F.when(kind == 0, _TYPES[0][0]).when(kind == 1, _TYPES[1][0]).otherwise(_TYPES[2][0])
+
+
+@query(C + f"""SELECT doc_id, '### 1. ' || coalesce(case_name, 'Unknown Case') || chr(10) || '**' || {_SHOWN_TYPE} || ' Opinion** by Justice ' || justice || chr(10) || chr(10) || '**Excerpt:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '*Relevance Score: 0.500*' AS line FROM c""")
 def i20_opinion_result(spark, d):
-    return corpus(spark, d).select("doc_id", render.opinion_result(F.lit(1), F.col("case_name"), F.lit("dissent"), F.col("justice"), F.col("text"), F.lit(0.5)).alias("line"))
+    return corpus(spark, d).select("doc_id", render.opinion_result(F.lit(1), F.col("case_name"), _stored_type(), F.col("justice"), F.col("text"), F.lit(0.5)).alias("line"))
 
 
 @query(C + f"""SELECT doc_id, '### 2. T' || chr(10) || CASE WHEN order_number = '' THEN '' ELSE '**EO Number:** ' || order_number || chr(10) END || '**President ' || president || ' | Signed ' || strftime(cast(signing_date AS DATE), '%B %d, %Y') || '**' || chr(10) || chr(10) || '**Excerpt:**' || chr(10) || {_EXCERPT} || chr(10) || chr(10) || '*Relevance Score: 0.250*' AS line FROM c""")
@@ -593,7 +601,7 @@ _TOP3 = _HALVES.replace("PARTITION BY query_id, half", "PARTITION BY query_id")
 _HINTS = """, good AS (SELECT *, point_id % 20 AS document FROM top WHERE query_id IN (SELECT query_id FROM top WHERE rank = 1 AND score >= 0.4)),
 one AS (SELECT query_id, rank, '**Order ' || point_id || ':**' || chr(10) || '```' || chr(10) || 'get_document_by_id(' || chr(10) || '    document_id="' || point_id || '",' || chr(10) || '    collection="executive_orders",' || chr(10) || '    full_document=true' || chr(10) || ')' || chr(10) || '```' AS call
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY rank) AS n FROM good) WHERE n = 1),
-hint AS (SELECT query_id, '## Full Document Access' || chr(10) || chr(10) || 'For detailed analysis of ' || CASE count(*) WHEN 1 THEN 'this case' ELSE 'these ' || count(*) || ' documents' END || ', you can load the complete document text:' || chr(10) || chr(10) || string_agg(call, chr(10) ORDER BY rank) AS hint FROM one GROUP BY query_id) """
+hint AS (SELECT query_id, chr(10) || '---' || chr(10) || chr(10) || '## 📄 Full Document Access' || chr(10) || chr(10) || 'For detailed analysis of ' || CASE count(*) WHEN 1 THEN 'this case' ELSE 'these ' || count(*) || ' documents' END || ', you can load the complete document text:' || chr(10) || chr(10) || string_agg(call, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Loading the full document enables comprehensive follow-up questions without additional searches.' AS hint FROM one GROUP BY query_id) """
 
 
 @query(_TOP3 + _HINTS + """SELECT t.query_id, '## Search Results for: "q' || t.query_id || '"' || chr(10) || chr(10) || 'Found ' || count(*) || ' relevant document chunks.' || chr(10) || chr(10)

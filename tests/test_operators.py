@@ -332,3 +332,24 @@ def test_pages_of_collections_and_hints(spark):
     hints = spark.createDataFrame([(1, "HINT")], "query_id bigint, hint string")
     pages = {r["query_id"]: r["page"] for r in render.result_page(results, queries, "executive_orders", hints).collect()}
     assert pages == {1: '## Executive Order Search Results\n\nQuery: "q"\nFound 2 relevant order chunks.\n\nL1\n\nL2\n\nHINT', 2: "No Executive Orders found for query: 'z'"}
+
+
+def test_each_query_meets_points_of_its_own_dimension(spark):
+    """In one batch most points have another length than a query; each query is answered from those that fit."""
+    points = [(i, [1.0, float(i)]) for i in range(6)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(20, None), (21, []), (22, [0.0, 0.0, 0.0])]
+    points = spark.createDataFrame(points, "point_id bigint, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None)], "query_id bigint, embedding array<double>")
+    found = lambda: {(r["query_id"], r["rank"]): r["point_id"] for r in search.vector_search(queries, points, 10).collect()}
+    want = {(1, 1 + i): 10 + i for i in range(4)} | {(2, 1 + i): i for i in range(6)}
+    assert found() == want
+    many = queries.crossJoin(spark.range(600)).select((F.col("query_id") * 1000 + F.col("id")).alias("query_id"), "embedding")
+    blocks = {(r["query_id"], r["rank"]): r["point_id"] for r in search.vector_search(many, points, 10).collect()}
+    assert blocks == {(q * 1000 + i, rank): p for (q, rank), p in want.items() for i in range(600)}
+
+
+def test_titles_of_types_and_empty_texts(spark):
+    rows = [("concurrence_dissent", "x"), ("LEAD-opinion 2a", ""), ("o'neil élan", None)]
+    df = spark.createDataFrame(rows, "kind string, text string")
+    lines = [r["line"] for r in df.select(render.opinion_result(F.lit(1), F.lit("C"), F.col("kind"), F.lit(""), F.col("text"), F.lit(0.5)).alias("line")).collect()]
+    assert [x.split("**")[1] for x in lines] == [f"{kind.title()} Opinion" for kind, _ in rows]
+    assert ["No text available" in x for x in lines] == [False, True, True]
