@@ -78,6 +78,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
+def sampled(share: Column | float, *salt: Column) -> Column:
+    """Whether a row is of a sample of about this share, by 63 bits of a hash of the salt; true for all rows from a share of 1 on."""
+    place = F.shiftrightunsigned(F.xxhash64(*salt), 1).cast("double") / float(1 << 63)
+    return place < (F.lit(share) if isinstance(share, float) else share)
+
+
 def text_key(text: str = "text") -> Column:
     """Tells rows apart that share a doc_id, and spreads rows whose doc_id is null."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -2,12 +2,12 @@
 
 Texts are lower-cased and every run of non-letters counts as one blank; n-grams of one to three code
 points are hashed into a fixed number of buckets. Training sums bucket counts by language inside tasks
-and in one small shuffle; the log-probability matrix (languages x buckets, its size bounded) is
+and in one small shuffle; the log-probability matrix (256 KB a language) is
 broadcast, and whole texts are scored in numpy: the n-grams of a batch of texts look up their rows of the matrix, and
 a segmented sum gives the totals of each text.
 
 The model is fitted on at most about max_train labelled documents, chosen by a hash of the doc_id, of each
-language as many, or all where it has fewer, and on the max_languages labels with the most documents; every document is scored.
+language as many, or all where it has fewer; every label can be predicted, and every document is scored.
 
 keep_identified rejects a document without letters, one whose language is unsure, and one that is like none of the
 languages: its mean log-probability an n-gram is more than UNLIKE below what its language's own texts have.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, ORDERS, BLOCK, MAX_TRAIN, MAX_LANGUAGES, UNKNOWN = 1 << 16, (1, 2, 3), 4096, 40_000, 200, "und"
+BUCKETS, ORDERS, BLOCK, MAX_TRAIN, UNKNOWN = 1 << 16, (1, 2, 3), 4096, 40_000, "und"
 #: A pipeline drops what is undetermined, less sure than this, or by so many nats an n-gram unlike its language.
 MIN_SCORE, UNLIKE = 0.5, 4.0
 #: Code points that are put through numpy at once.
@@ -118,8 +118,17 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+_COUNTS = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+_COUNTS_DDL = "lang string, block int, places binary, counts binary"
+
+
+def _sparse(lang: str, block: int, counts: np.ndarray) -> tuple:
+    places = np.flatnonzero(counts)
+    return lang, block, places.astype(np.uint16).tobytes(), counts[places].tobytes()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dense bucket counts by language of this task's documents, in blocks."""
+    """Bucket counts by language of this task's documents, in blocks; only buckets that occur."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("text").to_pylist()
@@ -129,15 +138,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in _batches(mine):
                 for _, bucket in _grams(mine[a:b]):
                     own += np.bincount(bucket, minlength=BUCKETS)
-    rows = [(lang, b, own[b * BLOCK : (b + 1) * BLOCK].tobytes()) for lang, own in counts.items() for b in range(BUCKETS // BLOCK)]
-    yield pa.RecordBatch.from_pylist([dict(zip(("lang", "block", "counts"), r, strict=True)) for r in rows], pa.schema([("lang", "string"), ("block", "int32"), ("counts", "binary")]))
+    rows = [_sparse(lang, b, own[b * BLOCK : (b + 1) * BLOCK]) for lang, own in counts.items() for b in range(BUCKETS // BLOCK)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, dtype=np.int64)
-    for counts in table.column("counts").to_pylist():
-        total += np.frombuffer(counts, dtype=np.int64)
-    return table.slice(0, 1).select(["lang", "block"]).append_column("counts", pa.array([total.tobytes()], pa.binary()))
+    for places, counts in zip(table.column("places").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(places, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.int64)
+    row = _sparse(table.column("lang")[0].as_py(), table.column("block")[0].as_py(), total)
+    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, _COUNTS, strict=True)], schema=_COUNTS)
 
 
 def _quota(sizes: list[int], most: int) -> float:
@@ -150,29 +160,32 @@ def _quota(sizes: list[int], most: int) -> float:
     return float("inf")
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fit on text and lang of the rows of labelled whose lang is not null.
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """Fit on text and lang of the rows of labelled whose lang is not null; every label is a language.
 
-    The driver gets one row a language and block of buckets: max_languages x BUCKETS numbers at most.
+    The driver gets a row for each language and block of buckets with the buckets that occur there, and makes BUCKETS numbers of 4 bytes a language.
     """
     labelled = labelled.where("lang IS NOT NULL")
-    by_size = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    sizes = {r["lang"]: r["count"] for r in by_size.collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     quota = _quota(list(sizes.values()), max_train)
-    limits = {lang: int(min(1.0, quota / n) * (1 << 20)) for lang, n in sizes.items()}
-    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")), F.lit(0)) if limits else F.lit(0)
-    place = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id"), common.text_key()), F.lit(1 << 20))
-    counted = labelled.where(place < limit).select("lang", "text").mapInArrow(_count, "lang string, block int, counts binary")
-    summed = counted.groupBy("lang", "block").applyInArrow(_sum_blocks, "lang string, block int, counts binary").collect()
+    shares = labelled.sparkSession.createDataFrame([(lang, 2.0 if quota >= n else quota / n) for lang, n in sizes.items()], "lang string, share double")
+    chosen = labelled.join(F.broadcast(shares), "lang").where(common.sampled(F.col("share"), F.lit("train"), F.col("doc_id"), common.text_key()))
+    summed = chosen.select("lang", "text").mapInArrow(_count, _COUNTS_DDL).groupBy("lang", "block").applyInArrow(_sum_blocks, _COUNTS_DDL).collect()
     languages = sorted({r["lang"] for r in summed})
-    counts = np.zeros((len(languages), BUCKETS))
+    if sizes and not languages:
+        raise ValueError("no labelled document was chosen to learn from")
+    blocks: dict[str, list] = {lang: [] for lang in languages}
     for r in summed:
-        counts[languages.index(r["lang"]), r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.int64)
-    smooth = counts + 0.5
-    log_probability = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    usual = (counts * log_probability).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
+        blocks[r["lang"]].append(r)
+    log_probability, usual = np.zeros((len(languages), BUCKETS), dtype=np.float32), np.zeros(len(languages))
+    for i, lang in enumerate(languages):
+        counts = np.zeros(BUCKETS)
+        for r in blocks.pop(lang):
+            counts[r["block"] * BLOCK + np.frombuffer(r["places"], dtype=np.uint16)] = np.frombuffer(r["counts"], dtype=np.int64)
+        logs = np.log((counts + 0.5) / (counts + 0.5).sum())
+        log_probability[i], usual[i] = logs, counts @ logs / max(1, counts.sum())
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float) / max(1, sum(sizes[x] for x in languages)))
-    return Model(languages, log_probability.astype(np.float32), prior, usual)
+    return Model(languages, log_probability, prior, usual)
 
 
 def predict(spark: SparkSession, model: Model, text: str = "text") -> Column:

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import decontamination, language, mixing, near_duplicates, secrets, sharding
+from lexspark.llm import common, decontamination, language, mixing, near_duplicates, secrets, sharding
 
 COLUMNS = "doc_id bigint, text string, lang string, source string"
 
@@ -93,8 +93,8 @@ def test_many_labels_and_texts_of_no_language(spark):
     rows = [(i, f"the quick brown fox number {i} runs over the lazy dog", f"l{i}" if i < 300 else "en", "s") for i in range(800)]
     rows += [(900, "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "en", "s"), (901, "12 34", "en", "s"), (902, "over the lazy dog", None, "s")]
     docs = spark.createDataFrame(rows, COLUMNS)
-    model = language.fit(docs, max_languages=5)
-    assert len(model.languages) == 5 and "en" in model.languages
+    model = language.fit(docs)
+    assert model.languages == sorted({"en", *(f"l{i}" for i in range(300))})
     clean = spark.createDataFrame([r for r in rows if r[2] == "en" or r[2] is None], COLUMNS)
     kept = {r["doc_id"] for r in language.keep_identified(clean, max_train=300).collect()}
     assert 902 in kept and not kept & {901} and len(kept) >= 500
@@ -118,3 +118,30 @@ def test_many_findings_of_a_document(spark):
     assert time.time() - began < 5 and len(base) == 20_000 and len(other) == 20_000
     spans, found = [(0, 0, 5), (3, 1, 20), (30, 0, 40)], [(5, 8), (19, 25), (20, 30), (39, 41), (40, 50)]
     assert secrets.apart(found, spans) == [(a, b) for a, b in found if not any(s < b and a < e for s, _, e in spans)]
+
+
+def test_shares_of_very_large_inputs_are_not_zero(spark):
+    """A share that 20 bits would round to none still takes rows, about as many as it says."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4_000_000)
+    taken = lambda share: rows.where(common.sampled(share, F.lit("x"), F.col("id"))).count()
+    assert 1 <= taken(2e-6) <= 24 and taken(2.0) == 4_000_000 and taken(0.0) == 0
+    assert abs(taken(0.25) - 1_000_000) < 10_000
+
+
+def test_values_of_secrets_are_on_one_side_of_the_splits():
+    import numpy as np
+
+    seen: dict = {}
+    rows = secrets.generated(300, 1)
+    twins = rows.copy()
+    twins[:, : secrets.LEFT] = 120
+    other = np.random.default_rng(0).integers(97, 123, (600, secrets.FIELD)).astype(np.uint8)
+    data, y = np.concatenate([rows, twins, other]), np.concatenate([np.ones(len(rows) * 2), np.zeros(600)])
+    network = secrets.train(data, y, epochs=2)
+    assert network.recall is not None and 0 <= network.recall <= 1
+    value = [r[secrets.LEFT : secrets.LEFT + secrets.BODY].tobytes() for r in data]
+    _, group = np.unique(data[:, secrets.LEFT : secrets.LEFT + secrets.BODY], axis=0, return_inverse=True)
+    for v, g in zip(value, group.tolist(), strict=True):
+        assert seen.setdefault(v, g) == g
