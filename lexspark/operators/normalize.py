@@ -51,25 +51,27 @@ def _named(c: Column, raw: str, name: str) -> Column:
     return F.when(F.lower(c) == raw, name).otherwise(c)
 
 
-def normalize_opinions(docs: DataFrame, default_year: int, zone: str = "UTC") -> DataFrame:
-    """Court rows: case name over title, type codes as names, url fallbacks, epoch dates."""
+def normalize_opinions(docs: DataFrame, default_year: int, zone: str = "UTC", also: dict[str, Column] | None = None) -> DataFrame:
+    """Court rows: case name over title, type codes as names, url fallbacks, epoch dates; also: more columns, of the raw ones."""
     case = F.coalesce("case_name", "title")
     return docs.select(
         F.col("id").alias("document_id"), case.alias("title"), dates.epoch_of(F.col("date"), zone).alias("publication_date"), dates.year_of(F.col("date"), default_year).alias("year"),
         _named(F.col("source"), "courtlistener", "CourtListener").alias("source"), _named(F.col("type"), "scotus_opinion", "Supreme Court Opinion").alias("type"),
         F.coalesce(F.nullif("url", F.lit("")), "absolute_url", "download_url", F.lit("")).alias("url"), case.alias("case_name"), type_name(F.nullif("opinion_code", F.lit(""))).alias("opinion_type"),
         *(F.coalesce(c, F.lit("")).alias(c) for c in ("judges", "author_str", "joined_by_str")), F.coalesce("per_curiam", F.lit(False)).alias("per_curiam"), "docket_number",
+        *(c.alias(name) for name, c in (also or {}).items()),
     )
 
 
-def normalize_orders(docs: DataFrame, default_year: int, zone: str = "UTC") -> DataFrame:
-    """Order rows: order number by fallback, president's name, both dates as epoch seconds."""
+def normalize_orders(docs: DataFrame, default_year: int, zone: str = "UTC", also: dict[str, Column] | None = None) -> DataFrame:
+    """Order rows: order number by fallback, president's name, both dates as epoch seconds; also: more columns, of the raw ones."""
     number = F.coalesce(F.nullif("executive_order_number", F.lit("")), F.nullif("presidential_document_number", F.lit("")), F.lit(""))
     return docs.select(
         F.col("id").alias("document_id"), "title", dates.epoch_of(F.col("date"), zone).alias("publication_date"), dates.year_of(F.col("date"), default_year).alias("year"),
         _named(F.col("source"), "federal_register", "Federal Register").alias("source"), _named(F.col("type"), "executive_order", "Executive Order").alias("type"),
         F.coalesce(F.nullif("url", F.lit("")), "html_url", "pdf_url", F.lit("")).alias("url"), number.alias("executive_order_number"), F.coalesce("president", F.lit("")).alias("president"),
         F.coalesce("agencies", F.array().cast("array<string>")).alias("agencies"), dates.epoch_of(F.coalesce("signing_date", "date"), zone).alias("signing_date"),
+        *(c.alias(name) for name, c in (also or {}).items()),
     )
 
 

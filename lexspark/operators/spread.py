@@ -2,8 +2,12 @@
 
 from pyspark.sql import DataFrame
 
+#: Bytes of a split that keeps a core busy for a while.
+SPLIT = 16 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if its input has fewer splits than there are cores (a few small files); large inputs stay as they are."""
+    """df over all cores, if by the optimizer's estimate its input is too small to have a split for each; large inputs stay as they are. Runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import point_id
 
@@ -72,84 +76,167 @@ def join_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.where(F.when(whole, True).otherwise(F.raise_error(message).cast("boolean"))).drop("__chunk", "__vector")
 
 
-#: Partitions of a collection; an upsert rewrites those that its documents fall into.
-PARTS = 32
-_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+#: Bytes of values of a bucket, about; fewest and most buckets of a collection; how far it may outgrow its buckets before it gets more.
+BUCKET_BYTES, FEWEST, MOST, OUTGROWN = 128 << 20, 8, 65_536, 4
+#: What a change needs: only its partitions are replaced; buckets by document serve joins by document and point; and unions claim no partitions
+#: (Spark 4.1 takes those of a union of bucketed tables to be the tables', and then sums and joins them apart).
+_SETTINGS = {"spark.sql.sources.partitionOverwriteMode": "dynamic", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.unionOutputPartitioning": "false"}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def value_bytes(rows: DataFrame) -> Column:
+    """Bytes of the values of a row, about."""
+    width = F.lit(0).cast("long")
+    for f in rows.schema.fields:
+        c = F.col(f"`{f.name}`")
+        size = F.octet_length(c) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.size(c) * 8 if isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.lit(8)
+        width = width + F.coalesce(size, F.lit(0))
+    return width
 
 
 class Collections:
     """Named collections as managed tables, one for each, and the progress table beside them.
 
-    A table is partitioned by a hash of document_id (or of its key). A change is first written to a table of its own, which exists
-    only once it is complete, and then put in place; if that is cut off, the next use of the collection puts it in place again.
+    A key belongs to one document, as ids are made from their document's. A table is bucketed and sorted by document_id (or by its key), with as many buckets as its bytes call for, and each bucket is a partition of its
+    own. An upsert reads and writes the buckets of its documents alone, and joins them where they lie: only the batch is
+    exchanged. A change is first written to a table of its own, which exists only once it is complete, and then put in place; if that is cut off,
+    the next change of the collection puts it in place again.
     """
 
-    def __init__(self, spark: SparkSession, database: str = "default"):
-        self.spark, self.database = spark, database
+    def __init__(self, spark: SparkSession, database: str = "default", bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.database, self.bucket_bytes = spark, database, bucket_bytes
 
     def _table(self, name: str) -> str:
         return f"{self.database}.{name}"
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        key = next((c for c in ("document_id", "point_id") if c in rows.columns), rows.columns[0])
-        return rows.drop("part").withColumn("part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int"))
+    @staticmethod
+    def _by(rows: DataFrame) -> str:
+        return next((c for c in ("document_id", "point_id") if c in rows.columns), rows.columns[0])
+
+    def buckets(self, name: str) -> int:
+        """The buckets of a collection; none if it is not bucketed."""
+        return int(self._said(name, "Num Buckets") or 0)
+
+    def _said(self, name: str, what: str) -> str | None:
+        found = self.spark.sql(f"DESCRIBE EXTENDED {self._table(name)}").where(F.col("col_name") == what).select("data_type").collect()
+        return found[0][0] if found else None
+
+    def file_bytes(self, name: str) -> int:
+        """Bytes of a collection's files; they are listed, not read."""
+        self.spark.sql(f"ANALYZE TABLE {self._table(name)} COMPUTE STATISTICS NOSCAN")
+        return int((self._said(name, "Statistics") or "0").split(" ")[0])
+
+    def _needed(self, size: int) -> int:
+        return min(MOST, max(FEWEST, -(-size // self.bucket_bytes)))
+
+    def _save(self, rows: DataFrame, table: str, buckets: int, mode: str = "error") -> None:
+        """rows as a table of that many buckets; a row's bucket is also its partition."""
+        by = self._by(rows)
+        placed = rows.drop("part").withColumn("part", F.pmod(F.hash(by), F.lit(buckets)))
+        placed.write.mode(mode).partitionBy("part").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
 
     def _staged(self, name: str) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and t.name.startswith(f"{name}__next_"))
 
     def _put(self, name: str, staged: str) -> None:
         """Put a complete staged table in place; doing so again changes nothing."""
-        rows = self.spark.table(self._table(staged))
-        if staged.startswith(f"{name}__next_all") or not self.spark.catalog.tableExists(self._table(name)):
-            rows.write.mode("overwrite").partitionBy("part").saveAsTable(self._table(name))
+        rows, table = self.spark.table(self._table(staged)), self._table(name)
+        if staged.startswith(f"{name}__next_all") or not self.spark.catalog.tableExists(table):
+            self._save(rows, table, self.buckets(staged), "overwrite")
         else:
-            columns = self.spark.table(self._table(name)).columns
-            mode = self.spark.conf.get(_OVERWRITE)
-            self.spark.conf.set(_OVERWRITE, "dynamic")
-            try:
-                rows.select(*columns).write.mode("overwrite").insertInto(self._table(name))
-            finally:
-                self.spark.conf.set(_OVERWRITE, mode)
+            rows.select(*self.spark.table(table).columns).write.mode("overwrite").insertInto(table)
         self.spark.sql(f"DROP TABLE {self._table(staged)}")
+        self.spark.catalog.refreshTable(table)
 
     def recover(self, name: str) -> None:
-        for staged in self._staged(name):
-            self._put(name, staged)
+        """What a change that was cut off has left complete. For the one writer of the collection; readers leave it alone."""
+        with _settings(self.spark):
+            for staged in self._staged(name):
+                self._put(name, staged)
 
-    def _change(self, name: str, rows: DataFrame, scope: str) -> None:
+    def _change(self, name: str, rows: DataFrame, scope: str, buckets: int) -> None:
         staged = f"{name}__next_{scope}_{uuid.uuid4().hex}"
-        rows.write.saveAsTable(self._table(staged))
+        self._save(rows, self._table(staged), buckets)
         self._put(name, staged)
 
     def write(self, name: str, chunks: DataFrame) -> None:
-        """A new snapshot; the rows may come from the old one."""
+        """A new snapshot, with as many buckets as it needs; the rows may come from the old one."""
         self.recover(name)
-        self._change(name, self._placed(chunks), "all")
+        with _settings(self.spark):
+            size = chunks.agg(F.sum(value_bytes(chunks))).first()[0] or 0
+            self._change(name, chunks, "all", self._needed(size))
 
     def read(self, name: str) -> DataFrame:
-        self.recover(name)
         return self.spark.table(self._table(name)).drop("part")
 
     def exists(self, name: str) -> bool:
-        self.recover(name)
         return self.spark.catalog.tableExists(self._table(name))
 
-    def upsert(self, name: str, batch: DataFrame, key: str = "point_id", seq: str = "ingest_seq", replace_document: str | None = None) -> None:
-        """Rows by key; only partitions that the batch falls into are read and written."""
-        new = self._placed(latest(batch, key, seq))
-        if not self.exists(name):
-            return self._change(name, new, "all")
-        new = new.persist()
+    def upsert(self, name: str, batch: DataFrame, key: str = "point_id", seq: str = "ingest_seq", replace_document: str | None = None, valid: Column | None = None) -> tuple[int, int]:
+        """Rows by key, last write wins; (stored, failed). Only buckets that the batch falls into are read and written.
+
+        valid: what a row must be to be stored; without it, it must have a key. The batch is computed once, while it is counted.
+        """
+        self.recover(name)
+        fine = F.coalesce(F.col(key).isNotNull() if valid is None else F.col(key).isNotNull() & valid, F.lit(False))
+        checked = batch.withColumn("__fine", fine).persist()
         try:
-            parts = [r["part"] for r in new.select("part").distinct().collect()]
-            if parts:
-                touched = self.spark.table(self._table(name)).where(F.col("part").isin(parts))
-                self._change(name, upsert(touched, new, key, seq, replace_document), "parts")
+            stored, failed, size = checked.agg(F.count_if("__fine"), F.count_if(~F.col("__fine")), F.sum(value_bytes(batch))).first()
+            new = latest(checked.where("__fine").drop("__fine"), key, seq)
+            with _settings(self.spark):
+                if not self.exists(name):
+                    self._change(name, new, "all", self._needed(size or 0))
+                elif stored:
+                    self._merge(name, new, key, replace_document)
         finally:
-            new.unpersist()
+            checked.unpersist()
+        return stored, failed
+
+    def merged(self, name: str, new: DataFrame, key: str, replace_document: str | None = None) -> DataFrame:
+        """The buckets of the collection that new falls into, with new in place of what it replaces; the collection's side is not exchanged."""
+        old, by = self.spark.table(self._table(name)), self._by(new)
+        part = F.pmod(F.hash(by), F.lit(self.buckets(name)))
+        parts = [r[0] for r in new.select(part.alias("part")).distinct().collect()]  # as many as there are buckets at most
+        touched = old.where(F.col("part").isin(parts)).drop("part")
+        on = [by] if by in (key, replace_document) else [by, key]
+        gone = new.select(*on).distinct()
+        return touched.join(gone, on, "left_anti").unionByName(new)
+
+    def _merge(self, name: str, new: DataFrame, key: str, replace_document: str | None) -> None:
+        buckets = self.buckets(name)
+        self._change(name, self.merged(name, new, key, replace_document), "parts", buckets)
+        size = self.file_bytes(name)
+        if size > OUTGROWN * buckets * self.bucket_bytes and buckets < MOST:
+            self._change(name, self.read(name), "all", self._needed(size))
 
     def delete_points(self, name: str, ids: DataFrame) -> None:
-        self.write(name, delete(self.read(name), ids))
+        """Rows by point_id, idempotent; ids with a document_id beside it leave the buckets of other documents alone."""
+        self.recover(name)
+        with _settings(self.spark):
+            old, buckets = self.spark.table(self._table(name)), self.buckets(name)
+            by = self._by(old.drop("part"))
+            if by not in ids.columns:
+                return self._change(name, delete(old, ids), "all", buckets)
+            part = F.pmod(F.hash(by), F.lit(buckets)).alias("part")
+            parts = {r[0] for r in ids.select(part).distinct().collect()}
+            on = list(dict.fromkeys([by, "point_id"]))
+            kept = old.where(F.col("part").isin(*parts)).join(ids.select(*on).distinct(), on, "left_anti").persist()
+            left = {r[0] for r in kept.select("part").distinct().collect()}
+            self._change(name, kept, "parts", buckets)
+            kept.unpersist()
+            for k in sorted(parts - left):  # nothing is left of these
+                self.spark.sql(f"ALTER TABLE {self._table(name)} DROP IF EXISTS PARTITION (part = {k})")
 
     def names(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and "__next_" not in t.name)

@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.textclean import strip_html
 from ..operators import filters, normalize, render, search, store
 from ..operators.chunk import chunk_documents
 from ..operators.embed import Embedder, Extractor, embed, extract_fields
+from ..streaming.ingest import Documents
 from .corpora import corpus
 
 
@@ -30,16 +32,15 @@ class Kind:
 
 
 def _orders(raw: DataFrame) -> DataFrame:
-    """Orders with their raw text: cleaned and normalized; those without a text are left out here, and logged by the stream."""
-    found = normalize.normalize_orders(raw, 2000).select("document_id", "title", "president", "agencies", "signing_date", "executive_order_number", "url")
-    texts = raw.select(F.col("id").alias("document_id"), F.col("raw_text").alias("text"), "topics")
-    return found.join(texts, "document_id")
+    """Orders with their raw text, normalized; those without a text are left out here, and logged by the stream."""
+    found = normalize.normalize_orders(raw, 2000, also={"text": F.col("raw_text"), "topics": F.col("topics")})
+    return found.select("document_id", "title", "president", "agencies", "signing_date", "executive_order_number", "url", "text", "topics")
 
 
 def _opinions(raw: DataFrame) -> DataFrame:
     """Opinions joined with their cases: stripped of HTML and normalized."""
-    found = normalize.normalize_opinions(raw, 2000).select("document_id", "case_name", "opinion_type", "publication_date", F.col("author_str").alias("majority_author"), "url")
-    return found.join(raw.select(F.col("id").alias("document_id"), strip_html(F.col("html")).alias("text")), "document_id")
+    found = normalize.normalize_opinions(raw, 2000, also={"text": strip_html(F.col("html"))})
+    return found.select("document_id", "case_name", "opinion_type", "publication_date", F.col("author_str").alias("majority_author"), "url", "text")
 
 
 KINDS = {
@@ -62,6 +63,12 @@ def build_collection(docs: DataFrame, kind: str, dim: int = 64, fn: Embedder | N
     return embed(chunks, "text", dim, fn)
 
 
+def streamed(kind: str, schema: str | StructType) -> Documents:
+    """Raw records of a kind as a stream takes them, with the metadata, citations and topics that build_collection gives them."""
+    of = KINDS[kind]
+    return Documents(schema, "id", of.prepare, of.metadata, of.topics, extract=True)
+
+
 def dry_run(docs: DataFrame, kind: str, **how) -> DataFrame:
     """Everything but the write: the caller decides what to do with the rows."""
     return build_collection(docs, kind, **how)

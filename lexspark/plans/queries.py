@@ -744,28 +744,54 @@ def k2_embed_chunks(spark, d):
     return embed.embed(chunks, "text", 64).select("point_id", "chunk_id", "embedding", "embed_failed")
 
 
-@query(oracles.ORDER_CHUNKS + f"SELECT {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.document_id, k.chunk_index, k.label AS section_label, k.tokens AS token_count FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
+@query(oracles.ORDER_CHUNKS + f""", {oracles.CITATION_LISTS} SELECT {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.document_id, k.chunk_index, k.label AS section_label, k.tokens AS token_count,
+c.president, c.agencies, cite.federal_statutes_cited, cite.federal_regulations_cited, cite.constitution_cited, {_TOPICS.replace("topics", "cite.topics")} AS topics_or_policy_areas
+FROM chunk k JOIN c ON c.doc_id = k.doc_id JOIN cite ON cite.doc_id = k.doc_id WHERE c.text <> ''""")
 def l1_stream_ingest(spark, d):
-    """The derived orders as a file stream: chunks of the collection that the stream leaves behind."""
-    from ..streaming.ingest import ingest_stream
+    """The derived orders as raw records in a stream: chunks of the collection that it leaves behind, with metadata, citations and topics."""
+    from ..streaming.ingest import Ingestion
+    from . import ingest
 
     run = uuid.uuid4().hex
     folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{run}"
-    corpus(spark, d).select("document_id", F.col("order_text").alias("text")).write.parquet(f"{folder}/in")
-    ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}").awaitTermination()
-    return spark.table(f"points_{run}").select("point_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_label", F.col("token_count").cast("long").alias("token_count"))
+    raw = ingest.raw_orders(corpus(spark, d))
+    raw.write.parquet(f"{folder}/in")
+    Ingestion(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}", ingest.streamed("order", raw.schema)).run()
+    kept = ("point_id", "document_id", "section_label", "president", "agencies", "federal_statutes_cited", "federal_regulations_cited", "constitution_cited", "topics_or_policy_areas")
+    return spark.table(f"points_{run}").select(*kept, F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
+
+
+_BARE = "(doc_id % 9 = 0 OR coalesce(text, '') = '')"
 
 
-@query("SELECT cast(doc_id AS VARCHAR) AS document_id, 'order' AS document_type, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 9 = 0 OR text = '' THEN 'no content' END AS error_message, 3 AS n_states FROM documents")
+@query(f"""WITH s AS (SELECT *, CASE WHEN doc_id % 18 = 0 THEN coalesce(text, '') = '' ELSE {_BARE} END AS failed FROM documents)
+SELECT cast(doc_id AS VARCHAR) AS document_id, 'order' AS document_type, CASE WHEN failed THEN 'failed' ELSE 'completed' END AS status, CASE WHEN failed THEN 'no content' END AS error_message,
+CASE WHEN doc_id % 18 = 0 THEN 6 ELSE 3 END AS n_states FROM s""")
 def l2_l3_stream_states(spark, d):
-    """A stream in which every ninth document has no text: the last state of each document, and how many it went through."""
-    from ..streaming.ingest import ingest_stream
+    """Two runs of a stream, the first of which is cut off and taken up again: the last state of each document, and how many it went through.
+
+    Every ninth document is delivered without text; of these, the even ones come once more, with their text, in the second run.
+    """
+    from pyspark.errors import StreamingQueryException
+
+    from ..streaming.ingest import Documents, Ingestion, Work
+
+    def cut_off(_: DataFrame) -> DataFrame:
+        raise RuntimeError("cut off")
 
     run = uuid.uuid4().hex
     folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/states-{run}"
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
-    docs.write.parquet(f"{folder}/in")
-    ingest_stream(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}", dim=8).awaitTermination()
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), "text")
+    bare = docs.withColumn("text", F.when(F.col("doc_id") % 9 != 0, F.col("text")))
+    deliver = lambda rows: rows.select("document_id", "text").write.mode("append").parquet(f"{folder}/in")
+    begin = lambda of: Ingestion(spark, f"{folder}/in", f"{folder}/state", f"points_{run}", f"log_{run}", of, Work(dim=8)).run()
+    deliver(bare.where("doc_id % 2 = 0"))
+    try:
+        begin(Documents(prepare=cut_off))
+    except StreamingQueryException:
+        begin(Documents())
+    deliver(bare.where("doc_id % 2 = 1").unionByName(docs.where("doc_id % 18 = 0")))
+    begin(Documents())
     log = spark.table(f"log_{run}")
     n = log.groupBy("document_id").agg(F.count("*").alias("n_states"))
     return progress.current(log).join(n, "document_id").select("document_id", "document_type", "status", "error_message", "n_states")
