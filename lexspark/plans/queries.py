@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, dates, scalars, textclean
-from ..operators import chunk, embed, filters, normalize, progress, render, reports, search, segment, store
+from ..operators import cells, chunk, embed, filters, normalize, postings, progress, render, reports, search, segment, store
 from ..operators.spread import spread
 from ..sources import records
 from . import oracles
@@ -221,6 +221,33 @@ def c8_keyword_search(spark, d):
     return filters.keyword_search(c, 'TION "in the"', ("text",), 200, ("signing_date", "doc_id")).select("doc_id")
 
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), n AS (SELECT count(*) AS documents FROM documents),
+c(clause, first, second) AS (VALUES (0, 'the', NULL), (1, 'in', 'the')),
+h AS (SELECT doc_id, clause, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = first AND (second IS NULL OR w[i + 1] = second))) AS hits FROM d, c),
+g AS (SELECT clause, count(*) AS holders FROM h WHERE hits > 0 GROUP BY clause),
+p AS (SELECT doc_id, round(ln((2.0::DOUBLE * documents + 2) / (2.0::DOUBLE * holders + 1)), 6) * hits / (hits + 1) AS part FROM h JOIN g ON g.clause = h.clause, n WHERE hits > 0)
+SELECT doc_id, round(sum(part), 6) AS score FROM p GROUP BY doc_id HAVING count(*) = 2""")
+def c8_posting_search(spark, d):
+    """A word and a phrase over positional postings of all documents."""
+    docs = table(spark, d, "documents")
+    rows = postings.postings(docs, "doc_id")
+    return postings.search_postings(spark, rows, 'THE "in the"', docs.count(), "doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda w: length(w) >= 4) AS w FROM documents), n AS (SELECT count(*) AS documents FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS topic FROM d),
+k AS (SELECT doc_id, topic, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT topic, count(*) AS holders FROM k GROUP BY topic HAVING count(*) >= 2),
+s AS (SELECT doc_id, topic, round(k.n * ln((2.0::DOUBLE * documents + 2) / (2.0::DOUBLE * holders + 1)), 6) AS weight FROM k JOIN h USING (topic), n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic) AS rank FROM s)
+SELECT d.doc_id, coalesce(list(topic ORDER BY rank) FILTER (rank <= 8), CAST([] AS VARCHAR[])) AS topics FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
+def k3_topics(spark, d):
+    """Topics of every document from its text, weighted over all documents."""
+    return postings.topics_of(table(spark, d, "documents"), "doc_id")
+
+
 @query(C + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true ELSE false END AS valid FROM c")
 def c9_valid_dates(spark, d):
     c = corpus(spark, d).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN signing_date WHEN 1 THEN '2023-02-30' WHEN 2 THEN replace(signing_date, '-', '/') END").alias("date"))
@@ -383,6 +410,14 @@ def g1_filtered_search(spark, d):
     return _rounded(search.vector_search(queries, points, condition=F.col("label") % 2 == 0, threshold=0.2))
 
 
+@query()
+def g1_indexed_search(spark, d):
+    """Every hundredth vector against all, through an inverted file."""
+    queries, points = _vectors(spark, d)
+    index = cells.build_cells(points, f"{spark.conf.get('spark.sql.warehouse.dir')}/cells-{uuid.uuid4().hex}")
+    return _rounded(cells.indexed_search(queries, index))
+
+
 @query("SELECT a.vec_id, b.vec_id AS next_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def i17_cosine(spark, d):
     """Each vector with the next one."""
