@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations, dates, scalars, textclean
+from ..functions import citations, dates, scalars, textclean, tokenizers
 from ..operators import cells, chunk, embed, filters, normalize, postings, progress, render, reports, search, segment, store
 from ..operators.spread import spread
 from ..sources import records
@@ -773,6 +773,23 @@ def e14_k3_extract_fields(spark, d):
     return found.drop("text", "topics").withColumn("total_citations", F.col("total_citations").cast("long"))
 
 
+#: A rank table of a public byte-level vocabulary.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def k1_token_counts(spark, d):
+    """Byte-pair tokens of every document."""
+    return table(spark, d, "documents").select("doc_id", tokenizers.token_counts(spark, F.col("text"), tokenizers.RankCounter.of_file(RANKS)).alias("tokens"))
+
+
+@query()
+def k1_chunk_orders(spark, d):
+    """Orders cut by byte-pair tokens."""
+    docs = corpus(spark, d).select("document_id", F.col("order_text").alias("text"))
+    return _digested(chunk.chunk_documents(docs, "order", count=tokenizers.RankCounter.of_file(RANKS)))
+
+
 @query()
 def k2_embed_chunks(spark, d):
     chunks = store.with_point_ids(order_chunks(spark, d))

@@ -1,6 +1,7 @@
 """Segments, chunks, search, collections, progress, streaming."""
 
 import os
+import random
 import re
 from datetime import datetime
 
@@ -96,14 +97,50 @@ def test_windows():
             assert all(b - a <= config.overlap_tokens * 4 or a == c for (_, _, c, b), (_, _, a, _) in zip(found, found[1:], strict=False))
 
 
-def test_token_counter_file():
-    path = "/opt/tokenizers/byte_bpe_50k.json"
+def plain_merges(word, ranks):
+    """Look at all pairs again after each merge."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def test_byte_pairs_by_looking_at_all_of_them():
+    rng = random.Random(4)
+    for _ in range(60):
+        tokens = {bytes([c]): i for i, c in enumerate(b"abc")}
+        for _ in range(25):
+            x, y = rng.choice(list(tokens)), rng.choice(list(tokens))
+            tokens.setdefault(x + y, rng.randrange(3, 40))
+        for _ in range(20):
+            word = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 40)))
+            assert tokenizers.merged(word, tokens) == plain_merges(word, tokens)
+    assert len(tokenizers.merged(b"ab" * 50_000, {b"ab": 0, b"abab": 1})) == 25_000
+
+
+def test_counts_of_a_public_vocabulary(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     if not os.path.exists(path):
         pytest.skip("no vocabulary files here")
-    count = tokenizers.FileCounter(path)
-    text = "The quick brown fox. " * 400
-    found = list(chunk.windows(text, chunk.ORDER, count=count))
-    assert len(found) > 1 and [n for t, n, *_ in found][0] == count(text[found[0][2] : found[0][3]])
+    import tiktoken
+
+    counter = tokenizers.RankCounter.of_file(path)
+    own = tiktoken.Encoding("own", pat_str=tokenizers.WORDS, mergeable_ranks=tokenizers.read_ranks(path), special_tokens={})
+    texts = ["The quick brown fox's 12 jumps\n\n  over", "é ü 漢字🙂  \t x", "", "a" * 300, None, "Zusammengehörigkeit schreiben wir so."] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["n"] for r in rows.select("id", tokenizers.token_counts(spark, F.col("text"), counter).alias("n")).collect()}
+    assert got == {i: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    text = "Section 1. Purpose. " + "The agency shall act upon it. " * 300
+    docs = spark.createDataFrame([("d", text)], "document_id string, text string")
+    rows = chunk.chunk_documents(docs, "order", count=counter).orderBy("chunk_index").collect()
+    want = [w for _, t in segment_texts(spark, text) for w in chunk.windows(t, chunk.ORDER, count=lambda t: len(own.encode_ordinary(t)))]
+    assert len(rows) > 3 and [(r["text"], r["token_count"]) for r in rows] == [w[:2] for w in want]
+
+
+def segment_texts(spark, text):
+    (row,) = spark.createDataFrame([(text,)], "t string").select(segment.order_segments(F.col("t"), False).alias("s")).collect()
+    return [(s["label"], s["text"]) for s in row["s"]]
 
 
 @pytest.mark.parametrize("bad", [(0, 1, 1, 0.1), (5, 4, 3, 0.1), (1, 2, 3, 1.0), (1, 2, 3, -0.1)])
