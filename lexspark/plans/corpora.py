@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 #: First step: numbers that decide on a document's structure. {S} is the string type, {DIV} whole division.
 _NUMBERS = {
     "k": "doc_id % 4 + 1",
@@ -84,7 +86,7 @@ def _steps(spark: bool) -> list[dict[str, str]]:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with an order text, a court text and legal metadata."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # small tables have one split
     numbers, counts, last = _steps(True)
     for step in (numbers, counts):
         docs = docs.select("*", *(F.expr(e).alias(n) for n, e in step.items()))
