@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, dates, scalars, textclean, tokenizers
-from ..operators import cells, chunk, embed, filters, normalize, postings, progress, render, reports, search, segment, store
+from ..operators import cells, chunk, embed, filters, normalize, postings, progress, render, reports, search, segment, store, table_function
 from ..operators.spread import spread
-from ..sources import records
+from ..sources import pages, records
 from . import oracles
 from .corpora import CORPUS_SQL, LOG_SQL, corpus, progress_log
 
@@ -91,6 +91,36 @@ def a3_order_pages(spark, d):
     return found.select("document_number", normalize.president_name(F.col("president"), None).alias("president"), normalize.agency_names(F.col("agencies")).alias("names"), "signing_date")
 
 
+_DATED = "SELECT document_id AS document_number, president, agencies AS names, signing_date FROM c WHERE signing_date BETWEEN '2021-03-01' AND '2023-06-30'"
+
+
+def _dated_pages(spark: SparkSession, d: str) -> str:
+    order = corpus(spark, d).select(F.col("document_id").alias("document_number"), F.struct(F.col("president").alias("name")).alias("president"), F.transform("agencies", lambda a: F.struct(a.alias("name"))).alias("agencies"), "signing_date")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/pages-{uuid.uuid4().hex}"
+    pages.write_order_pages(order, path, 100)
+    return path
+
+
+def _order_rows(found: DataFrame) -> DataFrame:
+    return found.select("document_number", normalize.president_name(F.col("president"), None).alias("president"), normalize.agency_names(F.col("agencies")).alias("names"), "signing_date")
+
+
+@query(C + _DATED)
+def a3_dated_pages(spark, d):
+    """Order records in pages laid out by date; only the pages of the range are opened."""
+    return _order_rows(pages.read_order_pages(spark, _dated_pages(spark, d), "2021-03-01", "2023-06-30"))
+
+
+@query(C + _DATED)
+def a3_stream_pages(spark, d):
+    """The same pages taken by a stream, some at a time."""
+    run = f"orders_{uuid.uuid4().hex}"
+    found = _order_rows(pages.stream_order_pages(spark, _dated_pages(spark, d), "2021-03-01", "2023-06-30", 50))
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/{run}"
+    found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def a5_read_documents(spark, d):
     return records.read_documents(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
@@ -381,6 +411,31 @@ def e12_throughput(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("avg_processing_time_ms", "eta_seconds")})
 
 
+_BY_DAY = """SELECT epoch_us(date_trunc('day', ts)) AS window_start, document_type, count(*) AS n_events, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+round(coalesce(count(*) FILTER (status = 'completed') * 100.0::DOUBLE / nullif(count(*) FILTER (status IN ('completed', 'failed')), 0), 0), 6) AS success_rate,
+round(avg(processing_time_ms) FILTER (status = 'completed'), 6) AS avg_processing_time_ms, round(count(*) FILTER (status IN ('completed', 'failed')) / 1440.0::DOUBLE, 6) AS throughput_per_minute
+FROM (SELECT log.*, make_timestamp(log.updated_at) AS ts FROM log) GROUP BY ALL"""
+
+
+@query(L + _BY_DAY)
+def e12_stream_windows(spark, d):
+    """Throughput by day, kept up by a stream over two deliveries; every tenth event of the days before the second comes late, with it."""
+    from ..streaming.reports import WindowReport, rates
+
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/windows-{uuid.uuid4().hex}"
+    log = progress_log(spark, d).withColumn("at", F.timestamp_micros("updated_at"))
+    kept = ("document_id", "document_type", "status", "processing_time_ms", "at")
+    log = log.select("seq", *kept)
+    middle = F.timestamp_micros(F.lit(log.agg(F.avg(F.unix_micros("at")).cast("long")).first()[0] or 0))
+    early = F.coalesce((F.col("at") < middle) & ((F.col("seq") % 10 != 0) | (F.col("at") < middle - F.expr("INTERVAL 2 DAYS"))), F.lit(False))
+    report = WindowReport(spark, folder, "1 day", "3 days")
+    for part in (early, ~early):
+        log.where(part).select(*kept).write.mode("append").parquet(f"{folder}/log")
+        report.run(spark.readStream.schema(log.select(*kept).schema).parquet(f"{folder}/log"))
+    found = rates(report.read()).drop("window_end", "time_ms", "n_timed", "documents")
+    return found.withColumns({"window_start": F.unix_micros("window_start")} | {c: F.round(c, 6) for c in ("success_rate", "avg_processing_time_ms", "throughput_per_minute")})
+
+
 # --- sorts, windows, search
 
 
@@ -758,6 +813,36 @@ def j9_chunk_opinions(spark, d):
     return _digested(chunk.chunk_documents(corpus(spark, d).select("document_id", "justice", F.col("court_text").alias("text")), "opinion"))
 
 
+@query(oracles.WHOLE_CHUNKS + "SELECT doc_id, chunk_index, tokens, md5(text) AS text_md5, first AS start_char, last AS end_char FROM chunk")
+def j8_sql_windows(spark, d):
+    """The same windows by the table function, from SQL alone."""
+    table_function.register(spark)
+    return spark.sql(
+        """SELECT d.doc_id, cast(c.chunk_index AS bigint) AS chunk_index, cast(c.token_count AS bigint) AS tokens, md5(c.text) AS text_md5, cast(c.start_char AS bigint) AS start_char, cast(c.end_char AS bigint) AS end_char
+        FROM {documents} d, LATERAL chunk(array(named_struct('label', 'Opinion', 'text', d.text)), 'opinion', false) c""",
+        documents=table(spark, d, "documents"),
+    )
+
+
+_SQL_CHUNKS = """SELECT d.document_id, concat(d.document_id, '_chunk_', c.chunk_index) AS chunk_id, c.chunk_index, c.section_label, c.text, c.token_count, c.start_char, c.end_char, d.{own} FROM {{docs}} d, LATERAL chunk(d.segments, '{kind}') c"""
+
+
+def _sql_chunks(spark: SparkSession, d: str, kind: str, text: str, own: str) -> DataFrame:
+    table_function.register(spark)
+    docs = table_function.segmented(corpus(spark, d).select("document_id", own, F.col(text).alias("text")), kind)
+    return _digested(spark.sql(_SQL_CHUNKS.format(own=own, kind=kind), docs=docs))
+
+
+@query(ORACLE_SQL["j9_chunk_orders"])
+def j9_sql_orders(spark, d):
+    return _sql_chunks(spark, d, "order", "order_text", "president")
+
+
+@query(ORACLE_SQL["j9_chunk_opinions"])
+def j9_sql_opinions(spark, d):
+    return _sql_chunks(spark, d, "opinion", "court_text", "justice")
+
+
 @query(oracles.ORDER_CHUNKS + "SELECT label AS section_label, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, round(avg(tokens), 6) AS avg_tokens FROM chunk GROUP BY label")
 def e13_section_breakdown(spark, d):
     return reports.section_breakdown(order_chunks(spark, d)).withColumn("avg_tokens", F.round("avg_tokens", 6))
