@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ def hashed_features(dim: int, seed: int = 0) -> Embedder:
     known: dict[str, tuple[int, int]] = {}
 
     def place(word: str) -> tuple[int, int]:
-        h = zlib.crc32(f"{seed}:{word}".encode())
+        h = int(hashlib.md5(f"{seed}:{word}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
         known[word] = h % dim, 1 if h >> 31 else -1
         return known[word]
 

@@ -118,6 +118,15 @@ def point_id(x: str) -> str:
     return f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || {_VARIANT.format(d=d)} || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
 
 
+def hashed_words(source: str, dim: int) -> str:
+    """Tables ending in `vec`: chunk_id and embedding (rounded) of the signed, hashed words of source's chunk_id, text."""
+    return f"""word AS (SELECT chunk_id, unnest(string_split_regex({trim("lower(text)")}, '{BLANK}+')) AS word FROM ({source})),
+hashed AS (SELECT word, ('0x' || substr(md5('0:' || word), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT word FROM word WHERE word <> '')),
+placed AS (SELECT chunk_id, h % {dim} AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM word JOIN hashed USING (word) GROUP BY ALL),
+made AS (SELECT chunk_id, map_from_entries(list((place, v))) AS seen, sqrt(sum(v * v)) AS length FROM placed GROUP BY chunk_id),
+vec AS (SELECT s.chunk_id, list_transform(range({dim}), lambda i: round((coalesce(seen[i], 0) / greatest(length, 1e-12))::FLOAT::DOUBLE, 5)) AS embedding FROM ({source}) s LEFT JOIN made USING (chunk_id))"""
+
+
 def code_citations(x: str, code: str, mark: str) -> str:
     """A list of (title, section, full_citation), in text order."""
     p = rf"(?i)(\d{{1,2}}){BLANK}*{code}{BLANK}*{mark}(\d+(?:\.\d+)?(?:\([a-z0-9]+\))*)"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, dates, scalars, textclean, tokenizers
-from ..operators import cells, chunk, embed, filters, normalize, postings, progress, render, reports, search, segment, store, table_function
+from ..operators import cells, chunk, embed, filters, latent, normalize, postings, progress, render, reports, search, segment, store, table_function
 from ..operators.spread import spread
 from ..sources import pages, records
 from . import oracles
@@ -875,10 +875,22 @@ def k1_chunk_orders(spark, d):
     return _digested(chunk.chunk_documents(docs, "order", count=tokenizers.RankCounter.of_file(RANKS)))
 
 
-@query()
+@query(oracles.ORDER_CHUNKS + f""", {oracles.hashed_words("SELECT c.document_id || '_chunk_' || k.chunk_index AS chunk_id, k.text FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''", 64)}
+SELECT {oracles.point_id("chunk_id")} AS point_id, chunk_id, embedding, false AS embed_failed FROM vec""")
 def k2_embed_chunks(spark, d):
     chunks = store.with_point_ids(order_chunks(spark, d))
-    return embed.embed(chunks, "text", 64).select("point_id", "chunk_id", "embedding", "embed_failed")
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
+    return embed.embed(chunks, "text", 64).select("point_id", "chunk_id", rounded.alias("embedding"), "embed_failed")
+
+
+@query()
+def k2_latent_neighbours(spark, d):
+    """Documents nearest in meaning to every hundredth, by latent vectors fitted on the documents."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    model = latent.fit(docs)
+    points = embed.embed(spread(docs), "text", model.dim, model.embedder()).select("point_id", "embedding")
+    asked = points.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), "embedding")
+    return _rounded(search.vector_search(asked, points, 10))
 
 
 @query(oracles.ORDER_CHUNKS + f""", {oracles.CITATION_LISTS} SELECT {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.document_id, k.chunk_index, k.label AS section_label, k.tokens AS token_count,
