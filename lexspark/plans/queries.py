@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,32 @@ def a3_stream_pages(spark, d):
     return spark.read.parquet(f"{folder}/rows")
 
 
+@query(f"SELECT doc_id, {oracles.trim("text")} AS raw_text FROM documents WHERE text IS NOT NULL")
+def a4_raw_texts(spark, d):
+    """Raw texts of orders, a file each, read back whole and cleaned of their markup."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/texts-{uuid.uuid4().hex}"
+    marked = F.concat(F.lit("<html><head><title>t</title></head><body><pre>\n"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n</pre></body></html>"))
+    spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", marked.alias("value")).write.partitionBy("doc_id").text(path)
+    found = records.read_raw_texts(spark, path)
+    return found.select(F.regexp_extract("raw_text_url", "doc_id=(-?[0-9]+)/", 1).cast("bigint").alias("doc_id"), "raw_text")
+
+
+@query(L + """, n AS (SELECT document_type, count(*) AS n_rows FROM state GROUP BY document_type)
+SELECT 'progress' AS name, n_rows FROM n WHERE document_type <> 'order' UNION ALL SELECT 'opinions', count(*) FROM documents""")
+def a8_a9_drop(spark, d):
+    """Collections of both kinds and the progress of their documents; orders are dropped with their progress. What is left, with its rows."""
+    run = uuid.uuid4().hex
+    tables, of = store.Collections(spark), lambda name: f"{name}_{run}"
+    points = corpus(spark, d).select("document_id", "n_chars")
+    for name in ("orders", "opinions"):
+        tables.write(of(name), points)
+    tables.write(of("progress"), progress.current(progress_log(spark, d)))
+    tables.drop(of("orders"), "order", of("progress"))
+    left = [name.removesuffix(f"_{run}") for name in tables.names() if name.endswith(run)]
+    rows = [tables.read(of(name)).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in left]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def a5_read_documents(spark, d):
     return records.read_documents(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
@@ -858,6 +885,19 @@ def e14_k3_extract_fields(spark, d):
     return found.drop("text", "topics").withColumn("total_citations", F.col("total_citations").cast("long"))
 
 
+@query(f"""WITH {CORPUS_SQL}, {oracles.CITATION_LISTS} SELECT cite.doc_id, constitution_cited, federal_statutes_cited, federal_regulations_cited, {_TOPICS.replace("topics", "cite.topics")} AS topics_or_policy_areas,
+len(constitution_cited) + len(federal_statutes_cited) + len(federal_regulations_cited) AS total_citations, coalesce(order_text, '') = '' AS requires_reprocessing,
+CASE WHEN cite.doc_id % 9 = 0 OR coalesce(order_text, '') = '' THEN 2 ELSE 1 END AS n_passes FROM cite JOIN c ON c.doc_id = cite.doc_id""")
+def k5_reprocess(spark, d):
+    """Every ninth document comes without its text, and is flagged; what is flagged is taken again once the texts are there, and replaces its first record."""
+    docs = corpus(spark, d).select("doc_id", F.col("order_text").alias("text"), "topics")
+    extracted = lambda rows, n: embed.extract_fields(rows, topics="topics", kind="order").drop("text", "topics").withColumn("n_passes", F.lit(n))
+    first = extracted(docs.withColumn("text", F.when(F.col("doc_id") % 9 != 0, F.col("text"))), 1)
+    again = extracted(docs.join(embed.to_reprocess(first).select("doc_id"), "doc_id", "left_semi"), 2)
+    found = store.upsert(first, again, "doc_id", "n_passes")
+    return found.drop("llm_extraction_failed").withColumns({c: F.col(c).cast("long") for c in ("total_citations", "n_passes")})
+
+
 #: A rank table of a public byte-level vocabulary.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -893,6 +933,16 @@ def k2_latent_neighbours(spark, d):
     return _rounded(search.vector_search(asked, points, 10))
 
 
+@query(oracles.ORDER_CHUNKS + f"SELECT {_CHUNK_COLUMNS}, c.president, {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id FROM chunk k JOIN c ON c.doc_id = k.doc_id WHERE c.text <> ''")
+def l4_replay(spark, d):
+    """The same chunks stored twice: ids are made from the documents, so the second time replaces the first."""
+    tables, name = store.Collections(spark), f"replayed_{uuid.uuid4().hex}"
+    chunks = store.with_point_ids(order_chunks(spark, d)).drop("original_id")
+    for seq in range(2):
+        tables.upsert(name, chunks.withColumn("ingest_seq", F.lit(seq)), replace_document="document_id")
+    return _digested(tables.read(name).drop("ingest_seq"))
+
+
 @query(oracles.ORDER_CHUNKS + f""", {oracles.CITATION_LISTS} SELECT {oracles.point_id("c.document_id || '_chunk_' || k.chunk_index")} AS point_id, c.document_id, k.chunk_index, k.label AS section_label, k.tokens AS token_count,
 c.president, c.agencies, cite.federal_statutes_cited, cite.federal_regulations_cited, cite.constitution_cited, {_TOPICS.replace("topics", "cite.topics")} AS topics_or_policy_areas
 FROM chunk k JOIN c ON c.doc_id = k.doc_id JOIN cite ON cite.doc_id = k.doc_id WHERE c.text <> ''""")
