@@ -8,7 +8,8 @@ around it; so repeated notices have regions of their own. Each region is aligned
 kept, and the gaps between kept anchors are aligned in the same way; where a gap has no anchors, its
 equal words at both ends are matched. Coverage is the share of the template's words that are matched.
 A notice of fewer than SHORT words must be matched in full, and the words that tell a license from others (REQUIRED)
-must stand in the document one after another. All findings of a document are returned; one that takes half of its words from findings
+must stand in the document one after another; a license's bare name (NAMES) as a whole. An SPDX identifier may go on as an expression,
+whose further identifiers are findings too. A short notice that is denied ("not under the ...") is none. All findings of a document are returned; one that takes half of its words from findings
 with more matched words is none.
 
 Edge cases: a null or blank text has no words and no license; an empty table gives no rows; equal rows get equal results; a very long
@@ -29,6 +30,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
+#: Identifiers of the SPDX list.
+IDS = (
+    "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Apache-1.1", "MPL-1.1", "MPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+    "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "BSL-1.0", "Unlicense",
+    "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+    "BSD-4-Clause", "Artistic-2.0", "WTFPL", "EUPL-1.2", "EPL-1.0", "LGPL-3.0", "GFDL-1.3", "OFL-1.1", "PostgreSQL", "PSF-2.0", "MS-PL", "CDDL-1.0",
+)
+_GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+_CREATIVE = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def _names() -> list[str]:
+    """What licenses are called, by rules for each family; case and punctuation do not count."""
+    out = ["MIT No Attribution", "zlib License", "Mozilla Public License", "Eclipse Public License", "Boost Software License", "ISC License", "Apache License", "Artistic License", "The Unlicense", "SIL Open Font License"]
+    out += [form.format(v) for v in ("1.1", "2.0") for form in ("Apache License {}", "Apache License, Version {}", "Apache {} License", "MPL {}")]
+    out += [form.format(k) for k in (2, 3, 4) for form in ("BSD {}-Clause", "{}-Clause BSD")]
+    for short, long in _GNU.items():
+        out += [f"GNU {long} Public License", f"GNU {short}", f"{short} License"]
+        out += [form.format(short, v) for v in ("2", "2.1", "3") for form in ("{}v{}", "{} v{}", "{} version {}")]
+    for short, long in _CREATIVE.items():
+        out += [f"Creative Commons {long}", *(f"CC {short} {v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0"))]
+    return out + [f"license: {name}" for name in IDS]
+
+
+#: Names by the name of their template.
+NAMES = {"-".join(re.findall(r"\w+", name.lower())) + "-name": name for name in _names()}
 #: Notices of well-known licenses. Version numbers are left out, as they differ.
 TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version",
@@ -77,23 +107,14 @@ TEMPLATES = {
     "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "cc0-notice": "Licensed under CC0",
     "mit-notice-name": "MIT License",
-    **{
-        f"{name.lower()}-spdx": f"SPDX-License-Identifier: {name}"
-        for name in (
-            "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Apache-1.1", "MPL-1.1", "MPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
-            "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "BSL-1.0", "Unlicense",
-            "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
-        )
-    },
+    **{f"{name.lower()}-spdx": f"SPDX-License-Identifier: {name}" for name in IDS},
     **{f"cc-{kind}-notice": f"Licensed under CC {kind.upper()}" for kind in ("by", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")},
     **{
         f"cc-{kind}-name": f"under a Creative Commons {name}"
-        for kind, name in {
-            "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
-            "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
-        }.items()
+        for kind, name in _CREATIVE.items()
     },
-}
+    **NAMES,
+}
 #: By the first part of a template's name: words that tell its license from others, one after another in the document.
 REQUIRED = {
     "apache": "apache license", "gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license",
@@ -101,6 +122,10 @@ REQUIRED = {
 }
 #: Also required of notices of these licenses.
 REQUIRED_NOTICE = {"mit": "mit license", "isc": "isc license", "bsd": "bsd license"}
+#: Words that may stand between a denial and the notice that it denies, and denials.
+LEAD, DENIED = frozenset("a an any licensed distributed released available covered of terms the this under".split()), frozenset("neither never no nor not isn't aren't".split())
+#: Words that an exception in an SPDX expression has at most.
+EXCEPTION = 6
 #: Templates of fewer words must be matched in full.
 SHORT = 20
 MIN_COVERAGE = 0.8
@@ -166,7 +191,7 @@ class Template:
         self.missing = len(self.words) - ceil(least * len(self.words) - 1e-9) if len(self.words) >= SHORT else 0
         first = name.split("-")[0]
         phrase = words_of(REQUIRED.get(first) or REQUIRED_NOTICE.get(first if "-notice" in name else ""))
-        if name.endswith("-spdx"):
+        if name.endswith("-spdx") or name in NAMES:
             phrase = self.words
         elif first == "cc":
             phrase = self.words[self.words.index("under") + 1 :]
@@ -214,20 +239,49 @@ class Template:
                     yield [a + i for i, _ in matched]
 
 
+def denied(words: list[str], first: int) -> bool:
+    """Whether the words before a notice say that it does not hold; `isn't` is two words here."""
+    i = first - 1
+    while i >= 0 and words[i] in LEAD:
+        i -= 1
+    return i >= 0 and (words[i] in DENIED or (words[i] == "t" and i > 0 and f"{words[i - 1]}'t" in DENIED))
+
+
+def expression(words: list[str], end: int, known: dict[tuple[str, ...], str]) -> Iterator[tuple[int, int, str]]:
+    """(first, end, template) of the identifiers with which an SPDX expression goes on at `end`; known: templates by their identifier's words."""
+    while end < len(words) and words[end] in ("or", "and", "with"):
+        if words[end] == "with":
+            end = next((i for i in range(end + 2, min(end + 2 + EXCEPTION, len(words))) if words[i] in ("or", "and")), len(words))
+            continue
+        fitting = [w for w in known if tuple(words[end + 1 : end + 1 + len(w)]) == w]
+        if not fitting:
+            return
+        first, longest = end + 1, max(fitting, key=len)
+        end = first + len(longest)
+        yield first, end, known[longest]
+
+
 def find_licenses(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[int, list[tuple]]:
     """Number of words, and license, coverage, matched words, first and end word and version of all findings in the order of their places."""
     words = words_of(text)
     present = frozenset(words)
-    likely = [t for t in templates if len(t.vocabulary & present) >= t.least_words]
+    likely = [t for t in templates if (len(t.vocabulary & present) >= t.least_words if t.missing else t.vocabulary <= present)]
     every = frozenset().union(*(t.vocabulary for t in likely))
     hits = [i for i, w in enumerate(words) if w in every]
     found = [(-len(at), at[-1] - at[0], at[0], t.name, len(at) / len(t.words), at) for t in likely for at in t.found(words, hits)]
     taken: set[int] = set()
     out = []
-    for n, _, first, name, coverage, at in sorted(found):
+    for n, _, first, name, coverage, at in sorted(found, key=lambda f: (not f[3].endswith("-spdx"), f)):
         if coverage >= least and 2 * sum(i in taken for i in at) < -n:
             taken.update(at)
+            if -n < SHORT and denied(words, first):
+                continue
             out.append((name, coverage, -n, first, at[-1] + 1, version_of(words, first, at[-1] + 1)))
+            if name.endswith("-spdx"):
+                ids = {tuple(t.words[3:]): t.name for t in templates if t.name.endswith("-spdx")}
+                for i, end, more in expression(words, at[-1] + 1, ids):
+                    taken.update(range(i, end))
+                    out.append((more, 1.0, end - i, i, end, None))
     return len(words), sorted(out, key=lambda f: (f[3], f[4], f[0]))
 
 
@@ -247,7 +301,7 @@ def version_of(words: list[str], first: int, end: int) -> str | None:
         at = i + 1 if words[i] in ("version", "v") else end if i == end else -1
         if at >= 0:
             digits = []
-            while at < len(words) and len(digits) < 2 and words[at].isdecimal() and len(words[at]) < 3:
+            while at < len(words) and len(digits) < 2 and words[at].isdecimal() and len(words[at]) < 3 - len(digits):
                 digits.append(words[at])
                 at += 1
             if digits:
