@@ -21,6 +21,7 @@ ORDER = (
     "signing_date string, citation string, start_page int, end_page int, agencies array<struct<id:int,name:string,slug:string,url:string>>, topics array<string>, raw_text_url string, html_url string, pdf_url string"
 )
 PRESIDENT_STRUCT, PRESIDENT_TEXT = ORDER.format(president="struct<name:string>"), ORDER.format(president="string")
+RAW_TEXT = "raw_text_url string, value string"
 NEEDED = ("id", "html_with_citations", "type", "author_str", "cluster_id", "cluster", "per_curiam", "joined_by", "joined_by_str", "download_url", "page_count", "date_created")
 
 
@@ -54,11 +55,22 @@ def read_orders(spark: SparkSession, path: str, start: str, end: str, limit: int
 
 
 def read_raw_texts(spark: SparkSession, path: str) -> DataFrame:
-    """raw_text_url (the file's path) and the cleaned text of each file."""
+    """raw_text_url (the file's path) and the cleaned text of each file. Every file is listed and opened by itself; for many texts, pack them."""
     files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("raw_text_url"), clean_raw_text(F.col("value")).alias("raw_text"))
 
 
+def pack_raw_texts(texts: DataFrame, path: str) -> None:
+    """texts (raw_text_url, value) into packs of many texts each, so that files grow with the bytes and not with the number of texts."""
+    texts.select("raw_text_url", "value").write.parquet(path)
+
+
+def read_packed_texts(spark: SparkSession, path: str) -> DataFrame:
+    """raw_text_url and the cleaned text of each text of such packs, as read_raw_texts gives them for files."""
+    packs = spark.read.schema(RAW_TEXT).parquet(path)
+    return packs.select("raw_text_url", clean_raw_text(F.col("value")).alias("raw_text"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -232,6 +232,27 @@ def test_readers(spark, tmp_path):
         records.check_range("2024-02-01", "2024-01-01")
 
 
+def test_packed_texts_are_read_as_files_are(spark, tmp_path):
+    """A text a file costs a folder and a task for each; packs hold many, whatever the texts hold."""
+    texts = [(f"u{i}", f"<html><pre> {i} a &lt;b \r\n\u0001 é </pre></html>" if i % 2 else f"plain\n{i}\n") for i in range(500)]
+    records.pack_raw_texts(spark.createDataFrame(texts, "raw_text_url string, value string").repartition(3), str(tmp_path / "packs"))
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 3
+    found = {r["raw_text_url"]: r["raw_text"] for r in records.read_packed_texts(spark, str(tmp_path / "packs")).collect()}
+    assert found == {f"u{i}": f"{i} a <b \r\n\u0001 é" if i % 2 else f"plain\n{i}\n" for i in range(500)}
+
+
+def test_raw_texts_do_not_make_a_file_each(spark):
+    from pathlib import Path
+
+    from lexspark.plans import queries
+
+    folder = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    before = set(folder.glob("texts-*"))
+    assert queries.QUERIES["a4_raw_texts"](spark, "/root/testdata/sf0.001").count() == 200
+    (made,) = set(folder.glob("texts-*")) - before
+    assert len(list(made.rglob("*.*"))) < 50
+
+
 def test_collections_and_progress(spark):
     tables = store.Collections(spark)
     rows = spark.createDataFrame([("a", "d1", 1), ("b", "d1", 1), ("c", "d2", 1)], "point_id string, document_id string, ingest_seq int")
