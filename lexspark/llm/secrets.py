@@ -6,11 +6,12 @@ in numpy, on its characters and the text around it; a candidate longer than the
 scored in overlapping pieces, and the highest score counts. Candidates at or above the threshold that are no base findings
 are added with the kind "model".
 
-The network is trained on labelled findings: base findings (label 1) and other candidates (label 0) of a
-hash sample of about MAX_DOCS documents and MAX_WINDOWS windows, with generated findings of known
+The network is trained on labelled findings: base findings (label 1) and other candidates (label 0) of all
+documents, with generated findings of known
 formats beside them; in half of the findings the text around them is blanked, so that the value itself counts.
-Values are split three ways (SPLITS), so that a value is in one part alone, with whatever text around it. The network is fitted on the first; on the
-second its scores are calibrated (Platt scaling) and the threshold is set: the calibrated probability FLOOR, or more if a negative
+Values are split three ways (SPLITS), so that a value is in one part alone, with whatever text around it. The network is fitted on the first, in groups of
+about GROUP fields (more beyond GROUPS groups): in each epoch every group goes on from the same network, and their networks are averaged by size. On the
+second its scores, counted in bins of 1 / BINS of the unit's output, are calibrated (Platt scaling) and the threshold is set: the calibrated probability FLOOR, or more if a negative
 scores more, but never so high that, with a confidence of 95 %, fewer than RECALL of all such findings reach it. Recall is measured on the third, and is part of the network and of every result row.
 
 Edge cases: a null text is empty and has no spans; equal texts have equal spans, wherever they stand; a very long text is scanned
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-MAX_DOCS, MAX_WINDOWS, RECALL, FLOOR = 60_000, 4_000, 0.95, 0.9
+RECALL, FLOOR = 0.95, 0.9
+#: Fields that one task trains on, groups of them at most (the driver sees a network for each), and bins of scores.
+GROUP, GROUPS, BINS, EPOCHS = 4_000, 256, 256, 6
 #: Standard deviations of a one-sided confidence of 95 %.
 SURE = 1.645
 #: Parts of the values: to fit, to calibrate and set the threshold, to measure recall.
@@ -127,11 +130,12 @@ class Network:
         pooled = np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1)
         return columns, h, top, pooled, pooled @ self.out + self.out_bias
 
+    def outputs(self, rows: np.ndarray) -> np.ndarray:
+        """The unit's output for each row."""
+        return np.concatenate([self._forward(rows[i : i + 256])[-1] for i in range(0, len(rows), 256)]) if len(rows) else np.zeros(0)
+
     def probability(self, rows: np.ndarray) -> np.ndarray:
-        if not len(rows):
-            return np.zeros(0)
-        z = np.concatenate([self._forward(rows[i : i + 256])[-1] for i in range(0, len(rows), 256)])
-        return 1 / (1 + np.exp(-(self.a * z + self.b)))
+        return 1 / (1 + np.exp(-(self.a * self.outputs(rows) + self.b)))
 
     def step(self, rows: np.ndarray, y: np.ndarray, state: dict, rate: float) -> None:
         """One step of Adam on the logistic loss."""
@@ -168,8 +172,31 @@ def generated(n: int, seed: int) -> np.ndarray:
     return np.array(out)
 
 
-def train(rows: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 6) -> Network:
-    """Fit, calibrate and set the threshold, and measure recall, each on values that the others do not have.
+def _epoch(net: Network, rows: np.ndarray, y: np.ndarray, state: dict, seed: list[int]) -> None:
+    """One pass over the rows in an order of its own."""
+    order = np.random.default_rng(seed).permutation(len(rows))
+    for i in range(0, len(order), 64):
+        net.step(rows[order[i : i + 64]], y[order[i : i + 64]], state, 0.01)
+
+
+def _calibrate(net: Network, z: np.ndarray, target: np.ndarray, n: np.ndarray) -> None:
+    """Platt scaling and the threshold, by outputs z of the unit that stand for n fields each."""
+    for _ in range(300):  # gradient descent on two numbers
+        p = 1 / (1 + np.exp(-(net.a * z + net.b)))
+        net.a -= 0.1 * float(((p - target) * z * n).sum() / n.sum() if len(z) else 0)
+        net.b -= 0.1 * float(((p - target) * n).sum() / n.sum() if len(z) else 0)
+    scores = 1 / (1 + np.exp(-(net.a * z + net.b)))
+    found = np.argsort(scores[target == 1], kind="stable")
+    if len(found):
+        upto = np.cumsum(n[target == 1][found])
+        missed = upto[-1] * (1 - RECALL)
+        k = max(0, int(missed - SURE * math.sqrt(missed * RECALL)))
+        reached = float(scores[target == 1][found][np.searchsorted(upto, k, "right")])
+        net.threshold = min(reached, max(FLOOR, float(scores[target == 0].max(initial=0))))
+
+
+def train(rows: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Network:
+    """Fit, calibrate and set the threshold, and measure recall, each on values that the others do not have. For rows that fit in memory.
 
     Without labelled rows of both kinds nothing is ever added.
     """
@@ -181,21 +208,8 @@ def train(rows: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 6) -> Ne
     used, held, unseen = (np.flatnonzero((place >= a) & (place < b)) for a, b in SPLITS)
     state: dict = {}
     for epoch in range(epochs):
-        used = np.random.default_rng([seed, epoch]).permutation(used)
-        for i in range(0, len(used), 64):
-            net.step(rows[used[i : i + 64]], y[used[i : i + 64]], state, 0.01)
-    z = np.concatenate([net._forward(rows[held[i : i + 256]])[-1] for i in range(0, len(held), 256)]) if len(held) else np.zeros(0)
-    target = y[held]
-    for _ in range(300):  # Platt scaling by gradient descent on two numbers
-        p = 1 / (1 + np.exp(-(net.a * z + net.b)))
-        net.a -= 0.1 * float(((p - target) * z).mean() if len(z) else 0)
-        net.b -= 0.1 * float((p - target).mean() if len(z) else 0)
-    scores = net.probability(rows[held])
-    found = np.sort(scores[target == 1])
-    if len(found):
-        missed = len(found) * (1 - RECALL)
-        reached = float(found[max(0, int(missed - SURE * math.sqrt(missed * RECALL)))])
-        net.threshold = min(reached, max(FLOOR, float(scores[target == 0].max(initial=0))))
+        _epoch(net, rows[used], y[used], state, [seed, epoch])
+    _calibrate(net, net.outputs(rows[held]), y[held], np.ones(len(held)))
     unseen = unseen[y[unseen] == 1]
     if len(unseen):
         net.recall = float((net.probability(rows[unseen]) >= net.threshold).mean())
@@ -214,15 +228,96 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.binary()), pa.array([y for _, y in out], pa.int32())], ["field", "label"])
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> Network:
-    """Train on the driver on at most max_windows labelled fields, of FIELD bytes each."""
-    n = docs.count()
-    share = 2.0 if n <= max_docs else max_docs / n
-    labelled = docs.where(common.sampled(share, F.lit("secrets"), F.col("doc_id"), common.text_key())).select("text").mapInArrow(_labelled, "field binary, label int").distinct()
-    rows = labelled.orderBy(F.xxhash64("field"), "field", "label").limit(max_windows).collect()
-    made = generated(max(200, len(rows) // 4), 3)
-    fields_ = np.concatenate([np.frombuffer(b"".join(bytes(r["field"]) for r in rows), dtype=np.uint8).reshape(-1, FIELD), made])
-    return train(fields_, np.concatenate([[r["label"] for r in rows], np.ones(len(made))]).astype(float))
+def _rows(fields_: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(fields_.to_pylist()), dtype=np.uint8).reshape(-1, FIELD)
+
+
+def _made(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """n generated findings for each number that comes in."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rows = [r.tobytes() for r in generated(n, 3 + i)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([1] * len(rows), pa.int32())], ["field", "label"])
+
+    return of
+
+
+_LEARNT = ("embedding", "kernel", "bias", "out", "out_bias")
+_STEP = "group int, n bigint, t bigint, numbers binary"
+
+
+def _trained(net: Network, state: dict, epoch: int, seed: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """An epoch of one group: the network's numbers after it, with Adam's two means of each."""
+
+    def of(key: tuple, table: pa.Table) -> pa.Table:
+        rows, y = _rows(table.column("field")), table.column("label").to_numpy().astype(float)
+        order = np.argsort(y, kind="stable")
+        order = order[np.argsort(rows[order].view(f"S{FIELD}").ravel(), kind="stable")]
+        own, moments, group = replace(net), dict(state), key[0].as_py()
+        _epoch(own, rows[order], y[order], moments, [seed, epoch, group])
+        numbers = np.concatenate([np.ravel(x) for name in _LEARNT for x in (getattr(own, name), *moments[name])])
+        return pa.table([pa.array([group], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([moments["t"]], pa.int64()), pa.array([numbers.tobytes()], pa.binary())], ["group", "n", "t", "numbers"])
+
+    return of
+
+
+def _averaged(net: Network, steps: list, state: dict) -> None:
+    """The groups' numbers by the size of the groups, in order of the groups, so that sums come out alike."""
+    steps = sorted(steps, key=lambda r: r["group"])
+    total, at = np.average([np.frombuffer(r["numbers"]) for r in steps], axis=0, weights=[r["n"] for r in steps]), 0
+    for name in _LEARNT:
+        shape = np.shape(getattr(net, name))
+        value, *moments = (total[at + k * (size := int(np.prod(shape))) : at + (k + 1) * size].reshape(shape) for k in range(3))
+        setattr(net, name, value if shape else float(value))
+        state[name], at = tuple(moments), at + 3 * size
+    state["t"] = max(r["t"] for r in steps)
+
+
+def _outputs(net: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(net.outputs(_rows(batch.column("field"))), pa.float64())], ["label", "z"])
+
+    return of
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """field, label: every different labelled field of all documents."""
+    return docs.select("text").mapInArrow(_labelled, "field binary, label int").distinct()
+
+
+def fit(docs: DataFrame, seed: int = 1, epochs: int = EPOCHS, group: int = GROUP) -> Network:
+    """Train on every labelled field of all documents, on the executors; as train does, but by groups.
+
+    The driver sees a network for each group, at most GROUPS of them, and counts of scores by bin.
+    """
+    own, spark = common.durable(labelled(docs)), docs.sparkSession
+    net, state = Network.fresh(seed), {}
+    n, n_other = own.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()
+    if not n_other:
+        return net
+    groups = min(GROUPS, -(-n // group))
+    made = spark.range(0, groups, 1, groups).mapInArrow(_made(-(-max(200, n // 4) // groups)), "field binary, label int")
+    value = F.substring("field", LEFT + 1, BODY)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("split"), value), 1).cast("double") / float(1 << 63)
+    rows = common.durable(own.unionByName(made).select("field", "label", place.alias("place"), F.pmod(F.xxhash64(F.lit("group"), value), F.lit(groups)).cast("int").alias("group")))
+    used, held, unseen = (rows.where((F.col("place") >= a) & (F.col("place") < b)) for a, b in SPLITS)
+    used = used.select("group", "field", "label").repartition(groups, "group")  # a number of tasks that Spark does not reduce
+    for epoch in range(epochs):
+        steps = used.groupBy("group").applyInArrow(_trained(net, state, epoch, seed), _STEP).collect()
+        if steps:
+            _averaged(net, steps, state)
+    scored = held.select("field", "label").mapInArrow(_outputs(net), "label int, z double")
+    counts = scored.groupBy("label", F.floor(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), "z")) * BINS).alias("bin")).agg(F.count("*").alias("n"), F.min("z").alias("least"), F.max("z").alias("most"))
+    bins = sorted(counts.collect(), key=lambda r: (r["label"], r["bin"]))  # two labels, 100 * BINS bins
+    z = np.array([r["least"] if r["label"] else r["most"] for r in bins], dtype=float)  # the threshold is set by the least finding and the highest other
+    _calibrate(net, z, np.array([r["label"] for r in bins], dtype=float), np.array([r["n"] for r in bins], dtype=float))
+    reached = 1 / (1 + F.exp(-(F.lit(net.a) * F.col("z") + F.lit(net.b)))) >= net.threshold
+    hit, of = unseen.where("label = 1").select("field", "label").mapInArrow(_outputs(net), "label int, z double").agg(F.count_if(reached), F.count("*")).first()
+    net.recall = hit / of if of else None
+    return net
 
 
 def scan(docs: DataFrame, network: Network) -> DataFrame:

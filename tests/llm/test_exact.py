@@ -318,3 +318,16 @@ def test_secret_network_learns(spark):
     found = secrets.scan(spark.createDataFrame([(1, probe), (2, None)], "doc_id bigint, text string"), net).orderBy("doc_id").collect()
     assert [probe[s["start"] : s["end"]] for s in found[0]["spans"]] == [probe.split()[3]]
     assert found[1]["spans"] == []
+
+
+def test_secret_network_sees_every_document(spark):
+    """Findings of one rare form, in a few of many documents, are all trained on, whatever their order; ten more documents change the network."""
+    docs = [(i, f"version{i}.release.notes" if i % 50 else f"token = {'abcdef'[i % 6] * 4}{i:036d}") for i in range(6000)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    fields = secrets.labelled(table(docs))
+    assert fields.where("label = 0").count() == 5880 and fields.where("label = 1").count() == 360
+    found = [secrets.fit(table(d), epochs=1, group=1000) for d in (docs, docs[::-1], [*docs, *((i, f"mail{i}.example.com") for i in range(6000, 6010))])]
+    assert found[0].threshold == found[1].threshold and (found[0].kernel == found[1].kernel).all()
+    assert (found[0].kernel != found[2].kernel).any()
+    net = secrets.fit(table(docs), group=1000)
+    assert net.recall is not None and net.recall >= 0.9
