@@ -7,10 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .spread import tasks_of
+
 #: What is no part of a word.
 GAP = r"[^\p{L}\p{N}]+"
 #: Words of a topic, its letters at least, documents that must hold it, and topics of a document.
 PHRASE, LETTERS, HOLDERS, TOPICS = 2, 4, 2, 8
+#: Words whose holders are sent to every task, and bytes of input whose phrases a task counts in memory.
+COMMON, DEALT = 50_000, 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -58,18 +62,26 @@ def search_postings(spark: SparkSession, rows: DataFrame, query: str, documents:
 def topics_of(docs: DataFrame, key: str = "document_id", text: str = "text", phrase: int = PHRASE, letters: int = LETTERS, holders: int = HOLDERS, most: int = TOPICS) -> DataFrame:
     """key and topics: the phrases of one to `phrase` long words that tell a document from the others, by frequency and rarity over all documents.
 
-    Every document is there; one without such phrases has an empty list.
+    Every document is there; one without such phrases has an empty list. Texts are dealt out by key, so that a document's phrases are counted
+    where its text is. Of its phrases only those meet their holders that may be among its best: a phrase weighs at most what `holders` holders would
+    make of it, and the weights of the COMMON most common words are known where they are counted, so the least of the best `most` of them is a bound.
     """
+    dealt = docs.select(key, text).repartition(tasks_of(docs, DEALT), key)
     long = F.filter(words(F.col(text)), lambda w: F.char_length(w) >= letters)
-    rows = docs.select(key, long.alias("w"))
+    rows = dealt.select(key, long.alias("w"))
     grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
     all_grams = F.flatten(F.array(*(F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, phrase + 1))))
     counts = rows.select(key, F.explode(all_grams).alias("topic")).groupBy(key, "topic").agg(F.count("*").alias("n"))
     known = counts.groupBy("topic").agg(F.count("*").alias("holders")).where(F.col("holders") >= holders)
+    common = known.where(~F.col("topic").contains(" ")).orderBy(F.desc("holders"), "topic").limit(COMMON).select(F.col("topic").alias("word"), F.col("holders").alias("held"))
     total = docs.agg(F.count("*").alias("documents"))
-    scored = counts.join(known, "topic").crossJoin(F.broadcast(total))  # one row
-    weight = F.round(F.col("n") * F.log((F.lit(2.0) * F.col("documents") + 2) / (F.lit(2.0) * F.col("holders") + 1)), 6)
+    weight = lambda held: F.round(F.col("n") * F.log((F.lit(2.0) * F.col("documents") + 2) / (F.lit(2.0) * held + 1)), 6)
+    bounded = counts.join(F.broadcast(common), F.col("topic") == F.col("word"), "left").crossJoin(F.broadcast(total))  # COMMON rows, and one row
+    bounded = bounded.select(key, "topic", "n", "documents", weight(F.col("held")).alias("sure"), weight(F.coalesce("held", F.lit(holders))).alias("at_most"))
+    every = Window.partitionBy(key).orderBy(F.desc_nulls_last("sure")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    likely = bounded.withColumn("least", F.nth_value("sure", most, True).over(every)).where(F.col("least").isNull() | (F.col("at_most") >= F.col("least")))
+    scored = likely.select(key, "topic", "n").join(known, "topic").crossJoin(F.broadcast(total))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "topic")
-    best = scored.select(key, "topic", weight.alias("weight")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    best = scored.select(key, "topic", weight(F.col("holders")).alias("weight")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     lists = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("topics"))
     return docs.select(key).join(lists, key, "left").select(key, F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))

@@ -4,6 +4,26 @@ from pyspark.sql import DataFrame
 
 #: Bytes of a split that keeps a core busy for a while.
 SPLIT = 16 << 20
+#: What leaves the rows of a task as they are dealt.
+_ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "View")
+
+
+def _below(df: DataFrame):
+    """The plan's first node that is no projection or filter."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_BY_ROW:
+        node = node.children().apply(0)
+    return node
+
+
+def _bytes(node) -> int:
+    return int(str(node.stats().sizeInBytes()))
+
+
+def tasks_of(df: DataFrame, split: int = SPLIT) -> int:
+    """Tasks of at most about `split` bytes of the input that df reads row by row, and one for each core at least."""
+    cores, below = df.sparkSession.sparkContext.defaultParallelism, _below(df)
+    return max(cores, -(-_bytes(below) // split)) if below.children().isEmpty() and below.nodeName() == "LogicalRelation" else cores
 
 
 def spread(df: DataFrame) -> DataFrame:

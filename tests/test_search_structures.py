@@ -108,3 +108,24 @@ def test_topics_by_counting(spark):
     holders = Counter(t for c in counts.values() for t in c)
     want = {i: [t for _, t in sorted((-round(n * math.log((2 * 6 + 2) / (2 * holders[t] + 1)), 6), t) for t, n in c.items() if holders[t] >= 2)][:8] for i, c in counts.items()}
     assert {r["document_id"]: r["topics"] for r in postings.topics_of(docs).collect()} == want
+
+
+def test_topics_with_few_common_words(spark, monkeypatch):
+    """Phrases below a document's bound go no further, and none of the best is lost, however few words' holders are known where they are counted."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"word{i:03d}" for i in range(120)]
+    texts = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(120)], k=rng.choice((3, 40, 400))))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "document_id bigint, text string")
+    counts = {i: Counter(t.split() + [" ".join(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)]) for i, t in texts}
+    holders = Counter(t for c in counts.values() for t in c)
+    want = {i: [t for _, t in sorted((-round(n * math.log((2 * 60 + 2) / (2 * holders[t] + 1)), 6), t) for t, n in c.items() if holders[t] >= 2)][:8] for i, c in counts.items()}
+    for common in (50_000, 10, 1):
+        monkeypatch.setattr(postings, "COMMON", common)
+        assert {r["document_id"]: r["topics"] for r in postings.topics_of(docs).collect()} == want
+
+
+def test_phrases_are_counted_where_their_text_is(spark):
+    plan = postings.topics_of(spark.range(100).select(F.col("id").alias("document_id"), F.lit("some long words").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(document_id#\d+L?, topic#", plan)
