@@ -27,7 +27,14 @@ def tasks_of(df: DataFrame, split: int = SPLIT) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if by the optimizer's estimate its input is too small to have a split for each; large inputs stay as they are. Runs nothing."""
+    """df over all cores, in tasks of at most SPLIT bytes of input, however large the files' row groups are. Runs nothing.
+
+    What is dealt out already stays so; of other inputs only those that are too small by the optimizer's estimate to have a split for each core are dealt.
+    """
+    below = _below(df)
+    if below.nodeName().startswith("Repartition"):
+        return df
+    if below.children().isEmpty() and below.nodeName() == "LogicalRelation":
+        return df.repartition(tasks_of(df, SPLIT))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT else df
+    return df.repartition(cores) if _bytes(df._jdf.queryExecution().optimizedPlan()) < cores * SPLIT else df

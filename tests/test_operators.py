@@ -232,6 +232,18 @@ def test_readers(spark, tmp_path):
         records.check_range("2024-02-01", "2024-01-01")
 
 
+def test_tasks_are_bounded_by_bytes_whatever_the_row_groups(spark, tmp_path, monkeypatch):
+    from lexspark.operators import spread
+
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    monkeypatch.setattr(spread, "SPLIT", 50_000)
+    dealt = spread.spread(spark.read.parquet(str(tmp_path / "t")).where("id >= 0").select("text"))
+    assert dealt.rdd.getNumPartitions() >= size // 50_000 > 4
+    assert spread.spread(dealt.select("text")).rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
+    assert dealt.count() == 20_000
+
+
 def test_packed_texts_are_read_as_files_are(spark, tmp_path):
     """A text a file costs a folder and a task for each; packs hold many, whatever the texts hold."""
     texts = [(f"u{i}", f"<html><pre> {i} a &lt;b \r\n\u0001 é </pre></html>" if i % 2 else f"plain\n{i}\n") for i in range(500)]
