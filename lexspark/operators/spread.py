@@ -1,9 +1,16 @@
-"""Parallelism of CPU-bound text work."""
+"""Parallelism of CPU-bound text work, and how much of a batch is in Python's hands at a time."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of a split that keeps a core busy for a while.
 SPLIT = 16 << 20
+#: Rows and bytes of a slice: Spark's batches hold up to 10,000 rows, which as Python objects take many times their bytes.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 #: What leaves the rows of a task as they are dealt.
 _ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "View")
 
@@ -38,3 +45,16 @@ def spread(df: DataFrame) -> DataFrame:
         return df.repartition(tasks_of(df, SPLIT))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if _bytes(df._jdf.queryExecution().optimizedPlan()) < cores * SPLIT else df
+
+
+def slices(n_rows: int, n_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the slices of a batch of so many rows and bytes; all of its rows, of at most about SLICE_BYTES each."""
+    step = max(1, min(SLICE_ROWS, SLICE_BYTES * n_rows // max(n_bytes, 1)))
+    for at in range(0, n_rows, step):
+        yield at, min(step, n_rows - at)
+
+
+def sliced(column: pa.Array) -> Iterator[list]:
+    """The values of a column as Python objects, a slice at a time."""
+    for at, n in slices(len(column), column.nbytes):
+        yield column.slice(at, n).to_pylist()
