@@ -15,7 +15,7 @@ CHUNK = "chunk_index int, section_label string, text string, token_count int, st
 CONFIGS = {"opinion": chunk.OPINION, "order": chunk.ORDER}
 
 
-@F.udtf(returnType=CHUNK, useArrow=True)
+@F.udtf(returnType=CHUNK, useArrow=False)  # rows go to Python a hundred at a time; an Arrow batch would have all of its 10,000 texts there at once
 class Chunks:
     """chunk(segments, kind [, gap_free]): the chunks of one document's labelled segments, numbered from 0.
 

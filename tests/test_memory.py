@@ -33,3 +33,7 @@ def test_token_counts_hold_a_slice():
     got, peak = _peak(lambda: tokenizers.counted(column, len))
     assert got.to_pylist() == [len(t or "") for t in TEXTS]
     assert peak < column.nbytes / 2
+
+
+def test_sql_chunks_take_rows_not_arrow_batches():
+    assert table_function.Chunks.evalType == PythonEvalType.SQL_TABLE_UDF
