@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.spread import sliced
+
 #: Unicode white space, as (?U)\s of the JVM sees it.
 SPACE = r"(?U)\s"
+#: The same as characters.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TAG = "<[^>]+>"
 
 
-@F.pandas_udf(T.StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def decode_entities(texts: pa.Array) -> pa.Array:
     """HTML entities decoded; the JVM has no built-in for it."""
-    return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+    parts = [pa.array([html.unescape(t) if t and "&" in t else t for t in part], pa.string()) for part in sliced(texts)]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
 def trim_space(c: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(F.regexp_replace(c, rf"(?<!{SPACE}){SPACE}++$", ""), rf"^{SPACE}+", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def strip_html(c: Column, entities: bool = True) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.tokenizers import quarter
 from . import segment
-from .spread import spread
+from .spread import slices, spread
 
 CHARS = 4
 #: Characters that a token has at most on average, in a rest that may be too short to stand alone.
@@ -108,7 +108,7 @@ def _windows_of(config: ChunkConfig, gap_free: bool, others: list[str], count: C
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in CHUNKS.elementType.fields]
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        for batch in batches:
+        for batch in (b.slice(at, n) for b in batches for at, n in slices(b.num_rows, b.column("__segments").nbytes)):
             rows, index, found, reasons = [], [], [], []
             for i, segments in enumerate(batch.column("__segments").to_pylist()):
                 try:

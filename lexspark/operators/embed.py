@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import citations, scalars
+from .spread import sliced
 
 Embedder = Callable[[list[str]], list[list[float]]]
 BATCH = 20
@@ -19,51 +21,67 @@ BATCH = 20
 def hashed_features(dim: int, seed: int = 0) -> Embedder:
     """Signed feature hashing of words, scaled to length one; needs no model."""
 
-    known: dict[str, tuple[int, int]] = {}
+    class Places(dict):
+        def __missing__(self, word: str) -> int:
+            """The word's place among those that add, or, `dim` further, among those that subtract."""
+            h = int(hashlib.md5(f"{seed}:{word}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+            self[word] = h % dim + (0 if h >> 31 else dim)
+            return self[word]
 
-    def place(word: str) -> tuple[int, int]:
-        h = int(hashlib.md5(f"{seed}:{word}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
-        known[word] = h % dim, 1 if h >> 31 else -1
-        return known[word]
+    known = Places()
 
-    def of(texts: list[str]) -> list[list[float]]:
+    def of(texts: list[str]) -> np.ndarray:
         if len(known) > 200_000:
             known.clear()
-        out = np.zeros((len(texts), dim))
+        n = np.zeros((len(texts), 2 * dim))
         for i, text in enumerate(texts):
-            found = [known.get(word) or place(word) for word in text.lower().split()]
-            if found:
-                at, sign = zip(*found, strict=True)
-                out[i] = np.bincount(at, weights=sign, minlength=dim)
-        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+            words = text.lower().split()
+            n[i] = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=2 * dim)
+        out = n[:, :dim] - n[:, dim:]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return of
 
 
 def embed(df: DataFrame, text: str, dim: int, fn: Embedder | None = None, batch: int = BATCH) -> DataFrame:
-    """df with embedding and embed_failed. A failing batch is tried item by item; a failing item gets a zero vector."""
+    """df with embedding and embed_failed. A failing batch is tried item by item; a failing item gets a zero vector.
+
+    Texts become Python objects a slice at a time, and vectors stay packed.
+    """
     fn = fn or hashed_features(dim)
 
-    @F.pandas_udf(f"embedding array<float>, failed boolean")
-    def of(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in columns:
-            vectors: list[list[float] | None] = []
-            texts = [t or "" for t in column]
-            for i in range(0, len(texts), batch):
-                part = texts[i : i + batch]
+    def packed(vectors) -> pa.Array:
+        if isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+            ends, values = np.arange(len(vectors) + 1) * vectors.shape[1], vectors.ravel()
+        else:
+            ends, values = np.cumsum([0, *map(len, vectors)]), np.concatenate([np.zeros(0), *vectors])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.float32)))
+
+    def tried(part: list[str]) -> tuple[pa.Array, list[bool]]:
+        try:
+            got = fn(part)
+            if len(got) != len(part):
+                raise ValueError("one vector for each text is needed")
+            return packed(got), [False] * len(part)
+        except Exception:
+            got = []
+            for one in part:
                 try:
-                    got: list = list(fn(part))
-                    if len(got) != len(part):
-                        raise ValueError("one vector for each text is needed")
+                    got.append(packed([fn([one])[0]]))
                 except Exception:
-                    got = []
-                    for one in part:
-                        try:
-                            got.append(fn([one])[0])
-                        except Exception:
-                            got.append(None)
-                vectors += got
-            yield pd.DataFrame({"embedding": [v if v is not None else [0.0] * dim for v in vectors], "failed": [v is None for v in vectors]})
+                    got.append(None)
+            return pa.concat_arrays([packed([[0.0] * dim]) if v is None else v for v in got]), [v is None for v in got]
+
+    @F.arrow_udf("embedding array<float>, failed boolean")
+    def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            vectors, failed = [pa.array([], pa.list_(pa.float32()))], []
+            for texts in sliced(column):
+                for i in range(0, len(texts), batch):
+                    got, bad = tried([t or "" for t in texts[i : i + batch]])
+                    vectors.append(got)
+                    failed += bad
+            yield pa.StructArray.from_arrays([pa.concat_arrays(vectors), pa.array(failed, pa.bool_())], ["embedding", "failed"])
 
     return df.withColumn("__e", of(F.col(text))).withColumn("embedding", F.col("__e.embedding")).withColumn("embed_failed", F.col("__e.failed")).drop("__e")
 

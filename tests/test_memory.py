@@ -35,5 +35,18 @@ def test_token_counts_hold_a_slice():
     assert peak < column.nbytes / 2
 
 
+def test_chunks_leave_by_slices():
+    segments = pa.array([[{"label": "a", "text": t}] for t in TEXTS], pa.list_(pa.struct([("label", pa.string()), ("text", pa.string())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), segments], ["id", "__segments"])
+    got = list(chunk._windows_of(chunk.ORDER, True, ["id"], tokenizers.quarter, False)(iter([batch])))
+    rows = [r for b in got for r in zip(b["id"].to_pylist(), b["chunk_index"].to_pylist(), b["__text"].to_pylist(), strict=True)]
+    assert rows == [(i, k, w[0]) for i, t in enumerate(TEXTS) for k, w in enumerate(chunk.windows(t or "", chunk.ORDER))]
+    assert len(got) > 10 and max(len(set(b["id"].to_pylist())) for b in got) <= spread.SLICE_ROWS
+
+
 def test_sql_chunks_take_rows_not_arrow_batches():
     assert table_function.Chunks.evalType == PythonEvalType.SQL_TABLE_UDF
+
+
+def test_vectors_of_a_batch_are_packed():
+    assert embed.hashed_features(8)(["a b", ""]).shape == (2, 8)
