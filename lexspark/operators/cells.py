@@ -119,9 +119,9 @@ def indexed_search(queries: DataFrame, index: Cells, k: int = search.DEFAULT_K,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, stored in zip(batch.column("asked").to_pylist(), batch.column("stored").to_pylist(), strict=True):
-                points_of = search._unpacked(stored)
-                for dim, query_ids, q in search._by_dimension(*search._unpacked(asked)):
+            for asked, stored in zip(batch.column("asked"), batch.column("stored"), strict=True):  # read where they lie in the batch
+                points_of = search._unpacked(stored.as_buffer())
+                for dim, query_ids, q in search._by_dimension(*search._unpacked(asked.as_buffer())):
                     point_ids, p = search._unit(*points_of, dim)
                     if len(q) and len(p):
                         yield search._results(query_ids, point_ids, search._best(q, p, k, threshold), arrow)

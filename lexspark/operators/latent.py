@@ -79,7 +79,7 @@ def _summed(texts: DataFrame, of: Callable[[list[str]], np.ndarray], width: int)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 got = of(batch.column(0).slice(i, 128).to_pylist())
-                total = got if total is None else total + got
+                total = got if total is None else np.add(total, got, out=total)
         if total is not None:
             blocks = range(-(-len(total) // BLOCK))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "sums"])
@@ -109,10 +109,10 @@ class Latent:
         """For embed(fn=...): vectors of length one, or zero for texts without known words. The model goes out with the task: 4 bytes a place and dimension."""
         weights, basis = self.weights, self.basis
 
-        def of(texts: list[str]) -> list[list[float]]:
+        def of(texts: list[str]) -> np.ndarray:
             found = weighted(counts(texts, len(weights)), len(texts), weights)
             out = projected(found, len(texts), basis)
-            return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return of
 

@@ -71,7 +71,7 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> list[pa.Array]:
+def _unpacked(data: bytes | pa.Buffer) -> list[pa.Array]:
     """Ids and vectors."""
     table = pa.ipc.open_stream(data).read_all().combine_chunks()
     return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
@@ -104,9 +104,9 @@ def _in_blocks(queries: DataFrame, points: DataFrame, n: int, k: int, threshold:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, stored in zip(batch.column("asked").to_pylist(), batch.column("stored").to_pylist(), strict=True):
-                points_of = _unpacked(stored)
-                for dim, query_ids, q in _by_dimension(*_unpacked(asked)):
+            for asked, stored in zip(batch.column("asked"), batch.column("stored"), strict=True):  # read where they lie in the batch
+                points_of = _unpacked(stored.as_buffer())
+                for dim, query_ids, q in _by_dimension(*_unpacked(asked.as_buffer())):
                     point_ids, p = _unit(*points_of, dim)
                     if len(q) and len(p):
                         yield _results(query_ids, point_ids, _best(q, p, k, threshold), arrow)

@@ -50,3 +50,9 @@ def test_sql_chunks_take_rows_not_arrow_batches():
 
 def test_vectors_of_a_batch_are_packed():
     assert embed.hashed_features(8)(["a b", ""]).shape == (2, 8)
+
+
+def test_pairs_of_blocks_are_read_where_they_lie():
+    data = pa.array([search._packed(pa.table({"id": list(range(100_000)), "v": [[0.5]] * 100_000}))], pa.binary())
+    (ids, _), peak = _peak(lambda: search._unpacked(data[0].as_buffer()))
+    assert len(ids) == 100_000 and peak < data.nbytes / 2
