@@ -18,7 +18,9 @@ AMENDMENTS = {
     "seventeenth": "XVII", "eighteenth": "XVIII", "nineteenth": "XIX", "twentieth": "XX", "twenty-first": "XXI", "twenty-second": "XXII",
     "twenty-third": "XXIII", "twenty-fourth": "XXIV", "twenty-fifth": "XXV", "twenty-sixth": "XXVI", "twenty-seventh": "XXVII",
 }
-ORDINAL = rf"(?i)\b({'|'.join(AMENDMENTS)})\s+amendment\b"
+_BY_LETTER = "|".join(f"{first}(?:{'|'.join(w[1:] for w in AMENDMENTS if w[0] == first)})" for first in sorted({w[0] for w in AMENDMENTS}))
+#: Most words are passed over by their first letter; those left try the ordinals that begin so.
+ORDINAL = rf"(?i)\b(?=[{''.join(sorted({w[0] for w in AMENDMENTS}))}])({_BY_LETTER})\s+amendment\b"
 
 
 def _all(text: Column, pattern: str) -> Column:

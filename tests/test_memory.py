@@ -56,3 +56,20 @@ def test_pairs_of_blocks_are_read_where_they_lie():
     data = pa.array([search._packed(pa.table({"id": list(range(100_000)), "v": [[0.5]] * 100_000}))], pa.binary())
     (ids, _), peak = _peak(lambda: search._unpacked(data[0].as_buffer()))
     assert len(ids) == 100_000 and peak < data.nbytes / 2
+
+
+def test_trimming_as_the_pattern_does(spark):
+    s = textclean.SPACE
+    by_pattern = lambda c: F.regexp_replace(F.regexp_replace(c, rf"(?<!{s}){s}++$", ""), rf"^{s}+", "")
+    one = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for e in (F.col("c"), F.concat("c", F.lit("a"), "c"), F.concat(F.lit("a  "), "c", F.lit(" \n"))):
+        assert one.where(~by_pattern(e).eqNullSafe(textclean.trim_space(e))).count() == 0
+    assert "regexp" not in one.select(textclean.trim_space(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("sign", ["{} amendment", "{}\n Amendments", "x{} amendment", "-{} Amendment.", "{}th amendment", "the {} fifth amendment"])
+def test_ordinals_as_the_plain_list_finds_them(spark, sign):
+    plain = rf"(?i)\b({'|'.join(citations.AMENDMENTS)})\s+amendment\b"
+    rows = spark.createDataFrame([(f(sign.format(w)),) for w in citations.AMENDMENTS for f in (str, str.upper, str.title)], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+    assert rows.where(~found(plain).eqNullSafe(found(citations.ORDINAL))).count() == 0 and "(?=" in citations.ORDINAL
