@@ -18,8 +18,8 @@ def with_point_ids(chunks: DataFrame, id_: str = "chunk_id") -> DataFrame:
     return chunks.withColumn("point_id", point_id(F.col(id_))).withColumn("original_id", F.col(id_))
 
 
-def latest(rows: DataFrame, key: str = "point_id", seq: str = "ingest_seq") -> DataFrame:
-    """The last version of each key; of versions with one number, the greatest by a hash of all columns."""
+def latest(rows: DataFrame, key: str | list[str] = "point_id", seq: str = "ingest_seq") -> DataFrame:
+    """The last version of each key, a column or several; of versions with one number, the greatest by a hash of all columns."""
     tie = F.xxhash64(*(F.col(f"`{c}`") for c, k in rows.dtypes if "map<" not in k))
     w = Window.partitionBy(key).orderBy(F.desc(seq), F.desc(tie))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
@@ -110,7 +110,7 @@ class Collections:
 
     A key belongs to one document, as ids are made from their document's. A table is bucketed and sorted by document_id (or by its key), with as many buckets as its bytes call for, and each bucket is a partition of its
     own. An upsert reads and writes the buckets of its documents alone, and joins them where they lie: only the batch is
-    exchanged. A change is first written to a table of its own, which exists only once it is complete, and then put in place; if that is cut off,
+    exchanged, once, by the buckets that it is written to, so a bucket has a file or two however many there are. A change is first written to a table of its own, which exists only once it is complete, and then put in place; if that is cut off,
     the next change of the collection puts it in place again.
     """
 
@@ -174,8 +174,8 @@ class Collections:
         """A new snapshot, with as many buckets as it needs; the rows may come from the old one."""
         self.recover(name)
         with _settings(self.spark):
-            size = chunks.agg(F.sum(value_bytes(chunks))).first()[0] or 0
-            self._change(name, chunks, "all", self._needed(size))
+            buckets = self._needed(chunks.agg(F.sum(value_bytes(chunks))).first()[0] or 0)
+            self._change(name, chunks.repartition(buckets, self._by(chunks)), "all", buckets)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.table(self._table(name)).drop("part")
@@ -183,42 +183,58 @@ class Collections:
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(self._table(name))
 
-    def upsert(self, name: str, batch: DataFrame, key: str = "point_id", seq: str = "ingest_seq", replace_document: str | None = None, valid: Column | None = None) -> tuple[int, int]:
+    def upsert(self, name: str, batch: DataFrame, key: str = "point_id", seq: str = "ingest_seq", replace_document: str | None = None, valid: Column | None = None, held: bool = False) -> tuple[int, int]:
         """Rows by key, last write wins; (stored, failed). Only buckets that the batch falls into are read and written.
 
-        valid: what a row must be to be stored; without it, it must have a key. The batch is computed once, while it is counted.
+        valid: what a row must be to be stored; without it, it must have a key. The batch is computed once, while it is counted, and
+        persisted until it is stored; held: that is done by the caller.
         """
         self.recover(name)
         fine = F.coalesce(F.col(key).isNotNull() if valid is None else F.col(key).isNotNull() & valid, F.lit(False))
-        checked = batch.withColumn("__fine", fine).persist()
+        checked = batch.withColumn("__fine", fine)
+        if not held:
+            checked.persist()
         try:
             stored, failed, size = checked.agg(F.count_if("__fine"), F.count_if(~F.col("__fine")), F.sum(value_bytes(batch))).first()
-            new = latest(checked.where("__fine").drop("__fine"), key, seq)
+            rows = checked.where("__fine").drop("__fine")
             with _settings(self.spark):
                 if not self.exists(name):
-                    self._change(name, new, "all", self._needed(size or 0))
+                    buckets = self._needed(size or 0)
+                    self._change(name, self._dealt(rows, key, seq, buckets), "all", buckets)
                 elif stored:
-                    self._merge(name, new, key, replace_document)
+                    self._merge(name, rows, key, replace_document, seq)
         finally:
-            checked.unpersist()
+            if not held:
+                checked.unpersist()
         return stored, failed
 
-    def merged(self, name: str, new: DataFrame, key: str, replace_document: str | None = None) -> DataFrame:
-        """The buckets of the collection that new falls into, with new in place of what it replaces; the collection's side is not exchanged."""
-        old, by = self.spark.table(self._table(name)), self._by(new)
-        part = F.pmod(F.hash(by), F.lit(self.buckets(name)))
-        parts = [r[0] for r in new.select(part.alias("part")).distinct().collect()]  # as many as there are buckets at most
+    def _dealt(self, rows: DataFrame, key: str, seq: str, buckets: int, touched: int = MOST) -> DataFrame:
+        """The last version of each key, all rows of a bucket in one task; of few touched buckets, in no more tasks than those."""
+        by, part = self._by(rows), F.pmod(F.hash(self._by(rows)), F.lit(buckets))
+        if 2 * touched > buckets:
+            return latest(rows.repartition(buckets, by), list(dict.fromkeys([by, key])), seq)
+        return latest(rows.withColumn("part", part).repartition(max(1, touched), "part"), list(dict.fromkeys(["part", by, key])), seq).drop("part")
+
+    def merged(self, name: str, rows: DataFrame, key: str, replace_document: str | None = None, seq: str = "ingest_seq") -> DataFrame:
+        """The buckets of the collection that rows fall into, with their last versions in place of what they replace; the collection's side is not exchanged."""
+        old, by, buckets = self.spark.table(self._table(name)), self._by(rows), self.buckets(name)
+        part = F.pmod(F.hash(by), F.lit(buckets))
+        parts = [r[0] for r in rows.select(part.alias("part")).distinct().collect()]  # as many as there are buckets at most
         touched = old.where(F.col("part").isin(parts)).drop("part")
         on = [by] if by in (key, replace_document) else [by, key]
-        gone = new.select(*on).distinct()
-        return touched.join(gone, on, "left_anti").unionByName(new)
+        gone = rows.select(*on)
+        if 2 * len(parts) > buckets:  # by the collection's buckets, or Spark exchanges both sides where those are fewer than its shuffle partitions
+            gone = gone.repartition(buckets, by)
+        gone = gone.distinct()
+        return touched.join(gone, on, "left_anti").unionByName(self._dealt(rows, key, seq, buckets, len(parts)))
 
-    def _merge(self, name: str, new: DataFrame, key: str, replace_document: str | None) -> None:
+    def _merge(self, name: str, rows: DataFrame, key: str, replace_document: str | None, seq: str) -> None:
         buckets = self.buckets(name)
-        self._change(name, self.merged(name, new, key, replace_document), "parts", buckets)
+        self._change(name, self.merged(name, rows, key, replace_document, seq), "parts", buckets)
         size = self.file_bytes(name)
         if size > OUTGROWN * buckets * self.bucket_bytes and buckets < MOST:
-            self._change(name, self.read(name), "all", self._needed(size))
+            more, whole = self._needed(size), self.read(name)
+            self._change(name, whole.repartition(more, self._by(whole)), "all", more)
 
     def delete_points(self, name: str, ids: DataFrame) -> None:
         """Rows by point_id, idempotent; ids with a document_id beside it leave the buckets of other documents alone."""
