@@ -1,6 +1,6 @@
 """Resumable ingestion of a folder of documents: file streams into a state machine, and work on what it hands out.
 
-Three streams meet in the machine, by document: deliveries (the source folder), requests to take a document once more, and the outcomes of the
+Three streams meet in the machine, by groups of documents: deliveries (the source folder), requests to take a document once more, and the outcomes of the
 work, which the work itself writes. Its state stays in the state store, so no batch reads the log, however long it is. Each
 transition is a row of the log, a table partitioned by stream and batch, of which a batch that runs again replaces its own part.
 Chunks are upserted by deterministic ids before an outcome is written, so a batch that is cut off and runs again gives the same collection.
@@ -62,15 +62,14 @@ class Work:
 
 
 def process(raw: DataFrame, of: Documents, work: Work) -> tuple[DataFrame, DataFrame]:
-    """(chunks with ids, vectors and metadata, failed documents with the reason). A bad document does not stop the others."""
+    """(chunks with ids, vectors, metadata and error_message, documents without content with the reason). A bad document does not stop the others: it
+    gives one row that is no chunk, but says why. So both are made in one go."""
     docs = of.prepare(raw).select("document_id", *of.metadata, "text")
     found = extract_fields(docs, topics=of.topics, kind=work.kind, fn=work.extractor) if of.extract else docs.withColumn("requires_reprocessing", F.lit(False))
     ok = F.coalesce(F.col("text"), F.lit("")) != ""
     empty = docs.where(~ok).select("document_id", F.lit("no content").alias("error_message"))
-    chunks = chunk_documents(found.where(ok), work.kind, count=work.count, errors=True)
-    failed = chunks.where("error_message IS NOT NULL").select("document_id", "error_message")
-    good = store.with_point_ids(chunks.where("error_message IS NULL").drop("error_message"))
-    return embed(good, "text", work.dim, work.fn), empty.unionByName(failed)
+    chunks = store.with_point_ids(chunk_documents(found.where(ok), work.kind, count=work.count, errors=True))
+    return embed(chunks, "text", work.dim, work.fn), empty
 
 
 @contextmanager
@@ -131,23 +130,23 @@ class Ingestion:
 
     def _work(self, todo: DataFrame, number: int) -> None:
         raw = todo.select(F.from_json("payload", self.of.schema).alias("raw")).select("raw.*")
-        chunks, failed = process(raw, self.of, self.work)
-        chunks, failed = chunks.withColumn("ingest_seq", F.lit(number).cast("bigint")).persist(), failed.persist()
+        made, empty = process(raw, self.of, self.work)
+        made = made.withColumn("ingest_seq", F.lit(number).cast("bigint")).persist()
         try:
-            self.tables.upsert(self.collection, chunks, replace_document="document_id")
+            chunks, failed = made.where("error_message IS NULL").drop("error_message"), made.where("error_message IS NOT NULL").select("document_id", "error_message")
+            self.tables.upsert(self.collection, chunks, replace_document="document_id", held=True)
             flags = chunks.groupBy("document_id").agg(F.max(F.col("embed_failed") | F.col("requires_reprocessing")).alias("flagged"))
-            ended = todo.select("document_id", "attempt").join(failed, "document_id", "left").join(flags, "document_id", "left")
+            ended = todo.select("document_id", "attempt").join(empty.unionByName(failed), "document_id", "left").join(flags, "document_id", "left")
             event = F.when(F.col("error_message").isNull(), progress.COMPLETED).otherwise(progress.FAILED)
             ended = ended.select("document_id", event.alias("event"), "error_message", "attempt", F.coalesce("flagged", F.lit(False)).alias("flagged"))
             ended.write.mode("append").parquet(self.outcomes)
             self.wrote = True
         finally:
-            chunks.unpersist()
-            failed.unpersist()
+            made.unpersist()
 
     def _pass(self) -> None:
         with _set(self.spark, _PROVIDER, _ROCKS), _set(self.spark, _IDLE, "false"):  # timers go with the batches that bring something
-            moves = status.transitions(self._events(), self._known().groupBy("document_id"), self.timeout, self.skew)
+            moves = status.transitions(self._events(), self._known(), self.timeout, self.skew)
             query = moves.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).outputMode("append").trigger(availableNow=True).start()
         try:
             query.awaitTermination()
