@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,33 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embed import Embedder
-from .spread import spread
+from .spread import sliced, spread
 
-#: Documents to fit on at most, about: Spark hashes choose them; FEATURES: places that words are hashed to.
-SAMPLE, FEATURES = 50_000, 1 << 14
-#: Directions beyond those wanted, tasks of a pass at most, and rows of the sums that travel together.
-MORE, TASKS, BLOCK = 16, 64, 256
+#: Places that words are hashed to.
+FEATURES = 1 << 14
+#: Directions beyond those wanted, tasks of a pass at most (or one a core), rows of the sums that travel together, and cells of a dense block of texts.
+MORE, TASKS, BLOCK, CELLS = 16, 64, 256, 1 << 22
 _PART = "block int, sums binary"
+#: The counts of a slice of texts: texts, where each one's entries end, their places, and how often each is there.
+_COUNTED = "n int, ends binary, places binary, counts binary"
 #: Counts of a batch: as many rows as there are texts, in the manner of compressed sparse rows.
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
-_places: dict[str, int] = {}
+
+
+class _Places(dict):
+    """The first 32 bits of the MD5 of each word seen lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        return self[word]
+
+
+_places = _Places()
 
 
 def place(word: str, features: int) -> int:
     """Where a word is counted; the first 32 bits of its MD5."""
-    if word not in _places:
-        if len(_places) > 200_000:
-            _places.clear()
-        _places[word] = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
     return _places[word] % features
 
 
 def counts(texts: list[str], features: int) -> Sparse:
     """(row, place, count) of the words of texts, by row and place."""
-    words = [[place(w, features) for w in (t or "").lower().split()] for t in texts]
-    rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    at = rows * features + np.array([p for w in words for p in w], dtype=np.int64)
-    key, n = np.unique(at, return_counts=True)
+    words = [(t or "").lower().split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.fromiter(map(_places.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum())) % features
+    key, n = np.unique(np.repeat(np.arange(len(texts)), n) * features + at, return_counts=True)
     return key // features, key % features, n.astype(np.float64)
 
 
@@ -60,36 +71,61 @@ def projected(found: Sparse, n_rows: int, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def gathered(found: Sparse, y: np.ndarray, features: int) -> np.ndarray:
-    """The transposed rows times y: features by columns of y."""
+def _counted(texts: DataFrame, features: int) -> DataFrame:
+    """The counts of all texts, a row for each slice of a batch; words are looked up here alone."""
+    kind = np.uint16 if features <= 1 << 16 else np.uint32
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch.column(0)):
+                rows, at, n = counts(part, features)
+                n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
+                ends = np.searchsorted(rows, np.arange(len(part)), side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, at.astype(kind), n))], ["n", "ends", "places", "counts"])
+
+    return texts.mapInArrow(of, _COUNTED)
+
+
+def _unpacked(batch: pa.RecordBatch, features: int) -> Iterator[tuple[Sparse, int]]:
+    """The counts of each slice, and how many texts it has."""
+    kind = np.uint16 if features <= 1 << 16 else np.uint32
+    for n, *packed in zip(*(batch.column(c) for c in ("n", "ends", "places", "counts")), strict=True):
+        ends, places, found = (x.as_buffer() for x in packed)
+        at = np.frombuffer(places, kind).astype(np.int64)
+        rows = np.repeat(np.arange(n.as_py()), np.diff(np.frombuffer(ends, np.int32), prepend=0))
+        yield (rows, at, np.frombuffer(found, f"u{found.size // max(len(at), 1) or 1}").astype(np.float64)), n.as_py()
+
+
+def gram(found: Sparse, n_rows: int, basis: np.ndarray, total: np.ndarray) -> None:
+    """Adds the transposed rows times the rows times basis to total: features by columns of basis. A block of at most CELLS cells is dense at a time."""
     rows, at, value = found
-    out = np.zeros((features, y.shape[1]))
-    if len(rows):
-        by = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.diff(at[by], prepend=-1))
-        out[at[by][first]] = np.add.reduceat(y[rows[by]] * value[by][:, None], first, axis=0)
-    return out
+    step = max(1, CELLS // len(basis))
+    block = np.zeros((min(step, n_rows), len(basis)), np.float32)
+    for first in range(0, n_rows, step):
+        a, b = np.searchsorted(rows, (first, first + step))
+        block[rows[a:b] - first, at[a:b]] = value[a:b]
+        total += block.T @ (block @ basis)
+        block[rows[a:b] - first, at[a:b]] = 0
 
 
-def _summed(texts: DataFrame, of: Callable[[list[str]], np.ndarray], width: int) -> np.ndarray:
-    """of(texts of a batch) summed over all batches: in each task, then over tasks by block of rows. Small slices of a batch bound the memory."""
+def _summed(counted: DataFrame, features: int, width: int, add: Callable[[Sparse, int, np.ndarray], None]) -> np.ndarray:
+    """What add() puts into features by `width` numbers for each slice of texts: summed in each task, then over tasks by block of rows."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros((features, width))
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                got = of(batch.column(0).slice(i, 128).to_pylist())
-                total = got if total is None else np.add(total, got, out=total)
-        if total is not None:
-            blocks = range(-(-len(total) // BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "sums"])
+            for found, n in _unpacked(batch, features):
+                add(found, n, total)
+        blocks = range(-(-len(total) // BLOCK))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "sums"])
 
     def sums(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum(np.frombuffer(s) for batch in batches for s in batch.column("sums").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
 
-    rows = texts.mapInArrow(parts, _PART).groupBy("block").applyInArrow(sums, _PART).collect()  # as large as the model
-    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"])]).reshape(-1, width) if rows else np.zeros((0, width))
+    few = counted.coalesce(max(TASKS, counted.sparkSession.sparkContext.defaultParallelism))
+    rows = few.mapInArrow(parts, _PART).groupBy("block").applyInArrow(sums, _PART).collect()  # as large as the model
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"])]).reshape(-1, width) if rows else np.zeros((features, width))
 
 
 @dataclass(frozen=True)
@@ -126,36 +162,37 @@ def chosen(docs: DataFrame, text: str, sample: int) -> DataFrame:
     return kept.coalesce(TASKS) if n > sample else spread(kept)
 
 
-def fit(docs: DataFrame, text: str = "text", dim: int = 64, features: int = FEATURES, sample: int = SAMPLE, rounds: int = 2, seed: int = 0) -> Latent:
-    """The `dim` strongest directions of the weighted word counts, by randomised range finding with `rounds` rounds of subspace iteration.
+def fit(docs: DataFrame, text: str = "text", dim: int = 64, features: int = FEATURES, sample: int | None = None, rounds: int = 2, seed: int = 0) -> Latent:
+    """The `dim` strongest directions of the weighted word counts of all texts, by randomised range finding with `rounds` rounds of subspace iteration.
 
-    Weights are log((1 + n) / (1 + documents with the word)) + 1. A round is one pass over the sample: each task keeps features by dim + MORE
-    sums (10 MB by default), which are added by blocks; the driver sees the sums alone, and orthogonalises them. The same documents give the
-    same directions, up to the rounding of sums. Fails if no document has a text; dim may not exceed features.
+    Weights are log((1 + n) / (1 + documents with the word)) + 1. Words are counted once; the counts (3 bytes a word and document at least) are kept,
+    in memory or on disk, and a round is one pass over them: each task keeps features by dim + MORE sums (10 MB by default), which are
+    added by blocks; the driver sees the sums alone, and orthogonalises them. The same documents give the same directions, up to the
+    rounding of sums. sample: fit on about so many texts, for a caller who asks for it. Fails if no document has a text; dim may not exceed features.
     """
-    texts = chosen(docs, text, sample).persist()
+    texts = docs.select(F.col(text).alias("text")).where(F.coalesce(F.col(text), F.lit("")) != "") if sample is None else chosen(docs, text, sample)
+    counted = _counted(spread(texts), features).persist()
     try:
-        n = texts.count()
+        n = counted.agg(F.sum("n")).first()[0]
         if not n:
             raise ValueError("no text to fit on")
 
-        def present(batch: list[str]) -> np.ndarray:
-            return np.bincount(counts(batch, features)[1], minlength=features).astype(np.float64)[:, None]
+        def present(found: Sparse, n_rows: int, total: np.ndarray) -> None:
+            total[:, 0] += np.bincount(found[1], minlength=features)
 
-        weights = np.log((1 + n) / (1 + _summed(texts, present, 1)[:, 0])) + 1
+        weights = np.log((1 + n) / (1 + _summed(counted, features, 1, present)[:, 0])) + 1
         width = min(dim + MORE, features)
         basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
         for _ in range(rounds + 1):
 
-            def step(batch: list[str], basis: np.ndarray = basis) -> np.ndarray:
-                found = weighted(counts(batch, features), len(batch), weights)
-                return gathered(found, projected(found, len(batch), basis), features)
+            def step(found: Sparse, n_rows: int, total: np.ndarray, basis: np.ndarray = basis.astype(np.float32)) -> None:
+                gram(weighted(found, n_rows, weights), n_rows, basis, total)
 
-            image = _summed(texts, step, width)  # the Gram matrix of the places times basis
+            image = _summed(counted, features, width, step)  # the Gram matrix of the places times basis
             small = basis.T @ image
             last, basis = basis, np.linalg.qr(image)[0]
         values, turn = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(values)[::-1][:dim]
         return Latent(weights, (last @ turn[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0)), n)
     finally:
-        texts.unpersist()
+        counted.unpersist()
