@@ -347,8 +347,9 @@ def _fetch(kind: Kind, n_shards: int, n_buckets: int):
 
 @dataclass
 class Stretches:
-    """Different stretches of anchors that have several: ids and places of the first of each, windows, and bytes."""
+    """Different stretches of anchors that have several, by anchor: anchors, ids and places of the first of each, windows, and bytes."""
 
+    anchors: np.ndarray
     ids: np.ndarray
     keys: np.ndarray
     starts: np.ndarray
@@ -388,7 +389,7 @@ def _compare(kind: Kind, n_buckets: int, find: Find):
         on = by[np.repeat(sizes > 1, sizes)]
         if len(on):
             texts = list(seen)
-            which, at, windows = find(Stretches(ids[on], keys[on], starts[on], n[on].astype(np.int64), [texts[c] for c in class_[on].tolist()]))
+            which, at, windows = find(Stretches(anchor[on], ids[on], keys[on], starts[on], n[on].astype(np.int64), [texts[c] for c in class_[on].tolist()]))
             del texts, seen
             # Marks of a class hold for every row of it that is not marked as a whole.
             left, its = order[~later], head[~later]

@@ -3,7 +3,8 @@
 Stretches of windows (see repeats) bring together the places that can share a 50-byte string. The
 different ones of each anchor are put one after another into shards, whose suffixes are sorted by external
 induced sorting on disk; suffixes that have 50 bytes in common are neighbours there, and the least doc_id among
-them keeps its bytes.
+them keeps its bytes. Equal windows have equal anchors, so a shard is sorted in runs of whole anchors, which are so short that the
+names of a sort fit in memory; only a single anchor with more goes deeper.
 
 Edge cases: null text is empty; a text shorter than 50 bytes is untouched; a very long text is read whole, in steps; rows
 that share a doc_id do not remove each other's bytes, and equal rows get equal results; of documents that tie the smallest doc_id keeps
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +77,28 @@ def shared_windows(owner: np.ndarray, n: np.ndarray, bodies: list[bytes], window
     return out
 
 
+def runs_of_anchors(anchors: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole anchors (equal ones stand together) of at most `most` symbols, or of one anchor."""
+    ends = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors))
+    total = np.cumsum(sizes)[ends - 1]
+    begin, k = 0, -1
+    while begin < len(anchors):
+        done = total[k] if begin else 0
+        k = max(int(np.searchsorted(total, done + most, side="right")) - 1, k + 1)
+        yield begin, int(ends[k])
+        begin = int(ends[k])
+
+
 def _find(kind: repeats.Kind, held: int, base: int) -> repeats.Find:
     def of(s: repeats.Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        with tempfile.TemporaryDirectory() as folder:  # the task's own; a lost task starts anew
-            found = shared_windows(s.ids, s.n, s.bodies, kind.window, induced.Disk(folder, held, base))
-            return repeats.runs_of(np.array(found), s.n)
+        out = []
+        # A text has at most half as many names as symbols, of which each stretch has its own and one between.
+        for a, b in runs_of_anchors(s.anchors, s.n + kind.window, 2 * base):
+            with tempfile.TemporaryDirectory() as folder:  # the task's own; a lost task starts anew
+                found = np.array(shared_windows(s.ids[a:b], s.n[a:b], s.bodies[a:b], kind.window, induced.Disk(folder, held, base)))
+            stretch, first, n = repeats.runs_of(found, s.n[a:b])
+            out.append((stretch + a, first, n))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return of
 
