@@ -63,24 +63,30 @@ def topics_of(docs: DataFrame, key: str = "document_id", text: str = "text", phr
     """key and topics: the phrases of one to `phrase` long words that tell a document from the others, by frequency and rarity over all documents.
 
     Every document is there; one without such phrases has an empty list. Texts are dealt out by key, so that a document's phrases are counted
-    where its text is. Of its phrases only those meet their holders that may be among its best: a phrase weighs at most what `holders` holders would
-    make of it, and the weights of the COMMON most common words are known where they are counted, so the least of the best `most` of them is a bound.
+    where its text is, once. Phrases then meet those of other documents, by which their holders are counted. The weights of the COMMON most common words
+    are known where they are counted, so these meet nobody, and go no further if they cannot be among the document's best: a phrase weighs
+    at most what `holders` holders would make of it, and the least of the best `most` known weights is a bound. It also says which of the others go on.
     """
     dealt = docs.select(key, text).repartition(tasks_of(docs, DEALT), key)
     long = F.filter(words(F.col(text)), lambda w: F.char_length(w) >= letters)
     rows = dealt.select(key, long.alias("w"))
-    grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
-    all_grams = F.flatten(F.array(*(F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, phrase + 1))))
-    counts = rows.select(key, F.explode(all_grams).alias("topic")).groupBy(key, "topic").agg(F.count("*").alias("n"))
-    known = counts.groupBy("topic").agg(F.count("*").alias("holders")).where(F.col("holders") >= holders)
-    common = known.where(~F.col("topic").contains(" ")).orderBy(F.desc("holders"), "topic").limit(COMMON).select(F.col("topic").alias("word"), F.col("holders").alias("held"))
+    grams = [F.col("w")]
+    for n in range(2, phrase + 1):  # each phrase of n - 1 words with the word after it
+        most_of = F.greatest(F.size("w") - (n - 1), F.lit(0))
+        grams.append(F.zip_with(F.slice(grams[-1], F.lit(1), most_of), F.slice("w", F.lit(n), most_of), lambda a, b: F.concat(a, F.lit(" "), b)))
+    # Outer, as Spark would cut texts into words before they are dealt too, to leave out those without.
+    counted = lambda found: rows.select(key, F.explode_outer(found).alias("topic")).where("topic IS NOT NULL").groupBy(key, "topic").agg(F.count("*").alias("n"))
+    common = counted(grams[0]).groupBy("topic").agg(F.count("*").alias("held")).where(F.col("held") >= holders)
+    common = common.orderBy(F.desc("held"), "topic").limit(COMMON).select(F.col("topic").alias("word"), "held")
     total = docs.agg(F.count("*").alias("documents"))
     weight = lambda held: F.round(F.col("n") * F.log((F.lit(2.0) * F.col("documents") + 2) / (F.lit(2.0) * held + 1)), 6)
-    bounded = counts.join(F.broadcast(common), F.col("topic") == F.col("word"), "left").crossJoin(F.broadcast(total))  # COMMON rows, and one row
-    bounded = bounded.select(key, "topic", "n", "documents", weight(F.col("held")).alias("sure"), weight(F.coalesce("held", F.lit(holders))).alias("at_most"))
+    bounded = counted(F.concat(*grams)).join(F.broadcast(common), F.col("topic") == F.col("word"), "left").crossJoin(F.broadcast(total))  # COMMON rows, and one row
+    bounded = bounded.select(key, "topic", "n", "documents", "held", weight(F.col("held")).alias("sure"), weight(F.coalesce("held", F.lit(holders))).alias("at_most"))
     every = Window.partitionBy(key).orderBy(F.desc_nulls_last("sure")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    likely = bounded.withColumn("least", F.nth_value("sure", most, True).over(every)).where(F.col("least").isNull() | (F.col("at_most") >= F.col("least")))
-    scored = likely.select(key, "topic", "n").join(known, "topic").crossJoin(F.broadcast(total))
+    likely = F.col("least").isNull() | (F.col("at_most") >= F.col("least"))
+    dealt_on = bounded.withColumn("least", F.nth_value("sure", most, True).over(every)).select(key, "topic", "n", "documents", "held", likely.alias("likely")).where("likely OR held IS NULL")
+    alike = Window.partitionBy("topic", F.when(F.col("held").isNotNull(), F.col(key)))  # a common word's holders are known, and need not meet
+    scored = dealt_on.withColumn("holders", F.coalesce("held", F.count("*").over(alike))).where(F.col("likely") & (F.col("holders") >= holders))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "topic")
     best = scored.select(key, "topic", weight(F.col("holders")).alias("weight")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     lists = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("topics"))
